@@ -1,0 +1,15 @@
+"""Vector expressions on array columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def squared_l2(a: Column, b: Column) -> Column:
+    """Sum of squared differences of two equally long arrays, in double precision."""
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
+        F.lit(0.0),
+        lambda total, x: total + x,
+    )
