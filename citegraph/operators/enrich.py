@@ -42,12 +42,12 @@ def cleaned_names(authors: DataFrame) -> DataFrame:
 def name_batches(
     authors: DataFrame, batch_size: int = config.NAME_BATCH_SIZE, max_ids: int = MAX_LIST
 ) -> DataFrame:
-    """proc_name, part, count, ids and the batch of the name, names in alphabetical order.
+    """proc_name, part, ids and the batch_id of the name, names in alphabetical order.
 
     A name shared by more than ``max_ids`` authors is spread over several parts of the same batch.
     """
     names = cleaned_names(authors).distinct()
-    groups = collect_parts(names, ["proc_name"], F.col("id"), ["id"], "ids", max_ids)
+    groups = collect_parts(names, ["proc_name"], F.col("id"), ["id"], "ids", max_ids, with_count=False)
     numbered = dense_index(names.select("proc_name").distinct(), ["proc_name"], "_rank")
     batches = numbered.select(
         "proc_name", F.floor(F.col("_rank") / F.lit(batch_size)).cast("long").alias("batch_id")

@@ -188,11 +188,13 @@ def search_documents(
         )
     )
     person = F.struct("name", "affiliation")
-    grouped = collect_parts(people, ["id"], person, ["author_id", "affiliation_id"], "authors", max_nested)
+    grouped = collect_parts(
+        people, ["id"], person, ["author_id", "affiliation_id"], "authors", max_nested, with_count=False
+    )
     nobody = F.array().cast("array<struct<name:string,affiliation:string>>")
     return (
         described.join(topics, "id")
-        .join(grouped.drop("count"), "id", "left")
+        .join(grouped, "id", "left")
         .select(
             "id",
             F.coalesce("part", F.lit(0)).alias("part"),
