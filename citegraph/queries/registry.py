@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citegraph.queries.graph import PRELUDE, Graph
 
@@ -12,6 +13,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Doubles are compared to six places.  The nudge, far above the error of a sum and far below the last
+# place, sends an exact tie the same way in both engines.
+NUDGE = 1e-9
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    for name in columns:
+        df = df.withColumn(name, F.round(F.col(name) + F.lit(NUDGE), 6))
+    return df
+
+
 def query(sql: str | None = None) -> Callable[[Callable[[Graph], DataFrame]], Callable[[Graph], DataFrame]]:
     """Register a function of the graph under its own name; ``sql`` continues the prelude."""
 

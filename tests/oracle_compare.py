@@ -60,6 +60,7 @@ if __name__ == "__main__":
     scale, names = sys.argv[1], sys.argv[2:]
     spark = get_session("compare", "local[8]", {
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     folder = f"{TESTDATA}/sf{scale}"
