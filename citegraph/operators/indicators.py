@@ -148,7 +148,7 @@ def _diversity_columns(base: float) -> dict[str, Column]:
     return {
         "dominance": dominance,
         # A single category leaves a rounding residue around zero.
-        "shannon": F.greatest(entropy, F.lit(0.0)),
+        "shannon": F.when(n.isNotNull(), F.greatest(entropy, F.lit(0.0))),
         "simpson": 1 - dominance,
         "enspie": 1 / dominance,
         "observed": F.col("observed"),

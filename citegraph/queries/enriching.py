@@ -124,7 +124,7 @@ def name_batches(g: Graph) -> DataFrame:
     _CLEANED
     + """SELECT id, proc_name AS full_name, split_part(proc_name, ' ', 1) AS first_name,
         CASE WHEN length(proc_name) % 2 = 0 THEN 'female' ELSE 'male' END AS gender,
-        length(proc_name) * 10 AS samples, round(length(proc_name) / 40.0 + 1e-9, 6) AS probability
+        cast(length(proc_name) * 10 AS integer) AS samples, round(length(proc_name) / 40.0 + 1e-9, 6) AS probability
     FROM cleaned WHERE length(proc_name) % 5 <> 0 AND proc_name NOT LIKE 'B%'"""
 )
 def infer_gender(g: Graph) -> DataFrame:

@@ -48,6 +48,17 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """The documents, spread over the cores if they arrive as fewer files than there are cores.
+
+        Work on whole texts is costly per row, and a file with one row group is one task.  A table of
+        many files is left as it is.
+        """
+        documents = self.table("documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        return documents.repartition(cores) if len(documents.inputFiles()) < cores else documents
+
     # --- graph tables ---------------------------------------------------------------------------------
     @cached_property
     def papers(self) -> DataFrame:
@@ -283,7 +294,7 @@ class Graph:
     @cached_property
     def inverted_index(self) -> DataFrame:
         """id, IA: every document as a word -> positions map."""
-        positions = self.table("documents").select(
+        positions = self.documents.select(
             F.col("doc_id").alias("id"), F.posexplode(F.split("text", " ", -1)).alias("position", "word")
         )
         words = positions.groupBy("id", "word").agg(F.sort_array(F.collect_list("position")).alias("positions"))

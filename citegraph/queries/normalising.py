@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph import schemas
+from citegraph.functions import text
 from citegraph.operators import normalise
 from citegraph.queries.graph import Graph
 from citegraph.queries.registry import query
@@ -154,19 +155,23 @@ def date_intervals(g: Graph) -> DataFrame:
         CASE WHEN o_orderkey > 1
             THEN concat(cast(o_orderkey - 1 AS varchar), ',', cast(o_orderkey - 2 AS varchar)) END AS refs,
         CASE WHEN o_orderstatus <> 'P'
-            THEN concat('https://example.org/paper/', cast(o_orderkey AS varchar)) END AS source
+            THEN concat('https://example.org/paper/', cast(o_orderkey AS varchar)) END AS source,
+        replace(abstract, chr(0), '') AS abstract
     FROM orders JOIN papers ON id = o_orderkey"""
 )
 def parse_papers(g: Graph) -> DataFrame:
     return normalise.papers(g.raw).select(
         "id", "title", "publication_type", "year", "date", "citations", "original_title", "doi", "publisher",
         "bibtex_doc_type", F.array_join(F.col("references").cast("array<string>"), ",").alias("refs"), "source",
+        "abstract",
     )
 
 
-@query("SELECT id, replace(abstract, chr(0), '') AS abstract FROM papers")
+@query("SELECT doc_id AS id, replace(text, chr(0), '') AS abstract FROM documents")
 def abstracts(g: Graph) -> DataFrame:
-    return normalise.papers(g.raw).select("id", "abstract")
+    """Every document rebuilt from its word -> positions map."""
+    abstract = text.abstract_from_inverted_index(F.col("IA.InvertedIndex"))
+    return g.inverted_index.select("id", abstract.alias("abstract"))
 
 
 @query(

@@ -30,7 +30,7 @@ def _country_vectors(g: Graph, year: str | None = None) -> DataFrame:
     )
 
 
-@query(_MEANS + "SELECT field_of_study_id, year, country, pos - 1 AS pos, round(x + 1e-9, 6) AS x, n FROM means")
+@query(_MEANS + "SELECT field_of_study_id, year, country, cast(pos - 1 AS integer) AS pos, round(x + 1e-9, 6) AS x, n FROM means")
 def country_vectors(g: Graph) -> DataFrame:
     exploded = _country_vectors(g).select(
         "field_of_study_id", "year", "country", F.posexplode("vector").alias("pos", "x"), "n"
@@ -65,7 +65,7 @@ def country_similarity(g: Graph) -> DataFrame:
         SELECT q.id AS query_id, c.id, list_sum(list_transform(list_zip(q.v, c.v),
             lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM v q, v c)
     SELECT query_id, id, round(distance + 1e-9, 6) AS distance,
-        row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
+        cast(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS integer) AS rank
     FROM pairs QUALIFY rank <= 5"""
 )
 def nearest_documents(g: Graph) -> DataFrame:
@@ -75,7 +75,7 @@ def nearest_documents(g: Graph) -> DataFrame:
 
 # --- text vectors -------------------------------------------------------------------------------------
 def _documents(g: Graph) -> DataFrame:
-    return g.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
+    return g.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
 
 
 _STOP_WORDS = ("the", "and", "of", "in", "to", "le", "la", "de", "en", "el")

@@ -107,8 +107,6 @@ TABLES: dict[str, str] = {
         "country_association": "wb_country string, google_country string",
         "country_details": """alpha2Code string, alpha3Code string, name string, google_name string,
             wb_name string, region string, subregion string, population long, capital string""",
-        "flat_export": """id long, vector_3d array<double>, citations int, year string,
-            field_of_study string, country string""",
         "open_access_journals": "id long, open_access int",
     }.items()
 }

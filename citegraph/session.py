@@ -15,6 +15,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Lists and vector means keep more than the default 128 groups per task before they sort.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
 }
 
 

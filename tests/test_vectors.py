@@ -1,0 +1,178 @@
+import math
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from citegraph.operators import vectors
+from conftest import as_set
+
+
+def points(make, rows):
+    return make("id long, vector array<double>", *[(int(i), [float(x) for x in v]) for i, v in rows])
+
+
+def test_neighbours_golden(make):
+    corpus = points(make, [(11, [.1243, 1.124, .21456, .123]), (22, [1.24, .765, .987, .433]),
+                           (33, [.123, .6543, .734, .235])])
+    rows = vectors.nearest_neighbours(corpus, corpus.filter("id = 11"), 3).orderBy("rank").collect()
+    assert [r["id"] for r in rows] == [11, 33, 22]
+    assert [round(r["distance"], 6) for r in rows] == [0.0, 0.502982, 2.066431]
+
+
+def brute_force(corpus, queries, k, exclude_self):
+    out = set()
+    for qid, q in queries:
+        found = sorted(
+            (float(((np.float32(q).astype(float) - np.float32(c).astype(float)) ** 2).sum()), cid)
+            for cid, c in corpus if not (exclude_self and cid == qid)
+        )[:k]
+        out |= {(qid, cid, rank + 1, round(d, 9)) for rank, (d, cid) in enumerate(found)}
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [7, 50, 4096])
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_neighbours_equal_brute_force(make, block_rows, exclude_self):
+    rng = np.random.default_rng(3)
+    # Rounded coordinates and repeated vectors give many ties.
+    corpus = [(i, v) for i, v in enumerate(np.round(rng.normal(size=(60, 3)), 0))]
+    queries = corpus[:25] + [(1000, np.zeros(3))]
+    got = vectors.nearest_neighbours(points(make, corpus), points(make, queries), 4, exclude_self, (), block_rows)
+    assert {(r["query_id"], r["id"], r["rank"], round(r["distance"], 9)) for r in got.collect()} == brute_force(
+        corpus, queries, 4, exclude_self)
+
+
+def test_neighbours_within_groups(make):
+    rng = np.random.default_rng(4)
+    rows = [("x" if i % 3 else "y", i, rng.normal(size=2).tolist()) for i in range(40)]
+    df = make("g string, id long, vector array<double>", *rows)
+    got = vectors.nearest_neighbours(df, df, 3, True, ["g"], block_rows=6)
+    expected = set()
+    for g in "xy":
+        members = [(i, v) for h, i, v in rows if h == g]
+        expected |= {(g, *r) for r in brute_force(members, members, 3, True)}
+    assert {(r["g"], r["query_id"], r["id"], r["rank"], round(r["distance"], 9)) for r in got.collect()} == expected
+
+
+def test_country_similarity_needs_more_than_k_countries(make):
+    schema = "field_of_study_id long, year string, country string, vector array<double>, n long"
+    rows = [(1, "2015", f"c{i}", [float(i), 0.0], 3) for i in range(4)] + [
+        (2, "2015", f"c{i}", [float(i), 0.0], 3) for i in range(3)] + [(1, "2013", f"c{i}", [0.0, 0.0], 3) for i in range(9)]
+    got = vectors.country_similarity(make(schema, *rows), k=3)
+    assert {r["field_of_study_id"] for r in got.collect()} == {1}
+    assert as_set(got.filter("country_a = 'c0'").select("country_b", "closeness", "year")) == {
+        ("c1", 1.0, "2015"), ("c2", 4.0, "2015"), ("c3", 9.0, "2015")}
+
+
+def test_mean_vectors(make):
+    df = make("g string, vector array<float>", ("a", [2.0, 3.0, 4.0]), ("a", [7.0, 8.0, 9.0]), ("b", [1.0, 1.0, 1.0]))
+    rows = {r["g"]: (list(r["vector"]), r["n"]) for r in vectors.mean_vectors(df, ["g"]).collect()}
+    assert rows == {"a": ([4.5, 5.5, 6.5], 2), "b": ([1.0, 1.0, 1.0], 1)}
+
+
+TEXTS = {1: "The cat sat on the mat", 2: "A cat and a dog; the DOG barked", 3: "naïve cats_2 sat", 4: None, 5: "the a"}
+
+
+def reference_tfidf(texts, stop, limit=None):
+    tokens = {i: [t for t in re.findall(r"(?u)\b\w\w+\b", x.lower()) if t not in stop] for i, x in texts.items() if x}
+    n = len(tokens)
+    total, df = {}, {}
+    for ts in tokens.values():
+        for t in ts:
+            total[t] = total.get(t, 0) + 1
+        for t in set(ts):
+            df[t] = df.get(t, 0) + 1
+    vocabulary = sorted(total, key=lambda t: (-total[t], t))[:limit]
+    out = {}
+    for i, ts in tokens.items():
+        w = {t: ts.count(t) * (math.log((1 + n) / (1 + df[t])) + 1) for t in set(ts) if t in vocabulary}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        out.update({(i, t): x / norm for t, x in w.items()})
+    return out
+
+
+@pytest.mark.parametrize("limit", [100, 3])
+def test_tfidf(make, limit):
+    docs = make("id long, abstract string", *TEXTS.items())
+    stop = ("the", "and", "on")
+    expected = reference_tfidf(TEXTS, stop, limit)
+    got = {(r["id"], r["term"]): r["weight"] for r in vectors.tfidf_weights(docs, limit, stop).collect()}
+    assert got == pytest.approx(expected)
+    # The fitted transformer gives the same weights as sparse vectors.
+    model = vectors.fit_tfidf(docs, limit, stop)
+    vocabulary = model.pipeline.stages[1].vocabulary
+    sparse = {}
+    for row in model.transform(docs).collect():
+        sparse.update({(row["id"], vocabulary[i]): w for i, w in zip(row["features"].indices, row["features"].values)})
+    assert sparse == pytest.approx(expected)
+
+
+def test_svd_keeps_the_geometry(make):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.5, size=30) % 40) for _ in range(25)]
+    docs = make("id long, abstract string", *enumerate(texts))
+    embedded, model = vectors.tfidf_svd_vectors(docs, k=3, stop_words=())
+    got = {r["id"]: np.array(r["vector"]) for r in embedded.collect()}
+    x = {r["id"]: r["features"].toArray() for r in model.transform(docs).collect()}
+    ids = sorted(x)
+    u, s, _ = np.linalg.svd(np.array([x[i] for i in ids]), full_matrices=False)
+    expected = u[:, :3] * s[:3]
+    ours = np.array([got[i] for i in ids])
+    # Axes may flip; the inner products may not.
+    assert np.allclose(ours @ ours.T, expected @ expected.T, atol=1e-8)
+
+
+def test_encoding(make, spark):
+    docs = make("id long, abstract string", *[(i, "x" * i) for i in range(1, 30)], (99, None))
+    sizes = spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        assert 0 < len(texts) <= 4
+        sizes.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    stored = make("id long, vector array<double>", (7, [0.0]))
+    got = vectors.encode_documents(docs, encode, stored, batch_size=4)
+    assert {(r["id"], tuple(r["vector"])) for r in got.collect()} == {(i, (float(i), 1.0)) for i in range(1, 30) if i != 7}
+    assert sizes.value == 28
+    words = vectors.encode_documents(docs.filter("id = 3"), lambda t: [np.array([[1.0, 2.0], [3.0, 4.0]])] * len(t), word_vectors=True)
+    assert list(words.first()["vector"]) == [2.0, 3.0]
+
+
+def test_projection(make, tmp_path):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(40, 6)) * np.array([5, 4, 3, .1, .1, .1])
+    high = points(make, enumerate(data))
+    papers = make("id long, abstract string, citations int", *[(i, "x" * (300 if i else 299), i) for i in range(39)], (39, None, 39))
+    documents = vectors.projectable(high, papers, exclude=[5])
+    assert {r["id"] for r in documents.collect()} == set(range(40)) - {0, 5}
+    assert vectors.projectable(high, papers, remove_short_docs=False).count() == 40
+    model = vectors.fit_projection(documents)
+    model.save(str(tmp_path / "model"))
+    loaded = type(model).load(str(tmp_path / "model"))
+    got = {r["id"]: np.array(r["vector_3d"]) for r in vectors.project(documents, loaded).collect()}
+    kept = data[sorted(got)]
+    _, _, vt = np.linalg.svd(kept - kept.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(np.array([got[i] for i in sorted(got)])), np.abs(kept @ vt[:3].T), atol=1e-6)
+    new = vectors.projectable(high, papers, exclude=[5], stored=documents.filter("id < 30").select("id"))
+    assert {r["id"] for r in new.collect()} == set(range(30, 40))
+
+
+def test_country_vectors(make):
+    places = make("affiliation_id long, country string", (1, "A"), (2, "A"), (3, None), (4, ""))
+    links = make("affiliation_id long, author_id long, paper_id long", (1, 1, 1), (2, 2, 1), (1, 1, 2), (1, 1, 3), (3, 1, 3), (4, 1, 3))
+    papers = make("id long, year string", (1, "2015"), (2, "2015"), (3, "2015"))
+    tags = make("paper_id long, field_of_study_id long", (1, 10), (1, 11), (2, 10), (3, 11))
+    closure = make("field_of_study_id long, descendant long", (9, 9), (9, 10), (9, 11))
+    high = points(make, [(1, [0, 1]), (2, [3, 1]), (3, [6, 4])])
+    rows = vectors.country_vectors(places, links, papers, tags, high, closure, thresh=2).collect()
+    assert [(r["field_of_study_id"], r["year"], r["country"], list(r["vector"]), r["n"]) for r in rows] == [
+        (9, "2015", "A", [3.0, 2.0], 3)]
+    assert vectors.country_vectors(places, links, papers, tags, high, closure, thresh=3).count() == 0
+
+
+def test_vector_columns_may_be_floats(make):
+    df = make("id long, vector array<float>", (1, [1.0, 2.0]), (2, [2.0, 4.0]))
+    assert vectors.nearest_neighbours(df, df, 1).filter(F.col("distance") > 0).count() == 0
