@@ -46,7 +46,7 @@ def name_batches(
 
     A name shared by more than ``max_ids`` authors is spread over several parts of the same batch.
     """
-    names = cleaned_names(authors).distinct()
+    names = cleaned_names(authors)
     groups = collect_parts(names, ["proc_name"], F.col("id"), ["id"], "ids", max_ids, with_count=False)
     numbered = dense_index(names.select("proc_name").distinct(), ["proc_name"], "_rank")
     batches = numbered.select(

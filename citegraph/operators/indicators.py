@@ -48,7 +48,7 @@ def base_fact(
     dated = dated.select(F.col("id").alias("paper_id"), "year", "citations")
     tags = paper_fos.select("paper_id", "field_of_study_id")
     if topics is not None:
-        tags = tags.join(topics.select("field_of_study_id").distinct(), "field_of_study_id", "left_semi")
+        tags = tags.join(topics.select("field_of_study_id"), "field_of_study_id", "left_semi")
     return (
         paper_entities(places, author_affiliation, entity_col)
         .join(dated, "paper_id")

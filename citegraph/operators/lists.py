@@ -18,6 +18,7 @@ def collect_parts(
     name: str,
     max_len: int = MAX_LIST,
     with_count: bool = True,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """``keys``, ``part``, ``count`` and a sorted array ``name`` of the elements of one part.
 
@@ -26,10 +27,12 @@ def collect_parts(
     parts is the complete list and ``count`` is the size of the whole key in each of them.
 
     Without ``count`` only the keys above ``max_len`` are looked up, of which there is at most one per
-    ``max_len`` rows.  Either way the sizes are a stored table, so Catalyst knows whether they fit a
-    broadcast; the explicit repartition keeps the parts of a key apart even when it joins by shuffle.
+    ``max_len`` rows, and ``sizes_from`` may name a cheaper table with at least as many rows per key.
+    Either way the sizes are a stored table, so Catalyst knows whether they fit a broadcast; the explicit
+    repartition keeps the parts of a key apart even when it joins by shuffle.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    sized_by = df if with_count or sizes_from is None else sizes_from
+    sizes = sized_by.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
     if with_count:
         sized = df.join(materialise(sizes), keys)
     else:

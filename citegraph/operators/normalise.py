@@ -32,8 +32,11 @@ def not_yet_stored(new: DataFrame, stored: DataFrame, key: str, stored_key: str
 
 
 def rows_to_append(new: DataFrame, stored: DataFrame, key: str, stored_key: str | None = None) -> DataFrame:
-    """De-duplicate by key (last wins) and drop what is stored already."""
-    return latest_per_key(not_yet_stored(new, stored, key, stored_key), key)
+    """De-duplicate by key (last wins) and drop what is stored already.
+
+    Copies go first, so that the anti-join meets one row per key and reuses the partitioning by key.
+    """
+    return not_yet_stored(latest_per_key(new, key), stored, key, stored_key)
 
 
 # --- parsers ------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citegraph import config
 from citegraph.operators.lists import MAX_LIST, collect_parts
+from citegraph.session import materialise
 
 MAX_NESTED = 100_000
 
@@ -90,7 +91,8 @@ def papers_by_country(places: DataFrame, author_affiliation: DataFrame, max_ids:
     """country, part, count, paper_ids; long lists come in parts (see collect_parts)."""
     located = places.filter(F.col("country") != "").select("affiliation_id", "country")
     links = author_affiliation.select("paper_id", "affiliation_id")
-    pairs = links.join(located, "affiliation_id").select("country", "paper_id").distinct()
+    # The pairs are counted and then listed.
+    pairs = materialise(links.join(located, "affiliation_id").select("country", "paper_id").distinct())
     return collect_parts(pairs, ["country"], F.col("paper_id"), ["paper_id"], "paper_ids", max_ids)
 
 
@@ -101,10 +103,8 @@ def papers_by_topic(
     topics = filtered.select("field_of_study_id").distinct().join(
         fos.select(F.col("id").alias("field_of_study_id"), "name"), "field_of_study_id"
     )
-    pairs = (
-        paper_fos.select("field_of_study_id", "paper_id")
-        .join(topics.select("field_of_study_id"), "field_of_study_id", "left_semi")
-        .distinct()
+    pairs = paper_fos.select("field_of_study_id", "paper_id").join(
+        topics.select("field_of_study_id"), "field_of_study_id", "left_semi"
     )
     lists = collect_parts(
         pairs, ["field_of_study_id"], F.col("paper_id"), ["paper_id"], "paper_ids", max_ids
@@ -176,9 +176,13 @@ def search_documents(
         .groupBy(F.col("paper_id").alias("id"))
         .agg(F.sort_array(F.collect_list(topic)).alias("fields_of_study"))
     )
+    # Unplaced authorships are many and match nothing: each gets a key of its own instead of sharing the
+    # null partition.
+    unplaced = F.concat(F.lit("none "), F.pmod(F.xxhash64("author_id", "paper_id"), F.lit(1 << 20)).cast("string"))
     people = (
         author_affiliation.join(authors.select(F.col("id").alias("author_id"), "name"), "author_id")
-        .join(affiliation.select(F.col("id").alias("affiliation_id"), "affiliation"), "affiliation_id", "left")
+        .withColumn("_place", F.coalesce(F.col("affiliation_id").cast("string"), unplaced))
+        .join(affiliation.select(F.col("id").cast("string").alias("_place"), "affiliation"), "_place", "left")
         .select(
             F.col("paper_id").alias("id"),
             "author_id",
@@ -187,9 +191,15 @@ def search_documents(
             F.coalesce("affiliation", F.lit("")).alias("affiliation"),
         )
     )
-    person = F.struct("name", "affiliation")
     grouped = collect_parts(
-        people, ["id"], person, ["author_id", "affiliation_id"], "authors", max_nested, with_count=False
+        people,
+        ["id"],
+        F.struct("name", "affiliation"),
+        ["author_id", "affiliation_id"],
+        "authors",
+        max_nested,
+        with_count=False,
+        sizes_from=author_affiliation.select(F.col("paper_id").alias("id")),
     )
     nobody = F.array().cast("array<struct<name:string,affiliation:string>>")
     return (
