@@ -51,6 +51,10 @@ def read_jdbc_table(
     )
 
 
+# Tables that are read by year are laid out by year, so a year filter skips whole folders.
+PARTITION_COLUMNS = {"papers": ["year"]}
+
+
 @dataclass(frozen=True)
 class Store:
     """Tables kept as files below one folder."""
@@ -66,11 +70,11 @@ class Store:
         return read_table(self.spark, self.path(name), name, self.format)
 
     def append(self, df: DataFrame, name: str) -> None:
-        self._shaped(df, name).write.mode("append").format(self.format).save(self.path(name))
+        self._save(self._shaped(df, name), name, "append")
 
     def refresh(self, df: DataFrame, name: str) -> None:
         """Replace the whole table."""
-        self._shaped(df, name).write.mode("overwrite").format(self.format).save(self.path(name))
+        self._save(self._shaped(df, name), name, "overwrite")
 
     def update(self, df: DataFrame, name: str) -> None:
         """Replace a table by a result computed from that same table.
@@ -80,9 +84,7 @@ class Store:
         self.refresh(materialise(self._shaped(df, name)), name)
 
     def create_empty(self, name: str) -> None:
-        self.spark.createDataFrame([], schemas.TABLES[name]).write.mode("ignore").format(self.format).save(
-            self.path(name)
-        )
+        self._save(self.spark.createDataFrame([], schemas.TABLES[name]), name, "ignore")
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> None:
         """Save as a catalog table bucketed and sorted by ``key``: joins on it then need no shuffle."""
@@ -91,6 +93,10 @@ class Store:
             .bucketBy(buckets, key).sortBy(key).option("path", self.path(name)).saveAsTable(name)
         )
 
+    def _save(self, df: DataFrame, name: str, mode: str) -> None:
+        writer = df.write.mode(mode).format(self.format)
+        writer.partitionBy(*PARTITION_COLUMNS.get(name, [])).save(self.path(name))
+
     def _shaped(self, df: DataFrame, name: str) -> DataFrame:
         """Columns in declared order and type; an undeclared column is an error."""
         declared = self.spark.createDataFrame([], schemas.TABLES[name]).schema

@@ -167,3 +167,12 @@ def test_nan_text_and_foreign_keys(spark, make, tmp_path):
     assert as_set(store.read_table(spark, path, "authors", nan_text=True)) == {(1, None), (2, "b")}
     child = make("author_id long", (1,), (5,), (None,))
     assert as_set(store.foreign_key_violations(child, "author_id", make("id long", (1,)), "id")) == {(5,)}
+
+
+def test_papers_are_laid_out_by_year(spark, make, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "tables"))
+    kept.create_empty("papers")
+    kept.append(make("id long, year string", (1, "2015"), (2, None), (3, "2016")), "papers")
+    assert as_set(kept.read("papers").select("id", "year")) == {(1, "2015"), (2, None), (3, "2016")}
+    assert as_set(kept.read("papers").filter("year > '2015'").select("id")) == {(3,)}
+    assert (tmp_path / "tables" / "papers" / "year=2016").is_dir()

@@ -44,6 +44,23 @@ def test_neighbours_equal_brute_force(make, block_rows, exclude_self):
         corpus, queries, 4, exclude_self)
 
 
+@pytest.mark.parametrize("spread, shape", [(0.05, "clusters"), (1.0, "noise"), (0.0, "copies")])
+def test_cells_are_skipped_without_losing_a_neighbour(make, spread, shape):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 4)) * 5
+    corpus = [(i, centres[0 if i % 3 else i % 6] + rng.normal(size=4) * spread) for i in range(240)]
+    queries = corpus[::4] + [(1000, np.full(4, 50.0))]
+    got = vectors.nearest_neighbours(points(make, corpus), points(make, queries), 5, True, (), 10, 16)
+    assert {(r["query_id"], r["id"], r["rank"], round(r["distance"], 9)) for r in got.collect()} == brute_force(
+        corpus, queries, 5, True)
+
+
+def test_fewer_rows_than_neighbours(make):
+    corpus = [(i, [float(i)]) for i in range(5)]
+    got = vectors.nearest_neighbours(points(make, corpus), points(make, corpus), 9, True, (), 2)
+    assert got.count() == 20
+
+
 def test_neighbours_within_groups(make):
     rng = np.random.default_rng(4)
     rows = [("x" if i % 3 else "y", i, rng.normal(size=2).tolist()) for i in range(40)]
