@@ -103,19 +103,18 @@ def papers_by_topic(
     topics = filtered.select("field_of_study_id").distinct().join(
         fos.select(F.col("id").alias("field_of_study_id"), "name"), "field_of_study_id"
     )
-    pairs = paper_fos.select("field_of_study_id", "paper_id").join(
-        topics.select("field_of_study_id"), "field_of_study_id", "left_semi"
-    )
+    pairs = paper_fos.select("field_of_study_id", "paper_id").join(topics, "field_of_study_id")
     lists = collect_parts(
-        pairs, ["field_of_study_id"], F.col("paper_id"), ["paper_id"], "paper_ids", max_ids
+        pairs, ["field_of_study_id", "name"], F.col("paper_id"), ["paper_id"], "paper_ids", max_ids
     )
-    return topics.join(lists, "field_of_study_id", "left").select(
+    unused = topics.join(paper_fos.select("field_of_study_id"), "field_of_study_id", "left_anti").select(
         "field_of_study_id",
         "name",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("count", F.lit(0)).alias("count"),
-        F.coalesce("paper_ids", F.array().cast("array<long>")).alias("paper_ids"),
+        F.lit(0).alias("part"),
+        F.lit(0).cast("long").alias("count"),
+        F.array().cast("array<long>").alias("paper_ids"),
     )
+    return lists.unionByName(unused)
 
 
 def papers_by_year(
@@ -191,28 +190,34 @@ def search_documents(
             F.coalesce("affiliation", F.lit("")).alias("affiliation"),
         )
     )
+    # One row without a person per paper keeps papers without authors, so the join below is an inner one
+    # and either side of a skewed key can be split.
+    nobody = described.select(
+        "id",
+        *[F.lit(None).cast("long").alias(name) for name in ("author_id", "affiliation_id")],
+        *[F.lit(None).cast("string").alias(name) for name in ("name", "affiliation")],
+    )
     grouped = collect_parts(
-        people,
+        people.unionByName(nobody),
         ["id"],
-        F.struct("name", "affiliation"),
+        F.when(F.col("name").isNotNull(), F.struct("name", "affiliation")),
         ["author_id", "affiliation_id"],
         "authors",
         max_nested,
         with_count=False,
         sizes_from=author_affiliation.select(F.col("paper_id").alias("id")),
     )
-    nobody = F.array().cast("array<struct<name:string,affiliation:string>>")
     return (
         described.join(topics, "id")
-        .join(grouped, "id", "left")
+        .join(grouped, "id")
         .select(
             "id",
-            F.coalesce("part", F.lit(0)).alias("part"),
+            "part",
             F.year(F.to_date("date")).alias("year"),
             F.col("date").alias("publication_date"),
             *attributes,
             "fields_of_study",
-            F.coalesce("authors", nobody).alias("authors"),
+            "authors",
         )
     )
 

@@ -2,17 +2,22 @@
 
 Orders are papers, parts are topics (brand and type above them), customers are authors, suppliers are
 affiliations.  ``Graph`` builds each table in Spark; ``PRELUDE`` states the same tables as SQL.
+
+The analyses work on stored tables, so the graph is loaded once per application: a table is written to
+the shared folder when a query first needs it and read from there afterwards.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+import hashlib
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegraph.operators import topics
-from citegraph.session import materialise
+from citegraph.session import shared_folder
 
 YEAR = "1996"
 PAPERS = 10
@@ -40,7 +45,33 @@ JOURNAL_NAME = """case o_custkey % 50 when 0 then 'biorxiv' when 1 then 'medrxiv
 GENDER = "case when c_custkey % 5 in (0, 1) then 'female' when c_custkey % 5 = 4 then 'unknown' else 'male' end"
 
 
+# Paths written by this application and the schema of what is there.
+_LOADED: dict[str, object] = {}
+
+
+def stored(build: Callable[[Graph], DataFrame]) -> property:
+    """A table of the graph that is written once per application."""
+
+    @wraps(build)
+    def load(self: Graph) -> DataFrame:
+        source = hashlib.md5(self.folder.encode()).hexdigest()
+        application = self.spark.sparkContext.applicationId
+        path = f"{shared_folder(self.spark).rstrip('/')}/{application}/graph-{source}/{build.__name__}"
+        if path not in _LOADED:
+            table = build(self)
+            table.write.mode("overwrite").parquet(path)
+            _LOADED[path] = table.schema
+        return self.spark.read.schema(_LOADED[path]).parquet(path)
+
+    return property(load)
+
+
 class Graph:
+    STORED = (
+        "papers", "fields_of_study", "metadata", "paper_fos", "hierarchy", "author_affiliation", "affiliation",
+        "places", "authors", "gender", "journals", "vectors", "inverted_index", "raw",
+    )
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
@@ -48,7 +79,7 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @cached_property
+    @property
     def documents(self) -> DataFrame:
         """The documents, spread over the cores if they arrive as fewer files than there are cores.
 
@@ -60,12 +91,12 @@ class Graph:
         return documents.repartition(cores) if len(documents.inputFiles()) < cores else documents
 
     # --- graph tables ---------------------------------------------------------------------------------
-    @cached_property
+    @stored
     def papers(self) -> DataFrame:
         documents = self.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
         return self.paper_attributes.join(documents, "id", "left")
 
-    @cached_property
+    @property
     def paper_attributes(self) -> DataFrame:
         return self.table("orders").select(
             F.col("o_orderkey").alias("id"),
@@ -75,7 +106,7 @@ class Graph:
             F.concat(F.lit("Paper "), F.col("o_orderkey").cast("string")).alias("original_title"),
         )
 
-    @cached_property
+    @property
     def _tags(self) -> DataFrame:
         parts = self.table("part").select("p_partkey", self._brand.alias("brand"))
         return self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(
@@ -86,17 +117,17 @@ class Graph:
     def _brand(self):
         return F.substring("p_brand", 7, 9).cast("long")
 
-    @cached_property
+    @property
     def _type_ids(self) -> DataFrame:
         """The part types, numbered in name order; there is only a handful of them."""
         types = self.table("part").select("p_type").distinct()
         return types.select("p_type", F.expr("900 + dense_rank() over (order by p_type)").cast("long").alias("type"))
 
-    @cached_property
+    @stored
     def fields_of_study(self) -> DataFrame:
         return self._levels.select("id", "name")
 
-    @cached_property
+    @property
     def _levels(self) -> DataFrame:
         part = self.table("part")
         low = part.select((F.col("p_partkey") + 1000).alias("id"), F.col("p_name").alias("name"), F.lit(2).alias("level"))
@@ -104,7 +135,7 @@ class Graph:
         top = self._type_ids.select(F.col("type").alias("id"), F.col("p_type").alias("name"), F.lit(0).alias("level"))
         return low.unionByName(mid).unionByName(top)
 
-    @cached_property
+    @stored
     def paper_fos(self) -> DataFrame:
         brand = self._tags.select(F.col("l_orderkey").alias("paper_id"), F.col("brand").alias("field_of_study_id"))
         part = self._tags.select(
@@ -112,14 +143,14 @@ class Graph:
         )
         return brand.unionByName(part).distinct()
 
-    @cached_property
+    @property
     def edges(self) -> DataFrame:
         part = self.table("part")
         down = part.select(self._brand.alias("parent"), (F.col("p_partkey") + 1000).alias("child"))
         top = part.join(self._type_ids, "p_type").select(F.col("type").alias("parent"), self._brand.alias("child"))
         return down.unionByName(top).distinct()
 
-    @cached_property
+    @stored
     def hierarchy(self) -> DataFrame:
         """id, child_id: a part has an empty list."""
         children = self.edges.groupBy(F.col("parent").alias("id")).agg(F.collect_list("child").alias("child_id"))
@@ -128,15 +159,15 @@ class Graph:
             "id", F.coalesce("child_id", empty).alias("child_id")
         )
 
-    @cached_property
+    @stored
     def metadata(self) -> DataFrame:
         return self._levels.select("id", "level", F.lit(None).cast("int").alias("frequency"))
 
-    @cached_property
+    @stored
     def author_affiliation(self) -> DataFrame:
         return self._authorship.select("affiliation_id", "author_id", "paper_id").distinct()
 
-    @cached_property
+    @property
     def _authorship(self) -> DataFrame:
         authors = self.table("customer").count()
         return self.table("lineitem").select(
@@ -146,32 +177,32 @@ class Graph:
             "l_linenumber",
         )
 
-    @cached_property
+    @property
     def paper_authors(self) -> DataFrame:
         return self._authorship.groupBy("paper_id", "author_id").agg(F.min("l_linenumber").alias("order"))
 
-    @cached_property
+    @stored
     def affiliation(self) -> DataFrame:
         return self._suppliers.select(
             F.col("s_suppkey").alias("id"), F.expr(AFFILIATION_NAME).alias("affiliation")
         )
 
-    @cached_property
+    @property
     def _suppliers(self) -> DataFrame:
         nation = self.table("nation").withColumnRenamed("n_nationkey", "s_nationkey")
         return self.table("supplier").join(nation, "s_nationkey").withColumn("n_nationkey", F.col("s_nationkey"))
 
-    @cached_property
+    @stored
     def places(self) -> DataFrame:
         return self._suppliers.select(
             F.col("s_suppkey").alias("affiliation_id"), F.expr(PLACE_COUNTRY).alias("country")
         )
 
-    @cached_property
+    @stored
     def authors(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("id"), F.expr(AUTHOR_NAME).alias("name"))
 
-    @cached_property
+    @stored
     def gender(self) -> DataFrame:
         return self.table("customer").select(
             F.col("c_custkey").alias("id"),
@@ -179,7 +210,7 @@ class Graph:
             ((F.col("c_custkey") % 101) / 100).cast("double").alias("probability"),
         )
 
-    @cached_property
+    @stored
     def journals(self) -> DataFrame:
         return self.table("orders").select(
             (F.col("o_custkey") % 50).alias("id"),
@@ -187,7 +218,7 @@ class Graph:
             F.col("o_orderkey").alias("paper_id"),
         )
 
-    @cached_property
+    @stored
     def vectors(self) -> DataFrame:
         embeddings = self.table("embeddings").select("vec_id", F.col("embedding").alias("vector"))
         size = embeddings.count()
@@ -196,7 +227,7 @@ class Graph:
         )
         return orders.join(embeddings, "vec_id").select("id", "vector")
 
-    @cached_property
+    @property
     def country_values(self) -> DataFrame:
         """country, year, value: turnover of each nation's customers as a stand-in for an indicator."""
         nation = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_nationkey", "n_name")
@@ -213,20 +244,20 @@ class Graph:
         )
 
     # --- derived and stored ---------------------------------------------------------------------------
-    @cached_property
+    @property
     def frequencies(self) -> DataFrame:
         return topics.topic_frequency(self.paper_fos, self.metadata)
 
-    @cached_property
+    @stored
     def filtered(self) -> DataFrame:
-        return materialise(topics.filter_topics(self.frequencies))
+        return topics.filter_topics(self.frequencies)
 
-    @cached_property
+    @stored
     def closure(self) -> DataFrame:
-        return materialise(topics.topic_closure(self.hierarchy, self.filtered))
+        return topics.topic_closure(self.hierarchy, self.filtered)
 
     # --- landed records -------------------------------------------------------------------------------
-    @cached_property
+    @stored
     def raw(self) -> DataFrame:
         """Landed publication records with ``ordinal`` = order key."""
         orders = self.table("orders")
@@ -291,7 +322,7 @@ class Graph:
             )
         )
 
-    @cached_property
+    @stored
     def inverted_index(self) -> DataFrame:
         """id, IA: every document as a word -> positions map."""
         positions = self.documents.select(

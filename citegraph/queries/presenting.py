@@ -10,6 +10,7 @@ from citegraph.operators import indicators, outputs, vectors
 from citegraph.queries import measuring
 from citegraph.queries.graph import PAPERS, YEAR, Graph
 from citegraph.queries.registry import query, rounded
+from citegraph.session import materialise
 
 # --- mean vectors and neighbours ----------------------------------------------------------------------
 _MEANS = """
@@ -180,9 +181,10 @@ _METRICS = (
 
 
 def _all_metrics(g: Graph) -> DataFrame:
+    """The metric table; it is stored, as its readers use it more than once."""
     rca = indicators.rca_by_sum(measuring.country_fact(g), "country", paper_thresh=PAPERS, year_thresh=YEAR)
     metrics = outputs.all_metrics(measuring.research(g), rca, measuring.gender(g), g.fields_of_study)
-    return rounded(metrics, "shannon_diversity", "rca_sum", "female_share")
+    return materialise(rounded(metrics, "shannon_diversity", "rca_sum", "female_share"))
 
 
 @query(_METRICS + "SELECT * FROM metrics")
