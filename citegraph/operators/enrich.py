@@ -91,7 +91,7 @@ def open_access_journals(
 
 
 # --- countries ----------------------------------------------------------------------------------------
-def _lookup(mapping: Mapping[str, str | None], key: Column) -> tuple[Column, Column]:
+def lookup(mapping: Mapping[str, str | None], key: Column) -> tuple[Column, Column]:
     """(key is mapped, mapped value) for a small constant dictionary."""
     if not mapping:
         return F.lit(False), F.lit(None).cast("string")
@@ -104,7 +104,7 @@ def country_association(
 ) -> DataFrame:
     """Every non-empty place country with the name the indicators use for it."""
     name = F.col("google_country")
-    mapped, value = _lookup(mapping, name)
+    mapped, value = lookup(mapping, name)
     return (
         places.filter(F.col("country") != "")
         .select(F.col("country").alias("google_country"))
@@ -125,7 +125,7 @@ def country_details(
     match is used.
     """
     name = F.col("google_country")
-    _, mapped = _lookup(mapping, name)
+    _, mapped = lookup(mapping, name)
     answers = responses.select("query_name", "body")
     by_name = answers.select(F.col("query_name").alias("google_country"), F.col("body").alias("_body"))
     by_mapping = answers.select(F.col("query_name").alias("_mapped"), F.col("body").alias("_other"))

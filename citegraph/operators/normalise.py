@@ -142,7 +142,7 @@ def best_match_per_title(entities: DataFrame) -> DataFrame:
 def topic_metadata(topics: DataFrame, fields_of_study: DataFrame, stored: DataFrame) -> DataFrame:
     """id, level and a still unknown frequency for topics that are ours and not yet described."""
     return _new_topics(topics, fields_of_study, stored).select(
-        F.col("Id").alias("id"), F.col("FL").alias("level"), F.lit(None).cast("int").alias("frequency")
+        F.col("Id").alias("id"), F.col("FL").alias("level"), F.lit(None).cast("long").alias("frequency")
     )
 
 

@@ -14,7 +14,7 @@ from citegraph.session import materialise
 def topic_frequency(paper_fos: DataFrame, metadata: DataFrame) -> DataFrame:
     """Metadata with ``frequency`` = number of links; topics without a link keep their old value."""
     counts = paper_fos.groupBy(F.col("field_of_study_id").alias("id")).agg(
-        F.count(F.lit(1)).cast("int").alias("_links")
+        F.count(F.lit(1)).alias("_links")
     )
     return metadata.join(counts, "id", "left").select(
         "id", "level", F.coalesce("_links", "frequency").alias("frequency")
@@ -39,7 +39,7 @@ def filter_topics(
         F.percentile(F.when(F.col("level") == level, F.col("frequency")), percentile / 100.0)
         for level, percentile in chosen.items()
     ]
-    threshold = per_level.groupBy("level").agg(F.coalesce(*cuts).cast("int").alias("_threshold"))
+    threshold = per_level.groupBy("level").agg(F.coalesce(*cuts).cast("long").alias("_threshold"))
     return (
         per_level.join(threshold, "level")
         .filter(F.col("frequency") > F.col("_threshold"))

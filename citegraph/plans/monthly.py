@@ -181,10 +181,13 @@ def replace_document_vectors(
     max_features: int = config.TFIDF_MAX_FEATURES,
     k: int = config.SVD_COMPONENTS,
     stop_words: Sequence[str] | None = None,
-) -> vectors.TfidfModel:
-    """TF-IDF and SVD vectors of all abstracts."""
+    model_path: str | None = None,
+) -> vectors.TextVectorModel:
+    """TF-IDF and SVD vectors of all abstracts; the model is kept at ``model_path``."""
     embedded, model = vectors.tfidf_svd_vectors(store.read("papers"), max_features, k, stop_words)
     store.refresh(embedded, "high_dim_doc_vectors")
+    if model_path is not None:
+        model.save(store.spark, model_path)
     return model
 
 

@@ -196,7 +196,7 @@ FROM asked WHERE google_country <> 'Russia'"""
 def country_details(g: Graph) -> DataFrame:
     """The service knows countries by its own names, has two matches for each and none for Russia."""
     association = enrich.country_association(g.places)
-    _, renamed = enrich._lookup(config.PLACE_TO_DETAILS_COUNTRY, F.col("google_country"))
+    _, renamed = enrich.lookup(config.PLACE_TO_DETAILS_COUNTRY, F.col("google_country"))
     asked = association.filter(F.col("google_country") != "Russia").select(
         F.coalesce(renamed, F.col("google_country")).alias("query_name")
     )

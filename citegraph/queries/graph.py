@@ -161,7 +161,7 @@ class Graph:
 
     @stored
     def metadata(self) -> DataFrame:
-        return self._levels.select("id", "level", F.lit(None).cast("int").alias("frequency"))
+        return self._levels.select("id", "level", F.lit(None).cast("long").alias("frequency"))
 
     @stored
     def author_affiliation(self) -> DataFrame:
@@ -379,9 +379,9 @@ country_values AS (
         sum(cast(round(o_totalprice * 100) AS bigint)) / 100.0 AS value
     FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
 frequency AS (SELECT field_of_study_id AS id, count(*) AS n FROM paper_fos GROUP BY 1),
-metadata AS (SELECT id, level, cast(n AS integer) AS frequency FROM levels LEFT JOIN frequency USING (id)),
+metadata AS (SELECT id, level, cast(n AS bigint) AS frequency FROM levels LEFT JOIN frequency USING (id)),
 thresholds AS (
-    SELECT level, cast(floor(quantile_cont(frequency, 0.75)) AS integer) AS threshold FROM metadata GROUP BY 1),
+    SELECT level, cast(floor(quantile_cont(frequency, 0.75)) AS bigint) AS threshold FROM metadata GROUP BY 1),
 filtered AS (
     SELECT level, id AS field_of_study_id FROM metadata JOIN thresholds USING (level)
     WHERE level = 1 AND frequency > threshold),

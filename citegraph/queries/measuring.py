@@ -19,7 +19,7 @@ def topic_frequency(g: Graph) -> DataFrame:
 @query(
     """, cuts AS (
         SELECT level, cast(floor(CASE level WHEN 1 THEN quantile_cont(frequency, 0.75)
-            ELSE quantile_cont(frequency, 0.9) END) AS integer) AS threshold
+            ELSE quantile_cont(frequency, 0.9) END) AS bigint) AS threshold
         FROM metadata WHERE level IN (1, 2) GROUP BY level)
     SELECT level, id AS field_of_study_id FROM metadata JOIN cuts USING (level) WHERE frequency > threshold"""
 )

@@ -303,7 +303,7 @@ def _described(g: Graph) -> DataFrame:
     return g.metadata.filter(F.col("level") == 0)
 
 
-@query("SELECT id, level, cast(NULL AS integer) AS frequency FROM levels WHERE level > 0")
+@query("SELECT id, level, cast(NULL AS bigint) AS frequency FROM levels WHERE level > 0")
 def topic_metadata(g: Graph) -> DataFrame:
     return normalise.topic_metadata(_landed_topics(g), g.fields_of_study, _described(g))
 

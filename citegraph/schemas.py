@@ -77,7 +77,7 @@ TABLES: dict[str, str] = {
         "high_dim_doc_vectors": "id long, vector array<double>",
         "doc_vectors": "id long, vector_3d array<double>, citations int",
         "field_of_study_hierarchy": "id long, parent_id array<long>, child_id array<long>",
-        "field_of_study_metadata": "id long, level int, frequency int",
+        "field_of_study_metadata": "id long, level int, frequency long",
         "rca_country": "entity string, year string, rca_sum double, field_of_study_id long",
         "rca_affiliation": "entity long, year string, rca_sum double, field_of_study_id long",
         "author_gender": """id long, full_name string, first_name string, gender string, samples int,

@@ -119,7 +119,7 @@ def test_topic_hierarchy_keeps_absent_and_empty_apart(make):
     landed = make(schemas.RAW_TOPIC, {"Id": 1, "FL": 1, "FC": [{"FId": 2}, {"FId": 99}, {"FId": 2}], "FP": [{"FId": 98}]},
                   {"Id": 2, "FL": 2}, {"Id": 3, "FL": 0}, {"Id": 50, "FL": 1})
     ours = make("id long, name string", (1, "a"), (2, "b"), (3, "c"))
-    stored = make("id long, level int, frequency int", (3, 0, None))
+    stored = make("id long, level int, frequency long", (3, 0, None))
     assert {(r[0], tuple(r[1] or ()) if r[1] is not None else None, tuple(r[2]) if r[2] is not None else None)
             for r in normalise.topic_hierarchy(landed, ours, stored).collect()} == {(1, (2,), ()), (2, None, None)}
     assert as_set(normalise.topic_metadata(landed, ours, stored)) == {(1, 1, None), (2, 2, None)}

@@ -27,13 +27,13 @@ def test_closure_stops_after_five_hops(make):
 
 def test_frequency_keeps_unlinked_values(make):
     links = make("paper_id long, field_of_study_id long", (1, 5), (2, 5), (3, 99))
-    metadata = make("id long, level int, frequency int", (5, 1, None), (6, 1, 4), (7, 1, None))
+    metadata = make("id long, level int, frequency long", (5, 1, None), (6, 1, 4), (7, 1, None))
     assert as_set(topics.topic_frequency(links, metadata)) == {(5, 1, 2), (6, 1, 4), (7, 1, None)}
 
 
 def test_percentile_is_truncated_and_strict(make):
     # The 75th percentile of 1, 2, 3, 6 is 3.75 -> 3: only the 6 is above, the null is ignored.
-    metadata = make("id long, level int, frequency int", (1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 6), (5, 1, None),
+    metadata = make("id long, level int, frequency long", (1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 6), (5, 1, None),
                     (6, 2, 100), (7, 2, 101))
     assert as_set(topics.filter_topics(metadata)) == {(1, 4)}
     assert as_set(topics.filter_topics(metadata, [1, 2], [75, 0])) == {(1, 4), (2, 7)}

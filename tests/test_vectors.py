@@ -126,19 +126,24 @@ def test_tfidf(make, limit):
     assert sparse == pytest.approx(expected)
 
 
-def test_svd_keeps_the_geometry(make):
+def test_svd_keeps_the_geometry(spark, make, tmp_path):
     rng = np.random.default_rng(6)
     texts = [" ".join(f"w{w}" for w in rng.zipf(1.5, size=30) % 40) for _ in range(25)]
     docs = make("id long, abstract string", *enumerate(texts))
     embedded, model = vectors.tfidf_svd_vectors(docs, k=3, stop_words=())
     got = {r["id"]: np.array(r["vector"]) for r in embedded.collect()}
-    x = {r["id"]: r["features"].toArray() for r in model.transform(docs).collect()}
+    x = {r["id"]: r["features"].toArray() for r in model.tfidf.transform(docs).collect()}
     ids = sorted(x)
     u, s, _ = np.linalg.svd(np.array([x[i] for i in ids]), full_matrices=False)
     expected = u[:, :3] * s[:3]
     ours = np.array([got[i] for i in ids])
     # Axes may flip; the inner products may not.
     assert np.allclose(ours @ ours.T, expected @ expected.T, atol=1e-8)
+    # The saved model gives the documents the same vectors.
+    model.save(spark, str(tmp_path / "model"))
+    loaded = vectors.TextVectorModel.load(spark, str(tmp_path / "model"))
+    again = {r["id"]: np.array(r["vector"]) for r in loaded.transform(docs).collect()}
+    assert np.allclose(np.array([again[i] for i in ids]), ours, atol=1e-8)
 
 
 def test_encoding(make, spark):
