@@ -30,33 +30,42 @@ def paper_entities(places: DataFrame, author_affiliation: DataFrame, entity_col:
 
 
 def base_fact(
-    places: DataFrame,
-    author_affiliation: DataFrame,
+    pairs: DataFrame,
     papers: DataFrame,
     paper_fos: DataFrame,
     topics: DataFrame | None = None,
-    entity_col: str = "country",
     year: Column | None = None,
 ) -> DataFrame:
     """field_of_study_id, entity, paper_id, citations, year: one row per topic, entity and paper.
 
-    ``papers`` and ``paper_fos`` are unique by their primary keys, so the joins keep the entity pairs
-    distinct without another shuffle.  ``topics`` restricts the tags to the ids in its column
-    field_of_study_id; ``year`` is an optional predicate that reaches the scan of the papers.
+    ``pairs`` comes from ``paper_entities``; its second column names the entity.  ``papers`` and
+    ``paper_fos`` are unique by their primary keys, so the joins keep the pairs distinct without another
+    shuffle.  ``topics`` restricts the tags to the ids in its column field_of_study_id; ``year`` is an
+    optional predicate that reaches the scan of the papers.
     """
+    (entity_col,) = [name for name in pairs.columns if name != "paper_id"]
     dated = papers if year is None else papers.filter(year)
     dated = dated.select(F.col("id").alias("paper_id"), "year", "citations")
     tags = paper_fos.select("paper_id", "field_of_study_id")
     if topics is not None:
         tags = tags.join(topics.select("field_of_study_id"), "field_of_study_id", "left_semi")
     return (
-        paper_entities(places, author_affiliation, entity_col)
-        .join(dated, "paper_id")
+        pairs.join(dated, "paper_id")
         .join(tags, "paper_id")
         .select("field_of_study_id", entity_col, "paper_id", "citations", "year")
     )
 
 
+def topic_cells(fact: DataFrame, entity_col: str, value: str = "citations") -> DataFrame:
+    """field_of_study_id, entity, year with the summed ``value`` and the number of ``papers``.
+
+    Everything that compares entities is computed from this small table, null entities included.
+    """
+    return fact.groupBy("field_of_study_id", F.col(entity_col).alias("entity"), "year").agg(
+        F.coalesce(F.sum(value), F.lit(0)).alias("value"), F.count("paper_id").alias("papers")
+    )
+
+
 # --- revealed comparative advantage -------------------------------------------------------------------
 def _advantage(cells: DataFrame, measure: str, entity_filter: Column, cell_filter: Column, name: str) -> DataFrame:
     """(cell / entity total) / (topic total / world total) per topic, entity and year.
@@ -83,14 +92,6 @@ def _advantage(cells: DataFrame, measure: str, entity_filter: Column, cell_filte
     )
 
 
-def _cells(fact: DataFrame, entity_col: str, value: str, year_thresh: str) -> DataFrame:
-    return materialise(
-        fact.filter(F.col("year") > year_thresh)
-        .groupBy("field_of_study_id", F.col(entity_col).alias("entity"), "year")
-        .agg(F.coalesce(F.sum(value), F.lit(0)).alias("value"), F.count("paper_id").alias("papers"))
-    )
-
-
 def rca_by_sum(
     fact: DataFrame,
     entity_col: str,
@@ -100,13 +101,26 @@ def rca_by_sum(
     cap: float = config.RCA_CAP,
     max_topics: int | None = None,
 ) -> DataFrame:
-    """entity, year, rca_sum, field_of_study_id on summed values, for years after ``year_thresh``.
+    """Specialisation on summed values of the rows of ``fact``; see ``rca_of_cells``."""
+    cells = topic_cells(fact.filter(F.col("year") > year_thresh), entity_col, value)
+    return rca_of_cells(materialise(cells), paper_thresh, year_thresh, cap, max_topics)
+
+
+def rca_of_cells(
+    cells: DataFrame,
+    paper_thresh: int = config.MIN_PAPERS,
+    year_thresh: str = config.METRIC_YEAR,
+    cap: float = config.RCA_CAP,
+    max_topics: int | None = None,
+) -> DataFrame:
+    """entity, year, rca_sum, field_of_study_id for years after ``year_thresh``.
 
     An (entity, year) qualifies for a topic with at least ``paper_thresh`` papers on it, and only if the
     entity's value over all topics exceeds that same threshold.  ``max_topics`` optionally reports the
-    topics with the smallest ids only; totals always cover every topic.
+    topics with the smallest ids only; totals always cover every topic.  ``cells`` is read several times,
+    so pass a stored table.
     """
-    cells = _cells(fact, entity_col, value, year_thresh)
+    cells = cells.filter(F.col("year") > year_thresh)
     rca = _advantage(
         cells, "value", F.col("_entity") > paper_thresh, F.col("papers") >= paper_thresh, "rca_sum"
     ).withColumn("rca_sum", F.least("rca_sum", F.lit(cap)))
@@ -123,7 +137,7 @@ def rca_by_count(
     year_thresh: str = config.METRIC_YEAR,
 ) -> DataFrame:
     """entity, year, rca_count, field_of_study_id on paper counts: no topic minimum and no cap."""
-    cells = _cells(fact, entity_col, "citations", year_thresh)
+    cells = materialise(topic_cells(fact.filter(F.col("year") > year_thresh), entity_col))
     return _advantage(cells, "papers", F.col("_entity") > paper_thresh, F.lit(True), "rca_count")
 
 
@@ -182,41 +196,50 @@ def diversity(
     )
 
 
+def closure_topics(closure: DataFrame) -> DataFrame:
+    """field_of_study_id of everything below (and including) the topics of a closure."""
+    return closure.select(F.col("descendant").alias("field_of_study_id")).distinct()
+
+
 def research_diversity(
-    places: DataFrame,
-    author_affiliation: DataFrame,
+    pairs: DataFrame,
     papers: DataFrame,
     paper_fos: DataFrame,
     closure: DataFrame,
     fos_thresh: int = config.MIN_TOPICS,
     year_thresh: str = config.METRIC_YEAR,
 ) -> DataFrame:
-    """Diversity of the descendants of each topic that a country publishes on, per year.
+    """Diversity of the descendants of each topic that a country publishes on, per year."""
+    fact = base_fact(pairs, papers, paper_fos, closure_topics(closure), F.col("year") >= year_thresh)
+    return research_diversity_of_cells(topic_cells(fact, "country"), closure, fos_thresh, year_thresh)
+
+
+def research_diversity_of_cells(
+    cells: DataFrame,
+    closure: DataFrame,
+    fos_thresh: int = config.MIN_TOPICS,
+    year_thresh: str = config.METRIC_YEAR,
+) -> DataFrame:
+    """The same from topic cells that cover the closure.
 
     The number of papers of a country on one topic in one year is the same under every ancestor, so it
     is counted once and only those counts are joined to the closure.
     """
-    descendants = closure.select(F.col("descendant").alias("field_of_study_id")).distinct()
-    fact = base_fact(
-        places, author_affiliation, papers, paper_fos, descendants, "country", F.col("year") >= year_thresh
-    )
-    counts = (
-        fact.filter(F.col("country").isNotNull())
-        .groupBy(F.col("field_of_study_id").alias("descendant"), "country", "year")
-        .agg(F.count(F.lit(1)).alias("_count"))
+    counts = cells.filter(F.col("entity").isNotNull() & (F.col("year") >= year_thresh)).select(
+        F.col("field_of_study_id").alias("descendant"), "entity", "year", "papers"
     )
     indices = _diversity_columns(2)
     return (
         counts.join(closure, "descendant")
-        .groupBy("field_of_study_id", "year", "country")
-        .agg(*_diversity_aggregates(F.col("_count")))
+        .groupBy("field_of_study_id", "year", "entity")
+        .agg(*_diversity_aggregates(F.col("papers")))
         .filter(F.col("_n") > fos_thresh)
         .select(
             indices["shannon"].alias("shannon_diversity"),
             indices["simpson_e"].alias("simpson_e_diversity"),
             indices["simpson"].alias("simpson_diversity"),
             "year",
-            F.col("country").alias("entity"),
+            "entity",
             "field_of_study_id",
         )
     )
@@ -246,8 +269,7 @@ def paper_female_share(
 
 
 def gender_diversity(
-    places: DataFrame,
-    author_affiliation: DataFrame,
+    pairs: DataFrame,
     papers: DataFrame,
     paper_fos: DataFrame,
     female_share: DataFrame,
@@ -262,9 +284,9 @@ def gender_diversity(
     if closure is not None:
         links = paper_fos.select("paper_id", F.col("field_of_study_id").alias("descendant"))
         paper_fos = links.join(closure, "descendant").select("paper_id", "field_of_study_id").distinct()
-    fact = base_fact(places, author_affiliation, papers, paper_fos, topics, "country")
+    fact = base_fact(pairs.filter(F.col("country").isNotNull()), papers, paper_fos, topics)
     return (
-        fact.filter(F.col("country").isNotNull() & F.col("year").isNotNull())
+        fact.filter(F.col("year").isNotNull())
         .join(female_share, "paper_id")
         .groupBy("field_of_study_id", "year", "country")
         .agg(F.avg("female_share").alias("female_share"), F.count(F.lit(1)).alias("_papers"))
@@ -275,7 +297,7 @@ def gender_diversity(
 
 # --- collaboration ------------------------------------------------------------------------------------
 def country_collaboration(
-    places: DataFrame, author_affiliation: DataFrame, papers: DataFrame, year: str = config.COLLABORATION_YEAR
+    pairs: DataFrame, papers: DataFrame, year: str = config.COLLABORATION_YEAR
 ) -> DataFrame:
     """country_a < country_b, weight = papers they share, per year after ``year``.
 
@@ -283,11 +305,9 @@ def country_collaboration(
     and year and carry the number of papers behind them.  A set is never longer than the list of
     countries.
     """
-    located = places.filter(F.col("country") != "").select("affiliation_id", "country")
     dated = papers.filter(F.col("year") > year).select(F.col("id").alias("paper_id"), "year")
     sets = (
-        author_affiliation.select("paper_id", "affiliation_id")
-        .join(located, "affiliation_id")
+        pairs.filter(F.col("country").isNotNull())
         .groupBy("paper_id")
         .agg(F.sort_array(F.collect_set("country")).alias("countries"))
         .filter(F.size("countries") > 1)

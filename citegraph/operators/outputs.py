@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from citegraph import config
 from citegraph.operators.lists import MAX_LIST, collect_parts
-from citegraph.session import materialise
 
 MAX_NESTED = 100_000
 
@@ -87,13 +86,14 @@ def country_topic_outputs(
 
 
 # --- paper lists --------------------------------------------------------------------------------------
-def papers_by_country(places: DataFrame, author_affiliation: DataFrame, max_ids: int = MAX_LIST) -> DataFrame:
-    """country, part, count, paper_ids; long lists come in parts (see collect_parts)."""
-    located = places.filter(F.col("country") != "").select("affiliation_id", "country")
-    links = author_affiliation.select("paper_id", "affiliation_id")
-    # The pairs are counted and then listed.
-    pairs = materialise(links.join(located, "affiliation_id").select("country", "paper_id").distinct())
-    return collect_parts(pairs, ["country"], F.col("paper_id"), ["paper_id"], "paper_ids", max_ids)
+def papers_by_country(pairs: DataFrame, max_ids: int = MAX_LIST) -> DataFrame:
+    """country, part, count, paper_ids; long lists come in parts (see collect_parts).
+
+    ``pairs`` are the distinct (paper_id, country) of ``indicators.paper_entities``, preferably stored:
+    they are counted and then listed.
+    """
+    located = pairs.filter(F.col("country").isNotNull()).select("country", "paper_id")
+    return collect_parts(located, ["country"], F.col("paper_id"), ["paper_id"], "paper_ids", max_ids)
 
 
 def papers_by_topic(

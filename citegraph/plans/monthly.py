@@ -135,6 +135,13 @@ def stored_closure(store: Store) -> DataFrame:
     )
 
 
+def paper_countries(store: Store) -> DataFrame:
+    """Distinct (paper_id, country), the base of every country indicator."""
+    return materialise(
+        indicators.paper_entities(store.read("geocoded_places"), store.read("author_affiliation"))
+    )
+
+
 # --- indicators ---------------------------------------------------------------------------------------
 def measure(
     store: Store,
@@ -145,24 +152,33 @@ def measure(
     collaboration_year: str = config.COLLABORATION_YEAR,
 ) -> None:
     """Specialisation, research and gender diversity, collaboration."""
-    places, links = store.read("geocoded_places"), store.read("author_affiliation")
     papers, paper_fos = store.read("papers"), store.read("paper_fields_of_study")
-    chosen, closure = selected_topics(store), stored_closure(store)
-    for table, entity in (("rca_country", "country"), ("rca_affiliation", "affiliation_id")):
-        fact = indicators.base_fact(places, links, papers, paper_fos, chosen, entity)
-        rca = indicators.rca_by_sum(fact, entity, paper_thresh=paper_thresh, year_thresh=year_thresh)
-        store.refresh(rca, table)
+    chosen, closure, countries = selected_topics(store), stored_closure(store), paper_countries(store)
+    # One set of cells over the closure serves both indicators that compare countries on topics.
+    covered = indicators.base_fact(
+        countries, papers, paper_fos, indicators.closure_topics(closure), F.col("year") >= year_thresh
+    )
+    cells = materialise(indicators.topic_cells(covered, "country"))
+    own = cells.join(chosen, "field_of_study_id", "left_semi")
+    store.refresh(indicators.rca_of_cells(own, paper_thresh, year_thresh), "rca_country")
     store.refresh(
-        indicators.research_diversity(places, links, papers, paper_fos, closure, fos_thresh, year_thresh),
+        indicators.research_diversity_of_cells(cells, closure, fos_thresh, year_thresh),
         "research_diversity_country",
     )
+    links = store.read("author_affiliation")
+    affiliations = indicators.paper_entities(store.read("geocoded_places"), links, "affiliation_id")
+    fact = indicators.base_fact(affiliations, papers, paper_fos, chosen, F.col("year") > year_thresh)
+    store.refresh(
+        indicators.rca_by_sum(fact, "affiliation_id", paper_thresh=paper_thresh, year_thresh=year_thresh),
+        "rca_affiliation",
+    )
     share = indicators.paper_female_share(links, store.read("author_gender"), gender_thresh)
     store.refresh(
-        indicators.gender_diversity(places, links, papers, paper_fos, share, chosen, paper_thresh),
+        indicators.gender_diversity(countries, papers, paper_fos, share, chosen, paper_thresh),
         "gender_diversity_country",
     )
     store.refresh(
-        indicators.country_collaboration(places, links, papers, collaboration_year), "country_collaboration"
+        indicators.country_collaboration(countries, papers, collaboration_year), "country_collaboration"
     )
 
 
@@ -213,8 +229,7 @@ def compare_countries(
     thresh: int = config.SIMILARITY_MIN_PAPERS,
 ) -> None:
     means = vectors.country_vectors(
-        store.read("geocoded_places"),
-        store.read("author_affiliation"),
+        paper_countries(store),
         store.read("papers"),
         store.read("paper_fields_of_study"),
         store.read("high_dim_doc_vectors"),
@@ -244,7 +259,7 @@ def present(store: Store, year_thresh: str = config.PAPER_YEAR) -> None:
     store.refresh(
         outputs.country_topic_outputs(papers, paper_fos, links, places, metrics), "viz_metrics_and_outputs"
     )
-    store.refresh(outputs.papers_by_country(places, links), "viz_paper_country")
+    store.refresh(outputs.papers_by_country(paper_countries(store)), "viz_paper_country")
     store.refresh(outputs.papers_by_topic(paper_fos, chosen, fos), "viz_paper_topics")
     store.refresh(outputs.papers_by_year(papers, year_thresh), "viz_paper_year")
     store.refresh(outputs.topics_by_paper(paper_fos, chosen, fos), "viz_topics_agg")

@@ -51,14 +51,17 @@ def yearly_topic_totals(g: Graph) -> DataFrame:
 
 
 # --- specialisation -----------------------------------------------------------------------------------
+def paper_countries(g: Graph) -> DataFrame:
+    return indicators.paper_entities(g.places, g.author_affiliation)
+
+
 def country_fact(g: Graph) -> DataFrame:
-    return indicators.base_fact(g.places, g.author_affiliation, g.papers, g.paper_fos, g.filtered)
+    return indicators.base_fact(paper_countries(g), g.papers, g.paper_fos, g.filtered)
 
 
 def affiliation_fact(g: Graph) -> DataFrame:
-    return indicators.base_fact(
-        g.places, g.author_affiliation, g.papers, g.paper_fos, g.filtered, entity_col="affiliation_id"
-    )
+    pairs = indicators.paper_entities(g.places, g.author_affiliation, "affiliation_id")
+    return indicators.base_fact(pairs, g.papers, g.paper_fos, g.filtered)
 
 
 AFFILIATION_FACT = """
@@ -180,7 +183,7 @@ def research_diversity(g: Graph) -> DataFrame:
 
 def research(g: Graph) -> DataFrame:
     return indicators.research_diversity(
-        g.places, g.author_affiliation, g.papers, g.paper_fos, g.closure, fos_thresh=10, year_thresh=YEAR
+        paper_countries(g), g.papers, g.paper_fos, g.closure, fos_thresh=10, year_thresh=YEAR
     )
 
 
@@ -207,9 +210,7 @@ def female_share(g: Graph) -> DataFrame:
 
 
 def gender(g: Graph) -> DataFrame:
-    return indicators.gender_diversity(
-        g.places, g.author_affiliation, g.papers, g.paper_fos, female_share(g), g.filtered
-    )
+    return indicators.gender_diversity(paper_countries(g), g.papers, g.paper_fos, female_share(g), g.filtered)
 
 
 @query(FEMALE_SHARE + "SELECT paper_id, round(female_share + 1e-9, 6) AS female_share FROM share")
@@ -232,4 +233,4 @@ def gender_diversity(g: Graph) -> DataFrame:
     WHERE a.country < b.country AND year > '{YEAR}' GROUP BY ALL"""
 )
 def country_collaboration(g: Graph) -> DataFrame:
-    return indicators.country_collaboration(g.places, g.author_affiliation, g.papers, YEAR)
+    return indicators.country_collaboration(paper_countries(g), g.papers, YEAR)

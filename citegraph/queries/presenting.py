@@ -26,9 +26,8 @@ _MEANS = """
 
 
 def _country_vectors(g: Graph, year: str | None = None) -> DataFrame:
-    return vectors.country_vectors(
-        g.places, g.author_affiliation, g.papers, g.paper_fos, g.vectors, g.closure, year=year
-    )
+    pairs = measuring.paper_countries(g)
+    return vectors.country_vectors(pairs, g.papers, g.paper_fos, g.vectors, g.closure, year=year)
 
 
 @query(_MEANS + "SELECT field_of_study_id, year, country, cast(pos - 1 AS integer) AS pos, round(x + 1e-9, 6) AS x, n FROM means")
@@ -218,7 +217,7 @@ def _with_text_ids(df: DataFrame) -> DataFrame:
     FROM paper_country WHERE country IS NOT NULL GROUP BY country"""
 )
 def papers_by_country(g: Graph) -> DataFrame:
-    return _with_text_ids(outputs.papers_by_country(g.places, g.author_affiliation))
+    return _with_text_ids(outputs.papers_by_country(materialise(measuring.paper_countries(g))))
 
 
 @query(
@@ -271,7 +270,7 @@ def flat_export(g: Graph) -> DataFrame:
         projected,
         g.papers,
         outputs.topics_by_paper(g.paper_fos, g.filtered, g.fields_of_study),
-        outputs.papers_by_country(g.places, g.author_affiliation),
+        outputs.papers_by_country(materialise(measuring.paper_countries(g))),
     )
     return export.withColumn("dims", F.size("vector_3d")).drop("vector_3d")
 

@@ -105,15 +105,15 @@ def test_research_diversity(make):
     papers = make("id long, year string, citations int", *[(i, "2015", 1) for i in range(1, 5)], (5, "2014", 1))
     tags = make("paper_id long, field_of_study_id long", (1, 11), (1, 12), (2, 11), (3, 11), (4, 11), (5, 12))
     closure = make("field_of_study_id long, descendant long", (9, 9), (9, 11), (9, 12))
-    rows = indicators.research_diversity(places, links, papers, tags, closure, fos_thresh=2, year_thresh="2015")
+    rows = indicators.research_diversity(indicators.paper_entities(places, links), papers, tags, closure, fos_thresh=2, year_thresh="2015")
     (row,) = rows.collect()
     assert (row["year"], row["entity"], row["field_of_study_id"]) == ("2015", "A", 9)
     assert row["shannon_diversity"] == pytest.approx(shannon([2, 1]))
     assert row["simpson_diversity"] == pytest.approx(1 - 5 / 9)
     assert row["simpson_e_diversity"] == pytest.approx(9 / 5 / 2)
     # Three (topic, paper) pairs are not more than three; "2014" is included by the inclusive threshold.
-    assert indicators.research_diversity(places, links, papers, tags, closure, 3, "2015").count() == 0
-    assert indicators.research_diversity(places, links, papers, tags, closure, 0, "2014").count() == 2
+    assert indicators.research_diversity(indicators.paper_entities(places, links), papers, tags, closure, 3, "2015").count() == 0
+    assert indicators.research_diversity(indicators.paper_entities(places, links), papers, tags, closure, 0, "2014").count() == 2
 
 
 def test_female_share(make):
@@ -134,10 +134,10 @@ def test_gender_diversity_uses_direct_tags(make):
     tags = make("paper_id long, field_of_study_id long", (1, 9), (2, 9), (3, 10), (4, 9))
     share = make("paper_id long, female_share double", (1, 1.0), (2, 0.0), (3, 0.0), (4, 1.0))
     topics = make("field_of_study_id long", (9,))
-    rows = indicators.gender_diversity(places, links, papers, tags, share, topics, paper_thresh=1)
+    rows = indicators.gender_diversity(indicators.paper_entities(places, links), papers, tags, share, topics, paper_thresh=1)
     assert as_set(rows) == {(0.5, "1990", "A", 9)}
     closure = make("field_of_study_id long, descendant long", (9, 9), (9, 10))
-    rows = indicators.gender_diversity(places, links, papers, tags, share, topics, 1, closure)
+    rows = indicators.gender_diversity(indicators.paper_entities(places, links), papers, tags, share, topics, 1, closure)
     assert [round(r["female_share"], 6) for r in rows.collect()] == [0.333333]
 
 
@@ -147,9 +147,8 @@ def collaboration(make, sets):
     places = make("affiliation_id long, country string", *[(i, c) for c, i in ids.items()], (90, ""), (91, None))
     links = [(ids[c], 1, p) for p, s in enumerate(sets) for c in s] + [(90, 1, p) for p in range(len(sets))]
     papers = make("id long, year string", *[(p, "2015") for p in range(len(sets))])
-    rows = indicators.country_collaboration(
-        places, make("affiliation_id long, author_id long, paper_id long", *links, (91, 1, 0)), papers, "2013"
-    )
+    linked = make("affiliation_id long, author_id long, paper_id long", *links, (91, 1, 0))
+    rows = indicators.country_collaboration(indicators.paper_entities(places, linked), papers, "2013")
     return {(r["country_a"], r["country_b"]): r["weight"] for r in rows.collect()}
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from citegraph.operators import indicators
 from citegraph.plans import monthly
 from citegraph.queries.graph import Graph
 from citegraph.sources import records
@@ -101,6 +102,31 @@ def test_indicator_tables(run):
     assert similar.count() and similar.filter("country_a = country_b or closeness < 0").count() == 0
 
 
+def test_shared_cells_equal_the_single_operators(run):
+    _, _, store, _, _ = run
+    pairs, closure = monthly.paper_countries(store), monthly.stored_closure(store)
+    papers, links = store.read("papers"), store.read("paper_fields_of_study")
+    fact = indicators.base_fact(pairs, papers, links, monthly.selected_topics(store))
+    rca = indicators.rca_by_sum(fact, "country", year_thresh="1996")
+    same = ["entity", "year", "field_of_study_id"]
+    assert as_set(rca.select(*same)) == as_set(store.read("rca_country").select(*same))
+    diversity = indicators.research_diversity(pairs, papers, links, closure, 10, "1996")
+    assert as_set(diversity.select(*same)) == as_set(store.read("research_diversity_country").select(*same))
+
+
+def test_countries_and_country_indicators(run):
+    spark, root, store, _, _ = run
+    (root / "gdp.csv").write_text("country,year,value\nIndia,2015,1.5\nIndia,2001,2.5\n")
+    monthly.load_country_indicators(store, {"wb_gdp": str(root / "gdp.csv")})
+    assert as_set(store.read("wb_gdp").select("country", "year", "indicator")) == {("India", "2015", 1.5)}
+    names = store.read("geocoded_places").filter("country <> ''").select("country").distinct()
+    answer = F.struct(F.col("country").alias("name"), F.lit("XX").alias("alpha2Code"))
+    names.select(F.col("country").alias("query_name"), F.array(answer, answer).alias("body")).write.json(
+        str(root / "countries"))
+    monthly.describe_countries(store, str(root / "countries"))
+    assert store.read("country_details").count() == names.count() == store.read("country_association").count()
+
+
 def test_front_end_tables(run):
     spark, root, store, _, _ = run
     for name in ("viz_metrics_by_country", "viz_metrics_and_outputs", "viz_paper_country", "viz_paper_topics",
@@ -110,3 +136,10 @@ def test_front_end_tables(run):
     assert listed.filter(F.size("paper_ids") != F.col("count")).count() == 0
     assert spark.read.parquet(str(root / "flat")).count()
     assert spark.read.json(str(root / "search")).count() == 197
+
+
+def test_replacing_the_vectors(run):
+    spark, root, store, _, _ = run
+    model = monthly.replace_document_vectors(store, 200, 5, model_path=str(root / "text model"))
+    assert model.components.shape[1] == 5
+    assert store.read("high_dim_doc_vectors").count() == store.read("papers").filter("abstract is not null").count()

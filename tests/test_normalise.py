@@ -176,3 +176,17 @@ def test_papers_are_laid_out_by_year(spark, make, tmp_path):
     assert as_set(kept.read("papers").select("id", "year")) == {(1, "2015"), (2, None), (3, "2016")}
     assert as_set(kept.read("papers").filter("year > '2015'").select("id")) == {(3,)}
     assert (tmp_path / "tables" / "papers" / "year=2016").is_dir()
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, make, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "tables"))
+    kept.save_bucketed(make("paper_id long, field_of_study_id long", (1, 10), (2, 11)), "paper_fields_of_study",
+                       "paper_id", 4)
+    kept.save_bucketed(make("affiliation_id long, author_id long, paper_id long", (1, 1, 1)), "author_affiliation",
+                       "paper_id", 4)
+    tags, links = spark.table("paper_fields_of_study"), spark.table("author_affiliation")
+    joined = tags.hint("merge").join(links, "paper_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.select("paper_id", "field_of_study_id").collect() == [(1, 10)]
+    for name in ("paper_fields_of_study", "author_affiliation"):
+        spark.sql(f"drop table {name}")

@@ -45,6 +45,7 @@ def test_year_filter_and_columns_reach_the_scan(spark, tmp_path):
     tables = {"papers": graph.papers, "geocoded_places": graph.places, "author_affiliation": graph.author_affiliation}
     for name, table in tables.items():
         store.refresh(table, name)
-    pairs = indicators.country_collaboration(*[store.read(n) for n in ("geocoded_places", "author_affiliation", "papers")], "1996")
-    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    pairs = indicators.paper_entities(store.read("geocoded_places"), store.read("author_affiliation"))
+    graph = indicators.country_collaboration(pairs, store.read("papers"), "1996")
+    plan = graph._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "abstract" not in plan and "IsNotNull(affiliation_id)" in plan

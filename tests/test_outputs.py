@@ -1,6 +1,7 @@
 import json
 
 from citegraph.operators import outputs
+from citegraph.operators.indicators import paper_entities
 from citegraph.operators.lists import collect_parts
 from pyspark.sql import functions as F
 from conftest import as_set
@@ -46,7 +47,7 @@ def lists(df, key):
 
 def test_paper_lists(make):
     g = graph(make)
-    assert lists(outputs.papers_by_country(g["places"], g["links"]), "country") == {
+    assert lists(outputs.papers_by_country(paper_entities(g["places"], g["links"])), "country") == {
         ("A", 0, 1, (1,)), ("B", 0, 1, (1,)), ("C", 0, 1, (2,))}
     assert lists(outputs.papers_by_year(g["papers"]), "year") == {("2015", 0, 2, (1, 3)), ("2016", 0, 1, (4,))}
     chosen = make("field_of_study_id long", (10,), (12,), (10,))
@@ -72,7 +73,7 @@ def test_flat_export(make):
     g = graph(make)
     vectors = make("id long, vector_3d array<double>, citations int", (1, [1.0, 2.0, 3.0], 5), (4, [0.0, 0.0, 0.0], 1))
     topics = outputs.topics_by_paper(g["tags"], make("field_of_study_id long", (10,), (11,)), g["fos"])
-    countries = outputs.papers_by_country(g["places"], g["links"])
+    countries = outputs.papers_by_country(paper_entities(g["places"], g["links"]))
     flat = outputs.flat_export(vectors, g["papers"], topics, countries)
     assert {(r["id"], tuple(r["vector_3d"]), r["citations"], r["year"], r["field_of_study"], r["country"])
             for r in flat.collect()} == {

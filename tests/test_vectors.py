@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citegraph.operators import vectors
+from citegraph.operators import indicators, vectors
 from conftest import as_set
 
 
@@ -189,10 +189,10 @@ def test_country_vectors(make):
     tags = make("paper_id long, field_of_study_id long", (1, 10), (1, 11), (2, 10), (3, 11))
     closure = make("field_of_study_id long, descendant long", (9, 9), (9, 10), (9, 11))
     high = points(make, [(1, [0, 1]), (2, [3, 1]), (3, [6, 4])])
-    rows = vectors.country_vectors(places, links, papers, tags, high, closure, thresh=2).collect()
+    rows = vectors.country_vectors(indicators.paper_entities(places, links), papers, tags, high, closure, thresh=2).collect()
     assert [(r["field_of_study_id"], r["year"], r["country"], list(r["vector"]), r["n"]) for r in rows] == [
         (9, "2015", "A", [3.0, 2.0], 3)]
-    assert vectors.country_vectors(places, links, papers, tags, high, closure, thresh=3).count() == 0
+    assert vectors.country_vectors(indicators.paper_entities(places, links), papers, tags, high, closure, thresh=3).count() == 0
 
 
 def test_vector_columns_may_be_floats(make):
