@@ -149,7 +149,7 @@ def _projectable(g: Graph) -> DataFrame:
 
 @query(
     f"""SELECT id, citations FROM papers WHERE id NOT IN {_EXCLUDED}
-    AND coalesce(length(abstract) >= 300, true)"""
+    AND length(abstract) >= 300"""
 )
 def projectable_documents(g: Graph) -> DataFrame:
     return _projectable(g).select("id", "citations")
@@ -261,7 +261,7 @@ def topics_by_paper(g: Graph) -> DataFrame:
     _TOPICS_BY_PAPER
     + f"""SELECT p.id, citations, year, name AS field_of_study, country, 3 AS dims
     FROM papers p JOIN tagged USING (id) JOIN paper_country ON paper_id = p.id
-    WHERE country IS NOT NULL AND p.id NOT IN {_EXCLUDED} AND coalesce(length(abstract) >= 300, true)"""
+    WHERE country IS NOT NULL AND p.id NOT IN {_EXCLUDED} AND length(abstract) >= 300"""
 )
 def flat_export(g: Graph) -> DataFrame:
     documents = _projectable(g)
