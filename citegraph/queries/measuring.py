@@ -118,6 +118,20 @@ def affiliation_rca(g: Graph) -> DataFrame:
     return rounded(rca, "rca_sum")
 
 
+@query(
+    AFFILIATION_FACT
+    + rca_sql("affiliation_fact", "affiliation_id")
+    + """SELECT entity, year, round(rca_sum + 1e-9, 6) AS rca_sum, field_of_study_id FROM rca
+    WHERE field_of_study_id IN (
+        SELECT DISTINCT field_of_study_id FROM cells ORDER BY field_of_study_id LIMIT 3)"""
+)
+def affiliation_rca_first_topics(g: Graph) -> DataFrame:
+    """The report on the first topics only; the totals behind it cover all of them."""
+    fact = affiliation_fact(g)
+    rca = indicators.rca_by_sum(fact, "affiliation_id", paper_thresh=PAPERS, year_thresh=YEAR, max_topics=3)
+    return rounded(rca, "rca_sum")
+
+
 @query(
     f""", cells AS (
         SELECT field_of_study_id, country AS entity, year, count(*) AS n FROM fact WHERE year > '{YEAR}' GROUP BY ALL)
@@ -226,6 +240,20 @@ def gender_diversity(g: Graph) -> DataFrame:
     return rounded(gender(g), "female_share")
 
 
+@query(
+    FEMALE_SHARE
+    + """SELECT round(avg(female_share) + 1e-9, 6) AS female_share, year, country AS entity,
+        topic AS field_of_study_id
+    FROM topic_papers JOIN papers ON id = paper_id JOIN paper_country USING (paper_id) JOIN share USING (paper_id)
+    WHERE country IS NOT NULL GROUP BY year, country, topic HAVING count(*) > 10"""
+)
+def gender_diversity_with_descendants(g: Graph) -> DataFrame:
+    diversity = indicators.gender_diversity(
+        paper_countries(g), g.papers, g.paper_fos, female_share(g), g.filtered, closure=g.closure
+    )
+    return rounded(diversity, "female_share")
+
+
 # --- collaboration ------------------------------------------------------------------------------------
 @query(
     f"""SELECT a.country AS country_a, b.country AS country_b, count(*) AS weight, year

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.operators import indicators, outputs, vectors
+from citegraph.operators.lists import dense_index
 from citegraph.queries import measuring
 from citegraph.queries.graph import PAPERS, YEAR, Graph
 from citegraph.queries.registry import query, rounded
@@ -73,6 +74,26 @@ def nearest_documents(g: Graph) -> DataFrame:
     return rounded(vectors.nearest_neighbours(points, points, 5), "distance")
 
 
+@query(
+    """, numbered AS (
+        SELECT cast(row_number() OVER (ORDER BY label, vec_id) - 1 AS bigint) AS id,
+            cast(embedding AS double[]) AS v FROM embeddings)
+    , pairs AS (
+        SELECT q.id AS query_id, c.id, list_sum(list_transform(list_zip(q.v, c.v),
+            lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+        FROM numbered q, numbered c WHERE q.id <> c.id)
+    SELECT query_id, id, round(distance + 1e-9, 6) AS distance,
+        cast(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS integer) AS rank
+    FROM pairs QUALIFY rank <= 3"""
+)
+def nearest_positions(g: Graph) -> DataFrame:
+    """Neighbours by position in (label, vec_id) order, for vectors without ids of their own; searched
+    cell by cell."""
+    numbered = dense_index(g.table("embeddings").select("label", "vec_id", "embedding"), ["label", "vec_id"], "id")
+    points = numbered.select("id", F.col("embedding").alias("vector"))
+    return rounded(vectors.nearest_neighbours(points, points, 3, exclude_self=True, block_rows=100), "distance")
+
+
 # --- text vectors -------------------------------------------------------------------------------------
 def _documents(g: Graph) -> DataFrame:
     return g.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
