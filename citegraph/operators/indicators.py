@@ -86,7 +86,7 @@ def _advantage(cells: DataFrame, measure: str, entity_filter: Column, cell_filte
         cells.filter(F.col("entity").isNotNull() & cell_filter)
         .join(entities, ["entity", "year"])
         .join(topics, ["field_of_study_id", "year"])
-        .join(world, "year")
+        .join(F.broadcast(world), "year")  # one row per year
         .select("entity", "year", ratio.alias(name), "field_of_study_id")
         .filter(F.col(name).isNotNull())
     )

@@ -41,7 +41,7 @@ def filter_topics(
     ]
     threshold = per_level.groupBy("level").agg(F.coalesce(*cuts).cast("long").alias("_threshold"))
     return (
-        per_level.join(threshold, "level")
+        per_level.join(F.broadcast(threshold), "level")  # one row per level
         .filter(F.col("frequency") > F.col("_threshold"))
         .select("level", F.col("id").alias("field_of_study_id"))
     )

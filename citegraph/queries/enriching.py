@@ -71,7 +71,8 @@ def _place_responses(g: Graph) -> DataFrame:
 
 @query(
     """SELECT concat('place-', cast(s_suppkey AS varchar)) AS id, s_suppkey AS affiliation_id,
-        round(s_acctbal / 100 + 1e-9, 6) AS lat, round(s_acctbal / 50 + 1e-9, 6) AS lng, concat(s_name, ', ', n_name) AS address,
+        round(s_acctbal / 100 + 1e-9, 6) AS lat, round(s_acctbal / 50 + 1e-9, 6) AS lng,
+        concat(s_name, ', ', n_name) AS address,
         s_name AS name, 'point_of_interest,establishment' AS types,
         CASE WHEN s_suppkey % 4 = 0 THEN 'https://example.org' END AS website,
         CASE WHEN s_suppkey % 3 = 0 THEN concat('town of ', n_name) END AS postal_town,

@@ -102,7 +102,10 @@ def base_fact_affiliation(g: Graph) -> DataFrame:
     return affiliation_fact(g)
 
 
-@query(rca_sql("fact", "country") + "SELECT entity, year, round(rca_sum + 1e-9, 6) AS rca_sum, field_of_study_id FROM rca")
+@query(
+    rca_sql("fact", "country")
+    + "SELECT entity, year, round(rca_sum + 1e-9, 6) AS rca_sum, field_of_study_id FROM rca"
+)
 def country_rca(g: Graph) -> DataFrame:
     rca = indicators.rca_by_sum(country_fact(g), "country", paper_thresh=PAPERS, year_thresh=YEAR)
     return rounded(rca, "rca_sum")
@@ -156,7 +159,8 @@ def country_rca_by_count(g: Graph) -> DataFrame:
     , totals AS (SELECT author_id, sum(n) AS total FROM counts GROUP BY 1)
     , shares AS (SELECT author_id, cast(n AS double) / cast(total AS double) AS p
         FROM counts JOIN totals USING (author_id))
-    SELECT author_id, round(sum(p * p) + 1e-9, 6) AS dominance, round(greatest(-sum(p * log2(p)), 0) + 1e-9, 6) AS shannon,
+    SELECT author_id, round(sum(p * p) + 1e-9, 6) AS dominance,
+        round(greatest(-sum(p * log2(p)), 0) + 1e-9, 6) AS shannon,
         round(1 - sum(p * p) + 1e-9, 6) AS simpson, round(1 / sum(p * p) + 1e-9, 6) AS enspie, count(*) AS observed,
         round(1 / sum(p * p) / count(*) + 1e-9, 6) AS simpson_e
     FROM shares GROUP BY author_id"""
@@ -188,7 +192,8 @@ RESEARCH_DIVERSITY = f"""
 @query(
     RESEARCH_DIVERSITY
     + """SELECT field_of_study_id, year, entity, round(shannon_diversity + 1e-9, 6) AS shannon_diversity,
-        round(simpson_diversity + 1e-9, 6) AS simpson_diversity, round(simpson_e_diversity + 1e-9, 6) AS simpson_e_diversity
+        round(simpson_diversity + 1e-9, 6) AS simpson_diversity,
+        round(simpson_e_diversity + 1e-9, 6) AS simpson_e_diversity
     FROM research"""
 )
 def research_diversity(g: Graph) -> DataFrame:
