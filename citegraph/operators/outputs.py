@@ -191,8 +191,8 @@ def search_documents(
         )
     )
     # One row without a person per paper keeps papers without authors, so the join below is an inner one
-    # and either side of a skewed key can be split.
-    nobody = described.select(
+    # and either side of a skewed key can be split.  It only needs the ids, so the texts are read once.
+    nobody = papers.select(
         "id",
         *[F.lit(None).cast("long").alias(name) for name in ("author_id", "affiliation_id")],
         *[F.lit(None).cast("string").alias(name) for name in ("name", "affiliation")],

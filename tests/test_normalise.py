@@ -190,3 +190,19 @@ def test_bucketed_tables_join_without_a_shuffle(spark, make, tmp_path):
     assert joined.select("paper_id", "field_of_study_id").collect() == [(1, 10)]
     for name in ("paper_fields_of_study", "author_affiliation"):
         spark.sql(f"drop table {name}")
+
+
+def test_other_file_formats(spark, make, tmp_path):
+    rows = [(1, "a"), (2, None)]
+    for format in ("orc", "json", "csv"):
+        kept = store.Store(spark, str(tmp_path / format), format)
+        kept.refresh(make("id long, name string", *rows), "authors")
+        assert as_set(kept.read("authors")) == set(rows)
+
+
+def test_intervals_up_to_today(make):
+    got = normalise.assign_intervals(make("date string", ("2000-01-01",), ("2020-06-15",), ("1999-12-31",), (None,)))
+    found = {row["date"]: (row["interval_start"], row["interval_end"]) for row in got.collect()}
+    assert found["2000-01-01"][0] == "2000-01-01"
+    assert found["2020-06-15"][0] <= "2020-06-15" <= found["2020-06-15"][1]
+    assert set(found) == {"2000-01-01", "2020-06-15"}
