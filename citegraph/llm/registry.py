@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citegraph.llm.licenses import op2_license_scans
+from citegraph.llm.pieces import op9_piece_codec
+from citegraph.llm.pii import op4_personal_data
 from citegraph.llm.tokens import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scans": op2_license_scans,
+    "op4_personal_data": op4_personal_data,
+    "op9_piece_codec": op9_piece_codec,
 }
 
 ORACLES: dict[str, str] = {}
