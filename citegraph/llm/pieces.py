@@ -168,9 +168,9 @@ class Segmenter:
 
 
 def _sent(spark: SparkSession, model_path: str) -> tuple[str, object]:
-    model = read_pieces(model_path)
     with open(model_path, "rb") as file:
         key = hashlib.sha256(file.read()).hexdigest()
+    model = once_per_worker(("pieces", key), lambda: read_pieces(model_path))
     return key, spark.sparkContext.broadcast(model)
 
 
