@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citegraph.llm import contamination, shards
 from citegraph.llm.licenses import op2_license_scans
 from citegraph.llm.pieces import op9_piece_codec
 from citegraph.llm.pii import op4_personal_data
@@ -14,8 +15,13 @@ from citegraph.llm.tokens import op1_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scans": op2_license_scans,
+    "op3_sharding": shards.op3_sharding,
     "op4_personal_data": op4_personal_data,
+    "op8_decontamination": contamination.op8_decontamination,
     "op9_piece_codec": op9_piece_codec,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_sharding": shards.ORACLE,
+    "op8_decontamination": contamination.ORACLE,
+}
