@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import contamination, near, quality, shards
+from citegraph.llm import contamination, languages, lm, near, quality, shards
 from citegraph.llm.licenses import op2_license_scans
 from citegraph.llm.pieces import op9_piece_codec
 from citegraph.llm.pii import op4_personal_data
@@ -18,9 +18,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": shards.op3_sharding,
     "op4_personal_data": op4_personal_data,
     "op5_near_duplicates": near.op5_near_duplicates,
+    "op6_language_id": languages.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_decontamination": contamination.op8_decontamination,
     "op9_piece_codec": op9_piece_codec,
+    "op10_cross_entropy_difference": lm.op10_cross_entropy_difference,
 }
 
 ORACLES: dict[str, str] = {
