@@ -108,7 +108,7 @@ class Segmenter:
         self.logs, self.byte, self.byte_log = model["logs"], model["byte"], model["byte_log"]
         self.byte_ids = frozenset(model["byte_ids"])
         self.chunks = re.compile(" *[^ ]+| +" if model["breaks"] else "(?s).+").findall
-        self.remembered = Remembered(self.segment, 600_000)
+        self.remembered = Remembered(self.segment, 400_000)
 
     def segment(self, text: str) -> tuple[tuple[int, ...], float, int]:
         """(ids, log score, ids that stand for single bytes).
@@ -223,14 +223,15 @@ def decode(docs: DataFrame, model_path: str, ids: str = "piece_ids", into: str =
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = once_per_worker(("words", key), lambda: dict(enumerate(sent.value["words"])))
         for lists in batches:
-            offsets, values = lists.offsets.to_pylist(), lists.values.to_pylist()
+            # Numbers become objects one text at a time.
+            offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
             valid = lists.is_valid().to_pylist()
             joined = []
             for present, start, end in zip(valid, offsets, offsets[1:]):
                 if not present:
                     joined.append(None)
                     continue
-                text = b"".join([words.get(i, b"") for i in values[start:end]]).decode(errors="replace")
+                text = b"".join([words.get(i, b"") for i in values[start:end].tolist()]).decode(errors="replace")
                 joined.append(text[1:] if text.startswith(" ") else text)
             yield pa.array(joined, pa.string())
 
