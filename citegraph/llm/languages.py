@@ -306,10 +306,9 @@ def identify(docs: DataFrame, field: Field, text: str = "text", segments: str |
             def settle() -> None:
                 means, best = label(model, held, segments is not None)
                 for i, mean in enumerate(means):
-                    top = int(mean.argmax())
-                    none = not len(held[i])
-                    predicted.append(UNKNOWN if none else model.languages[top])
-                    scores.append(0.0 if none else float(min(1.0, mean[top])))
+                    top = int(mean.argmax()) if len(held[i]) else None
+                    predicted.append(UNKNOWN if top is None else model.languages[top])
+                    scores.append(0.0 if top is None else float(min(1.0, mean[top])))
                     found.append(runs(best[i], model.languages) if segments is not None else None)
                 held.clear()
 
