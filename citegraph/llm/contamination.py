@@ -40,7 +40,8 @@ def benchmark_windows(benchmark: DataFrame, text: str, item: str, size: int) ->
 def _window_hits(docs: DataFrame, key: list[str], text: str, windows: DataFrame) -> DataFrame:
     """(key, start, stop, items) of every place in the documents where a window occurs."""
     size = windows.agg(F.sum(F.length("gram") + F.length(F.array_join("items", ",")) + 64)).first()[0] or 0
-    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most the window size
+    # At most as many lengths as a window has words; without windows any length finds nothing.
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect()) or [1]
     if size <= BROADCAST_BYTES:
         windows = F.broadcast(windows)
     placed = docs.select(*key, words(F.col(text)).alias("words")).select(
