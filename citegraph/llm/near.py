@@ -18,7 +18,7 @@ COORDINATES, MATCHES = 64, 40
 #: Coordinates under which documents are posted, and how many of them they must share.
 POSTED, COLLISIONS = 16, 6
 #: Documents of one posting list, or of one cluster, that are compared at a time; shingles likewise.
-POSTING_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 2048, 512, 1_000_000
+POSTING_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 1024, 512, 1_000_000
 #: Bits of the filter for documents whose shingles are needed (16 MB); it only saves work, whatever it lets through.
 FILTER_BITS = 1 << 27
 
