@@ -6,7 +6,6 @@ these defaults.
 
 from __future__ import annotations
 
-SEED = 42
 
 # --- thresholds and sizes (fixed values) -------------------------------------------------------------
 START_DATE = "2000-01-01"
@@ -34,13 +33,6 @@ ENCODER_BATCH_SIZE = 1_000
 CLOSURE_HOPS = 5
 
 # Indicator table -> indicator code (fixed values).
-INDICATORS = {
-    "wb_gdp": "NY.GDP.MKTP.CD",
-    "wb_rnd_expenditure": "GB.XPD.RSDV.GD.ZS",
-    "wb_edu_expenditure": "SE.XPD.TOTL.GD.ZS",
-    "wb_female_workforce": "SL.TLF.CACT.FM.ZS",
-}
-
 # Place-service country name -> development-indicator country name (fixed values).  Three names have no
 # counterpart and map to null.
 PLACE_TO_INDICATOR_COUNTRY = {
@@ -350,56 +342,3 @@ OPEN_ACCESS_JOURNALS = (
     "arxiv nuclear experiment",
     "arxiv number theory",
 )
-
-# Documents left out of the low-dimensional projection (fixed values).
-PROJECTION_EXCLUDED_IDS = (
-    2767711857,
-    2783409909,
-    2767629641,
-    2764099951,
-    2794665118,
-    2796093101,
-    2805293427,
-    2916833086,
-    2884816995,
-    2910741825,
-    2999910879,
-    2981038760,
-    3011431910,
-    3008504946,
-    2272289125,
-    2345584675,
-    2338353564,
-    2198148450,
-    2954320905,
-    3012031958,
-    3020283634,
-    3028008061,
-    3022700083,
-    2569783331,
-    3035187741,
-    2583559738,
-    3033214450,
-    3017809499,
-    2965916495,
-    2910961680,
-    2936427776,
-    2948641539,
-    3007280064,
-    3041505635,
-    3032991620,
-    2999890132,
-    3017745154,
-    2953707136,
-    2995449167,
-    3034556162,
-    3019063508,
-    2754088747,
-    3036115986,
-    2999460384,
-    2962956069,
-    3010487730,
-    3022354718,
-    3022102674,
-    3013167220,
-)

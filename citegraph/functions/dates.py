@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MICROS = 1_000_000
+DAY = 86_400_000_000  # microseconds
 _EPOCH = datetime(1970, 1, 1)
 
 
@@ -26,7 +26,8 @@ def boundary(start: datetime, end: datetime, count: int, index: Column) -> Colum
     first = _micros(start - _EPOCH)
     last = _micros(end - _EPOCH)
     moment = F.when(index == count, F.lit(last)).otherwise(F.lit(first) + index * F.lit(step))
-    return F.to_date(F.timestamp_micros(moment))
+    # Whole days since the epoch: no time zone is involved.
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(moment / F.lit(DAY)).cast("int"))
 
 
 def candidate_indexes(day: Column, start: datetime, end: datetime, count: int) -> Column:
@@ -34,7 +35,7 @@ def candidate_indexes(day: Column, start: datetime, end: datetime, count: int) -
     step = _micros((end - start) / count)
     if step == 0:
         return F.sequence(F.lit(0), F.lit(count - 1))
-    guess = F.floor((F.unix_micros(day.cast("timestamp")) - F.lit(_micros(start - _EPOCH))) / F.lit(step))
+    guess = F.floor((F.unix_date(day).cast("long") * DAY - F.lit(_micros(start - _EPOCH))) / F.lit(step))
     reach = max(1, -(-timedelta(days=1) // timedelta(microseconds=abs(step))) + 1)
     low, high = F.greatest(guess - reach, F.lit(0)), F.least(guess + reach, F.lit(count - 1))
     return F.when(low <= high, F.sequence(low, high))

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from citegraph import config
 from citegraph.functions import geo, text
-from citegraph.operators.lists import MAX_LIST, collect_parts, dense_index
-from citegraph.operators.normalise import not_yet_stored
+from citegraph.operators.lists import dense_index
+from citegraph.operators.normalise import not_yet_stored, one_per_key
 
 
 def geocoded_places(responses: DataFrame) -> DataFrame:
-    """Flatten place-details responses (affiliation_id, result) to one row per affiliation."""
+    """Flatten place-details responses (affiliation_id, result) to one row per affiliation, also if it was asked twice."""
+    responses = one_per_key(responses, "affiliation_id")
     result = F.col("result")
     components = result["address_components"]
     return responses.select(
@@ -39,33 +40,27 @@ def cleaned_names(authors: DataFrame) -> DataFrame:
     )
 
 
-def name_batches(
-    authors: DataFrame, batch_size: int = config.NAME_BATCH_SIZE, max_ids: int = MAX_LIST
-) -> DataFrame:
-    """proc_name, part, ids and the batch_id of the name, names in alphabetical order.
-
-    A name shared by more than ``max_ids`` authors is spread over several parts of the same batch.
-    """
+def name_batches(authors: DataFrame, batch_size: int = config.NAME_BATCH_SIZE) -> DataFrame:
+    """proc_name, id and the batch_id of the name, names in alphabetical order: one row per author."""
     names = cleaned_names(authors)
-    groups = collect_parts(names, ["proc_name"], F.col("id"), ["id"], "ids", max_ids, with_count=False)
     numbered = dense_index(names.select("proc_name").distinct(), ["proc_name"], "_rank")
     batches = numbered.select(
         "proc_name", F.floor(F.col("_rank") / F.lit(batch_size)).cast("long").alias("batch_id")
     )
-    return groups.join(batches, "proc_name")
+    return names.join(batches, "proc_name").select("proc_name", "id", "batch_id")
 
 
 def author_gender(responses: DataFrame, names: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row per author id for every name the service resolved and that is not stored yet."""
-    found = responses.filter(F.col("result_found")).select(
-        F.col("input.full_name").alias("full_name"),
-        "first_name",
-        "gender",
-        F.col("details.samples").alias("samples"),
-        "probability",
+    """One row per author id for every name the service resolved and that is not stored yet.
+
+    A name that was asked repeatedly counts with one response.
+    """
+    found = responses.filter(F.col("result_found")).withColumn("full_name", F.col("input.full_name"))
+    found = one_per_key(found, "full_name").select(
+        "full_name", "first_name", "gender", F.col("details.samples").alias("samples"), "probability"
     )
     fresh = found.join(stored.select("full_name").distinct(), "full_name", "left_anti")
-    ids = names.select(F.col("proc_name").alias("full_name"), F.explode("ids").alias("id"))
+    ids = names.select(F.col("proc_name").alias("full_name"), "id")
     return fresh.join(ids, "full_name").select(
         "id", "full_name", "first_name", "gender", "samples", "probability"
     )
@@ -126,7 +121,7 @@ def country_details(
     """
     name = F.col("google_country")
     _, mapped = lookup(mapping, name)
-    answers = responses.select("query_name", "body")
+    answers = one_per_key(responses, "query_name").select("query_name", "body")
     by_name = answers.select(F.col("query_name").alias("google_country"), F.col("body").alias("_body"))
     by_mapping = answers.select(F.col("query_name").alias("_mapped"), F.col("body").alias("_other"))
     position = F.when(name.isin(list(second_match)), F.lit(1)).otherwise(F.lit(0))

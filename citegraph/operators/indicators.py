@@ -99,11 +99,10 @@ def rca_by_sum(
     paper_thresh: int = config.MIN_PAPERS,
     year_thresh: str = config.METRIC_YEAR,
     cap: float = config.RCA_CAP,
-    max_topics: int | None = None,
 ) -> DataFrame:
     """Specialisation on summed values of the rows of ``fact``; see ``rca_of_cells``."""
     cells = topic_cells(fact.filter(F.col("year") > year_thresh), entity_col, value)
-    return rca_of_cells(materialise(cells), paper_thresh, year_thresh, cap, max_topics)
+    return rca_of_cells(materialise(cells), paper_thresh, year_thresh, cap)
 
 
 def rca_of_cells(
@@ -111,22 +110,17 @@ def rca_of_cells(
     paper_thresh: int = config.MIN_PAPERS,
     year_thresh: str = config.METRIC_YEAR,
     cap: float = config.RCA_CAP,
-    max_topics: int | None = None,
 ) -> DataFrame:
     """entity, year, rca_sum, field_of_study_id for years after ``year_thresh``.
 
     An (entity, year) qualifies for a topic with at least ``paper_thresh`` papers on it, and only if the
-    entity's value over all topics exceeds that same threshold.  ``max_topics`` optionally reports the
-    topics with the smallest ids only; totals always cover every topic.  ``cells`` is read several times,
-    so pass a stored table.
+    entity's value over all topics exceeds that same threshold.  ``cells`` is read several times, so pass
+    a stored table.
     """
     cells = cells.filter(F.col("year") > year_thresh)
     rca = _advantage(
         cells, "value", F.col("_entity") > paper_thresh, F.col("papers") >= paper_thresh, "rca_sum"
     ).withColumn("rca_sum", F.least("rca_sum", F.lit(cap)))
-    if max_topics is not None:
-        first = cells.select("field_of_study_id").distinct().orderBy("field_of_study_id").limit(max_topics)
-        rca = rca.join(first, "field_of_study_id", "left_semi")
     return rca.select("entity", "year", "rca_sum", "field_of_study_id")
 
 

@@ -1,54 +1,12 @@
-"""Lists per key that stay bounded whatever the size of the key."""
+"""Numbering of rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegraph.session import materialise
 
-MAX_LIST = 1_000_000
-
-
-def collect_parts(
-    df: DataFrame,
-    keys: list[str],
-    element: Column,
-    spread_by: list[str],
-    name: str,
-    max_len: int = MAX_LIST,
-    with_count: bool = True,
-    sizes_from: DataFrame | None = None,
-) -> DataFrame:
-    """``keys``, ``part``, ``count`` and a sorted array ``name`` of the elements of one part.
-
-    A key with up to ``max_len`` rows has the single part 0.  A larger key is spread over as many parts
-    as it needs by a hash of ``spread_by``, so no task ever holds a whole hot key; the union of the
-    parts is the complete list and ``count`` is the size of the whole key in each of them.
-
-    Without ``count`` only the keys above ``max_len`` are looked up, of which there is at most one per
-    ``max_len`` rows, and ``sizes_from`` may name a cheaper table with at least as many rows per key.
-    Either way the sizes are a stored table, so Catalyst knows whether they fit a broadcast; the explicit
-    repartition keeps the parts of a key apart even when it joins by shuffle.
-    """
-    sized_by = df if with_count or sizes_from is None else sizes_from
-    sizes = sized_by.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
-    if with_count:
-        sized = df.join(materialise(sizes), keys)
-    else:
-        sized = df.join(materialise(sizes.filter(F.col("count") > max_len)), keys, "left")
-    parts = F.ceil(F.col("count") / F.lit(max_len)).cast("int")
-    part = F.coalesce(F.pmod(F.xxhash64(*spread_by), parts).cast("int"), F.lit(0))
-    lists = F.sort_array(F.collect_list(element)).alias(name)
-    counts = [F.first("count").alias("count")] if with_count else []
-    return (
-        sized.withColumn("part", part)
-        .repartition(*keys, "part")
-        .groupBy(*keys, "part")
-        .agg(*counts, lists)
-    )
-
-
 def dense_index(df: DataFrame, order_by: list[str], name: str = "position") -> DataFrame:
     """Number the rows 0, 1, 2, ... in the order of ``order_by`` (a unique key).
 

@@ -25,6 +25,14 @@ def latest_per_key(df: DataFrame, key: str, order: str = "ordinal") -> DataFrame
     )
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row of every key: the last one where ``ordinal`` tells the order, else one chosen by its content."""
+    if "ordinal" in df.columns:
+        return latest_per_key(df, key).drop("ordinal")
+    content = F.xxhash64(*[F.to_json(F.struct(F.col(name))) for name in df.columns])
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), content).alias("_row")).select("_row.*")
+
+
 def not_yet_stored(new: DataFrame, stored: DataFrame, key: str, stored_key: str | None = None) -> DataFrame:
     """Rows of ``new`` whose key is not in ``stored``: what an incremental run still has to process."""
     known = stored.select(F.col(stored_key or key).alias(key))
@@ -129,13 +137,13 @@ def best_match_per_title(entities: DataFrame) -> DataFrame:
     """Ids with the highest ``logprob`` of their title; the id seen first wins a tie.
 
     ``entities`` has Id, Ti, logprob and ordinal.  If an id repeats within a title its last probability
-    counts, at the place where the id was first seen.
+    counts, at the place where the id was first seen.  An unknown probability is lower than any other.
     """
     per_id = entities.groupBy("Ti", "Id").agg(
         F.max_by("logprob", "ordinal").alias("logprob"), F.min("ordinal").alias("seen")
     )
-    # Highest probability first, then the smallest place: both in one comparable struct.
-    best = F.min_by("Id", F.struct((-F.col("logprob")).alias("p"), "seen"))
+    # A known probability first, the highest of these, then the smallest place: all in one comparable struct.
+    best = F.min_by("Id", F.struct(F.col("logprob").isNull(), (-F.col("logprob")).alias("p"), "seen"))
     return per_id.groupBy("Ti").agg(best.alias("Id")).select("Id").distinct()
 
 
@@ -174,7 +182,7 @@ def topic_hierarchy(topics: DataFrame, fields_of_study: DataFrame, stored: DataF
 def _new_topics(topics: DataFrame, fields_of_study: DataFrame, stored: DataFrame) -> DataFrame:
     ours = fields_of_study.select(F.col("id").alias("Id"))
     known = stored.select(F.col("id").alias("Id"))
-    return topics.join(ours, "Id", "left_semi").join(known, "Id", "left_anti")
+    return one_per_key(topics, "Id").join(ours, "Id", "left_semi").join(known, "Id", "left_anti")
 
 
 def assign_intervals(

@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph import config
-from citegraph.operators.lists import MAX_LIST, collect_parts
-
-MAX_NESTED = 100_000
 
 
 def all_metrics(
@@ -86,86 +83,60 @@ def country_topic_outputs(
 
 
 # --- paper lists --------------------------------------------------------------------------------------
-def papers_by_country(pairs: DataFrame, max_ids: int = MAX_LIST) -> DataFrame:
-    """country, part, count, paper_ids; long lists come in parts (see collect_parts).
+# One row per key and paper, whatever the size of the key; ``list_counts`` has the length of each list.
+def list_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("paper_id").alias("count"))
 
-    ``pairs`` are the distinct (paper_id, country) of ``indicators.paper_entities``, preferably stored:
-    they are counted and then listed.
-    """
-    located = pairs.filter(F.col("country").isNotNull()).select("country", "paper_id")
-    return collect_parts(located, ["country"], F.col("paper_id"), ["paper_id"], "paper_ids", max_ids)
 
+def papers_by_country(pairs: DataFrame) -> DataFrame:
+    """country, paper_id from the distinct (paper_id, country) of ``indicators.paper_entities``."""
+    return pairs.filter(F.col("country").isNotNull()).select("country", "paper_id")
 
-def papers_by_topic(
-    paper_fos: DataFrame, filtered: DataFrame, fos: DataFrame, max_ids: int = MAX_LIST
-) -> DataFrame:
-    """field_of_study_id, name, part, count, paper_ids of the direct tags; a topic without papers is kept."""
+
+def papers_by_topic(paper_fos: DataFrame, filtered: DataFrame, fos: DataFrame) -> DataFrame:
+    """field_of_study_id, name, paper_id of the direct tags; a topic without papers has one row without a paper."""
     topics = filtered.select("field_of_study_id").distinct().join(
         fos.select(F.col("id").alias("field_of_study_id"), "name"), "field_of_study_id"
     )
-    pairs = paper_fos.select("field_of_study_id", "paper_id").join(topics, "field_of_study_id")
-    lists = collect_parts(
-        pairs, ["field_of_study_id", "name"], F.col("paper_id"), ["paper_id"], "paper_ids", max_ids
-    )
-    unused = topics.join(paper_fos.select("field_of_study_id"), "field_of_study_id", "left_anti").select(
-        "field_of_study_id",
-        "name",
-        F.lit(0).alias("part"),
-        F.lit(0).cast("long").alias("count"),
-        F.array().cast("array<long>").alias("paper_ids"),
-    )
-    return lists.unionByName(unused)
+    tags = paper_fos.select("field_of_study_id", "paper_id")
+    return topics.join(tags, "field_of_study_id", "left").select("field_of_study_id", "name", "paper_id")
 
 
-def papers_by_year(
-    papers: DataFrame, year_thresh: str = config.PAPER_YEAR, max_ids: int = MAX_LIST
-) -> DataFrame:
-    """year, part, count, paper_ids for the years after ``year_thresh``."""
-    dated = papers.filter(F.col("year") > year_thresh).select("year", "id")
-    return collect_parts(dated, ["year"], F.col("id"), ["id"], "paper_ids", max_ids)
+def papers_by_year(papers: DataFrame, year_thresh: str = config.PAPER_YEAR) -> DataFrame:
+    """year, paper_id for the years after ``year_thresh``."""
+    return papers.filter(F.col("year") > year_thresh).select("year", F.col("id").alias("paper_id"))
+
+
+def paper_topic_names(paper_fos: DataFrame, filtered: DataFrame, fos: DataFrame) -> DataFrame:
+    """id, field_of_study: one row per paper and name of a selected topic it carries."""
+    names = fos.select(F.col("id").alias("field_of_study_id"), F.col("name").alias("field_of_study"))
+    topics = filtered.select("field_of_study_id").distinct().join(names, "field_of_study_id")
+    tags = paper_fos.select("paper_id", "field_of_study_id")
+    return tags.join(topics, "field_of_study_id").select(F.col("paper_id").alias("id"), "field_of_study")
 
 
 def topics_by_paper(paper_fos: DataFrame, filtered: DataFrame, fos: DataFrame) -> DataFrame:
     """id, field_of_study: sorted names of the selected topics a paper carries; never longer than those."""
-    names = fos.select(F.col("id").alias("field_of_study_id"), "name")
-    topics = filtered.select("field_of_study_id").distinct().join(names, "field_of_study_id")
-    return (
-        paper_fos.select("paper_id", "field_of_study_id")
-        .join(topics, "field_of_study_id")
-        .groupBy(F.col("paper_id").alias("id"))
-        .agg(F.sort_array(F.collect_list("name")).alias("field_of_study"))
-    )
+    named = paper_topic_names(paper_fos, filtered, fos)
+    return named.groupBy("id").agg(F.sort_array(F.collect_list("field_of_study")).alias("field_of_study"))
 
 
 def flat_export(
-    doc_vectors: DataFrame, papers: DataFrame, paper_topics: DataFrame, paper_country: DataFrame
+    doc_vectors: DataFrame, papers: DataFrame, topic_names: DataFrame, paper_country: DataFrame
 ) -> DataFrame:
-    """One row per projected paper, topic name and country."""
-    topics = paper_topics.select("id", F.explode("field_of_study").alias("field_of_study"))
-    countries = paper_country.select("country", F.explode("paper_ids").alias("id"))
+    """One row per projected paper, topic name (``paper_topic_names``) and country (``papers_by_country``)."""
+    countries = paper_country.select("country", F.col("paper_id").alias("id"))
     return (
         doc_vectors.join(papers.select("id", "year"), "id")
-        .join(topics, "id")
+        .join(topic_names, "id")
         .join(countries, "id")
         .select("id", "vector_3d", "citations", "year", "field_of_study", "country")
     )
 
 
 # --- search documents ---------------------------------------------------------------------------------
-def search_documents(
-    papers: DataFrame,
-    paper_fos: DataFrame,
-    fos: DataFrame,
-    author_affiliation: DataFrame,
-    authors: DataFrame,
-    affiliation: DataFrame,
-    max_nested: int = MAX_NESTED,
-) -> DataFrame:
-    """One document per paper with a topic: attributes, topics and authors with their affiliation.
-
-    A paper with more than ``max_nested`` author rows is spread over several documents (``part``), each
-    with the paper's attributes and topics and its share of the authors.
-    """
+def search_documents(papers: DataFrame, paper_fos: DataFrame, fos: DataFrame) -> DataFrame:
+    """One document per paper with a topic: attributes and topics.  Its authors are rows of ``search_authors``."""
     attributes = ["original_title", "abstract", "citations"]
     described = papers.dropna(subset=["id", "year", "date", *attributes]).select("id", "date", *attributes)
     topic = F.struct("name", F.col("field_of_study_id").alias("id"))
@@ -175,51 +146,31 @@ def search_documents(
         .groupBy(F.col("paper_id").alias("id"))
         .agg(F.sort_array(F.collect_list(topic)).alias("fields_of_study"))
     )
+    return described.join(topics, "id").select(
+        "id",
+        F.year(F.to_date("date")).alias("year"),
+        F.col("date").alias("publication_date"),
+        *attributes,
+        "fields_of_study",
+    )
+
+
+def search_authors(author_affiliation: DataFrame, authors: DataFrame, affiliation: DataFrame) -> DataFrame:
+    """id (of the paper), author_id, name, affiliation: one row per known author and affiliation of a paper."""
     # Unplaced authorships are many and match nothing: each gets a key of its own instead of sharing the
     # null partition.
     unplaced = F.concat(F.lit("none "), F.pmod(F.xxhash64("author_id", "paper_id"), F.lit(1 << 20)).cast("string"))
-    people = (
+    return (
         author_affiliation.join(authors.select(F.col("id").alias("author_id"), "name"), "author_id")
         .withColumn("_place", F.coalesce(F.col("affiliation_id").cast("string"), unplaced))
         .join(affiliation.select(F.col("id").cast("string").alias("_place"), "affiliation"), "_place", "left")
         .select(
             F.col("paper_id").alias("id"),
             "author_id",
-            "affiliation_id",
             F.coalesce("name", F.lit("")).alias("name"),
             F.coalesce("affiliation", F.lit("")).alias("affiliation"),
         )
     )
-    # One row without a person per paper keeps papers without authors, so the join below is an inner one
-    # and either side of a skewed key can be split.  It only needs the ids, so the texts are read once.
-    nobody = papers.select(
-        "id",
-        *[F.lit(None).cast("long").alias(name) for name in ("author_id", "affiliation_id")],
-        *[F.lit(None).cast("string").alias(name) for name in ("name", "affiliation")],
-    )
-    grouped = collect_parts(
-        people.unionByName(nobody),
-        ["id"],
-        F.when(F.col("name").isNotNull(), F.struct("name", "affiliation")),
-        ["author_id", "affiliation_id"],
-        "authors",
-        max_nested,
-        with_count=False,
-        sizes_from=author_affiliation.select(F.col("paper_id").alias("id")),
-    )
-    return (
-        described.join(topics, "id")
-        .join(grouped, "id")
-        .select(
-            "id",
-            "part",
-            F.year(F.to_date("date")).alias("year"),
-            F.col("date").alias("publication_date"),
-            *attributes,
-            "fields_of_study",
-            "authors",
-        )
-    )
 
 
 def write_search_documents(documents: DataFrame, path: str) -> None:

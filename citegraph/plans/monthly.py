@@ -208,7 +208,7 @@ def replace_document_vectors(
 
 
 def project_documents(
-    store: Store, model_path: str, refit: bool = False, exclude: Sequence[int] = config.PROJECTION_EXCLUDED_IDS
+    store: Store, model_path: str, refit: bool = False, exclude: Sequence[int] = ()
 ) -> None:
     """Three-dimensional coordinates: fit on all vectors, or only add new ones with the stored model."""
     papers, high = store.read("papers"), store.read("high_dim_doc_vectors")
@@ -259,27 +259,29 @@ def present(store: Store, year_thresh: str = config.PAPER_YEAR) -> None:
     store.refresh(
         outputs.country_topic_outputs(papers, paper_fos, links, places, metrics), "viz_metrics_and_outputs"
     )
-    store.refresh(outputs.papers_by_country(paper_countries(store)), "viz_paper_country")
-    store.refresh(outputs.papers_by_topic(paper_fos, chosen, fos), "viz_paper_topics")
-    store.refresh(outputs.papers_by_year(papers, year_thresh), "viz_paper_year")
+    lists = {
+        "viz_paper_country": (outputs.papers_by_country(paper_countries(store)), ["country"]),
+        "viz_paper_topics": (outputs.papers_by_topic(paper_fos, chosen, fos), ["field_of_study_id", "name"]),
+        "viz_paper_year": (outputs.papers_by_year(papers, year_thresh), ["year"]),
+    }
+    for name, (rows, keys) in lists.items():
+        store.refresh(rows, name)
+        store.refresh(outputs.list_counts(store.read(name), *keys), f"{name}_count")
     store.refresh(outputs.topics_by_paper(paper_fos, chosen, fos), "viz_topics_agg")
 
 
-def export(store: Store, flat_path: str, search_path: str) -> None:
-    """The flat file of the particle view and the documents of the search index."""
+def export(store: Store, flat_path: str, search_path: str, authors_path: str) -> None:
+    """The flat file of the particle view, the documents of the search index and their authors."""
     flat = outputs.flat_export(
         store.read("doc_vectors"),
         store.read("papers"),
-        store.read("viz_topics_agg"),
+        outputs.paper_topic_names(store.read("paper_fields_of_study"), selected_topics(store), store.read("fields_of_study")),
         store.read("viz_paper_country"),
     )
     outputs.write_flat_export(flat, flat_path)
     documents = outputs.search_documents(
-        store.read("papers"),
-        store.read("paper_fields_of_study"),
-        store.read("fields_of_study"),
-        store.read("author_affiliation"),
-        store.read("authors"),
-        store.read("affiliation"),
+        store.read("papers"), store.read("paper_fields_of_study"), store.read("fields_of_study")
     )
     outputs.write_search_documents(documents, search_path)
+    people = outputs.search_authors(store.read("author_affiliation"), store.read("authors"), store.read("affiliation"))
+    outputs.write_search_documents(people, authors_path)

@@ -111,14 +111,10 @@ _BATCH = 100
 
 @query(
     _CLEANED
-    + f"""SELECT proc_name, 0 AS part, string_agg(cast(id AS varchar), ',' ORDER BY id) AS ids,
-        (dense_rank() OVER (ORDER BY encode(proc_name)) - 1) // {_BATCH} AS batch_id
-    FROM cleaned GROUP BY proc_name"""
+    + f"""SELECT proc_name, id, (dense_rank() OVER (ORDER BY encode(proc_name)) - 1) // {_BATCH} AS batch_id FROM cleaned"""
 )
 def name_batches(g: Graph) -> DataFrame:
-    batches = enrich.name_batches(g.authors, _BATCH)
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return batches.select("proc_name", "part", ids.alias("ids"), "batch_id")
+    return enrich.name_batches(g.authors, _BATCH)
 
 
 @query(
@@ -132,6 +128,7 @@ def infer_gender(g: Graph) -> DataFrame:
     """The service answers by name length; names that start with B were collected before."""
     names = enrich.name_batches(g.authors, _BATCH)
     length = F.char_length("proc_name")
+    # One response per author, so a name is answered as often as it occurs.
     responses = names.select(
         F.struct(F.col("proc_name").alias("full_name")).alias("input"),
         F.struct((length * 10).alias("samples")).alias("details"),
@@ -215,4 +212,5 @@ def country_details(g: Graph) -> DataFrame:
         )
 
     responses = asked.select("query_name", F.array(match(1), match(2)).alias("body"))
+    responses = responses.union(responses)  # landed twice
     return enrich.country_details(responses, association)

@@ -81,14 +81,7 @@ class Graph:
 
     @property
     def documents(self) -> DataFrame:
-        """The documents, spread over the cores if they arrive as fewer files than there are cores.
-
-        Work on whole texts is costly per row, and a file with one row group is one task.  A table of
-        many files is left as it is.
-        """
-        documents = self.table("documents")
-        cores = self.spark.sparkContext.defaultParallelism
-        return documents.repartition(cores) if len(documents.inputFiles()) < cores else documents
+        return self.table("documents")
 
     # --- graph tables ---------------------------------------------------------------------------------
     @stored

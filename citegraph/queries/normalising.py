@@ -66,24 +66,43 @@ def scan_tables(g: Graph) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+_CHILDREN = {
+    "paper_journal": "SELECT paper_id FROM journals JOIN orders ON o_orderkey = paper_id WHERE o_orderstatus <> 'O'",
+    "paper_conferences": "SELECT o_orderkey AS paper_id FROM orders WHERE o_orderstatus = 'O'",
+    "paper_authors": 'SELECT paper_id, author_id FROM paper_authors',
+    "author_affiliation": "SELECT * FROM author_affiliation",
+    "paper_fields_of_study": "SELECT * FROM paper_fos",
+    "geocoded_places": "SELECT * FROM places",
+}
+_PARENTS = {"papers": "papers", "authors": "authors", "affiliation": "affiliation", "fields_of_study": "levels"}
+
+
 @query(
-    """SELECT 'author_affiliation.author_id' AS reference, count(*) AS n FROM author_affiliation
-        WHERE author_id NOT IN (SELECT id FROM authors)
-    UNION ALL SELECT 'author_affiliation.affiliation_id', count(*) FROM author_affiliation
-        WHERE affiliation_id NOT IN (SELECT id FROM affiliation)
-    UNION ALL SELECT 'papers.abstract', count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"""
+    " UNION ALL ".join(
+        f"SELECT '{child}.{column}' AS reference, count(*) AS n FROM ({_CHILDREN[child]}) "
+        f"WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {_PARENTS[parent]})"
+        for child, column, parent, key in schemas.FOREIGN_KEYS
+    )
 )
 def foreign_keys(g: Graph) -> DataFrame:
-    checks = {
-        "author_affiliation.author_id": (g.author_affiliation, "author_id", g.authors, "id"),
-        "author_affiliation.affiliation_id": (g.author_affiliation, "affiliation_id", g.affiliation, "id"),
-        "papers.abstract": (g.table("documents"), "doc_id", g.table("embeddings"), "vec_id"),
+    """Rows of each declared reference without a parent; the tables are those of the graph."""
+    tables = {
+        "paper_journal": normalise.journals(g.raw),
+        "paper_conferences": normalise.conferences(g.raw),
+        "paper_authors": g.paper_authors,
+        "author_affiliation": g.author_affiliation,
+        "paper_fields_of_study": g.paper_fos,
+        "geocoded_places": g.places,
+        "papers": g.papers,
+        "authors": g.authors,
+        "affiliation": g.affiliation,
+        "fields_of_study": g.fields_of_study,
     }
     counts = [
-        store.foreign_key_violations(*check)
+        store.foreign_key_violations(tables[child], column, tables[parent], key)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(name).alias("reference"), "n")
-        for name, check in checks.items()
+        .select(F.lit(f"{child}.{column}").alias("reference"), "n")
+        for child, column, parent, key in schemas.FOREIGN_KEYS
     ]
     return reduce(DataFrame.unionByName, counts)
 

@@ -228,38 +228,44 @@ def country_topic_outputs(g: Graph) -> DataFrame:
     return outputs.country_topic_outputs(g.papers, g.paper_fos, g.author_affiliation, g.places, _all_metrics(g))
 
 
-def _with_text_ids(df: DataFrame) -> DataFrame:
-    return df.withColumn("paper_ids", F.array_join(F.col("paper_ids").cast("array<string>"), ","))
-
-
 @query(
-    """SELECT country, 0 AS part, count(*) AS count,
-        string_agg(cast(paper_id AS varchar), ',' ORDER BY paper_id) AS paper_ids
-    FROM paper_country WHERE country IS NOT NULL GROUP BY country"""
+    "SELECT country, paper_id FROM paper_country WHERE country IS NOT NULL"
 )
 def papers_by_country(g: Graph) -> DataFrame:
-    return _with_text_ids(outputs.papers_by_country(materialise(measuring.paper_countries(g))))
+    return outputs.papers_by_country(measuring.paper_countries(g))
 
 
 @query(
-    """SELECT field_of_study_id, name, 0 AS part, count(paper_id) AS count,
-        coalesce(string_agg(cast(paper_id AS varchar), ',' ORDER BY paper_id), '') AS paper_ids
-    FROM levels LEFT JOIN paper_fos ON field_of_study_id = id
-    JOIN (SELECT id AS keep FROM levels) ON keep = id WHERE field_of_study_id IS NOT NULL GROUP BY ALL
-    UNION ALL SELECT id, name, 0, 0, '' FROM levels WHERE id NOT IN (SELECT field_of_study_id FROM paper_fos)"""
+    "SELECT id AS field_of_study_id, name, paper_id FROM levels LEFT JOIN paper_fos ON field_of_study_id = id"
 )
 def papers_by_topic(g: Graph) -> DataFrame:
     """Every topic, so that the top level, which no paper carries directly, is kept empty."""
     every = g.fields_of_study.select(F.col("id").alias("field_of_study_id"))
-    return _with_text_ids(outputs.papers_by_topic(g.paper_fos, every, g.fields_of_study))
+    return outputs.papers_by_topic(g.paper_fos, every, g.fields_of_study)
 
 
 @query(
-    f"""SELECT year, 0 AS part, count(*) AS count, string_agg(cast(id AS varchar), ',' ORDER BY id) AS paper_ids
-    FROM papers WHERE year > '{YEAR}' GROUP BY year"""
+    f"SELECT year, id AS paper_id FROM papers WHERE year > '{YEAR}'"
 )
 def papers_by_year(g: Graph) -> DataFrame:
-    return _with_text_ids(outputs.papers_by_year(g.papers, YEAR))
+    return outputs.papers_by_year(g.papers, YEAR)
+
+
+@query(
+    f"""SELECT 'country' AS list, country AS key, count(*) AS count FROM paper_country WHERE country IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'topic', name, count(paper_id) FROM levels LEFT JOIN paper_fos ON field_of_study_id = id GROUP BY id, name
+    UNION ALL SELECT 'year', year, count(*) FROM papers WHERE year > '{YEAR}' GROUP BY 2"""
+)
+def paper_list_counts(g: Graph) -> DataFrame:
+    """The length of every paper list."""
+    def counted(label: str, rows: DataFrame, key: str, *keys: str) -> DataFrame:
+        return outputs.list_counts(rows, *keys).select(F.lit(label).alias("list"), F.col(key).alias("key"), "count")
+
+    return (
+        counted("country", papers_by_country(g), "country", "country")
+        .union(counted("topic", papers_by_topic(g), "name", "field_of_study_id", "name"))
+        .union(counted("year", papers_by_year(g), "year", "year"))
+    )
 
 
 _TOPICS_BY_PAPER = """
@@ -290,8 +296,8 @@ def flat_export(g: Graph) -> DataFrame:
     export = outputs.flat_export(
         projected,
         g.papers,
-        outputs.topics_by_paper(g.paper_fos, g.filtered, g.fields_of_study),
-        outputs.papers_by_country(materialise(measuring.paper_countries(g))),
+        outputs.paper_topic_names(g.paper_fos, g.filtered, g.fields_of_study),
+        outputs.papers_by_country(measuring.paper_countries(g)),
     )
     return export.withColumn("dims", F.size("vector_3d")).drop("vector_3d")
 
@@ -300,29 +306,19 @@ def flat_export(g: Graph) -> DataFrame:
     """, topic_lists AS (
         SELECT paper_id, string_agg(concat(name, '|', cast(id AS varchar)), ';' ORDER BY encode(name), id) AS topics
         FROM paper_fos JOIN levels ON id = field_of_study_id GROUP BY paper_id)
-    , people AS (
-        SELECT paper_id, coalesce(name, '') AS name, coalesce(affiliation, '') AS affiliation
-        FROM author_affiliation JOIN authors ON authors.id = author_id
-        LEFT JOIN affiliation ON affiliation.id = affiliation_id)
-    , author_lists AS (
-        SELECT paper_id, string_agg(concat(name, '|', affiliation), ';' ORDER BY encode(name), encode(affiliation)) AS people
-        FROM people GROUP BY paper_id)
-    SELECT id, 0 AS part, cast(year AS integer) AS year, date AS publication_date, original_title, abstract, citations,
-        topics, coalesce(people, '') AS people
-    FROM papers JOIN topic_lists t ON t.paper_id = id LEFT JOIN author_lists a ON a.paper_id = id
-    WHERE abstract IS NOT NULL"""
+    SELECT id, cast(year AS integer) AS year, date AS publication_date, original_title, abstract, citations, topics
+    FROM papers JOIN topic_lists t ON t.paper_id = id WHERE abstract IS NOT NULL"""
 )
 def search_documents(g: Graph) -> DataFrame:
-    documents = outputs.search_documents(
-        g.papers, g.paper_fos, g.fields_of_study, g.author_affiliation, g.authors, g.affiliation
-    )
+    documents = outputs.search_documents(g.papers, g.paper_fos, g.fields_of_study)
+    topics = F.transform("fields_of_study", lambda x: F.concat_ws("|", x["name"], x["id"].cast("string")))
+    return documents.withColumn("topics", F.array_join(topics, ";")).drop("fields_of_study")
 
-    def joined(name: str, first: str, second: str):
-        pairs = F.transform(name, lambda x: F.concat_ws("|", x[first], x[second].cast("string")))
-        return F.array_join(pairs, ";")
 
-    return documents.select(
-        "id", "part", "year", "publication_date", "original_title", "abstract", "citations",
-        joined("fields_of_study", "name", "id").alias("topics"),
-        joined("authors", "name", "affiliation").alias("people"),
-    )
+@query(
+    """SELECT paper_id AS id, author_id, coalesce(name, '') AS name, coalesce(affiliation, '') AS affiliation
+    FROM author_affiliation JOIN authors ON authors.id = author_id
+        LEFT JOIN affiliation ON affiliation.id = affiliation_id"""
+)
+def search_authors(g: Graph) -> DataFrame:
+    return outputs.search_authors(g.author_affiliation, g.authors, g.affiliation)

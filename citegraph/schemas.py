@@ -95,9 +95,12 @@ TABLES: dict[str, str] = {
             female_share double""",
         "viz_metrics_by_country": """year string, country string, shannon_diversity double,
             field_of_study_id long, rca_sum double, female_share double, name string""",
-        "viz_paper_country": "country string, part int, count long, paper_ids array<long>",
-        "viz_paper_topics": "field_of_study_id long, name string, part int, count long, paper_ids array<long>",
-        "viz_paper_year": "year string, part int, count long, paper_ids array<long>",
+        "viz_paper_country": "country string, paper_id long",
+        "viz_paper_country_count": "country string, count long",
+        "viz_paper_topics": "field_of_study_id long, name string, paper_id long",
+        "viz_paper_topics_count": "field_of_study_id long, name string, count long",
+        "viz_paper_year": "year string, paper_id long",
+        "viz_paper_year_count": "year string, count long",
         "viz_topics_agg": "id long, field_of_study array<string>",
         "affiliation_type": "id long, non_industry int",
         "wb_gdp": "country string, indicator double, year string",

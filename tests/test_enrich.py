@@ -19,7 +19,9 @@ def place(**overrides):
 
 
 def test_place_details(make):
-    row = enrich.geocoded_places(make(schemas.PLACE_RESPONSE, place())).first().asDict()
+    twice = enrich.geocoded_places(make(schemas.PLACE_RESPONSE, place(), place()))
+    assert twice.count() == 1
+    row = twice.first().asDict()
     assert row == {
         "id": "abc", "affiliation_id": 5, "lat": 51.504589, "lng": -0.0970865, "name": "A Place",
         "address": "30 Great Guildford St, London", "types": ["establishment"], "website": "https://example.org",
@@ -33,14 +35,11 @@ def test_place_details(make):
 def test_name_batches(make):
     authors = [(i, f"Name{i:04d} Surname") for i in range(2400)] + [(9000 + i, "Name0000 Surname") for i in range(40)]
     df = make("id long, name string", *authors, (99999, "A. Nobody"))
-    batches = enrich.name_batches(df, 1000, max_ids=10)
-    rows = batches.collect()
+    rows = enrich.name_batches(df, 1000).collect()
     names = {}
     for row in rows:
-        assert len(row["ids"]) <= 41
-        names.setdefault(row["proc_name"], set()).update(row["ids"])
-    assert names["Name0000 Surname"] == {0, *range(9000, 9040)}
-    assert len([r for r in rows if r["proc_name"] == "Name0000 Surname"]) > 1
+        names.setdefault(row["proc_name"], set()).add(row["id"])
+    assert names["Name0000 Surname"] == {0, *range(9000, 9040)} and len(rows) == 2440
     batch = {row["proc_name"]: row["batch_id"] for row in rows}
     assert len(names) == 2400
     assert [batch[f"Name{i:04d} Surname"] for i in (0, 999, 1000, 1999, 2000, 2399)] == [0, 0, 1, 1, 2, 2]
@@ -56,15 +55,19 @@ def test_gender_fan_out(make):
     responses = make(
         schemas.GENDER_RESPONSE,
         (("Foo Bar",), (120,), True, "Foo", 0.9, "female"),
+        (("Foo Bar",), (120,), True, "Foo", 0.9, "female"),
         (("Old Name",), (1,), True, "Old", 0.9, "male"),
         (("No Body",), (0,), False, None, None, None),
     )
-    names = make("proc_name string, part int, ids array<long>, batch_id long",
-                 ("Foo Bar", 0, [1, 2], 0), ("Foo Bar", 1, [3], 0), ("Old Name", 0, [4], 0), ("No Body", 0, [5], 0))
+    names = make("proc_name string, id long, batch_id long",
+                 ("Foo Bar", 1, 0), ("Foo Bar", 2, 0), ("Foo Bar", 3, 0), ("Old Name", 4, 0), ("No Body", 5, 0))
     stored = make("full_name string", ("Old Name",))
-    assert as_set(enrich.author_gender(responses, names, stored)) == {
-        (i, "Foo Bar", "Foo", "female", 120, 0.9) for i in (1, 2, 3)
-    }
+    found = enrich.author_gender(responses, names, stored)
+    assert sorted(found.collect()) == [(i, "Foo Bar", "Foo", "female", 120, 0.9) for i in (1, 2, 3)]
+    # The response landed last counts.
+    later = make(schemas.GENDER_RESPONSE + ", ordinal int", (("Foo Bar",), (9,), True, "Foo", 0.8, "male", 2),
+                 (("Foo Bar",), (120,), True, "Foo", 0.9, "female", 1))
+    assert {r["gender"] for r in enrich.author_gender(later, names, stored).collect()} == {"male"}
 
 
 def test_flags(make):

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from citegraph.functions import geo, text, vectors
+from citegraph.functions import geo, text
 from citegraph.operators.normalise import date_intervals_of
 from conftest import as_set
 
@@ -82,11 +82,6 @@ def test_address_component_precedence(make):
     assert [tuple(r) for r in rows] == [("town", None, None, "new"), (None, None, None, None)]
 
 
-def test_squared_l2(make):
-    df = make("a array<float>, b array<float>", ([1.0, 2.0], [4.0, 6.0]))
-    assert df.select(vectors.squared_l2(F.col("a"), F.col("b"))).first()[0] == 25.0
-
-
 def python_boundaries(start, end, count):
     step = (end - start) / count
     return [(start + step * i).strftime("%Y-%m-%d") for i in range(count)] + [end.strftime("%Y-%m-%d")]
@@ -115,3 +110,17 @@ def test_intervals_equal_a_brute_force_range_join(make, start, end, count):
     }
     got = date_intervals_of(make("date string", *[(d,) for d in days]), start, end, count)
     assert as_set(got.select("date", "interval_start", "interval_end")) == expected
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Pacific/Auckland"])
+def test_intervals_do_not_depend_on_the_session_zone(spark, make, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        days = make("date string", ("1999-12-31",), ("2000-01-01",), ("2002-12-31",), ("2003-01-01",))
+        got = date_intervals_of(days, datetime(2000, 1, 1), datetime(2002, 12, 31), 3)
+        assert as_set(got) == {
+            ("2000-01-01", "2000-01-01", "2000-12-31"), ("2002-12-31", "2001-12-31", "2002-12-31"),
+        }
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

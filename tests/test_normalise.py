@@ -8,16 +8,16 @@ from citegraph.sources import country_indicators, records, store
 from conftest import as_set
 
 RECORD = {
-    "logprob": -17.825, "prob": 1.5, "Id": 10, "Ti": "a title", "Pt": "1", "DN": "A Title", "Y": 2017,
-    "D": "2017-03-03", "CC": 109, "RId": [5, 6], "DOI": "10.1/x", "PB": "A Publisher", "BT": "a",
+    "logprob": -3.25, "prob": 1.5, "Id": 10, "Ti": "a title", "Pt": "1", "DN": "A Title", "Y": 2017,
+    "D": "2017-03-03", "CC": 31, "RId": [5, 6], "DOI": "10.1/x", "PB": "A Publisher", "BT": "a",
     "AA": [
-        {"DAuN": "Foo", "AuId": 1, "AfN": "columbia university", "AfId": 7, "S": 1},
+        {"DAuN": "Foo", "AuId": 1, "AfN": "harbour college", "AfId": 7, "S": 1},
         {"DAuN": "Bar", "AuId": 2, "AfId": None, "S": 2},
         {"DAuN": "Baz", "AuId": 3, "AfN": "none", "AfId": 0, "S": 3},
     ],
-    "F": [{"DFN": "Petabyte", "FId": 21}, {"DFN": "Oligonucleotide", "FId": 22}],
-    "J": {"JN": "science", "JId": 31}, "C": {"CN": "foo bar", "CId": 41},
-    "IA": {"IndexLength": 3, "InvertedIndex": {"In": [0], "assays,": [2], "comparative": [1]}},
+    "F": [{"DFN": "Tide", "FId": 21}, {"DFN": "Lantern", "FId": 22}],
+    "J": {"JN": "river notes", "JId": 31}, "C": {"CN": "foo bar", "CId": 41},
+    "IA": {"IndexLength": 3, "InvertedIndex": {"Under": [0], "bridges,": [2], "low": [1]}},
     "S": [{"U": "https://example.org/1"}, {"Ty": 3, "U": "https://example.org/2"}],
 }
 BARE = {
@@ -38,19 +38,19 @@ def test_record_parsers(spark, tmp_path):
     papers = {row["id"]: row.asDict() for row in normalise.papers(raw).collect()}
     assert papers[10] == {
         "id": 10, "prob": 1.5, "title": "a title", "publication_type": "1", "year": "2017", "date": "2017-03-03",
-        "citations": 109, "original_title": "A Title", "references": [5, 6], "doi": "10.1/x",
-        "publisher": "A Publisher", "bibtex_doc_type": "a", "abstract": "In comparative assays,",
+        "citations": 31, "original_title": "A Title", "references": [5, 6], "doi": "10.1/x",
+        "publisher": "A Publisher", "bibtex_doc_type": "a", "abstract": "Under low bridges,",
         "source": "https://example.org/1",
     }
     optional = ("references", "doi", "publisher", "bibtex_doc_type", "abstract", "source")
     assert all(papers[11][name] is None for name in optional)
-    assert as_set(normalise.journals(raw)) == {(31, "science", 10)}
+    assert as_set(normalise.journals(raw)) == {(31, "river notes", 10)}
     assert as_set(normalise.conferences(raw)) == {(41, "foo bar", 10)}
     assert as_set(normalise.paper_authors(raw)) == {(10, 1, 1), (10, 2, 2), (10, 3, 3), (11, 1, 1)}
     assert as_set(normalise.authors(raw)) == {(1, "Foo later"), (2, "Bar"), (3, "Baz")}
     assert as_set(normalise.paper_fields_of_study(raw)) == {(10, 21), (10, 22)}
-    assert as_set(normalise.fields_of_study(raw)) == {(21, "Petabyte"), (22, "Oligonucleotide")}
-    assert as_set(normalise.affiliations(raw)) == {(7, "columbia university")}
+    assert as_set(normalise.fields_of_study(raw)) == {(21, "Tide"), (22, "Lantern")}
+    assert as_set(normalise.affiliations(raw)) == {(7, "harbour college")}
     assert as_set(normalise.author_affiliation(raw)) == {
         (7, 1, 10), (None, 2, 10), (None, 3, 10), (None, 1, 11),
     }
@@ -110,6 +110,8 @@ def test_best_match_per_title(make):
     assert as_set(normalise.best_match_per_title(golden)) == {(1,), (4,)}
     tie = make(schema, (9, "t", 1.0, 0), (2, "t", 1.0, 1))
     assert as_set(normalise.best_match_per_title(tie)) == {(9,)}
+    unknown = make("Id long, Ti string, logprob double, ordinal int", (1, "a", -5.0, 1), (2, "a", None, 0), (3, "b", None, 2))
+    assert as_set(normalise.best_match_per_title(unknown)) == {(1,), (3,)}
     # The last probability of an id counts, at the id's first place.
     repeated = make(schema, (9, "t", 5.0, 0), (2, "t", 3.0, 1), (9, "t", 3.0, 2))
     assert as_set(normalise.best_match_per_title(repeated)) == {(9,)}

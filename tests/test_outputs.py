@@ -2,8 +2,6 @@ import json
 
 from citegraph.operators import outputs
 from citegraph.operators.indicators import paper_entities
-from citegraph.operators.lists import collect_parts
-from pyspark.sql import functions as F
 from conftest import as_set
 
 PLACES = [(1, "A"), (2, "B"), (3, ""), (4, None), (5, "C")]
@@ -41,38 +39,25 @@ def test_a_paper_counts_for_one_country(make):
     assert as_set(cells) == {("A", 10, "2015", 1, 5, "ten", 1.0, 2.0, 0.5)}
 
 
-def lists(df, key):
-    return {(r[key], r["part"], r["count"], tuple(r["paper_ids"])) for r in df.collect()}
-
-
 def test_paper_lists(make):
     g = graph(make)
-    assert lists(outputs.papers_by_country(paper_entities(g["places"], g["links"])), "country") == {
-        ("A", 0, 1, (1,)), ("B", 0, 1, (1,)), ("C", 0, 1, (2,))}
-    assert lists(outputs.papers_by_year(g["papers"]), "year") == {("2015", 0, 2, (1, 3)), ("2016", 0, 1, (4,))}
+    assert as_set(outputs.papers_by_country(paper_entities(g["places"], g["links"]))) == {("A", 1), ("B", 1), ("C", 2)}
+    years = outputs.papers_by_year(g["papers"])
+    assert as_set(years) == {("2015", 1), ("2015", 3), ("2016", 4)}
+    assert as_set(outputs.list_counts(years, "year")) == {("2015", 2), ("2016", 1)}
     chosen = make("field_of_study_id long", (10,), (12,), (10,))
-    assert lists(outputs.papers_by_topic(g["tags"], chosen, g["fos"]), "field_of_study_id") == {
-        (10, 0, 3, (1, 2, 3)), (12, 0, 0, ())}
+    topics = outputs.papers_by_topic(g["tags"], chosen, g["fos"])
+    assert as_set(topics) == {(10, "ten", 1), (10, "ten", 2), (10, "ten", 3), (12, "twelve", None)}
+    assert as_set(outputs.list_counts(topics, "field_of_study_id")) == {(10, 3), (12, 0)}
     names = outputs.topics_by_paper(g["tags"], make("field_of_study_id long", (10,), (11,)), g["fos"])
     assert {(r["id"], tuple(r["field_of_study"])) for r in names.collect()} == {
         (1, ("eleven", "ten")), (2, ("ten",)), (3, ("ten",))}
 
 
-def test_a_hot_key_is_spread_and_complete(spark):
-    rows = spark.range(9000).selectExpr("id", "case when id % 3 < 2 then 'hot' else concat('k', id % 50) end as k")
-    for with_count in (True, False):
-        parts = collect_parts(rows, ["k"], F.col("id"), ["id"], "ids", 500, with_count).collect()
-        hot = [r for r in parts if r["k"] == "hot"]
-        assert len(hot) == 12 and max(len(r["ids"]) for r in hot) < 700
-        assert sorted(i for r in hot for i in r["ids"]) == [i for i in range(9000) if i % 3 < 2]
-        assert all(r["part"] == 0 for r in parts if r["k"] != "hot")
-        assert not with_count or {r["count"] for r in hot} == {6000}
-
-
 def test_flat_export(make):
     g = graph(make)
     vectors = make("id long, vector_3d array<double>, citations int", (1, [1.0, 2.0, 3.0], 5), (4, [0.0, 0.0, 0.0], 1))
-    topics = outputs.topics_by_paper(g["tags"], make("field_of_study_id long", (10,), (11,)), g["fos"])
+    topics = outputs.paper_topic_names(g["tags"], make("field_of_study_id long", (10,), (11,)), g["fos"])
     countries = outputs.papers_by_country(paper_entities(g["places"], g["links"]))
     flat = outputs.flat_export(vectors, g["papers"], topics, countries)
     assert {(r["id"], tuple(r["vector_3d"]), r["citations"], r["year"], r["field_of_study"], r["country"])
@@ -84,27 +69,15 @@ def test_search_documents(make, tmp_path):
     g = graph(make)
     authors = make("id long, name string", (1, "Ann"), (2, "Bob"))
     affiliation = make("id long, affiliation string", (1, "aff one"), (2, "aff two"))
-    documents = outputs.search_documents(g["papers"], g["tags"], g["fos"], g["links"], authors, affiliation)
-    outputs.write_search_documents(documents, str(tmp_path / "docs"))
+    outputs.write_search_documents(outputs.search_documents(g["papers"], g["tags"], g["fos"]), str(tmp_path / "docs"))
     landed = [json.loads(line) for part in (tmp_path / "docs").glob("part-*") for line in part.read_text().splitlines()]
-    # Paper 3 has no abstract, paper 4 no topic; author 3 is unknown, affiliation 5 has no name.
+    # Paper 3 has no abstract, paper 4 no topic.
     assert sorted(landed, key=lambda d: d["id"]) == [
-        {"id": 1, "part": 0, "year": 2015, "publication_date": "2015-02-03", "original_title": "One", "abstract": "text",
-         "citations": 5, "fields_of_study": [{"name": "eleven", "id": 11}, {"name": "ten", "id": 10}],
-         "authors": [{"name": "Ann", "affiliation": "aff two"}, {"name": "Bob", "affiliation": "aff one"}]},
-        {"id": 2, "part": 0, "year": 2012, "publication_date": "2012-01-01", "original_title": "Two", "abstract": "text",
-         "citations": 7, "fields_of_study": [{"name": "ten", "id": 10}], "authors": [{"name": "Ann", "affiliation": ""}]},
+        {"id": 1, "year": 2015, "publication_date": "2015-02-03", "original_title": "One", "abstract": "text",
+         "citations": 5, "fields_of_study": [{"name": "eleven", "id": 11}, {"name": "ten", "id": 10}]},
+        {"id": 2, "year": 2012, "publication_date": "2012-01-01", "original_title": "Two", "abstract": "text",
+         "citations": 7, "fields_of_study": [{"name": "ten", "id": 10}]},
     ]
-
-
-def test_search_document_without_authors_and_with_very_many(spark, make):
-    g = graph(make)
-    affiliation = make("id long, affiliation string", (1, "aff"))
-    authors = spark.range(100).selectExpr("id", "concat('author ', id) as name")
-    many = spark.range(100).selectExpr("1L as affiliation_id", "id as author_id", "1L as paper_id")
-    documents = outputs.search_documents(g["papers"], g["tags"], g["fos"], many, authors, affiliation, max_nested=20)
-    rows = documents.collect()
-    assert [list(r["authors"]) for r in rows if r["id"] == 2] == [[]]
-    split = [r for r in rows if r["id"] == 1]
-    assert len(split) > 1 and len({r["part"] for r in split}) == len(split)
-    assert sorted(a["name"] for r in split for a in r["authors"]) == sorted(f"author {i}" for i in range(100))
+    # Author 3 is unknown, affiliation 5 has no name.
+    assert as_set(outputs.search_authors(g["links"], authors, affiliation)) == {
+        (1, 1, "Ann", "aff two"), (1, 2, "Bob", "aff one"), (2, 1, "Ann", ""), (3, 1, "Ann", "")}
