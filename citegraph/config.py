@@ -25,8 +25,9 @@ NEIGHBOURS = 5
 SIMILARITY_MIN_PAPERS = 2
 SHORT_ABSTRACT = 300
 PAPER_YEAR = "2012"
-TFIDF_MAX_FEATURES = 120_000
 SVD_COMPONENTS = 500
+SVD_PASSES = 4
+SVD_OVERSAMPLE = 10
 PROJECTION_DIMS = 3
 NAME_BATCH_SIZE = 10_000
 ENCODER_BATCH_SIZE = 1_000

@@ -194,7 +194,7 @@ def add_document_vectors(
 
 def replace_document_vectors(
     store: Store,
-    max_features: int = config.TFIDF_MAX_FEATURES,
+    max_features: int | None = None,
     k: int = config.SVD_COMPONENTS,
     stop_words: Sequence[str] | None = None,
     model_path: str | None = None,
@@ -203,7 +203,7 @@ def replace_document_vectors(
     embedded, model = vectors.tfidf_svd_vectors(store.read("papers"), max_features, k, stop_words)
     store.refresh(embedded, "high_dim_doc_vectors")
     if model_path is not None:
-        model.save(store.spark, model_path)
+        model.save(model_path)
     return model
 
 

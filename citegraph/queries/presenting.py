@@ -91,7 +91,7 @@ def nearest_positions(g: Graph) -> DataFrame:
     cell by cell."""
     numbered = dense_index(g.table("embeddings").select("label", "vec_id", "embedding"), ["label", "vec_id"], "id")
     points = numbered.select("id", F.col("embedding").alias("vector"))
-    return rounded(vectors.nearest_neighbours(points, points, 3, exclude_self=True, block_rows=100), "distance")
+    return rounded(vectors.nearest_neighbours(points, points, 3, exclude_self=True, block_rows=100, cells=16), "distance")
 
 
 # --- text vectors -------------------------------------------------------------------------------------
@@ -100,31 +100,43 @@ def _documents(g: Graph) -> DataFrame:
 
 
 _STOP_WORDS = ("the", "and", "of", "in", "to", "le", "la", "de", "en", "el")
-_FEATURES = 5000
-
-
-@query(
-    f""", tokens AS (
+_WEIGHTS = f""", tokens AS (
         SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents)
     , counted AS (
         SELECT id, term, count(*) AS tf FROM tokens
         WHERE term NOT IN ({", ".join(f"'{word}'" for word in _STOP_WORDS)}) GROUP BY ALL)
     , vocabulary AS (
         SELECT term, ln((1.0 + (SELECT count(*) FROM documents WHERE text IS NOT NULL)) / (1.0 + count(*))) + 1 AS idf
-        FROM counted GROUP BY term ORDER BY sum(tf) DESC, encode(term) LIMIT {_FEATURES})
+        FROM counted GROUP BY term)
     , weighted AS (SELECT id, term, tf * idf AS w FROM counted JOIN vocabulary USING (term))
-    SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)) + 1e-9, 6) AS weight FROM weighted"""
-)
+    , weights AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM weighted)"""
+
+
+@query(_WEIGHTS + " SELECT id, term, round(w + 1e-9, 6) AS weight FROM weights")
 def tfidf_weights(g: Graph) -> DataFrame:
-    weights = vectors.tfidf_weights(_documents(g), _FEATURES, _STOP_WORDS)
-    return rounded(weights, "weight")
+    return rounded(vectors.tfidf_weights(_documents(g), stop_words=_STOP_WORDS), "weight")
 
 
-@query()
+def _start(j: int) -> str:
+    return f"cast('0x' || substr(md5(term || '/{j}'), 1, 8) AS bigint) / 4294967296.0 - 0.5"
+
+
+@query(
+    _WEIGHTS
+    + f"""
+    , start AS (SELECT DISTINCT term, {_start(0)} AS x, {_start(1)} AS y FROM weights)
+    , once AS (SELECT id, sum(w * x) AS x, sum(w * y) AS y FROM weights JOIN start USING (term) GROUP BY id)
+    , space AS (SELECT term, sum(w * x) AS x, sum(w * y) AS y FROM weights JOIN once USING (id) GROUP BY term)
+    , gram AS (SELECT sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM space)
+    , placed AS (SELECT id, sum(w * x) AS x, sum(w * y) AS y FROM weights JOIN space USING (term) GROUP BY id)
+    SELECT doc_id AS id, round(coalesce((x * x * yy - 2 * x * y * xy + y * y * xx) / (xx * yy - xy * xy), 0) + 1e-9, 6)
+        AS length FROM documents LEFT JOIN placed ON id = doc_id, gram WHERE text IS NOT NULL"""
+)
 def tfidf_svd(g: Graph) -> DataFrame:
-    embedded, _ = vectors.tfidf_svd_vectors(_documents(g), max_features=2000, k=10)
-    return embedded.select("id", F.size("vector").alias("dims"), F.array_join(
-        F.transform("vector", lambda x: F.round(F.abs(x), 4).cast("string")), ",").alias("magnitudes"))
+    """Axes are only defined up to sign and rotation, the length of a document inside their plane is not."""
+    embedded, _ = vectors.tfidf_svd_vectors(_documents(g), k=2, stop_words=_STOP_WORDS, passes=1, oversample=0)
+    length = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    return rounded(embedded.select("id", length.alias("length")), "length")
 
 
 def _shape_of_text(texts: list[str]) -> list[list[float]]:

@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_only_iterative_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == {"tfidf_svd", "projection"}
+    assert set(QUERIES) - set(ORACLES) == {"projection"}
 
 
 def test_entry_has_rows(spark):
