@@ -140,6 +140,8 @@ class Model:
         self.code_counts = np.vstack([code_counts[order], np.zeros((1, 2))]).astype(np.float32)
         self.word_counts = word_counts.astype(np.float64)
         self.totals = self.word_counts.sum(axis=0)
+        # The larger corpus is weighed down to the size of the smaller one, so that both models back off alike.
+        self.scales = self.totals.min() / self.totals if self.totals.min() else np.ones(2)
         before = self.codes // (VOCABULARY + 2)
         self.context_counts = np.stack(
             [np.bincount(before, code_counts[order, side], len(word_counts)) for side in (0, 1)], axis=1
@@ -174,11 +176,12 @@ class Model:
 
         def loss(side: int, without: float) -> float:
             # Counts are below 0 only where a target's text is taken out that it has not seen; see the caller.
-            words = np.maximum(self.word_counts[after, side] - without * own_words, 0)
-            total = max(self.totals[side] - without * n, 0.0)
+            scale = self.scales[side]
+            words = scale * np.maximum(self.word_counts[after, side] - without * own_words, 0)
+            total = scale * max(self.totals[side] - without * n, 0.0)
             single = (words + WORD_WEIGHT / size) / (total + WORD_WEIGHT)
-            contexts = np.maximum(self.context_counts[before, side] - without * own_contexts, 0)
-            pairs = np.maximum(self.code_counts[at, side] - without * own_codes, 0)
+            contexts = scale * np.maximum(self.context_counts[before, side] - without * own_contexts, 0)
+            pairs = scale * np.maximum(self.code_counts[at, side] - without * own_codes, 0)
             return float(-(times * np.log((pairs + BIGRAM_WEIGHT * single) / (contexts + BIGRAM_WEIGHT))).sum() / n)
 
         return loss(0, 1.0), loss(1, 0.0), loss(1, 1.0)
@@ -221,7 +224,7 @@ def score(
 ) -> DataFrame:
     """``docs`` with the mean loss per word under both models and their ``difference``: low is like the target.
 
-    Both are bigram models with the same vocabulary, bigrams, smoothing and counting.  No text is judged by counts of its
+    Both are bigram models with the same vocabulary, bigrams, smoothing, counting and, by weight, size.  No text is judged by counts of its
     own: the background is asked without them, and so is the target for texts that belong to it.  Null and empty
     texts have 0 words and null losses; without targets all words have equal shares in the target.  Rows with a null key
     are no targets; rows that repeat a key are targets together.  Columns of these names are replaced.

@@ -156,7 +156,7 @@ def test_losses_equal_brute_force(spark):
         for side in (0, 1):
             out = 1 if side == 0 or i in targets else 0
             total = sum(words[side].values()) - out * len(w)
-            scale = 1.0
+            scale = min(sum(c.values()) for c in words) / sum(words[side].values())
             value = 0.0
             for p in pairs_of(w):
                 single = (scale * (words[side][p[1]] - out * own[p[1]]) + lm.WORD_WEIGHT / size) / (scale * total + lm.WORD_WEIGHT)
