@@ -15,7 +15,6 @@ from pyspark.sql.types import IntegralType
 
 from citegraph import config
 from citegraph.functions import maths
-from citegraph.session import materialise
 
 
 def paper_entities(places: DataFrame, author_affiliation: DataFrame, entity_col: str = "country") -> DataFrame:
@@ -102,7 +101,7 @@ def rca_by_sum(
 ) -> DataFrame:
     """Specialisation on summed values of the rows of ``fact``; see ``rca_of_cells``."""
     cells = topic_cells(fact.filter(F.col("year") > year_thresh), entity_col, value)
-    return rca_of_cells(materialise(cells), paper_thresh, year_thresh, cap)
+    return rca_of_cells(cells, paper_thresh, year_thresh, cap)
 
 
 def rca_of_cells(
@@ -114,8 +113,8 @@ def rca_of_cells(
     """entity, year, rca_sum, field_of_study_id for years after ``year_thresh``.
 
     An (entity, year) qualifies for a topic with at least ``paper_thresh`` papers on it, and only if the
-    entity's value over all topics exceeds that same threshold.  ``cells`` is read several times, so pass
-    a stored table.
+    entity's value over all topics exceeds that same threshold.  ``cells`` is read several times:
+    pass a stored table, or rely on the reuse of its exchange.
     """
     cells = cells.filter(F.col("year") > year_thresh)
     rca = _advantage(
@@ -131,7 +130,7 @@ def rca_by_count(
     year_thresh: str = config.METRIC_YEAR,
 ) -> DataFrame:
     """entity, year, rca_count, field_of_study_id on paper counts: no topic minimum and no cap."""
-    cells = materialise(topic_cells(fact.filter(F.col("year") > year_thresh), entity_col))
+    cells = topic_cells(fact.filter(F.col("year") > year_thresh), entity_col)
     return _advantage(cells, "papers", F.col("_entity") > paper_thresh, F.lit(True), "rca_count")
 
 

@@ -3,21 +3,15 @@
 Orders are papers, parts are topics (brand and type above them), customers are authors, suppliers are
 affiliations.  ``Graph`` builds each table in Spark; ``PRELUDE`` states the same tables as SQL.
 
-The analyses work on stored tables, so the graph is loaded once per application: a table is written to
-the shared folder when a query first needs it and read from there afterwards.
+Every table is a plan over the given tables: nothing is written, and a query reads the columns it needs.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegraph.operators import topics
-from citegraph.session import shared_folder
 
 YEAR = "1996"
 PAPERS = 10
@@ -45,33 +39,7 @@ JOURNAL_NAME = """case o_custkey % 50 when 0 then 'biorxiv' when 1 then 'medrxiv
 GENDER = "case when c_custkey % 5 in (0, 1) then 'female' when c_custkey % 5 = 4 then 'unknown' else 'male' end"
 
 
-# Paths written by this application and the schema of what is there.
-_LOADED: dict[str, object] = {}
-
-
-def stored(build: Callable[[Graph], DataFrame]) -> property:
-    """A table of the graph that is written once per application."""
-
-    @wraps(build)
-    def load(self: Graph) -> DataFrame:
-        source = hashlib.md5(self.folder.encode()).hexdigest()
-        application = self.spark.sparkContext.applicationId
-        path = f"{shared_folder(self.spark).rstrip('/')}/{application}/graph-{source}/{build.__name__}"
-        if path not in _LOADED:
-            table = build(self)
-            table.write.mode("overwrite").parquet(path)
-            _LOADED[path] = table.schema
-        return self.spark.read.schema(_LOADED[path]).parquet(path)
-
-    return property(load)
-
-
 class Graph:
-    STORED = (
-        "papers", "fields_of_study", "metadata", "paper_fos", "hierarchy", "author_affiliation", "affiliation",
-        "places", "authors", "gender", "journals", "vectors", "inverted_index", "raw",
-    )
-
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
@@ -84,8 +52,9 @@ class Graph:
         return self.table("documents")
 
     # --- graph tables ---------------------------------------------------------------------------------
-    @stored
+    @property
     def papers(self) -> DataFrame:
+        """Papers with their abstracts; queries that need no text use ``paper_attributes``."""
         documents = self.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
         return self.paper_attributes.join(documents, "id", "left")
 
@@ -116,7 +85,7 @@ class Graph:
         types = self.table("part").select("p_type").distinct()
         return types.select("p_type", F.expr("900 + dense_rank() over (order by p_type)").cast("long").alias("type"))
 
-    @stored
+    @property
     def fields_of_study(self) -> DataFrame:
         return self._levels.select("id", "name")
 
@@ -128,7 +97,7 @@ class Graph:
         top = self._type_ids.select(F.col("type").alias("id"), F.col("p_type").alias("name"), F.lit(0).alias("level"))
         return low.unionByName(mid).unionByName(top)
 
-    @stored
+    @property
     def paper_fos(self) -> DataFrame:
         brand = self._tags.select(F.col("l_orderkey").alias("paper_id"), F.col("brand").alias("field_of_study_id"))
         part = self._tags.select(
@@ -143,7 +112,7 @@ class Graph:
         top = part.join(self._type_ids, "p_type").select(F.col("type").alias("parent"), self._brand.alias("child"))
         return down.unionByName(top).distinct()
 
-    @stored
+    @property
     def hierarchy(self) -> DataFrame:
         """id, child_id: a part has an empty list."""
         children = self.edges.groupBy(F.col("parent").alias("id")).agg(F.collect_list("child").alias("child_id"))
@@ -152,11 +121,11 @@ class Graph:
             "id", F.coalesce("child_id", empty).alias("child_id")
         )
 
-    @stored
+    @property
     def metadata(self) -> DataFrame:
         return self._levels.select("id", "level", F.lit(None).cast("long").alias("frequency"))
 
-    @stored
+    @property
     def author_affiliation(self) -> DataFrame:
         return self._authorship.select("affiliation_id", "author_id", "paper_id").distinct()
 
@@ -174,7 +143,7 @@ class Graph:
     def paper_authors(self) -> DataFrame:
         return self._authorship.groupBy("paper_id", "author_id").agg(F.min("l_linenumber").alias("order"))
 
-    @stored
+    @property
     def affiliation(self) -> DataFrame:
         return self._suppliers.select(
             F.col("s_suppkey").alias("id"), F.expr(AFFILIATION_NAME).alias("affiliation")
@@ -185,17 +154,17 @@ class Graph:
         nation = self.table("nation").withColumnRenamed("n_nationkey", "s_nationkey")
         return self.table("supplier").join(nation, "s_nationkey").withColumn("n_nationkey", F.col("s_nationkey"))
 
-    @stored
+    @property
     def places(self) -> DataFrame:
         return self._suppliers.select(
             F.col("s_suppkey").alias("affiliation_id"), F.expr(PLACE_COUNTRY).alias("country")
         )
 
-    @stored
+    @property
     def authors(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("id"), F.expr(AUTHOR_NAME).alias("name"))
 
-    @stored
+    @property
     def gender(self) -> DataFrame:
         return self.table("customer").select(
             F.col("c_custkey").alias("id"),
@@ -203,7 +172,7 @@ class Graph:
             ((F.col("c_custkey") % 101) / 100).cast("double").alias("probability"),
         )
 
-    @stored
+    @property
     def journals(self) -> DataFrame:
         return self.table("orders").select(
             (F.col("o_custkey") % 50).alias("id"),
@@ -211,7 +180,7 @@ class Graph:
             F.col("o_orderkey").alias("paper_id"),
         )
 
-    @stored
+    @property
     def vectors(self) -> DataFrame:
         embeddings = self.table("embeddings").select("vec_id", F.col("embedding").alias("vector"))
         size = embeddings.count()
@@ -241,20 +210,62 @@ class Graph:
     def frequencies(self) -> DataFrame:
         return topics.topic_frequency(self.paper_fos, self.metadata)
 
-    @stored
+    @property
     def filtered(self) -> DataFrame:
         return topics.filter_topics(self.frequencies)
 
-    @stored
+    @property
     def closure(self) -> DataFrame:
         return topics.topic_closure(self.hierarchy, self.filtered)
 
     # --- landed records -------------------------------------------------------------------------------
-    @stored
+    @property
     def raw(self) -> DataFrame:
         """Landed publication records with ``ordinal`` = order key."""
-        orders = self.table("orders")
+        return self.landed(people=True, topics=True, texts=True)
+
+    def landed(self, people: bool = False, topics: bool = False, texts: bool = False) -> DataFrame:
+        """The records with the chosen nested parts."""
+        records = self.table("orders")
         key = F.col("o_orderkey")
+        if people:
+            records = records.join(self._people, "o_orderkey", "left")
+        if topics:
+            records = records.join(self._topics, "o_orderkey", "left")
+        if texts:
+            records = records.join(self.inverted_index.withColumnRenamed("id", "o_orderkey"), "o_orderkey", "left")
+        numbers = lambda n: F.concat(F.lit(n), key.cast("string"))
+        journal = F.struct(F.expr(JOURNAL_NAME).alias("JN"), (F.col("o_custkey") % 50).alias("JId"))
+        conference = F.struct(
+            F.concat(F.lit("conference "), F.col("o_orderpriority")).alias("CN"),
+            (F.col("o_custkey") % 7).alias("CId"),
+        )
+        link = F.struct(F.lit(1).alias("Ty"), numbers("https://example.org/paper/").alias("U"))
+        return records.select(
+            key.alias("Id"),
+            F.concat_ws(" ", F.col("o_orderpriority"), F.col("o_custkey").cast("string")).alias("Ti"),
+            F.col("o_orderstatus").alias("Pt"),
+            numbers("Paper ").alias("DN"),
+            F.year("o_orderdate").alias("Y"),
+            F.date_format("o_orderdate", "yyyy-MM-dd").alias("D"),
+            F.floor(F.col("o_totalprice") / 1000).cast("int").alias("CC"),
+            F.lit(1.0).alias("prob"),
+            F.col("o_totalprice").alias("logprob"),
+            F.when(F.col("o_orderstatus") == "F", numbers("10.1000/")).alias("DOI"),
+            F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("PB"),
+            F.lit("a").alias("BT"),
+            F.when(key > 1, F.array(key - 1, key - 2)).alias("RId"),
+            *([F.coalesce("AA", F.array()).alias("AA")] if people else []),
+            *(["F"] if topics else []),
+            F.when(F.col("o_orderstatus") != "O", journal).alias("J"),
+            F.when(F.col("o_orderstatus") == "O", conference).alias("C"),
+            *(["IA"] if texts else []),
+            F.when(F.col("o_orderstatus") != "P", F.array(link)).alias("S"),
+            key.alias("ordinal"),
+        )
+
+    @property
+    def _people(self) -> DataFrame:
         authors = self.authors.select(F.col("id").alias("author_id"), "name")
         affiliations = self.affiliation.select(F.col("id").alias("affiliation_id"), "affiliation")
         author = F.struct(
@@ -267,67 +278,47 @@ class Graph:
                 F.col("l_linenumber").alias("S"),
             ).alias("a"),
         )
-        people = (
+        return (
             self._authorship.join(authors, "author_id").join(affiliations, "affiliation_id", "left")
             .groupBy(F.col("paper_id").alias("o_orderkey"))
             .agg(F.sort_array(F.collect_list(author)).alias("people"))
             .select("o_orderkey", F.transform("people", lambda p: p["a"]).alias("AA"))
         )
+
+    @property
+    def _topics(self) -> DataFrame:
         names = self.fields_of_study.select(F.col("id").alias("field_of_study_id"), "name")
         topic = F.struct(F.col("name").alias("DFN"), F.col("field_of_study_id").alias("FId"))
-        tags = (
+        return (
             self.paper_fos.join(names, "field_of_study_id")
             .groupBy(F.col("paper_id").alias("o_orderkey"))
             .agg(F.sort_array(F.collect_list(topic)).alias("F"))
         )
-        numbers = lambda n: F.concat(F.lit(n), key.cast("string"))
-        journal = F.struct(F.expr(JOURNAL_NAME).alias("JN"), (F.col("o_custkey") % 50).alias("JId"))
-        conference = F.struct(
-            F.concat(F.lit("conference "), F.col("o_orderpriority")).alias("CN"),
-            (F.col("o_custkey") % 7).alias("CId"),
-        )
-        link = F.struct(F.lit(1).alias("Ty"), numbers("https://example.org/paper/").alias("U"))
-        return (
-            orders.join(people, "o_orderkey", "left")
-            .join(tags, "o_orderkey", "left")
-            .join(self.inverted_index.withColumnRenamed("id", "o_orderkey"), "o_orderkey", "left")
-            .select(
-                key.alias("Id"),
-                F.concat_ws(" ", F.col("o_orderpriority"), F.col("o_custkey").cast("string")).alias("Ti"),
-                F.col("o_orderstatus").alias("Pt"),
-                numbers("Paper ").alias("DN"),
-                F.year("o_orderdate").alias("Y"),
-                F.date_format("o_orderdate", "yyyy-MM-dd").alias("D"),
-                F.floor(F.col("o_totalprice") / 1000).cast("int").alias("CC"),
-                F.lit(1.0).alias("prob"),
-                F.col("o_totalprice").alias("logprob"),
-                F.when(F.col("o_orderstatus") == "F", numbers("10.1000/")).alias("DOI"),
-                F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("PB"),
-                F.lit("a").alias("BT"),
-                F.when(key > 1, F.array(key - 1, key - 2)).alias("RId"),
-                F.coalesce("AA", F.array()).alias("AA"),
-                "F",
-                F.when(F.col("o_orderstatus") != "O", journal).alias("J"),
-                F.when(F.col("o_orderstatus") == "O", conference).alias("C"),
-                "IA",
-                F.when(F.col("o_orderstatus") != "P", F.array(link)).alias("S"),
-                key.alias("ordinal"),
-            )
-        )
 
-    @stored
+    @property
     def inverted_index(self) -> DataFrame:
-        """id, IA: every document as a word -> positions map."""
-        positions = self.documents.select(
-            F.col("doc_id").alias("id"), F.posexplode(F.split("text", " ", -1)).alias("position", "word")
-        )
-        words = positions.groupBy("id", "word").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-        index = F.map_from_entries(F.collect_list(F.struct("word", "positions")))
-        return words.groupBy("id").agg(
-            F.struct(
-                F.sum(F.size("positions")).cast("int").alias("IndexLength"), index.alias("InvertedIndex")
-            ).alias("IA")
-        )
+        """id, IA: every document as a word -> positions map, built inside its row."""
+        words = F.split("text", " ", -1)
+        placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("position"))))
+
+        def index(pairs):
+            word = lambda i: F.get(pairs, i)["word"]
+            starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
+            entry = lambda s: F.transform(
+                s,
+                lambda p, i: F.struct(
+                    word(p).alias("key"),
+                    F.transform(
+                        F.slice(pairs, p + 1, F.coalesce(F.get(s, i + 1), F.size(pairs)) - p), lambda x: x["position"]
+                    ).alias("value"),
+                ),
+            )
+            # A list of one element binds a value to a name, so that it is computed once.
+            entries = F.get(F.transform(F.array(starts), entry), F.lit(0))
+            return F.struct(F.size(pairs).alias("IndexLength"), F.map_from_entries(entries).alias("InvertedIndex"))
+
+        documents = self.table("documents").filter(F.col("text").isNotNull())
+        return documents.select(F.col("doc_id").alias("id"), F.get(F.transform(F.array(placed), index), F.lit(0)).alias("IA"))
 
 
 PRELUDE = f"""

@@ -46,7 +46,7 @@ def topic_closure(g: Graph) -> DataFrame:
     FROM topic_papers t JOIN papers ON id = paper_id GROUP BY topic, year"""
 )
 def yearly_topic_totals(g: Graph) -> DataFrame:
-    totals = topics.yearly_topic_totals(g.papers, g.paper_fos, g.closure)
+    totals = topics.yearly_topic_totals(g.paper_attributes, g.paper_fos, g.closure)
     return totals.withColumn("all_children", F.array_join(F.col("all_children").cast("array<string>"), ","))
 
 
@@ -56,12 +56,12 @@ def paper_countries(g: Graph) -> DataFrame:
 
 
 def country_fact(g: Graph) -> DataFrame:
-    return indicators.base_fact(paper_countries(g), g.papers, g.paper_fos, g.filtered)
+    return indicators.base_fact(paper_countries(g), g.paper_attributes, g.paper_fos, g.filtered)
 
 
 def affiliation_fact(g: Graph) -> DataFrame:
     pairs = indicators.paper_entities(g.places, g.author_affiliation, "affiliation_id")
-    return indicators.base_fact(pairs, g.papers, g.paper_fos, g.filtered)
+    return indicators.base_fact(pairs, g.paper_attributes, g.paper_fos, g.filtered)
 
 
 AFFILIATION_FACT = """
@@ -203,7 +203,7 @@ def research_diversity(g: Graph) -> DataFrame:
 
 def research(g: Graph) -> DataFrame:
     return indicators.research_diversity(
-        paper_countries(g), g.papers, g.paper_fos, g.closure, fos_thresh=10, year_thresh=YEAR
+        paper_countries(g), g.paper_attributes, g.paper_fos, g.closure, fos_thresh=10, year_thresh=YEAR
     )
 
 
@@ -230,7 +230,7 @@ def female_share(g: Graph) -> DataFrame:
 
 
 def gender(g: Graph) -> DataFrame:
-    return indicators.gender_diversity(paper_countries(g), g.papers, g.paper_fos, female_share(g), g.filtered)
+    return indicators.gender_diversity(paper_countries(g), g.paper_attributes, g.paper_fos, female_share(g), g.filtered)
 
 
 @query(FEMALE_SHARE + "SELECT paper_id, round(female_share + 1e-9, 6) AS female_share FROM share")
@@ -255,7 +255,7 @@ def gender_diversity(g: Graph) -> DataFrame:
 )
 def gender_diversity_with_descendants(g: Graph) -> DataFrame:
     diversity = indicators.gender_diversity(
-        paper_countries(g), g.papers, g.paper_fos, female_share(g), g.filtered, closure=g.closure
+        paper_countries(g), g.paper_attributes, g.paper_fos, female_share(g), g.filtered, closure=g.closure
     )
     return rounded(diversity, "female_share")
 
@@ -267,4 +267,4 @@ def gender_diversity_with_descendants(g: Graph) -> DataFrame:
     WHERE a.country < b.country AND year > '{YEAR}' GROUP BY ALL"""
 )
 def country_collaboration(g: Graph) -> DataFrame:
-    return indicators.country_collaboration(paper_countries(g), g.papers, YEAR)
+    return indicators.country_collaboration(paper_countries(g), g.paper_attributes, YEAR)

@@ -87,13 +87,13 @@ _PARENTS = {"papers": "papers", "authors": "authors", "affiliation": "affiliatio
 def foreign_keys(g: Graph) -> DataFrame:
     """Rows of each declared reference without a parent; the tables are those of the graph."""
     tables = {
-        "paper_journal": normalise.journals(g.raw),
-        "paper_conferences": normalise.conferences(g.raw),
+        "paper_journal": normalise.journals(g.landed()),
+        "paper_conferences": normalise.conferences(g.landed()),
         "paper_authors": g.paper_authors,
         "author_affiliation": g.author_affiliation,
         "paper_fields_of_study": g.paper_fos,
         "geocoded_places": g.places,
-        "papers": g.papers,
+        "papers": g.paper_attributes,
         "authors": g.authors,
         "affiliation": g.affiliation,
         "fields_of_study": g.fields_of_study,
@@ -179,7 +179,7 @@ def date_intervals(g: Graph) -> DataFrame:
     FROM orders JOIN papers ON id = o_orderkey"""
 )
 def parse_papers(g: Graph) -> DataFrame:
-    return normalise.papers(g.raw).select(
+    return normalise.papers(g.landed(texts=True)).select(
         "id", "title", "publication_type", "year", "date", "citations", "original_title", "doi", "publisher",
         "bibtex_doc_type", F.array_join(F.col("references").cast("array<string>"), ",").alias("refs"), "source",
         "abstract",
@@ -198,7 +198,7 @@ def abstracts(g: Graph) -> DataFrame:
     WHERE o_orderstatus <> 'O'"""
 )
 def parse_journals(g: Graph) -> DataFrame:
-    return normalise.journals(g.raw)
+    return normalise.journals(g.landed())
 
 
 @query(
@@ -206,7 +206,7 @@ def parse_journals(g: Graph) -> DataFrame:
         o_orderkey AS paper_id FROM orders WHERE o_orderstatus = 'O'"""
 )
 def parse_conferences(g: Graph) -> DataFrame:
-    return normalise.conferences(g.raw)
+    return normalise.conferences(g.landed())
 
 
 _KNOWN = "JOIN authors ON authors.id = a.author_id"
@@ -214,22 +214,22 @@ _KNOWN = "JOIN authors ON authors.id = a.author_id"
 
 @query(f"SELECT DISTINCT author_id AS id, name FROM authorship a {_KNOWN}")
 def parse_authors(g: Graph) -> DataFrame:
-    return normalise.authors(g.raw)
+    return normalise.authors(g.landed(people=True))
 
 
 @query(f"""SELECT DISTINCT paper_id, author_id, l_linenumber AS "order" FROM authorship a {_KNOWN}""")
 def parse_paper_authors(g: Graph) -> DataFrame:
-    return normalise.paper_authors(g.raw)
+    return normalise.paper_authors(g.landed(people=True))
 
 
 @query("SELECT DISTINCT id, name FROM levels JOIN paper_fos ON field_of_study_id = id")
 def parse_fields_of_study(g: Graph) -> DataFrame:
-    return normalise.fields_of_study(g.raw)
+    return normalise.fields_of_study(g.landed(topics=True))
 
 
 @query("SELECT paper_id, field_of_study_id FROM paper_fos")
 def parse_paper_fields_of_study(g: Graph) -> DataFrame:
-    return normalise.paper_fields_of_study(g.raw)
+    return normalise.paper_fields_of_study(g.landed(topics=True))
 
 
 @query(
@@ -237,7 +237,7 @@ def parse_paper_fields_of_study(g: Graph) -> DataFrame:
     {_KNOWN} WHERE f.id <> 0"""
 )
 def parse_affiliations(g: Graph) -> DataFrame:
-    return normalise.affiliations(g.raw)
+    return normalise.affiliations(g.landed(people=True))
 
 
 @query(
@@ -245,7 +245,7 @@ def parse_affiliations(g: Graph) -> DataFrame:
     FROM authorship a {_KNOWN}"""
 )
 def parse_author_affiliation(g: Graph) -> DataFrame:
-    return normalise.author_affiliation(g.raw)
+    return normalise.author_affiliation(g.landed(people=True))
 
 
 # --- incremental runs ---------------------------------------------------------------------------------
@@ -256,7 +256,7 @@ def parse_author_affiliation(g: Graph) -> DataFrame:
 def incremental_merge(g: Graph) -> DataFrame:
     """Urgent orders landed a second time with one more citation; fulfilled orders are stored already."""
     orders = g.table("orders")
-    first = g.raw.select("Id", "CC", "ordinal")
+    first = g.landed().select("Id", "CC", "ordinal")
     urgent = orders.filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("Id"))
     again = first.join(urgent, "Id", "left_semi").select(
         "Id", (F.col("CC") + 1).alias("CC"), (F.col("ordinal") + F.lit(1 << 40)).alias("ordinal")
@@ -298,7 +298,7 @@ def not_yet_processed(g: Graph) -> DataFrame:
             ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1"""
 )
 def best_match_per_title(g: Graph) -> DataFrame:
-    found = normalise.best_match_per_title(g.raw.select("Id", "Ti", "logprob", "ordinal"))
+    found = normalise.best_match_per_title(g.landed().select("Id", "Ti", "logprob", "ordinal"))
     return found.select(F.col("Id").alias("id"))
 
 

@@ -11,7 +11,6 @@ from citegraph.operators.lists import dense_index
 from citegraph.queries import measuring
 from citegraph.queries.graph import PAPERS, YEAR, Graph
 from citegraph.queries.registry import query, rounded
-from citegraph.session import materialise
 
 # --- mean vectors and neighbours ----------------------------------------------------------------------
 _MEANS = """
@@ -28,7 +27,7 @@ _MEANS = """
 
 def _country_vectors(g: Graph, year: str | None = None) -> DataFrame:
     pairs = measuring.paper_countries(g)
-    return vectors.country_vectors(pairs, g.papers, g.paper_fos, g.vectors, g.closure, year=year)
+    return vectors.country_vectors(pairs, g.paper_attributes, g.paper_fos, g.vectors, g.closure, year=year)
 
 
 @query(_MEANS + "SELECT field_of_study_id, year, country, cast(pos - 1 AS integer) AS pos, round(x + 1e-9, 6) AS x, n FROM means")
@@ -213,10 +212,9 @@ _METRICS = (
 
 
 def _all_metrics(g: Graph) -> DataFrame:
-    """The metric table; it is stored, as its readers use it more than once."""
     rca = indicators.rca_by_sum(measuring.country_fact(g), "country", paper_thresh=PAPERS, year_thresh=YEAR)
     metrics = outputs.all_metrics(measuring.research(g), rca, measuring.gender(g), g.fields_of_study)
-    return materialise(rounded(metrics, "shannon_diversity", "rca_sum", "female_share"))
+    return rounded(metrics, "shannon_diversity", "rca_sum", "female_share")
 
 
 @query(_METRICS + "SELECT * FROM metrics")
@@ -237,7 +235,7 @@ SELECT country, field_of_study_id, year, paper_count, total_citations, name, sha
 FROM produced JOIN metrics USING (field_of_study_id, country, year)"""
 )
 def country_topic_outputs(g: Graph) -> DataFrame:
-    return outputs.country_topic_outputs(g.papers, g.paper_fos, g.author_affiliation, g.places, _all_metrics(g))
+    return outputs.country_topic_outputs(g.paper_attributes, g.paper_fos, g.author_affiliation, g.places, _all_metrics(g))
 
 
 @query(
@@ -260,7 +258,7 @@ def papers_by_topic(g: Graph) -> DataFrame:
     f"SELECT year, id AS paper_id FROM papers WHERE year > '{YEAR}'"
 )
 def papers_by_year(g: Graph) -> DataFrame:
-    return outputs.papers_by_year(g.papers, YEAR)
+    return outputs.papers_by_year(g.paper_attributes, YEAR)
 
 
 @query(
@@ -307,7 +305,7 @@ def flat_export(g: Graph) -> DataFrame:
     projected = vectors.project(documents, vectors.fit_projection(documents))
     export = outputs.flat_export(
         projected,
-        g.papers,
+        g.paper_attributes,
         outputs.paper_topic_names(g.paper_fos, g.filtered, g.fields_of_study),
         outputs.papers_by_country(measuring.paper_countries(g)),
     )

@@ -32,7 +32,7 @@ def get_session(app_name: str = "citegraph", master: str | None = None, conf: di
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and staged files: ``spark.checkpoint.dir``.
 
-    Only a local-mode session without the setting (tests) gets a temporary folder; on a cluster a
+    Only a session on one machine without the setting (tests) gets a temporary folder; anywhere else a
     machine-local folder would be lost with its executor, so the setting is required there.
     """
     context = spark.sparkContext
@@ -43,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="citegraph-"))
     return context.getCheckpointDir()
