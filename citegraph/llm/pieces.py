@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,12 +106,14 @@ class Segmenter:
     def __init__(self, model: dict):
         self.base, self.check, self.value = model["trie"].lists()
         self.logs, self.byte, self.byte_log = model["logs"], model["byte"], model["byte_log"]
-        self.byte_ids = frozenset(model["byte_ids"])
+        self.spelled = np.zeros(len(self.logs), bool)
+        self.spelled[model["byte_ids"]] = True
+        self.scores = np.where(self.spelled, self.byte_log, np.array(self.logs))
         self.chunks = re.compile(" *[^ ]+| +" if model["breaks"] else "(?s).+").findall
         self.remembered = Remembered(self.segment, 400_000)
 
-    def segment(self, text: str) -> tuple[tuple[int, ...], float, int]:
-        """(ids, log score, ids that stand for single bytes).
+    def segment(self, text: str) -> bytes:
+        """The piece ids as 32-bit numbers.
 
         Positions are visited in order and a path is replaced only by a better one, so among equal paths the one
         whose last piece is longest stays.  A character that is no piece of its own can always be spelled in bytes.
@@ -147,24 +149,26 @@ class Segmenter:
                 if best[j] is None or score > best[j]:
                     best[j], back[j] = score, (i, -1)
         ids: list[int] = []
-        at, in_bytes = n, 0
+        at = n
         while at:
             start, piece = back[at]
             if piece < 0:
                 ids.extend(self.byte[b] for b in reversed(data[start:at]))
-                in_bytes += at - start
             else:
                 ids.append(piece)
             at = start
-        return tuple(reversed(ids)), best[n], in_bytes
+        ids.reverse()
+        return array("i", ids).tobytes()
 
-    def encode(self, text: str) -> tuple[list[tuple], float, int]:
-        """Segmentations of the stretches of ``text`` behind a leading space, their log score and byte count."""
+    def encode(self, text: str) -> tuple[np.ndarray, float, int]:
+        """(ids of the text behind a leading space, their log score, how many stand for single bytes)."""
         if not text:
-            return [], 0.0, 0
+            return np.empty(0, np.int32), 0.0, 0
         short, known, compute = REMEMBERED_LENGTH, self.remembered, self.segment
-        found = [known[c] if len(c) <= short else compute(c) for c in self.chunks(" " + text)]
-        return [f[0] for f in found], sum([f[1] for f in found]), sum([f[2] for f in found])
+        ids = np.frombuffer(
+            b"".join([known[c] if len(c) <= short else compute(c) for c in self.chunks(" " + text)]), np.int32
+        )
+        return ids, float(self.scores[ids].sum()), int(self.spelled[ids].sum())
 
 
 def _sent(spark: SparkSession, model_path: str) -> tuple[str, object]:
@@ -189,8 +193,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "pie
         for texts in batches:
             values, counts, scores, in_bytes = [], [], [], []
             for text in texts.to_pylist():
-                found, score, spelled = segmenter.encode(text or "")
-                part = np.fromiter(chain.from_iterable(found), np.int32)
+                part, score, spelled = segmenter.encode(text or "")
                 values.append(part)
                 counts.append(None if text is None else len(part))
                 scores.append(None if text is None else score)
@@ -231,7 +234,12 @@ def decode(docs: DataFrame, model_path: str, ids: str = "piece_ids", into: str =
                 if not present:
                     joined.append(None)
                     continue
-                text = b"".join([words.get(i, b"") for i in values[start:end].tolist()]).decode(errors="replace")
+                ids = values[start:end].tolist()
+                try:
+                    spelled = b"".join(map(words.__getitem__, ids))
+                except KeyError:
+                    spelled = b"".join([words.get(i, b"") for i in ids])
+                text = spelled.decode(errors="replace")
                 joined.append(text[1:] if text.startswith(" ") else text)
             yield pa.array(joined, pa.string())
 
