@@ -81,7 +81,11 @@ def _place_responses(g: Graph) -> DataFrame:
     FROM suppliers JOIN region ON r_regionkey = n_regionkey"""
 )
 def geocoded_places(g: Graph) -> DataFrame:
-    places = enrich.geocoded_places(_place_responses(g))
+    return flat_places(_place_responses(g))
+
+
+def flat_places(responses: DataFrame) -> DataFrame:
+    places = enrich.geocoded_places(responses)
     return rounded(places.withColumn("types", F.array_join("types", ",")), "lat", "lng")
 
 
@@ -126,10 +130,14 @@ def name_batches(g: Graph) -> DataFrame:
 )
 def infer_gender(g: Graph) -> DataFrame:
     """The service answers by name length; names that start with B were collected before."""
+    return genders_from(g, gender_responses(g))
+
+
+def gender_responses(g: Graph) -> DataFrame:
     names = enrich.name_batches(g.authors, _BATCH)
     length = F.char_length("proc_name")
     # One response per author, so a name is answered as often as it occurs.
-    responses = names.select(
+    return names.select(
         F.struct(F.col("proc_name").alias("full_name")).alias("input"),
         F.struct((length * 10).alias("samples")).alias("details"),
         (length % 5 != 0).alias("result_found"),
@@ -137,6 +145,10 @@ def infer_gender(g: Graph) -> DataFrame:
         (length / 40.0).cast("double").alias("probability"),
         F.when(length % 2 == 0, "female").otherwise("male").alias("gender"),
     )
+
+
+def genders_from(g: Graph, responses: DataFrame) -> DataFrame:
+    names = enrich.name_batches(g.authors, _BATCH)
     stored = names.filter(F.col("proc_name").startswith("B")).select(F.col("proc_name").alias("full_name"))
     return rounded(enrich.author_gender(responses, names, stored), "probability")
 
@@ -193,6 +205,10 @@ FROM asked WHERE google_country <> 'Russia'"""
 )
 def country_details(g: Graph) -> DataFrame:
     """The service knows countries by its own names, has two matches for each and none for Russia."""
+    return enrich.country_details(country_responses(g), enrich.country_association(g.places))
+
+
+def country_responses(g: Graph) -> DataFrame:
     association = enrich.country_association(g.places)
     _, renamed = enrich.lookup(config.PLACE_TO_DETAILS_COUNTRY, F.col("google_country"))
     asked = association.filter(F.col("google_country") != "Russia").select(
@@ -212,5 +228,4 @@ def country_details(g: Graph) -> DataFrame:
         )
 
     responses = asked.select("query_name", F.array(match(1), match(2)).alias("body"))
-    responses = responses.union(responses)  # landed twice
-    return enrich.country_details(responses, association)
+    return responses.union(responses)  # landed twice

@@ -17,7 +17,7 @@ from citegraph.session import shared_folder
 from citegraph.sources import country_indicators, records, store
 
 
-def _fresh_folder(g: Graph, label: str) -> str:
+def fresh_folder(g: Graph, label: str) -> str:
     return f"{shared_folder(g.spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -29,7 +29,7 @@ def _fresh_folder(g: Graph, label: str) -> str:
     FROM orders WHERE o_orderstatus = 'F'"""
 )
 def scan_records(g: Graph) -> DataFrame:
-    folder = _fresh_folder(g, "landed")
+    folder = fresh_folder(g, "landed")
     records.write_records(g.raw, folder)
     landed = records.read_records(g.spark, folder, with_doi=True)
     return landed.select(
@@ -48,7 +48,7 @@ def scan_records(g: Graph) -> DataFrame:
     UNION ALL SELECT 'papers', 2 * count(*) FROM papers"""
 )
 def scan_tables(g: Graph) -> DataFrame:
-    kept = store.Store(g.spark, _fresh_folder(g, "tables"))
+    kept = store.Store(g.spark, fresh_folder(g, "tables"))
     tables = {
         "author_affiliation": g.author_affiliation,
         "authors": g.authors,
@@ -179,7 +179,11 @@ def date_intervals(g: Graph) -> DataFrame:
     FROM orders JOIN papers ON id = o_orderkey"""
 )
 def parse_papers(g: Graph) -> DataFrame:
-    return normalise.papers(g.landed(texts=True)).select(
+    return parsed_papers(g.landed(texts=True))
+
+
+def parsed_papers(raw: DataFrame) -> DataFrame:
+    return normalise.papers(raw).select(
         "id", "title", "publication_type", "year", "date", "citations", "original_title", "doi", "publisher",
         "bibtex_doc_type", F.array_join(F.col("references").cast("array<string>"), ",").alias("refs"), "source",
         "abstract",
@@ -274,7 +278,10 @@ def incremental_merge(g: Graph) -> DataFrame:
     UNION ALL SELECT 'author never published', id FROM authors
         WHERE id NOT IN (SELECT author_id FROM paper_authors)
     UNION ALL SELECT 'topic without papers', id FROM levels
-        WHERE id NOT IN (SELECT field_of_study_id FROM paper_fos)"""
+        WHERE id NOT IN (SELECT field_of_study_id FROM paper_fos)
+    UNION ALL SELECT 'author without gender', id FROM authors WHERE id NOT IN (SELECT id FROM gender WHERE gender <> 'unknown')
+    UNION ALL SELECT 'vector without projection', id FROM vectors
+        WHERE id NOT IN (SELECT id FROM papers WHERE length(abstract) >= 300)"""
 )
 def not_yet_processed(g: Graph) -> DataFrame:
     located = g.places.filter(F.col("country").isNotNull())
@@ -284,6 +291,8 @@ def not_yet_processed(g: Graph) -> DataFrame:
         "affiliation without country": (g.affiliation, located, "affiliation_id"),
         "author never published": (g.authors, g.paper_authors, "author_id"),
         "topic without papers": (g.fields_of_study, g.paper_fos, "field_of_study_id"),
+        "author without gender": (g.authors, g.gender.filter("gender <> 'unknown'"), "id"),
+        "vector without projection": (g.vectors, g.papers.filter(F.char_length("abstract") >= 300), "id"),
     }
     left = [
         normalise.not_yet_stored(new.select("id"), stored, "id", key).select(F.lit(label).alias("missing"), "id")
@@ -303,7 +312,7 @@ def best_match_per_title(g: Graph) -> DataFrame:
 
 
 # --- topics -------------------------------------------------------------------------------------------
-def _landed_topics(g: Graph) -> DataFrame:
+def landed_topics(g: Graph) -> DataFrame:
     """Landed topics: every link also names one topic that is not ours."""
 
     def with_stranger(ids):
@@ -317,14 +326,14 @@ def _landed_topics(g: Graph) -> DataFrame:
     )
 
 
-def _described(g: Graph) -> DataFrame:
+def described(g: Graph) -> DataFrame:
     """Topics that an earlier run described: the top level."""
     return g.metadata.filter(F.col("level") == 0)
 
 
 @query("SELECT id, level, cast(NULL AS bigint) AS frequency FROM levels WHERE level > 0")
 def topic_metadata(g: Graph) -> DataFrame:
-    return normalise.topic_metadata(_landed_topics(g), g.fields_of_study, _described(g))
+    return normalise.topic_metadata(landed_topics(g), g.fields_of_study, described(g))
 
 
 @query(
@@ -334,7 +343,7 @@ def topic_metadata(g: Graph) -> DataFrame:
     FROM levels WHERE level > 0"""
 )
 def topic_hierarchy(g: Graph) -> DataFrame:
-    links = normalise.topic_hierarchy(_landed_topics(g), g.fields_of_study, _described(g))
+    links = normalise.topic_hierarchy(landed_topics(g), g.fields_of_study, described(g))
 
     def joined(name: str):
         return F.array_join(F.col(name).cast("array<string>"), ",")

@@ -147,10 +147,11 @@ def _shape_of_text(texts: list[str]) -> list[list[float]]:
     """SELECT id, cast(length(abstract) AS double) AS chars,
         cast(length(abstract) - length(replace(abstract, ' ', '')) AS double) AS spaces,
         cast(length(abstract) - length(replace(abstract, chr(10), '')) AS double) AS lines
-    FROM papers WHERE abstract IS NOT NULL AND id NOT IN (SELECT vec_id FROM embeddings)"""
+    FROM papers WHERE abstract IS NOT NULL AND id NOT IN (SELECT vec_id FROM embeddings WHERE label <> 3)"""
 )
 def encode_documents(g: Graph) -> DataFrame:
-    stored = g.table("embeddings").select(F.col("vec_id").alias("id"))
+    """Documents whose vector has another label than the one to be encoded anew have been encoded before."""
+    stored = g.table("embeddings").filter("label <> 3").select(F.col("vec_id").alias("id"))
     encoded = vectors.encode_documents(g.papers, _shape_of_text, stored)
     return encoded.select("id", *[F.col("vector")[i].alias(n) for i, n in enumerate(("chars", "spaces", "lines"))])
 

@@ -35,3 +35,14 @@ def query(sql: str | None = None) -> Callable[[Callable[[Graph], DataFrame]], Ca
         return build
 
     return register
+
+
+def same_result_as(name: str) -> Callable[[Callable[[Graph], DataFrame]], Callable[[Graph], DataFrame]]:
+    """Register a function that must give the rows of the query ``name`` by another way."""
+
+    def register(build: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
+        QUERIES[build.__name__] = lambda spark, folder: build(Graph(spark, folder))
+        ORACLES[build.__name__] = ORACLES[name]
+        return build
+
+    return register

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegraph import schemas
-from citegraph.session import materialise
 
 
 def nan_text_to_null(df: DataFrame) -> DataFrame:
@@ -79,9 +79,22 @@ class Store:
     def update(self, df: DataFrame, name: str) -> None:
         """Replace a table by a result computed from that same table.
 
-        The result is materialised first, because an overwrite removes the files it reads.
+        The result is written beside the table, which is then moved out of the way and replaced; until that moment
+        every reader sees the old rows, and a run that breaks off leaves a complete table behind.
         """
-        self.refresh(materialise(self._shaped(df, name)), name)
+        path, mark = self.path(name), uuid.uuid4().hex
+        fresh, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+        writer = self._shaped(df, name).write.format(self.format)
+        writer.partitionBy(*PARTITION_COLUMNS.get(name, [])).save(fresh)
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path
+        files = place(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(place(path)) and not files.rename(place(path), place(old)):
+            raise OSError(f"{path} cannot be moved")
+        if not files.rename(place(fresh), place(path)):
+            files.rename(place(old), place(path))
+            raise OSError(f"{fresh} cannot be moved to {path}")
+        files.delete(place(old), True)
 
     def create_empty(self, name: str) -> None:
         self._save(self.spark.createDataFrame([], schemas.TABLES[name]), name, "ignore")
