@@ -258,12 +258,16 @@ def training_sample(docs: DataFrame, text: str, language: str, training: Column)
     """
     known = docs.filter(training & quoted(language).isNotNull() & quoted(text).isNotNull())
     hashed = known.select(quoted(language).alias("language"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("t"))
-    names = hashed.select("language").distinct().count()
+    sizes = hashed.groupBy("language").agg(F.approx_count_distinct("h").alias("texts"))
+    names = sizes.count()
     if not names:
         return []
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS // names))
-    order = F.row_number().over(Window.partitionBy("language").orderBy("h"))
-    drawn = hashed.select("language", "h").distinct().withColumn("place", order).filter(F.col("place") <= each)
+    # Most texts drop out by their hash alone, before those of one language meet: about twice as many as are needed stay.
+    chance = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    lucky = hashed.select("language", "h").join(sizes, "language").filter(chance * F.col("texts") < 2 * each)
+    order = F.row_number().over(Window.partitionBy("language").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
+    drawn = lucky.select("language", "h").distinct().withColumn("place", order).filter(F.col("place") <= each)
     # At most SAMPLE_TEXTS rows, or one for each language if there are more of these.
     chosen = hashed.join(F.broadcast(drawn.drop("place")), ["language", "h"])
     spare = F.greatest(F.length("t") - SAMPLE_CHARACTERS, F.lit(0)) + 1
