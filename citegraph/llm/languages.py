@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import Remembered, add_fields, once_per_worker, quoted, table
+from citegraph.llm.common import add_fields, once_per_worker, quoted, table
 
 #: Slots of hashed features; each language has one weight per slot.
-SLOTS = 1 << 17
+SLOT_BITS = 17
+SLOTS = 1 << SLOT_BITS
 #: The training sample: texts per language, texts in all, characters taken from a text.
 SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS, SAMPLE_CHARACTERS = 120, 6000, 3000
 #: Words per language in the lexicon, which comes from the sample too.
@@ -24,18 +25,44 @@ LEXICON = 5000
 EPOCHS, BATCH, LENGTH, RATE = 4, 256, 32, 0.3
 #: Words that go through one step of the recursions together; documents are cut into stretches of that many words.
 STRETCH = 64
+#: Words whose scores a worker keeps.
+REMEMBERED = 800_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed affixes of up to three letters and all 2- to 4-grams of the bounded word."""
-    word = word.lower()
-    names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)] + ["w" + word]
-    bounded = f"^{word}$"
-    names += [bounded[i : i + n] for n in (2, 3, 4) for i in range(len(bounded) - n + 1)]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % SLOTS for n in names]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_OPEN, _CLOSE = ord("^"), ord("$")  # no word holds these
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, word number) of the hashed features of many words, in the order of the words.
+
+    A word in lower case stands between two marks.  Its features are all 2- to 4-grams, those that touch a mark being
+    the affixes of one to three letters, and the whole word.
+    """
+    marked = ("^" + "$^".join([w.lower() for w in words]) + "$").encode("utf-32-le", "surrogatepass")
+    letters = np.frombuffer(marked, np.uint32).astype(np.uint64)
+    owner = np.cumsum(letters == _OPEN) - 1
+    closed = letters == _CLOSE
+    slots, owners = [], []
+    code, inside = letters, np.ones(len(letters), bool)
+    for n in (2, 3, 4):
+        code = code[:-1] * _BASE + letters[n - 1 :]
+        inside = inside[:-1] & ~closed[n - 2 : len(letters) - 1]
+        slots.append(code[inside] + np.uint64(n))
+        owners.append(owner[: len(code)][inside])
+    starts = np.flatnonzero(letters == _OPEN)
+    place = (np.arange(len(letters)) - starts[owner]).astype(np.uint64)
+    slots.append(np.add.reduceat(letters * (place * _BASE | np.uint64(1)), starts))
+    owners.append(np.arange(len(words)))
+    mixed = np.concatenate(slots)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return (mixed[order] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), owner[order]
 
 
 class Field:
@@ -49,14 +76,25 @@ class Field:
         self.moves, self.start = np.zeros((k, k)), np.zeros(k)
         self.key = uuid.uuid4().hex
 
-    def features(self, word: str) -> np.ndarray:
-        found = word_features(word)
-        language = self.lexicon.get(word.lower())
-        return np.array(found if language is None else [*found, SLOTS + language])
-
-    def emission(self, word: str) -> bytes:
-        found = self.features(word)
-        return (self.weights[found].sum(axis=0) / np.sqrt(np.float32(len(found)))).astype(np.float32).tobytes()
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, word number), in the order of the words; listed words have one more."""
+        slots, owner = word_features(words)
+        listed = [(SLOTS + self.lexicon[w], i) for i, w in enumerate(x.lower() for x in words) if w in self.lexicon]
+        if listed:
+            more = np.array(listed)
+            slots, owner = np.concatenate([slots, more[:, 0]]), np.concatenate([owner, more[:, 1]])
+            order = np.argsort(owner, kind="stable")
+            slots, owner = slots[order], owner[order]
+        return slots, owner
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """(words, k): the sum of each word's weights over the root of their number."""
+        if not words:
+            return np.empty((0, len(self.languages)), np.float32)
+        slots, owner = self.features(words)
+        firsts = np.searchsorted(owner, np.arange(len(words)))
+        sums = np.add.reduceat(self.weights[slots], firsts, axis=0)
+        return (sums / np.sqrt(np.bincount(owner).astype(np.float32))[:, None]).astype(np.float32)
 
 
 def _posteriors(scores: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +164,9 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Field:
             labels[s, at : at + run] = language
             at += run
             language = held[int(rng.integers(len(held)))]
-    listed = list(numbers)
-    found = [field.features(w) for w in listed]
-    sizes = np.array([len(f) for f in found])
-    starts, flat = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(found)
+    flat, owner = field.features(list(numbers))
+    sizes = np.bincount(owner)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
     scale = 1 / np.sqrt(sizes)
     seen = np.full(field.weights.shape, 1e-3, np.float64)
     seen_moves, seen_start = np.full((k, k), 1e-3), np.full(k, 1e-3)
@@ -139,8 +176,8 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Field:
         for part in np.array_split(order, max(1, sequences // BATCH)):
             used, which = np.unique(words[part], return_inverse=True)
             lengths = sizes[used]
-            flat_ids = np.concatenate([flat[starts[u] : starts[u + 1]] for u in used])
             bounds = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            flat_ids = flat[np.repeat(starts[used] - bounds, lengths) + np.arange(lengths.sum())]
             scores = np.add.reduceat(field.weights[flat_ids], bounds, axis=0) * scale[used, None]
             scores = scores[which.reshape(-1)].reshape(len(part), LENGTH, k).astype(np.float64)
             beliefs, expected = _posteriors(scores, field.moves, field.start)
@@ -302,15 +339,23 @@ def identify(docs: DataFrame, field: Field, text: str = "text", segments: str |
     @F.arrow_udf("lang_pred string, score double, segments array<struct<first:long,last:long,language:string>>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
-        known = once_per_worker(("languages", key), lambda: Remembered(model.emission, 800_000))
+        known = once_per_worker(("languages", key), dict)
         for texts in batches:
             predicted, scores, found = [], [], []
-            held: list[np.ndarray] = []
+            held: list[list[str]] = []
 
             def settle() -> None:
-                means, best = label(model, held, segments is not None)
+                new = [w for w in set(chain.from_iterable(held)) if w not in known]
+                if len(known) + len(new) > REMEMBERED:
+                    # What is no longer held is computed again.
+                    known.clear()
+                    new = list(set(chain.from_iterable(held)))
+                rows = model.emissions(new)
+                known.update(zip(new, map(np.ndarray.tobytes, rows)))
+                emissions = [np.frombuffer(b"".join([known[w] for w in ws]), np.float32).reshape(-1, max(1, k)) for ws in held]
+                means, best = label(model, emissions, segments is not None)
                 for i, mean in enumerate(means):
-                    top = int(mean.argmax()) if len(held[i]) else None
+                    top = int(mean.argmax()) if held[i] else None
                     predicted.append(UNKNOWN if top is None else model.languages[top])
                     scores.append(0.0 if top is None else float(min(1.0, mean[top])))
                     found.append(runs(best[i], model.languages) if segments is not None else None)
@@ -321,7 +366,7 @@ def identify(docs: DataFrame, field: Field, text: str = "text", segments: str |
                 words = _WORDS(value) if value and k else []
                 if words and not any(c.isalpha() for w in words for c in w):
                     words = []
-                held.append(np.frombuffer(b"".join([known[w] for w in words]), np.float32).reshape(-1, max(1, k)))
+                held.append(words)
                 words_held += len(words) + STRETCH
                 if words_held >= block:
                     settle()

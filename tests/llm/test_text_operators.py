@@ -276,12 +276,23 @@ def test_stretches_change_nothing():
     assert means[3] == pytest.approx(languages._posteriors(e[None, :65].astype(float), field.moves, field.start)[0][0].mean(axis=0), abs=1e-5)
 
 
+def test_features_of_a_word_do_not_depend_on_its_neighbours():
+    words = ["Haus", "a", "ÉTÉ", "日本語", "haus", "x" * 300]
+    slots, owner = languages.word_features(words)
+    for i, word in enumerate(words):
+        alone = languages.word_features([word])[0].tolist()
+        assert slots[owner == i].tolist() == alone
+        n = len(word)
+        # 2-, 3- and 4-grams of the marked word, and the word itself.
+        assert len(alone) == sum(max(0, n + 2 - size + 1) for size in (2, 3, 4)) + 1
+    assert slots[owner == 0].tolist() == slots[owner == 4].tolist()
+
+
 def test_switches_are_found():
     samples = [("x", "aba abba baab bab aab " * 30), ("y", "lol oll llo olo lool " * 30)]
     field = languages.fit(samples)
     words = "aba bab abba lol olo llo lool aab baab".split()
-    e = np.stack([np.frombuffer(field.emission(w), np.float32) for w in words])
-    labels = languages.label(field, [e], labels=True)[1][0]
+    labels = languages.label(field, [field.emissions(words)], labels=True)[1][0]
     assert [field.languages[i] for i in labels] == list("xxxyyyyxx")
 
 
