@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.operators import topics
+from citegraph.operators import indicators, topics
+from citegraph.session import materialise
 
 YEAR = "1996"
 PAPERS = 10
@@ -43,13 +44,26 @@ class Graph:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._held: dict[str, DataFrame] = {}
+
+    def hold(self, *names: str) -> Graph:
+        """Store tables that several parts of one query share; the others stay plans."""
+        for name in names:
+            self._held[name] = materialise(getattr(self, name))
+        return self
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        """The documents, dealt out anew only on request.
+
+        Work on whole texts is costly per row, and a file with a single row group is a single task; the setting
+        ``spark.citegraph.textPartitions`` then says into how many parts to deal the texts.
+        """
+        parts = self.spark.conf.get("spark.citegraph.textPartitions", "")
+        return self.table("documents").repartition(int(parts)) if parts else self.table("documents")
 
     # --- graph tables ---------------------------------------------------------------------------------
     @property
@@ -210,13 +224,18 @@ class Graph:
     def frequencies(self) -> DataFrame:
         return topics.topic_frequency(self.paper_fos, self.metadata)
 
+    @property
+    def paper_countries(self) -> DataFrame:
+        """Distinct (paper_id, country), the base of every country indicator."""
+        return self._held["paper_countries"] if "paper_countries" in self._held else indicators.paper_entities(self.places, self.author_affiliation)
+
     @property
     def filtered(self) -> DataFrame:
-        return topics.filter_topics(self.frequencies)
+        return self._held["filtered"] if "filtered" in self._held else topics.filter_topics(self.frequencies)
 
     @property
     def closure(self) -> DataFrame:
-        return topics.topic_closure(self.hierarchy, self.filtered)
+        return self._held["closure"] if "closure" in self._held else topics.topic_closure(self.hierarchy, self.filtered)
 
     # --- landed records -------------------------------------------------------------------------------
     @property
@@ -317,7 +336,7 @@ class Graph:
             entries = F.get(F.transform(F.array(starts), entry), F.lit(0))
             return F.struct(F.size(pairs).alias("IndexLength"), F.map_from_entries(entries).alias("InvertedIndex"))
 
-        documents = self.table("documents").filter(F.col("text").isNotNull())
+        documents = self.documents.filter(F.col("text").isNotNull())
         return documents.select(F.col("doc_id").alias("id"), F.get(F.transform(F.array(placed), index), F.lit(0)).alias("IA"))
 
 

@@ -52,7 +52,7 @@ def yearly_topic_totals(g: Graph) -> DataFrame:
 
 # --- specialisation -----------------------------------------------------------------------------------
 def paper_countries(g: Graph) -> DataFrame:
-    return indicators.paper_entities(g.places, g.author_affiliation)
+    return g.paper_countries
 
 
 def country_fact(g: Graph) -> DataFrame:

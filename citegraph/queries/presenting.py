@@ -11,6 +11,7 @@ from citegraph.operators.lists import dense_index
 from citegraph.queries import measuring
 from citegraph.queries.graph import PAPERS, YEAR, Graph
 from citegraph.queries.registry import query, rounded
+from citegraph.session import materialise
 
 # --- mean vectors and neighbours ----------------------------------------------------------------------
 _MEANS = """
@@ -213,6 +214,8 @@ _METRICS = (
 
 
 def _all_metrics(g: Graph) -> DataFrame:
+    """The three indicators share the located papers, the chosen topics and their descendants."""
+    g = g.hold("paper_countries", "filtered", "closure")
     rca = indicators.rca_by_sum(measuring.country_fact(g), "country", paper_thresh=PAPERS, year_thresh=YEAR)
     metrics = outputs.all_metrics(measuring.research(g), rca, measuring.gender(g), g.fields_of_study)
     return rounded(metrics, "shannon_diversity", "rca_sum", "female_share")
@@ -236,7 +239,7 @@ SELECT country, field_of_study_id, year, paper_count, total_citations, name, sha
 FROM produced JOIN metrics USING (field_of_study_id, country, year)"""
 )
 def country_topic_outputs(g: Graph) -> DataFrame:
-    return outputs.country_topic_outputs(g.paper_attributes, g.paper_fos, g.author_affiliation, g.places, _all_metrics(g))
+    return outputs.country_topic_outputs(g.paper_attributes, g.paper_fos, g.author_affiliation, g.places, materialise(_all_metrics(g)))
 
 
 @query(
