@@ -78,9 +78,12 @@ _BUILT: dict = {}
 
 
 def once_per_worker(key, build: Callable):
-    """The value of ``build()``, kept for later tasks of the same Python worker; the last few keys are held."""
+    """The value of ``build()``, kept for later tasks of the same Python worker.
+
+    Only the last two are held, so that what one operator has remembered makes room for the next one's.
+    """
     if key not in _BUILT:
-        while len(_BUILT) >= 4:
+        while len(_BUILT) >= 2:
             del _BUILT[next(iter(_BUILT))]
         _BUILT[key] = build()
     return _BUILT[key]

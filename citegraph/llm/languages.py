@@ -26,7 +26,7 @@ EPOCHS, BATCH, LENGTH, RATE = 4, 256, 32, 0.3
 #: Words that go through one step of the recursions together; documents are cut into stretches of that many words.
 STRETCH = 64
 #: Words whose scores a worker keeps.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+").findall

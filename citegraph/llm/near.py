@@ -71,7 +71,7 @@ def _mark(key: bytes, doc_id: int | None) -> int:
 
 
 def _word_hashes() -> Remembered:
-    return once_per_worker("word hashes", lambda: Remembered(xxhash.xxh3_64_intdigest, 1_000_000))
+    return once_per_worker("word hashes", lambda: Remembered(xxhash.xxh3_64_intdigest, 500_000))
 
 
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
