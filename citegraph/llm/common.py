@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,11 @@ class Remembered(dict):
         return value
 
 
+def give_back() -> None:
+    """Return the memory of finished Arrow batches to the machine, where the next stage may need it."""
+    pa.default_memory_pool().release_unused()
+
+
 _BUILT: dict = {}
 
 

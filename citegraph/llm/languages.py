@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import add_fields, once_per_worker, quoted, table
+from citegraph.llm.common import add_fields, give_back, once_per_worker, quoted, table
 
 #: Slots of hashed features; each language has one weight per slot.
 SLOT_BITS = 17
@@ -26,7 +26,7 @@ EPOCHS, BATCH, LENGTH, RATE = 4, 256, 32, 0.3
 #: Words that go through one step of the recursions together; documents are cut into stretches of that many words.
 STRETCH = 64
 #: Words whose scores a worker keeps.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -373,6 +373,7 @@ def identify(docs: DataFrame, field: Field, text: str = "text", segments: str |
                     words_held = 0
             if held:
                 settle()
+            give_back()
             yield pa.StructArray.from_arrays(
                 [pa.array(predicted, pa.string()), pa.array(scores, pa.float64()), pa.array(found, pa.list_(run))],
                 ["lang_pred", "score", "segments"],

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import Remembered, fresh, once_per_worker, quoted, stage, table
+from citegraph.llm.common import fresh, give_back, once_per_worker, quoted, stage, table
 
 SHINGLE = 5
 #: Coordinates of a signature, and how many of them two documents must share to be compared further.
@@ -37,9 +37,9 @@ def words_key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def shingle_set(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+def shingle_set(words: list[bytes]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; fewer words than a shingle has are one together."""
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(SHINGLE, len(words))
     n = len(words) - width + 1
     mixed = np.full(n, width, np.uint64)
@@ -70,16 +70,13 @@ def _mark(key: bytes, doc_id: int | None) -> int:
     return xxhash.xxh3_64_intdigest(key + str(doc_id).encode()) >> 1
 
 
-def _word_hashes() -> Remembered:
-    return once_per_worker("word hashes", lambda: Remembered(xxhash.xxh3_64_intdigest, 500_000))
-
-
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, n_shingles, node, mark, posts, sketch): ``node`` stands for the word sequence, null without words."""
 
     @F.arrow_udf("n_shingles long, node binary, mark long, posts array<long>, sketch binary")
     def sign(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        known, factors = _word_hashes(), once_per_worker("factors", _factors)
+        give_back()
+        factors = once_per_worker("factors", _factors)
         salts = np.arange(POSTED, dtype=np.uint64) * _MIX
         sizes, nodes, marks, posts, sketches = [], [], [], [], []
         for doc_id, value in zip(ids.to_pylist(), texts.to_pylist()):
@@ -87,7 +84,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
             if not words:
                 sizes.append(0), nodes.append(None), marks.append(None), posts.append(None), sketches.append(None)
                 continue
-            shingles = shingle_set(words, known)
+            shingles = shingle_set(words)
             least = signature(shingles, factors)
             node = words_key(words)
             sizes.append(len(shingles)), nodes.append(node), marks.append(_mark(node, doc_id))
@@ -298,7 +295,8 @@ def shingle_sets(docs: DataFrame, key: str, text: str, needed: DataFrame) -> Dat
 
     @F.arrow_udf("node binary, mark long, shingles binary")
     def sets(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        known, bits = _word_hashes(), sent.value
+        give_back()
+        bits = sent.value
         nodes, marks, found = [], [], []
         for doc_id, value in zip(ids.to_pylist(), texts.to_pylist()):
             words = lowered_words(value or "")
@@ -308,7 +306,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, needed: DataFrame) -> Dat
             wanted = words and bits[bit >> 3] >> (bit & 7) & 1
             nodes.append(node if wanted else None)
             marks.append(mark)
-            found.append(shingle_set(words, known).tobytes() if wanted else None)
+            found.append(shingle_set(words).tobytes() if wanted else None)
         return pa.StructArray.from_arrays(
             [pa.array(nodes, pa.binary()), pa.array(marks, pa.int64()), pa.array(found, pa.binary())],
             ["node", "mark", "shingles"],
