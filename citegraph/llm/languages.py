@@ -89,12 +89,15 @@ class Field:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """(words, k): the sum of each word's weights over the root of their number."""
-        if not words:
-            return np.empty((0, len(self.languages)), np.float32)
-        slots, owner = self.features(words)
-        firsts = np.searchsorted(owner, np.arange(len(words)))
-        sums = np.add.reduceat(self.weights[slots], firsts, axis=0)
-        return (sums / np.sqrt(np.bincount(owner).astype(np.float32))[:, None]).astype(np.float32)
+        out = np.empty((len(words), len(self.languages)), np.float32)
+        # Some thousand words at a time, as a word has dozens of features.
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
+            slots, owner = self.features(part)
+            firsts = np.searchsorted(owner, np.arange(len(part)))
+            sums = np.add.reduceat(self.weights[slots], firsts, axis=0)
+            out[start : start + len(part)] = sums / np.sqrt(np.bincount(owner).astype(np.float32))[:, None]
+        return out
 
 
 def _posteriors(scores: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ COORDINATES, MATCHES = 64, 40
 #: Coordinates under which documents are posted, and how many of them they must share.
 POSTED, COLLISIONS = 16, 6
 #: Documents of one posting list, or of one cluster, that are compared at a time; shingles likewise.
-POSTING_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 1024, 512, 1_000_000
+POSTING_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 1024, 512, 250_000
 #: Bits of the filter for documents whose shingles are needed (16 MB); it only saves work, whatever it lets through.
 FILTER_BITS = 1 << 27
 
@@ -217,9 +217,9 @@ def _alike_sets(threshold: int) -> Callable:
         owner, column = owner[order], column[order]
         common = np.zeros((len(left), len(right)))
         total = int(shared.sum())
-        for start in range(0, total, 4096):
-            a, b = np.searchsorted(column, [start, start + 4096])
-            present = np.zeros((len(sets), min(4096, total - start)), np.float32)
+        for start in range(0, total, 1024):
+            a, b = np.searchsorted(column, [start, start + 1024])
+            present = np.zeros((len(sets), min(1024, total - start)), np.float32)
             present[owner[a:b], column[a:b] - start] = 1
             common += present[left] @ present[right].T
         common = common.astype(np.int64)

@@ -8,7 +8,7 @@ the first stage, of repeated rows one stays in the second.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegraph.llm import contamination, languages, near, pieces, pii
@@ -18,18 +18,27 @@ from citegraph.llm.common import stage, table
 LEAST_SCORE = 0.4
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The text beside all other columns in one, so that no name can clash and the text is there once."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text"))
+
+
+def _unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    plain = {"text": F.col("text")} | changed
+    return [plain.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts whose best language has too small a share of the words.
 
     The model learns from the rows that have a language; without any such row nothing but texts without a letter goes.
     """
     field = languages.learn(docs)
-    original = F.struct("*").alias("row")
     if not field.languages:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = languages.identify(docs.select(original, F.col("text")), field)
+    found = languages.identify(_packed(docs), field)
     kept = (F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.filter(kept).select("row.*")
+    return found.filter(kept).select(*_unpacked(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +53,10 @@ def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, plain or disguised, are replaced by their kind in brackets; ``n_chars`` follows the text."""
-    found = pii.find_personal_data(docs.select(F.struct("*").alias("row"), F.col("text")))
+    found = pii.find_personal_data(_packed(docs))
     clean = found.withColumn("clean", pii.redacted(F.col("text"), F.col("pii")))
-    changed = {"text": F.col("clean"), "n_chars": F.when(F.size("pii") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))}
-    return clean.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    length = F.when(F.size("pii") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    return clean.select(*_unpacked(docs, text=F.col("clean"), n_chars=length))
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
