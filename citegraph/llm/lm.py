@@ -9,13 +9,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import add_fields, fresh, once_per_worker, quoted, stage, table
+from citegraph.llm.common import once_per_worker, quoted, stage, table
 
-#: Words of the shared vocabulary and bigrams of the models: the most frequent ones, so that the models fit a task's
-#: memory (some 100 MB) however large the corpus is.  Counting covers every word of every text.
+#: Words and bigrams that every task holds (some 100 MB): the most frequent ones.  The models have no limit; what is
+#: beyond these stays in staged tables, which the texts' own words and bigrams are joined with.
 VOCABULARY, BIGRAMS = 1 << 16, 1 << 20
 #: Strength of the backing off: bigrams to words, words to equal shares.
 BIGRAM_WEIGHT, WORD_WEIGHT = 50.0, 1000.0
@@ -24,7 +24,8 @@ BROADCAST_KEYS = 1_000_000
 #: Distinct words or bigrams that a counting task holds before it passes their counts on.
 HELD = 500_000
 
-UNKNOWN, BEGIN = 0, 1  # the first two word numbers
+RARE, BEGIN = 0, 1  # the first two word numbers
+BASE = VOCABULARY + 2
 
 # Bytes to normalised bytes: A-Z to a-z, ASCII that is no letter or digit to a space (fixed values).
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -58,44 +59,75 @@ def _count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long")
 
 
-def _numbers(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-    """The numbers of the words behind the number of the beginning."""
+def _numbers(words: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
+    """The numbers of the words behind the number of the beginning, and the rare words, numbered from ``BASE`` on."""
     out = np.empty(len(words) + 1, np.int64)
     out[0] = BEGIN
-    out[1:] = np.fromiter(map(vocabulary.get, words, repeat(UNKNOWN)), np.int64, len(words))
-    return out
+    out[1:] = np.fromiter(map(vocabulary.get, words, repeat(RARE)), np.int64, len(words))
+    rare: dict[bytes, int] = {}
+    for i in np.flatnonzero(out == RARE).tolist():
+        out[i] = rare.setdefault(words[i - 1], BASE + len(rare))
+    return out, list(rare)
 
 
-def _pairs(numbers: np.ndarray) -> np.ndarray:
-    """One code for each word together with the word before it."""
-    return numbers[:-1] * (VOCABULARY + 2) + numbers[1:]
+def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, times) of the distinct bigrams, by the word before."""
+    codes, times = np.unique(numbers[:-1] << 32 | numbers[1:], return_counts=True)
+    return codes >> 32, codes & 0xFFFFFFFF, times
+
+
+def _codes(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """One code for each bigram, the same in all texts; rare words are spelled out beside it (``_spelled``)."""
+    return np.where(before < BASE, before, RARE) * BASE + np.where(after < BASE, after, RARE)
+
+
+def _spelled(before: np.ndarray, after: np.ndarray, rare: list[bytes]) -> list[bytes]:
+    """The rare words of each bigram, with a space between two of them."""
+    return [
+        b" ".join([rare[n - BASE] for n in pair if n >= BASE]) for pair in zip(before.tolist(), after.tolist())
+    ]
 
 
 def _count_bigrams(texts: DataFrame, sent, key: str) -> DataFrame:
-    """(code, n): counts of each task's bigrams, several rows for a code."""
+    """(code, word, n): counts of each task's bigrams, several rows for a bigram; ``word`` spells its rare words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = once_per_worker(("vocabulary", key), lambda: _as_dictionary(sent.value))
         held: list[np.ndarray] = []
+        spelled: Counter = Counter()
         size = 0
 
         def flushed() -> pa.RecordBatch:
             codes, times = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
+            all_codes = np.concatenate([codes, np.fromiter((c for c, _ in spelled), np.int64, len(spelled))])
+            all_times = np.concatenate([times, np.fromiter(spelled.values(), np.int64, len(spelled))])
+            words = [b""] * len(codes) + [w for _, w in spelled]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times.astype(np.int64))], ["code", "n"])
+            spelled.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(all_codes), pa.array(words, pa.binary()), pa.array(all_times.astype(np.int64))],
+                ["code", "word", "n"],
+            )
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = lm_words(text)
                 if words:
-                    held.append(_pairs(_numbers(words, vocabulary)))
+                    numbers, rare = _numbers(words, vocabulary)
+                    before, after = numbers[:-1], numbers[1:]
+                    codes = _codes(before, after)
+                    if rare:
+                        some = (before >= BASE) | (after >= BASE)
+                        spelled.update(zip(codes[some].tolist(), _spelled(before[some], after[some], rare)))
+                        codes = codes[~some]
+                    held.append(codes)
                     size += len(words)
-                if size >= 8 * HELD:
+                if size >= 8 * HELD or len(spelled) >= HELD:
                     yield flushed()
                     size = 0
         yield flushed()
 
-    return texts.mapInArrow(run, "code long, n long")
+    return texts.mapInArrow(run, "code long, word binary, n long")
 
 
 def _as_dictionary(words: list[bytes]) -> dict[bytes, int]:
@@ -129,23 +161,25 @@ def target_texts(docs: DataFrame, targets: DataFrame, key: str, text: str) -> Da
 
 
 # --- models -------------------------------------------------------------------------------------------
-class Model:
-    """Counts of the background (0) and the target (1) over the same words and bigrams."""
+#: (model, whether the text itself is left out): background, target, and target if the text is part of it.
+VIEWS = (("background", 0, 1), ("outside", 1, 0), ("inside", 1, 1))
+
+
+class Frequent:
+    """What every task holds of both models: counts of the background (0) and the target (1)."""
 
-    def __init__(self, words: list[bytes], word_counts: np.ndarray, codes: np.ndarray, code_counts: np.ndarray):
+    def __init__(self, words: list[bytes], word_counts: np.ndarray, codes: np.ndarray, code_counts: np.ndarray,
+                 context_counts: np.ndarray, totals: np.ndarray, size: int, complete: bool):
         self.words, self.key = words, uuid.uuid4().hex
         order = np.argsort(codes)
-        # The last row stands for all bigrams that the models do not hold.
+        # The last row stands for all bigrams that are not held.
         self.codes = codes[order]
-        self.code_counts = np.vstack([code_counts[order], np.zeros((1, 2))]).astype(np.float32)
-        self.word_counts = word_counts.astype(np.float64)
-        self.totals = self.word_counts.sum(axis=0)
+        self.code_counts = np.vstack([code_counts[order], np.zeros((1, 2))])
+        self.word_counts, self.context_counts, self.totals, self.size = word_counts, context_counts, totals, size
+        #: Whether these are all bigrams of frequent words that occur more than once.
+        self.complete = complete
         # The larger corpus is weighed down to the size of the smaller one, so that both models back off alike.
-        self.scales = self.totals.min() / self.totals if self.totals.min() else np.ones(2)
-        before = self.codes // (VOCABULARY + 2)
-        self.context_counts = np.stack(
-            [np.bincount(before, code_counts[order, side], len(word_counts)) for side in (0, 1)], axis=1
-        )
+        self.scales = totals.min() / totals if totals.min() else np.ones(2)
 
     def place(self, codes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.codes, codes)
@@ -156,35 +190,60 @@ class Model:
         at[missing] = len(self.codes)
         return at
 
-    def losses(self, numbers: np.ndarray) -> tuple[float, float, float]:
-        """Mean loss per word: of the background, of the target, and of the target if the text is part of it.
+    def gains(self, numbers: np.ndarray, rare: list[bytes]) -> tuple[list[float], tuple, tuple]:
+        """The sums of log shares in each view as far as the counts are held; the open bigrams; the open contexts.
 
-        A model that has counted the text itself is asked without these counts.
+        A bigram's share is its smoothed count divided by that of its context, so that both may be summed apart.  A
+        context is open if one of its bigrams is.  A model that has counted the text itself is asked without it.
         """
-        codes, where, times = np.unique(_pairs(numbers), return_inverse=True, return_counts=True)
-        at = self.place(codes)
-        held = at < len(self.codes)
-        before, after = codes // (VOCABULARY + 2), codes % (VOCABULARY + 2)
+        before, after, times = _distinct(numbers)
         n = len(numbers) - 1
-        # The text's own count of each bigram's word, of its context among held bigrams, and of itself.
+        at = self.place(_codes(before, after))
+        some = (before >= BASE) | (after >= BASE)
+        at[some] = len(self.codes)
+        held = at < len(self.codes)
+        is_open = some if self.complete else ~held
         _, word_at = np.unique(after, return_inverse=True)
-        own_words = np.bincount(word_at, times)[word_at]
-        _, context_at = np.unique(before, return_inverse=True)
-        own_contexts = np.bincount(context_at, times * held)[context_at]
-        own_codes = np.where(held, times, 0)
-        size = len(self.word_counts) - 1  # the beginning is never predicted
-
-        def loss(side: int, without: float) -> float:
-            # Counts are below 0 only where a target's text is taken out that it has not seen; see the caller.
+        own_words = np.bincount(word_at, times)[word_at].astype(np.int64)
+        first = np.flatnonzero(np.diff(before, prepend=-1))
+        contexts = before[first]
+        all_times = np.add.reduceat(times, first)
+        own_contexts = np.add.reduceat(times * held, first)
+        open_contexts = np.logical_or.reduceat(is_open, first)
+        # What is known here.
+        k, c = ~is_open, ~open_contexts
+        k_after, k_times, k_own, k_at, k_held = after[k], times[k], own_words[k], at[k], held[k]
+        c_before, c_times, c_own = contexts[c], all_times[c], own_contexts[c]
+        sums = []
+        for _, side, without in VIEWS:
             scale = self.scales[side]
-            words = scale * np.maximum(self.word_counts[after, side] - without * own_words, 0)
+            # Counts are below 0 only where a text that is no target is left out of the target; see the caller.
+            words = scale * np.maximum(self.word_counts[k_after, side] - without * k_own, 0)
             total = scale * max(self.totals[side] - without * n, 0.0)
-            single = (words + WORD_WEIGHT / size) / (total + WORD_WEIGHT)
-            contexts = scale * np.maximum(self.context_counts[before, side] - without * own_contexts, 0)
-            pairs = scale * np.maximum(self.code_counts[at, side] - without * own_codes, 0)
-            return float(-(times * np.log((pairs + BIGRAM_WEIGHT * single) / (contexts + BIGRAM_WEIGHT))).sum() / n)
+            single = (words + WORD_WEIGHT / self.size) / (total + WORD_WEIGHT)
+            pairs = scale * np.maximum(self.code_counts[k_at, side] - without * k_times * k_held, 0)
+            around = scale * np.maximum(self.context_counts[c_before, side] - without * c_own, 0)
+            sums.append(
+                float((k_times * np.log(pairs + BIGRAM_WEIGHT * single)).sum())
+                - float((c_times * np.log(around + BIGRAM_WEIGHT)).sum())
+            )
+        o, c = is_open, open_contexts
+        bigrams = (_codes(before[o], after[o]), _spelled(before[o], after[o], rare), times[o], own_words[o])
+        around = contexts[c]
+        spelled = [rare[b - BASE] if b >= BASE else b"" for b in around.tolist()]
+        return sums, bigrams, (np.where(around < BASE, around, RARE), spelled, all_times[c], own_contexts[c])
+
 
-        return loss(0, 1.0), loss(1, 0.0), loss(1, 1.0)
+class Model:
+    """Both models: ``frequent`` is held by every task, the tables have the whole rest.
+
+    ``words``: (number, word, n, t, cn, ct) of every word, with the counts of the word as context; frequent words have a
+    number and no word, rare ones the number ``RARE``.  ``bigrams``: (code, word, n, t) of the bigrams that occur more
+    than once and are not in ``frequent``.
+    """
+
+    def __init__(self, frequent: Frequent, words: DataFrame, bigrams: DataFrame):
+        self.frequent, self.words, self.bigrams = frequent, words, bigrams
 
 
 def train(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
@@ -196,68 +255,204 @@ def train(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     every, wanted = docs.select(quoted(text)), target_texts(docs, targets, key, text)
 
-    def both(background: DataFrame, target: DataFrame, name: str) -> DataFrame:
+    def both(background: DataFrame, target: DataFrame, *names: str) -> DataFrame:
         zero = F.lit(0).cast("long")
-        rows = background.select(name, "n", zero.alias("t")).union(target.select(name, zero, "n"))
-        return rows.groupBy(name).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+        rows = background.select(*names, "n", zero.alias("t")).union(target.select(*names, zero, "n"))
+        return rows.groupBy(*names).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
     words = stage(both(_count_words(every), _count_words(wanted), "word"))
     known = sorted(_most_frequent(words, VOCABULARY).collect(), key=lambda r: bytes(r["word"]))
     listed = [bytes(r["word"]) for r in known]
-    all_words = words.agg(F.sum("n"), F.sum("t")).first()
-    counts = np.zeros((len(listed) + 2, 2))
-    counts[2:] = np.array([[r["n"], r["t"]] for r in known]).reshape(-1, 2)
-    counts[UNKNOWN] = np.array([all_words[0] or 0, all_words[1] or 0]) - counts[2:].sum(axis=0)
+    least_word = min((r["n"] for r in known), default=None)
+    all_words = words.agg(F.sum("n"), F.sum("t"), F.count(F.lit(1))).first()
+    word_counts = np.zeros((len(listed) + 2, 2))
+    word_counts[2:] = np.array([[r["n"], r["t"]] for r in known]).reshape(-1, 2)
 
     vocabulary, name = spark.sparkContext.broadcast(listed), uuid.uuid4().hex
-    bigrams = both(_count_bigrams(every, vocabulary, name), _count_bigrams(wanted, vocabulary, name), "code")
-    bigrams = _most_frequent(stage(bigrams.filter("n > 1")), BIGRAMS).toArrow()
-    codes = bigrams["code"].to_numpy()
-    return Model(listed, counts, codes, np.stack([bigrams["n"].to_numpy(), bigrams["t"].to_numpy()], axis=1))
+    counted = both(_count_bigrams(every, vocabulary, name), _count_bigrams(wanted, vocabulary, name), "code", "word")
+    bigrams = stage(counted.filter("n > 1"))
+    of_frequent = bigrams.filter(F.length("word") == 0)
+    chosen = _most_frequent(of_frequent, BIGRAMS).select("code", "n", "t").toArrow()
+    codes, code_n = chosen["code"].to_numpy(), chosen["n"].to_numpy()
+    complete = len(codes) == of_frequent.count()
+    rest = F.length("word") > 0
+    if not complete:
+        # The chosen ones are all above a limit of n.
+        rest = rest | (F.col("n") < int(code_n.min())) if len(codes) else F.lit(True)
+
+    # A bigram whose word before is rare has that word first among its rare words.
+    number = F.expr(f"code div {BASE}").alias("number")
+    spelled = F.when(number == RARE, F.substring_index(F.col("word").cast("string"), " ", 1)).otherwise("")
+    contexts = bigrams.groupBy(number, spelled.cast("binary").alias("word")).agg(
+        F.sum("n").alias("cn"), F.sum("t").alias("ct")
+    )
+    contexts = stage(contexts)
+    context_counts = np.zeros((len(listed) + 2, 2))
+    for r in contexts.filter(F.col("number") != RARE).collect():
+        context_counts[r["number"]] = r["cn"], r["ct"]
+    around = contexts.filter(F.col("number") == RARE).drop("number")
+    rare = words.filter(F.col("n") < least_word) if known else words
+    rare = stage(rare.join(around, "word", "left").fillna(0, ["cn", "ct"]))
+    totals = np.array([all_words[0] or 0, all_words[1] or 0], np.float64)
+    frequent = Frequent(
+        listed, word_counts, codes, np.stack([code_n, chosen["t"].to_numpy()], axis=1), context_counts, totals,
+        all_words[2] + 1, complete,
+    )
+    return Model(frequent, rare, bigrams.filter(rest))
 
 
-FIELDS = ("n_lm_words", "background_loss", "target_loss", "difference")
+# --- scores -------------------------------------------------------------------------------------------
+_BIGRAM = "struct<code:long,word:binary,times:long,own:long>"
+_CONTEXT = "struct<number:long,word:binary,times:long,held:long>"
+_PARTIAL = f"struct<words:long,background:double,outside:double,inside:double,bigrams:array<{_BIGRAM}>,contexts:array<{_CONTEXT}>>"
 
 
-def score(
-    docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None
-) -> DataFrame:
-    """``docs`` with the mean loss per word under both models and their ``difference``: low is like the target.
+def _lists(rows: list[tuple], names: tuple[str, ...]) -> pa.ListArray:
+    """One list of structs for each of ``rows``, which have number, word and two counts as columns."""
+    offsets = np.cumsum([0, *[len(r[0]) for r in rows]]).astype(np.int32)
+    numbers = [np.concatenate([np.empty(0, np.int64), *[r[i] for r in rows]]).astype(np.int64) for i in (0, 2, 3)]
+    spelled = pa.array([w for r in rows for w in r[1]], pa.binary())
+    columns = [pa.array(numbers[0]), spelled, pa.array(numbers[1]), pa.array(numbers[2])]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, list(names)))
 
-    Both are bigram models with the same vocabulary, bigrams, smoothing, counting and, by weight, size.  No text is judged by counts of its
-    own: the background is asked without them, and so is the target for texts that belong to it.  Null and empty
-    texts have 0 words and null losses; without targets all words have equal shares in the target.  Rows with a null key
-    are no targets; rows that repeat a key are targets together.  Columns of these names are replaced.
-    """
-    model = model or train(docs, targets, key, text)
-    sent, name = docs.sparkSession.sparkContext.broadcast(model), model.key
 
-    @F.arrow_udf("words long, background double, outside double, inside double")
-    def losses(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = sent.value
-        vocabulary = once_per_worker(("lm", name), lambda: _as_dictionary(model.words))
+def _partial(model: Model, texts: Column) -> Column:
+    """Number of words, the sums as far as ``model.frequent`` goes, and the bigrams and contexts that are open."""
+    sent, name = SparkSession.active().sparkContext.broadcast(model.frequent), model.frequent.key
+
+    @F.arrow_udf(_PARTIAL)
+    def partial(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        frequent = sent.value
+        vocabulary = once_per_worker(("lm", name), lambda: _as_dictionary(frequent.words))
+        none = (np.empty(0, np.int64), [], np.empty(0, np.int64), np.empty(0, np.int64))
         for texts in batches:
-            counts, found = [], []
+            counts, sums, bigrams, contexts = [], [], [], []
             for value in texts.to_pylist():
                 words = lm_words(value)
                 counts.append(len(words))
-                found.append(model.losses(_numbers(words, vocabulary)) if words else (None, None, None))
-            columns = [pa.array([f[i] for f in found], pa.float64()) for i in range(3)]
+                found = frequent.gains(*_numbers(words, vocabulary)) if words else ((None, None, None), none, none)
+                sums.append(found[0])
+                bigrams.append(found[1])
+                contexts.append(found[2])
             yield pa.StructArray.from_arrays(
-                [pa.array(counts, pa.int64()), *columns], ["words", "background", "outside", "inside"]
-            )
+                [
+                    pa.array(counts, pa.int64()), *[pa.array([s[i] for s in sums], pa.float64()) for i in range(3)],
+                    _lists(bigrams, ("code", "word", "times", "own")),
+                    _lists(contexts, ("number", "word", "times", "held")),
+                ],
+                ["words", "background", "outside", "inside", "bigrams", "contexts"],
+            )
+
+    # Not to be run once for every field that is read.
+    return partial.asNondeterministic()(texts)
+
+
+def _rest(model: Model, partial: DataFrame) -> DataFrame:
+    """(row, background, outside, inside): what the open bigrams and contexts of (row, lost) add to the sums."""
+    spark, frequent = partial.sparkSession, model.frequent
+    held = np.hstack([frequent.word_counts, frequent.context_counts]).astype(np.int64)
+    known = pa.Table.from_arrays(
+        [pa.array(np.arange(len(held))), *[pa.array(held[:, i]) for i in range(4)]], ["number", "n", "t", "cn", "ct"]
+    )
+    known = F.broadcast(spark.createDataFrame(known).filter(F.col("number") != RARE))
+
+    def with_counts(rows: DataFrame, number: str, word: str, *counts: str) -> DataFrame:
+        """``rows`` with the counts of a word: those of frequent ones are sent, rare ones meet in a join of their own."""
+        is_rare = F.col(number) == RARE
+        sent = known.select(F.col("number").alias(number), *counts)
+        rare = model.words.select(F.col("word").alias(word), *counts)
+        return rows.filter(~is_rare).join(sent, number).unionByName(rows.filter(is_rare).join(rare, word))
+
+    bigrams = partial.select("row", F.col("lost.words").alias("words"), F.explode("lost.bigrams").alias("b"))
+    bigrams = bigrams.select("row", "words", "b.*").join(
+        model.bigrams.select("code", "word", F.col("n").alias("p0"), F.col("t").alias("p1")), ["code", "word"], "left"
+    )
+    spelled = F.col("word").cast("string")
+    bigrams = bigrams.select(
+        "row", "words", "times", "own", "p0", "p1",
+        F.expr(f"code div {BASE}").alias("number"), F.expr(f"code % {BASE}").alias("after"), spelled.alias("both"),
+    )
+    bigrams = bigrams.select(
+        "row", "words", "times", "own", "p0", "p1", "number", "after",
+        F.when(F.col("number") == RARE, F.substring_index("both", " ", 1)).otherwise("").cast("binary").alias("word"),
+        F.when(F.col("after") == RARE, F.substring_index("both", " ", -1)).otherwise("").cast("binary").alias("after_word"),
+    )
+    bigrams = with_counts(bigrams, "after", "after_word", "n", "t")
+
+    def at_least_0(count: Column) -> Column:
+        return F.greatest(count, F.lit(0)).cast("double")
+
+    def gain(side: int, without: int) -> Column:
+        scale = F.lit(float(frequent.scales[side]))
+        words = scale * at_least_0(F.col("nt"[side]) - without * F.col("own"))
+        total = scale * F.greatest(F.lit(float(frequent.totals[side])) - without * F.col("words"), F.lit(0.0))
+        single = (words + F.lit(WORD_WEIGHT / frequent.size)) / (total + F.lit(WORD_WEIGHT))
+        pairs = scale * at_least_0(F.coalesce(F.col(f"p{side}") - without * F.col("times"), F.lit(0)))
+        return F.col("times") * F.log(pairs + F.lit(BIGRAM_WEIGHT) * single)
+
+    def around(side: int, without: int) -> Column:
+        scale = F.lit(float(frequent.scales[side]))
+        count = scale * at_least_0(F.col(("cn", "ct")[side]) - without * F.col("held"))
+        return F.col("times") * F.log(count + F.lit(BIGRAM_WEIGHT))
+
+    names = [name for name, _, _ in VIEWS]
+    zero, nothing = F.lit(0).cast("long"), F.lit(None).cast("long")
+    held_times = F.when(F.col("p0").isNotNull(), F.col("times")).otherwise(zero)
+    shares = bigrams.select(
+        "row", "number", "word", zero.alias("times"), held_times.alias("held"), nothing.alias("cn"),
+        nothing.alias("ct"), *[gain(side, without).alias(name) for name, side, without in VIEWS],
+    )
+    contexts = partial.select("row", F.explode("lost.contexts").alias("c")).select("row", "c.*")
+    contexts = with_counts(contexts, "number", "word", "cn", "ct")
+    contexts = contexts.select(
+        "row", "number", "word", "times", "held", "cn", "ct", *[F.lit(0.0).alias(name) for name in names]
+    )
+    # Rows of a text meet once; then its contexts and the text itself are summed where they are.
+    met = shares.unionByName(contexts).repartition("row")
+    met = met.groupBy("row", "number", "word").agg(
+        F.sum("times").alias("times"), F.sum("held").alias("held"), F.max("cn").alias("cn"), F.max("ct").alias("ct"),
+        *[F.sum(name).alias(name) for name in names],
+    )
+    return met.groupBy("row").agg(
+        *[F.sum(F.col(name) - around(side, without)).alias(name) for name, side, without in VIEWS]
+    )
 
-    lost, mark = fresh(docs, "lost"), fresh(docs, "is_target")
-    marks = targets.select(quoted(key).alias(mark)).filter(F.col(mark).isNotNull()).distinct()
-    # The texts are left behind first: only keys and losses meet the targets.
-    joined = docs.withColumn(lost, losses(quoted(text))).join(marks, quoted(key) == F.col(mark), "left")
-    target = F.when(F.col(mark).isNotNull(), F.col(lost)["inside"]).otherwise(F.col(lost)["outside"])
-    background = F.col(lost)["background"]
-    added = F.struct(
-        F.col(lost)["words"].alias("n_lm_words"), background.alias("background_loss"), target.alias("target_loss"),
-        (target - background).alias("difference"),
+
+FIELDS = ("n_lm_words", "background_loss", "target_loss", "difference")
+
+
+def score(
+    docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None,
+    keep_text: bool = True,
+) -> DataFrame:
+    """``docs`` with the mean loss per word under both models and their ``difference``: low is like the target.
+
+    Both are bigram models with the same vocabulary, bigrams, smoothing, counting and, by weight, size; they know every
+    word, and every bigram that occurs more than once.  No text is judged by counts of its own: the background is asked
+    without them, and so is the target for texts that belong to it.  Null and empty texts have 0 words and null losses;
+    without targets all words have equal shares in the target.  Rows with a null key are no targets; rows that repeat a
+    key are targets together.  Columns of these names are replaced; the rows are staged, without their text on request.
+    """
+    model = model or train(docs, targets, key, text)
+    # Numbered, as names may clash with those added here.
+    kept = [(i, c) for i, c in enumerate(docs.columns) if keep_text or c != text]
+    numbered = [quoted(c).alias(f"c{i}") for i, c in kept]
+    made = docs.select(*numbered, quoted(key).alias("key"), _partial(model, quoted(text)).alias("lost"))
+    made = stage(made.withColumn("row", F.monotonically_increasing_id()))
+    rest = _rest(model, made.select("row", "lost"))
+    sums = made.select(
+        *[f"c{i}" for i, _ in kept], "key", "row",
+        *[F.col("lost")[f].alias(f"l_{f}") for f in ("words", *[v[0] for v in VIEWS])],
     )
-    return add_fields(joined, added, FIELDS).drop(lost, mark)
+    rest = rest.select("row", *[F.col(v[0]).alias(f"r_{v[0]}") for v in VIEWS])
+    marks = targets.select(quoted(key).alias("mark")).filter(F.col("mark").isNotNull()).distinct()
+    joined = sums.join(rest, "row", "left").join(marks, F.col("key") == F.col("mark"), "left")
+    loss = {v: -(F.col(f"l_{v}") + F.coalesce(f"r_{v}", F.lit(0.0))) / F.col("l_words") for v, _, _ in VIEWS}
+    target = F.when(F.col("mark").isNotNull(), loss["inside"]).otherwise(loss["outside"])
+    fields = (F.col("l_words"), loss["background"], target, target - loss["background"])
+    replaced = {f.lower() for f in FIELDS}
+    back = [F.col(f"c{i}").alias(c) for i, c in kept if c.lower() not in replaced]
+    return joined.select(*back, *[value.alias(name) for value, name in zip(fields, FIELDS)])
 
 
 def op10_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
@@ -265,5 +460,5 @@ def op10_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame
     labels = table(spark, folder, "labels")
     docs = table(spark, folder, "documents").select("doc_id", "text")
     targets = labels.filter("quality = 1 and toxic = 0").select("doc_id")
-    found = score(docs, targets, model=train(docs, targets)).drop("text")
+    found = score(docs, targets, model=train(docs, targets), keep_text=False)
     return found.select("doc_id", "n_lm_words", *[F.round(c, 9).alias(c) for c in FIELDS[1:]])
