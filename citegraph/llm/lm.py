@@ -191,10 +191,11 @@ class Frequent:
         return at
 
     def gains(self, numbers: np.ndarray, rare: list[bytes]) -> tuple[list[float], tuple, tuple]:
-        """The sums of log shares in each view as far as the counts are held; the open bigrams; the open contexts.
+        """The sums of log shares in each view as if the open bigrams had no counts; these bigrams; the rare words.
 
-        A bigram's share is its smoothed count divided by that of its context, so that both may be summed apart.  A
-        context is open if one of its bigrams is.  A model that has counted the text itself is asked without it.
+        A bigram's share is its smoothed count divided by that of its context, so that both may be summed apart.  The
+        sums are without rare words, as next word and as context.  A model that has counted the text itself is asked
+        without it.
         """
         before, after, times = _distinct(numbers)
         n = len(numbers) - 1
@@ -206,14 +207,14 @@ class Frequent:
         _, word_at = np.unique(after, return_inverse=True)
         own_words = np.bincount(word_at, times)[word_at].astype(np.int64)
         first = np.flatnonzero(np.diff(before, prepend=-1))
+        context_at = np.cumsum(np.diff(before, prepend=-1) != 0) - 1
         contexts = before[first]
-        all_times = np.add.reduceat(times, first)
+        around = np.add.reduceat(times, first)
         own_contexts = np.add.reduceat(times * held, first)
-        open_contexts = np.logical_or.reduceat(is_open, first)
         # What is known here.
-        k, c = ~is_open, ~open_contexts
+        k, c = after < BASE, contexts < BASE
         k_after, k_times, k_own, k_at, k_held = after[k], times[k], own_words[k], at[k], held[k]
-        c_before, c_times, c_own = contexts[c], all_times[c], own_contexts[c]
+        c_before, c_times, c_own = contexts[c], around[c], own_contexts[c]
         sums = []
         for _, side, without in VIEWS:
             scale = self.scales[side]
@@ -222,24 +223,24 @@ class Frequent:
             total = scale * max(self.totals[side] - without * n, 0.0)
             single = (words + WORD_WEIGHT / self.size) / (total + WORD_WEIGHT)
             pairs = scale * np.maximum(self.code_counts[k_at, side] - without * k_times * k_held, 0)
-            around = scale * np.maximum(self.context_counts[c_before, side] - without * c_own, 0)
+            of_contexts = scale * np.maximum(self.context_counts[c_before, side] - without * c_own, 0)
             sums.append(
                 float((k_times * np.log(pairs + BIGRAM_WEIGHT * single)).sum())
-                - float((c_times * np.log(around + BIGRAM_WEIGHT)).sum())
+                - float((c_times * np.log(of_contexts + BIGRAM_WEIGHT)).sum())
             )
-        o, c = is_open, open_contexts
-        bigrams = (_codes(before[o], after[o]), _spelled(before[o], after[o], rare), times[o], own_words[o])
-        around = contexts[c]
-        spelled = [rare[b - BASE] if b >= BASE else b"" for b in around.tolist()]
-        return sums, bigrams, (np.where(around < BASE, around, RARE), spelled, all_times[c], own_contexts[c])
+        o = np.flatnonzero(is_open)
+        spelled = _spelled(before[o], after[o], rare) if rare else [b""] * len(o)
+        where = context_at[o]
+        bigrams = (_codes(before[o], after[o]), spelled, times[o], own_words[o], around[where], own_contexts[where])
+        counts = [np.bincount(w[w >= BASE] - BASE, times[w >= BASE], len(rare)) for w in (after, before)]
+        return sums, bigrams, (np.empty(0, np.int64), rare, *counts)
 
 
 class Model:
     """Both models: ``frequent`` is held by every task, the tables have the whole rest.
 
-    ``words``: (number, word, n, t, cn, ct) of every word, with the counts of the word as context; frequent words have a
-    number and no word, rare ones the number ``RARE``.  ``bigrams``: (code, word, n, t) of the bigrams that occur more
-    than once and are not in ``frequent``.
+    ``words``: (word, n, t, cn, ct) of the rare words, alone and as contexts.  ``bigrams``: (code, word, n, t) of the
+    bigrams that occur more than once and are not in ``frequent``.
     """
 
     def __init__(self, frequent: Frequent, words: DataFrame, bigrams: DataFrame):
@@ -302,45 +303,49 @@ def train(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
 
 
 # --- scores -------------------------------------------------------------------------------------------
-_BIGRAM = "struct<code:long,word:binary,times:long,own:long>"
-_CONTEXT = "struct<number:long,word:binary,times:long,held:long>"
-_PARTIAL = f"struct<words:long,background:double,outside:double,inside:double,bigrams:array<{_BIGRAM}>,contexts:array<{_CONTEXT}>>"
+_BIGRAM = ("code", "word", "times", "own", "around", "held")
+_RARE = ("word", "own", "around")
+_PARTIAL = (
+    "struct<words:long,background:double,outside:double,inside:double,"
+    "bigrams:array<struct<code:long,word:binary,times:int,own:int,around:int,held:int>>,"
+    "rare:array<struct<word:binary,own:int,around:int>>>"
+)
 
 
 def _lists(rows: list[tuple], names: tuple[str, ...]) -> pa.ListArray:
-    """One list of structs for each of ``rows``, which have number, word and two counts as columns."""
-    offsets = np.cumsum([0, *[len(r[0]) for r in rows]]).astype(np.int32)
-    numbers = [np.concatenate([np.empty(0, np.int64), *[r[i] for r in rows]]).astype(np.int64) for i in (0, 2, 3)]
-    spelled = pa.array([w for r in rows for w in r[1]], pa.binary())
-    columns = [pa.array(numbers[0]), spelled, pa.array(numbers[1]), pa.array(numbers[2])]
+    """One list of structs for each of ``rows``, which are (codes, words, counts ...); ``names`` may leave out the codes."""
+    offsets = np.cumsum([0, *[len(r[1]) for r in rows]]).astype(np.int32)
+    joined = lambda i, kind: pa.array(np.concatenate([np.empty(0, kind), *[r[i] for r in rows]]).astype(kind))
+    columns = [joined(0, np.int64)] if names[0] == "code" else []
+    columns.append(pa.array([w for r in rows for w in r[1]], pa.binary()))
+    columns += [joined(i, np.int32) for i in range(2, 2 + len(names) - len(columns))]
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, list(names)))
 
 
 def _partial(model: Model, texts: Column) -> Column:
-    """Number of words, the sums as far as ``model.frequent`` goes, and the bigrams and contexts that are open."""
+    """Number of words, the sums as far as ``model.frequent`` goes, and the bigrams and rare words that it leaves open."""
     sent, name = SparkSession.active().sparkContext.broadcast(model.frequent), model.frequent.key
 
     @F.arrow_udf(_PARTIAL)
     def partial(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         frequent = sent.value
         vocabulary = once_per_worker(("lm", name), lambda: _as_dictionary(frequent.words))
-        none = (np.empty(0, np.int64), [], np.empty(0, np.int64), np.empty(0, np.int64))
+        none = (np.empty(0, np.int64), [], *[np.empty(0, np.int64)] * 4)
         for texts in batches:
-            counts, sums, bigrams, contexts = [], [], [], []
+            counts, sums, bigrams, rare = [], [], [], []
             for value in texts.to_pylist():
                 words = lm_words(value)
                 counts.append(len(words))
                 found = frequent.gains(*_numbers(words, vocabulary)) if words else ((None, None, None), none, none)
                 sums.append(found[0])
                 bigrams.append(found[1])
-                contexts.append(found[2])
+                rare.append(found[2])
             yield pa.StructArray.from_arrays(
                 [
                     pa.array(counts, pa.int64()), *[pa.array([s[i] for s in sums], pa.float64()) for i in range(3)],
-                    _lists(bigrams, ("code", "word", "times", "own")),
-                    _lists(contexts, ("number", "word", "times", "held")),
+                    _lists(bigrams, _BIGRAM), _lists(rare, _RARE),
                 ],
-                ["words", "background", "outside", "inside", "bigrams", "contexts"],
+                ["words", "background", "outside", "inside", "bigrams", "rare"],
             )
 
     # Not to be run once for every field that is read.
@@ -348,7 +353,7 @@ def _partial(model: Model, texts: Column) -> Column:
 
 
 def _rest(model: Model, partial: DataFrame) -> DataFrame:
-    """(row, background, outside, inside): what the open bigrams and contexts of (row, lost) add to the sums."""
+    """(row, background, outside, inside): what open bigrams and rare words of (row, lost) add to the sums."""
     spark, frequent = partial.sparkSession, model.frequent
     held = np.hstack([frequent.word_counts, frequent.context_counts]).astype(np.int64)
     known = pa.Table.from_arrays(
@@ -363,59 +368,60 @@ def _rest(model: Model, partial: DataFrame) -> DataFrame:
         rare = model.words.select(F.col("word").alias(word), *counts)
         return rows.filter(~is_rare).join(sent, number).unionByName(rows.filter(is_rare).join(rare, word))
 
-    bigrams = partial.select("row", F.col("lost.words").alias("words"), F.explode("lost.bigrams").alias("b"))
-    bigrams = bigrams.select("row", "words", "b.*").join(
-        model.bigrams.select("code", "word", F.col("n").alias("p0"), F.col("t").alias("p1")), ["code", "word"], "left"
-    )
-    spelled = F.col("word").cast("string")
-    bigrams = bigrams.select(
-        "row", "words", "times", "own", "p0", "p1",
-        F.expr(f"code div {BASE}").alias("number"), F.expr(f"code % {BASE}").alias("after"), spelled.alias("both"),
-    )
-    bigrams = bigrams.select(
-        "row", "words", "times", "own", "p0", "p1", "number", "after",
-        F.when(F.col("number") == RARE, F.substring_index("both", " ", 1)).otherwise("").cast("binary").alias("word"),
-        F.when(F.col("after") == RARE, F.substring_index("both", " ", -1)).otherwise("").cast("binary").alias("after_word"),
-    )
-    bigrams = with_counts(bigrams, "after", "after_word", "n", "t")
-
-    def at_least_0(count: Column) -> Column:
-        return F.greatest(count, F.lit(0)).cast("double")
-
-    def gain(side: int, without: int) -> Column:
-        scale = F.lit(float(frequent.scales[side]))
-        words = scale * at_least_0(F.col("nt"[side]) - without * F.col("own"))
-        total = scale * F.greatest(F.lit(float(frequent.totals[side])) - without * F.col("words"), F.lit(0.0))
-        single = (words + F.lit(WORD_WEIGHT / frequent.size)) / (total + F.lit(WORD_WEIGHT))
-        pairs = scale * at_least_0(F.coalesce(F.col(f"p{side}") - without * F.col("times"), F.lit(0)))
-        return F.col("times") * F.log(pairs + F.lit(BIGRAM_WEIGHT) * single)
-
-    def around(side: int, without: int) -> Column:
-        scale = F.lit(float(frequent.scales[side]))
-        count = scale * at_least_0(F.col(("cn", "ct")[side]) - without * F.col("held"))
-        return F.col("times") * F.log(count + F.lit(BIGRAM_WEIGHT))
-
-    names = [name for name, _, _ in VIEWS]
-    zero, nothing = F.lit(0).cast("long"), F.lit(None).cast("long")
-    held_times = F.when(F.col("p0").isNotNull(), F.col("times")).otherwise(zero)
-    shares = bigrams.select(
-        "row", "number", "word", zero.alias("times"), held_times.alias("held"), nothing.alias("cn"),
-        nothing.alias("ct"), *[gain(side, without).alias(name) for name, side, without in VIEWS],
+    # The counts of its words are added once to each bigram, not to every text's.
+    both = F.col("word").cast("string")
+    bigrams = model.bigrams.select(
+        "code", F.col("word").alias("spelled"), F.col("n").alias("p0"), F.col("t").alias("p1"),
+        F.expr(f"code div {BASE}").alias("number"), F.expr(f"code % {BASE}").alias("after"),
+        F.when(F.expr(f"code div {BASE}") == RARE, F.substring_index(both, " ", 1)).otherwise("").cast("binary").alias("word"),
+        F.when(F.expr(f"code % {BASE}") == RARE, F.substring_index(both, " ", -1)).otherwise("").cast("binary").alias("next"),
     )
-    contexts = partial.select("row", F.explode("lost.contexts").alias("c")).select("row", "c.*")
-    contexts = with_counts(contexts, "number", "word", "cn", "ct")
-    contexts = contexts.select(
-        "row", "number", "word", "times", "held", "cn", "ct", *[F.lit(0.0).alias(name) for name in names]
+    bigrams = with_counts(with_counts(bigrams, "after", "next", "n", "t"), "number", "word", "cn", "ct")
+
+    def left(side: int, names: tuple[str, str], without: Column | int) -> Column:
+        return F.lit(float(frequent.scales[side])) * F.greatest(F.col(names[side]) - without, F.lit(0)).cast("double")
+
+    def single(side: int, without: int) -> Column:
+        total = F.greatest(F.lit(float(frequent.totals[side])) - without * F.col("words"), F.lit(0.0))
+        total = F.lit(float(frequent.scales[side])) * total + F.lit(WORD_WEIGHT)
+        words = left(side, ("n", "t"), without * F.col("own")) + F.lit(WORD_WEIGHT / frequent.size)
+        return F.lit(BIGRAM_WEIGHT) * words / total
+
+    def around(side: int, own: Column | int) -> Column:
+        return F.col("around") * F.log(left(side, ("cn", "ct"), own) + F.lit(BIGRAM_WEIGHT))
+
+    def views(gain) -> list[Column]:
+        return [gain(side, without).alias(name) for name, side, without in VIEWS]
+
+    # What a count adds to a bigram without one; bigrams that occur once find none.
+    mine = partial.select("row", F.col("lost.words").alias("words"), F.explode("lost.bigrams").alias("b"))
+    mine = mine.select("row", "words", "b.code", F.col("b.word").alias("spelled"), "b.times", "b.own", "b.around", "b.held")
+    found = mine.join(bigrams, ["code", "spelled"])
+    more = lambda side, without: F.col("times") * (
+        F.log(left(side, ("p0", "p1"), without * F.col("times")) + single(side, without)) - F.log(single(side, without))
     )
+    columns = ["row", "number", "word", "times", "around", "held", "cn", "ct"]
+    found = found.select(*columns, *views(more))
+    # Rare words as next word and as context, as if their bigrams had no counts.
+    rare = partial.select("row", F.col("lost.words").alias("words"), F.explode("lost.rare").alias("r"))
+    rare = rare.select("row", "words", "r.*").join(model.words, "word")
+    plain = lambda side, without: F.col("own") * F.log(single(side, without)) - around(side, 0)
+    zero = {c: F.lit(0).cast("int").alias(c) for c in ("times", "around", "held")}
+    rare = rare.select(
+        "row", F.lit(-1).cast("long").alias("number"), F.lit(b"").alias("word"), *zero.values(),
+        *[F.lit(0).cast("long").alias(c) for c in ("cn", "ct")], *views(plain),
+    )
     # Rows of a text meet once; then its contexts and the text itself are summed where they are.
-    met = shares.unionByName(contexts).repartition("row")
-    met = met.groupBy("row", "number", "word").agg(
-        F.sum("times").alias("times"), F.sum("held").alias("held"), F.max("cn").alias("cn"), F.max("ct").alias("ct"),
-        *[F.sum(name).alias(name) for name in names],
+    met = found.unionByName(rare).repartition("row").groupBy("row", "number", "word").agg(
+        F.sum("times").alias("times"), *[F.max(c).alias(c) for c in ("around", "held", "cn", "ct")],
+        *[F.sum(name).alias(name) for name, _, _ in VIEWS],
     )
-    return met.groupBy("row").agg(
-        *[F.sum(F.col(name) - around(side, without)).alias(name) for name, side, without in VIEWS]
-    )
+
+    def total(name: str, side: int, without: int) -> Column:
+        grown = around(side, without * (F.col("held") + F.col("times"))) - around(side, without * F.col("held"))
+        return F.sum(F.col(name) - grown).alias(name)
+
+    return met.groupBy("row").agg(*[total(*view) for view in VIEWS])
 
 
 FIELDS = ("n_lm_words", "background_loss", "target_loss", "difference")
