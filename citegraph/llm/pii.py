@@ -245,23 +245,29 @@ def personal_data(text: str | None) -> tuple[list, list]:
         return [], []
     number = {kind: i for i, kind in enumerate(KINDS)}
     base = sorted((a, number[kind], b) for a, kind, b in identifiers(text))
-    steps, now = [], text
+    steps, now, found = [], text, []
     for transducer in TRANSDUCERS:
         changes = transducer(now)
-        if changes:
-            steps.append(Rewritten(now, changes))
-            now = steps[-1].text
-    more: list[tuple[int, int, int]] = []
-    if steps:
-        taken = [(a, b) for a, _, b in base]
-        for start, kind, end in sorted(identifiers(now)):
+        if not changes:
+            continue
+        steps.append(Rewritten(now, changes))
+        now = steps[-1].text
+        # Each step is asked, as the next one may join what it has uncovered with what lies beside it.
+        for start, kind, end in identifiers(now):
             a, b = start, end
             for step in reversed(steps):
                 a, b = step.back(a, b)
             # What reads the same in the source has been judged there.
-            if text[a:b] != now[start:end] and not any(a < y and x < b for x, y in taken):
-                more.append((a, number[kind], b))
-                taken.append((a, b))
+            if text[a:b] != now[start:end]:
+                found.append((a, number[kind], b))
+    # Only what another span of its kind covers wholly is left out: the plain part of an identifier is not all of it.
+    more: list[tuple[int, int, int]] = []
+    covered = [0] * len(KINDS)
+    for a, minus_b, is_found, kind in sorted([(a, -b, 0, k) for a, k, b in base] + [(a, -b, 1, k) for a, k, b in found]):
+        if -minus_b > covered[kind]:
+            if is_found:
+                more.append((a, kind, -minus_b))
+            covered[kind] = -minus_b
     return base, sorted(more)
 
 
@@ -273,7 +279,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", into: str = "pii") -
 
     ``into`` is a list of (kind, start, end, disguised) by start, then kind in the order of ``KINDS``; offsets count
     code points of the source text, the end is exclusive.  Spans that only show after normalisation are marked as
-    disguised and never overlap plain ones.  Null and empty texts have an empty list; a column called ``into`` is
+    disguised; one may overlap a plain span, which is then a part of it only.  Null and empty texts have an empty list; a column called ``into`` is
     replaced, all others and repeated rows stay.  Work is linear in the text.
     """
 
