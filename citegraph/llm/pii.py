@@ -165,11 +165,12 @@ DIGIT_WORDS = {
 }
 _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _GAP = r"(?:[\x20\t]*[-,][\x20\t]*|[\x20\t]+)"
-# Three or more spelled digits in a row, among them single written ones; a leading "plus" belongs to them.
+# Spelled digits in a row, among them written ones; a leading "plus" belongs to them.  Any such run is rewritten: whether
+# it is an identifier is for its length and check digit to say.
 _SPELLED = regex.compile(
-    rf"(?i)\b(?P<plus>plus{_GAP})?(?P<digit>{_WORD}|[0-9]+)(?:{_GAP}(?P<digit>{_WORD}|[0-9]+)){{2,}}+\b"
+    rf"(?i)\b(?P<plus>plus{_GAP})?(?P<digit>{_WORD}|[0-9]+)(?:{_GAP}(?P<digit>{_WORD}|[0-9]+))++\b"
 )
-_SPELLED_HINT = re.compile(rf"(?i)\b{_WORD}{_GAP}(?:{_WORD}|[0-9])")
+_SPELLED_HINT = re.compile(rf"(?i)\b{_WORD}{_GAP}(?:{_WORD}|[0-9])|[0-9]{_GAP}{_WORD}\b")
 # Spelled points and dashes between spelled digits: "one dot two dot ..."
 _SPELLED_IP = regex.compile(
     rf"(?i)\b(?P<part>{_WORD}(?:{_GAP}{_WORD})*+|[0-9]+)(?:(?P<dot>[\x20\t]+(?:dot|point)[\x20\t]+|\.)(?P<part>{_WORD}(?:{_GAP}{_WORD})*+|[0-9]+)){{3}}+\b"
@@ -193,7 +194,7 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
             nearest = bisect_right(ends, m.start())
             if nearest < len(addresses) and addresses[nearest][0] < m.end():
                 continue  # read as an address
-            if sum(not d[0].isdigit() for d in m.captures("digit")) >= 3:
+            if any(not d[0].isdigit() for d in m.captures("digit")):
                 plus = m["plus"] or ""
                 changes.append((m.start(), m.end(), ("+" if plus else "") + _spell(m[0][len(plus):])))
     return sorted(changes)

@@ -28,3 +28,28 @@ def test_an_address_disguised_in_one_part_is_found_whole(spark, text, plain, who
 
 def test_a_disguised_span_beside_a_plain_one_of_another_kind_stays():
     assert found("10.0.0.1@hоst.example.com") == (["10.0.0.1"], [("email", "10.0.0.1@hоst.example.com")])
+
+
+@pytest.mark.parametrize(
+    "text, kind, whole",
+    [
+        ("call plus one 555 010 2020 now", "phone", "plus one 555 010 2020"),
+        ("call plus one 5550102020 now", "phone", "plus one 5550102020"),
+        ("call +44 20 7946 oh 95 eight now", "phone", "+44 20 7946 oh 95 eight"),
+        ("call +44 20 7946 095 eight now", "phone", "+44 20 7946 095 eight"),
+        ("card 4539 1488 0343 646 seven ok", "card", "4539 1488 0343 646 seven"),
+    ],
+)
+def test_one_spelled_digit_is_enough(text, kind, whole):
+    assert found(text)[1] == [(kind, whole)]
+
+
+def test_a_word_behind_a_disguised_number_does_not_hide_it():
+    assert ("card", "4539​1488 0343 6467") in found("card 4539​1488 0343 6467 one of mine")[1]
+
+
+@pytest.mark.parametrize(
+    "text", ["one 2020 report", "in 2020 one of 30 and 4 or five", "+1 or two, three", "page 12 two 13", "one, 2, three, 4 and 5"]
+)
+def test_prose_with_some_digits_is_left_alone(text):
+    assert found(text) == ([], [])
