@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from re import Pattern
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,15 @@ class Remembered(dict):
         return value
 
 
+def text_pieces(data: bytes, separator: Pattern[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """``data`` in pieces of about ``size`` bytes, cut only where ``separator`` matches; joined they are ``data``."""
+    start = 0
+    while len(data) - start > size and (cut := separator.search(data, start + size)):
+        yield data[start : cut.start()]
+        start = cut.start()
+    yield data[start:] if start else data
+
+
 def give_back() -> None:
     """Return the memory of finished Arrow batches to the machine, where the next stage may need it."""
     pa.default_memory_pool().release_unused()

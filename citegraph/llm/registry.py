@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import contamination, languages, lm, near, quality, shards
+from citegraph.llm import contamination, divergence, languages, lm, near, quality, shards
 from citegraph.llm.licenses import op2_license_scans
 from citegraph.llm.pieces import op9_piece_codec
 from citegraph.llm.pii import op4_personal_data
@@ -23,10 +23,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": contamination.op8_decontamination,
     "op9_piece_codec": op9_piece_codec,
     "op10_cross_entropy_difference": lm.op10_cross_entropy_difference,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op3_sharding": shards.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op8_decontamination": contamination.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
