@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import contamination, divergence, languages, lm, near, quality, shards, variants
+from citegraph.llm import compression, contamination, divergence, languages, lm, near, quality, shards, variants
 from citegraph.llm.licenses import op2_license_scans
 from citegraph.llm.pieces import op9_piece_codec
 from citegraph.llm.pii import op4_personal_data
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": contamination.op8_decontamination,
     "op9_piece_codec": op9_piece_codec,
     "op10_cross_entropy_difference": lm.op10_cross_entropy_difference,
+    "op11_quality_classifier": compression.op11_quality_classifier,
     "op12_spelling_variants": variants.op12_spelling_variants,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
