@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citegraph import config
 from citegraph.operators import indicators, outputs, vectors
 from citegraph.operators.lists import dense_index
-from citegraph.queries import measuring
+from citegraph.queries import algebra, measuring
 from citegraph.queries.graph import PAPERS, YEAR, Graph
 from citegraph.queries.registry import query, rounded
 from citegraph.session import materialise
@@ -132,13 +133,58 @@ def _start(j: int) -> str:
     SELECT doc_id AS id, round(coalesce((x * x * yy - 2 * x * y * xy + y * y * xx) / (xx * yy - xy * xy), 0) + 1e-9, 6)
         AS length FROM documents LEFT JOIN placed ON id = doc_id, gram WHERE text IS NOT NULL"""
 )
-def tfidf_svd(g: Graph) -> DataFrame:
-    """Axes are only defined up to sign and rotation, the length of a document inside their plane is not."""
-    embedded, _ = vectors.tfidf_svd_vectors(_documents(g), k=2, stop_words=_STOP_WORDS, passes=1, oversample=0)
+def tfidf_svd_one_pass(g: Graph) -> DataFrame:
+    """Two columns after one pass on the terms: the plane itself, before anything has converged."""
+    embedded, _ = vectors.tfidf_svd_vectors(_documents(g), k=2, stop_words=_STOP_WORDS, passes=1, oversample=0, on="terms")
+    return _lengths(embedded)
+
+
+def _lengths(embedded: DataFrame) -> DataFrame:
+    """Axes are only defined up to sign, the length of a document in their space is not."""
     length = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
     return rounded(embedded.select("id", length.alias("length")), "length")
 
 
+_COMPONENTS = 10
+_SUBSPACE = _WEIGHTS + algebra.subspace("weights", _COMPONENTS + config.SVD_OVERSAMPLE, config.SVD_PASSES)
+
+
+@query(
+    _SUBSPACE
+    + f"""
+    , placed AS (
+        SELECT id, sum(u * u * value) AS length
+        FROM (SELECT id, rank, value, sum(x * e) AS u FROM space JOIN best ON i = j WHERE rank <= {_COMPONENTS} GROUP BY ALL)
+        GROUP BY id)
+    SELECT doc_id AS id, round(coalesce(length, 0) + 1e-9, 6) AS length
+    FROM documents LEFT JOIN placed ON id = doc_id WHERE text IS NOT NULL"""
+)
+def tfidf_svd(g: Graph) -> DataFrame:
+    """Ten columns with the operator's own passes and spare columns."""
+    embedded, _ = vectors.tfidf_svd_vectors(_documents(g), k=_COMPONENTS, stop_words=_STOP_WORDS, on="documents")
+    return _lengths(embedded)
+
+
+@query(
+    _SUBSPACE
+    + f"""
+    , errors AS (
+        SELECT rank, value, sum((z - value * u) * (z - value * u)) AS error
+        FROM (
+            SELECT id, rank, value, sum(a.x * e) AS u, sum(b.x * e) AS z
+            FROM space a JOIN image b USING (id, j) JOIN best ON i = j WHERE rank <= {_COMPONENTS} GROUP BY ALL)
+        GROUP BY ALL)
+    SELECT cast(rank AS integer) AS component, round(sqrt(value) + 1e-9, 6) AS singular_value,
+        round(sqrt(error) / max(value) OVER () + 1e-9, 6) AS residual FROM errors"""
+)
+def tfidf_singular_values(g: Graph) -> DataFrame:
+    """The singular values with their residuals, which neither sign nor rotation changes."""
+    weights = materialise(vectors.tfidf_weights(_documents(g), stop_words=_STOP_WORDS))
+    *_, found = vectors.svd_vectors(weights, _COMPONENTS, on="documents")
+    rows = [(i + 1, float(v), float(r)) for i, (v, r) in enumerate(zip(found.values, found.residuals))]
+    return rounded(g.spark.createDataFrame(rows, "component int, singular_value double, residual double"), "singular_value", "residual")
+
+
 def _shape_of_text(texts: list[str]) -> list[list[float]]:
     """A stand-in encoder: characters, spaces and lines of the whole text."""
     return [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]

@@ -1,16 +1,86 @@
-"""The small matrix of the subspace iteration."""
+"""The block-wise decomposition against numpy."""
 
 import numpy as np
+import pytest
 
-from citegraph.operators import vectors
+from citegraph.operators import svd, vectors
 
 
-def test_the_small_matrix_is_sent_as_one_row(make):
-    rng = np.random.default_rng(2)
-    x, matrix = rng.normal(size=(6, 40)), rng.normal(size=(40, 30))
-    rows = make("term string, vector array<double>", *[(str(i), v.tolist()) for i, v in enumerate(x)])
-    turned = vectors._turned(rows, matrix)
-    got = {int(r["term"]): list(r["vector"]) for r in turned.collect()}
-    assert np.allclose([got[i] for i in range(6)], x @ matrix)
-    # No number of the matrix is part of the plan.
-    assert str(float(matrix[0, 0])) not in turned._jdf.queryExecution().analyzed().toString()
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, value in (("BLOCK_ENTRIES", 300), ("BUCKET_VECTORS", 30), ("WIDTH", 4), ("CHUNK", 64)):
+        monkeypatch.setattr(svd, name, value)
+
+
+def sparse(make, shape=(120, 60), seed=1, kinds=("long", "string")):
+    rng = np.random.default_rng(seed)
+    a = np.where(rng.random(shape) < 0.15, rng.random(shape), 0.0) * np.linspace(1, 0.05, shape[1]) ** 5
+    a[3] = 0.1 * rng.random(shape[1])  # a row with every column
+    rows = [(int(i), f"c{j}", float(a[i, j])) for i, j in zip(*np.nonzero(a))]
+    return a, make(f"row {kinds[0]}, col {kinds[1]}, weight double", *rows)
+
+
+def test_products_equal_numpy(make, small_blocks):
+    a, entries = sparse(make)
+    matrix = svd.RowBlocks.of(entries)
+    assert matrix.blocks.count() > 2
+    width = 10
+    x = {r["key"]: np.frombuffer(r["x"]) for r in matrix.start(width).collect()}
+    dense = np.array([x[f"c{j}"] for j in range(a.shape[1])])
+    assert np.abs(dense).max() <= 0.5 and len({tuple(v) for v in dense}) == len(dense)
+    got = {r["key"]: (np.frombuffer(r["x"]), np.frombuffer(r["z"])) for r in matrix.gram_product(matrix.start(width), width).collect()}
+    assert np.allclose([got[f"c{j}"][0] for j in range(a.shape[1])], dense)
+    assert np.allclose([got[f"c{j}"][1] for j in range(a.shape[1])], a.T @ a @ dense)
+    rows = {r["name"]: r["vector"] for r in matrix.rows(matrix.start(width), width).collect()}
+    assert np.allclose([rows[i] for i in range(len(a)) if a[i].any()], (a @ dense)[a.any(axis=1)])
+
+
+def test_it_converges_to_the_singular_values(make, small_blocks):
+    a, entries = sparse(make)
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    found = svd.truncated_svd(entries, k=10, passes=30, oversample=20, tolerance=1e-7)
+    assert found.passes < 30 and found.residuals.max() <= 1e-7
+    assert np.allclose(found.values, s[:10], rtol=1e-9)
+    v = {r["key"]: np.array(r["vector"]) for r in found.column_vectors().collect()}
+    v = np.array([v[f"c{j}"] for j in range(a.shape[1])])
+    assert np.abs(v @ v.T - vt[:10].T @ vt[:10]).max() < 1e-5
+    # A v = sigma u, whatever the signs.
+    rows = {r["name"]: np.array(r["vector"]) for r in found.row_vectors().collect()}
+    ours = np.array([rows.get(i, np.zeros(10)) for i in range(len(a))])
+    assert np.allclose(ours, a @ v) and np.allclose((ours**2).sum(axis=0), s[:10] ** 2)
+
+
+def test_the_residual_bounds_the_error_of_few_passes(make, small_blocks):
+    a, entries = sparse(make)
+    s = np.linalg.svd(a, compute_uv=False)
+    found = svd.truncated_svd(entries, k=10, passes=1, oversample=2)
+    nearest = np.abs(found.values[:, None] ** 2 - s[None, :] ** 2).min(axis=1)
+    assert (nearest <= found.residuals * found.values[0] ** 2 + 1e-9).all() and found.residuals.max() > 1e-3
+
+
+def test_more_columns_than_rank_give_zeros(make):
+    rows = [(f"r{i}", i % 2, 1.0 + i % 2) for i in range(6)]
+    found = svd.truncated_svd(make("row string, col int, weight double", *rows), k=4, passes=2, oversample=2)
+    assert np.allclose(found.values, [np.sqrt(12), np.sqrt(3), 0, 0])
+
+
+def test_both_sides_give_the_same_geometry(make, small_blocks):
+    a, entries = sparse(make)
+    weights = entries.selectExpr("row AS id", "col AS term", "weight")
+    grams = []
+    for side in ("documents", "terms"):
+        documents, terms, found = vectors.svd_vectors(weights, 5, 30, 15, 1e-7, side)
+        got = {r["id"]: np.array(r["vector"]) for r in documents.collect()}
+        d = np.array([got.get(i, np.zeros(5)) for i in range(len(a))])
+        v = {r["term"]: np.array(r["vector"]) for r in terms.collect()}
+        v = np.array([v[f"c{j}"] for j in range(a.shape[1])])
+        assert np.allclose(v.T @ v, np.eye(5), atol=1e-6) and np.allclose(a @ v, d, atol=1e-6)
+        grams.append(d @ d.T)
+    assert np.allclose(*grams, atol=1e-5)
+
+
+def test_a_vector_is_sent_once_for_each_block(make, small_blocks):
+    a, entries = sparse(make)
+    matrix = svd.RowBlocks.of(entries)
+    sent, blocks = matrix.needs.count(), matrix.blocks.count()
+    assert sent <= blocks * a.shape[1] < np.count_nonzero(a)
