@@ -135,8 +135,12 @@ def flat_export(
 
 
 # --- search documents ---------------------------------------------------------------------------------
-def search_documents(papers: DataFrame, paper_fos: DataFrame, fos: DataFrame) -> DataFrame:
-    """One document per paper with a topic: attributes and topics.  Its authors are rows of ``search_authors``."""
+def search_documents(papers: DataFrame, paper_fos: DataFrame, fos: DataFrame, authors: DataFrame) -> DataFrame:
+    """One document per paper with a topic: attributes, topics and authors, each a list that only the paper bounds.
+
+    ``authors`` are the rows of ``search_authors``.  They are gathered by paper, whose lists differ little in length;
+    a paper without known authors has an empty list.
+    """
     attributes = ["original_title", "abstract", "citations"]
     described = papers.dropna(subset=["id", "year", "date", *attributes]).select("id", "date", *attributes)
     topic = F.struct("name", F.col("field_of_study_id").alias("id"))
@@ -146,12 +150,16 @@ def search_documents(papers: DataFrame, paper_fos: DataFrame, fos: DataFrame) ->
         .groupBy(F.col("paper_id").alias("id"))
         .agg(F.sort_array(F.collect_list(topic)).alias("fields_of_study"))
     )
-    return described.join(topics, "id").select(
+    author = F.struct("author_id", "name", "affiliation")
+    written = authors.groupBy("id").agg(F.sort_array(F.collect_list(author)).alias("authors"))
+    none = F.array().cast(written.schema["authors"].dataType)
+    return described.join(topics, "id").join(written, "id", "left").select(
         "id",
         F.year(F.to_date("date")).alias("year"),
         F.col("date").alias("publication_date"),
         *attributes,
         "fields_of_study",
+        F.coalesce("authors", none).alias("authors"),
     )
 
 

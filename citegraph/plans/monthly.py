@@ -279,9 +279,9 @@ def export(store: Store, flat_path: str, search_path: str, authors_path: str) ->
         store.read("viz_paper_country"),
     )
     outputs.write_flat_export(flat, flat_path)
+    people = outputs.search_authors(store.read("author_affiliation"), store.read("authors"), store.read("affiliation"))
     documents = outputs.search_documents(
-        store.read("papers"), store.read("paper_fields_of_study"), store.read("fields_of_study")
+        store.read("papers"), store.read("paper_fields_of_study"), store.read("fields_of_study"), people
     )
     outputs.write_search_documents(documents, search_path)
-    people = outputs.search_authors(store.read("author_affiliation"), store.read("authors"), store.read("affiliation"))
     outputs.write_search_documents(people, authors_path)

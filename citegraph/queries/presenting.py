@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from citegraph.operators.lists import dense_index
 from citegraph.queries import algebra, measuring
 from citegraph.queries.graph import PAPERS, YEAR, Graph
 from citegraph.queries.registry import query, rounded
-from citegraph.session import materialise
+from citegraph.session import materialise, staged_path, staging
 
 # --- mean vectors and neighbours ----------------------------------------------------------------------
 _MEANS = """
@@ -235,13 +236,57 @@ def projectable_documents(g: Graph) -> DataFrame:
     return _projectable(g).select("id", "citations")
 
 
-@query()
+_DIMENSIONS = 64
+
+
+def _coordinates(fitted: str = "true", placed: str = "true") -> str:
+    """CTE ``coordinates`` (id, citations, x, y, z): lengths along the principal axes of the ``fitted`` documents.
+
+    The sign of an axis is not defined; its coordinates are compared without it.
+    """
+    axis = lambda n: f"round(max(c) FILTER (rank = {n}) + 1e-9, 6)"
+    return (
+        f"""
+    , chosen AS (
+        SELECT p.id, citations, cast(vector AS double[]) AS v FROM papers p JOIN vectors USING (id)
+        WHERE p.id NOT IN {_EXCLUDED} AND length(abstract) >= 300)
+    , numbers AS MATERIALIZED (
+        SELECT id, citations, cast(unnest(range({_DIMENSIONS})) AS integer) AS j, unnest(v) AS x FROM chosen)
+    , centred AS MATERIALIZED (SELECT id, j, x - avg(x) OVER (PARTITION BY j) AS x FROM numbers WHERE {fitted})"""
+        + algebra.inner("spread", "centred", "centred")
+        + algebra.eigen("axes", "spread", _DIMENSIONS)
+        + f"""
+    , coordinates AS (
+        SELECT id, citations, {axis(1)} AS x, {axis(2)} AS y, {axis(3)} AS z
+        FROM (SELECT id, citations, rank, abs(sum(x * e)) AS c FROM numbers JOIN axes ON i = j
+            WHERE rank <= 3 AND {placed} GROUP BY ALL)
+        GROUP BY ALL)"""
+    )
+
+
+def _unsigned(projected: DataFrame, *columns: str) -> DataFrame:
+    axes = [F.abs(F.col("vector_3d")[i]).alias(n) for i, n in enumerate("xyz")]
+    return rounded(projected.select(*columns, *axes), *"xyz")
+
+
+@query(_coordinates() + " SELECT * FROM coordinates")
 def projection(g: Graph) -> DataFrame:
     documents = _projectable(g)
-    projected = vectors.project(documents, vectors.fit_projection(documents))
-    return projected.select("id", "citations", *[
-        F.round(F.abs(F.col("vector_3d")[i]), 4).alias(axis) for i, axis in enumerate("xyz")
-    ])
+    return _unsigned(vectors.project(documents, vectors.fit_projection(documents)), "id", "citations")
+
+
+@query(_coordinates("id % 3 <> 0", "id % 3 = 0") + " SELECT * FROM coordinates")
+def projection_of_new_documents(g: Graph) -> DataFrame:
+    """Two months: the axes of what was there first are saved, and later place only the documents that came since."""
+    first = g.papers.filter("id % 3 <> 0")
+    path = staged_path(g.spark)
+    with staging(g.spark):
+        fitted = materialise(vectors.projectable(g.vectors, first, _EXCLUDED))
+        model = vectors.fit_projection(fitted)
+        model.write().overwrite().save(path)
+        stored = materialise(vectors.project(fitted, model).select("id"))
+        new = vectors.projectable(g.vectors, g.papers, _EXCLUDED, stored=stored)
+        return materialise(_unsigned(vectors.project(new, PCAModel.load(path)), "id", "citations"), outlive=True)
 
 
 # --- output tables ------------------------------------------------------------------------------------
@@ -346,9 +391,10 @@ def topics_by_paper(g: Graph) -> DataFrame:
 
 @query(
     _TOPICS_BY_PAPER
-    + f"""SELECT p.id, citations, year, name AS field_of_study, country, 3 AS dims
-    FROM papers p JOIN tagged USING (id) JOIN paper_country ON paper_id = p.id
-    WHERE country IS NOT NULL AND p.id NOT IN {_EXCLUDED} AND length(abstract) >= 300"""
+    + _coordinates()
+    + """SELECT c.id, c.citations, p.year, name AS field_of_study, country, x, y, z
+    FROM coordinates c JOIN papers p USING (id) JOIN tagged USING (id) JOIN paper_country ON paper_id = p.id
+    WHERE country IS NOT NULL"""
 )
 def flat_export(g: Graph) -> DataFrame:
     documents = _projectable(g)
@@ -359,20 +405,35 @@ def flat_export(g: Graph) -> DataFrame:
         outputs.paper_topic_names(g.paper_fos, g.filtered, g.fields_of_study),
         outputs.papers_by_country(measuring.paper_countries(g)),
     )
-    return export.withColumn("dims", F.size("vector_3d")).drop("vector_3d")
+    return _unsigned(export, "id", "citations", "year", "field_of_study", "country")
 
 
 @query(
     """, topic_lists AS (
         SELECT paper_id, string_agg(concat(name, '|', cast(id AS varchar)), ';' ORDER BY encode(name), id) AS topics
         FROM paper_fos JOIN levels ON id = field_of_study_id GROUP BY paper_id)
-    SELECT id, cast(year AS integer) AS year, date AS publication_date, original_title, abstract, citations, topics
-    FROM papers JOIN topic_lists t ON t.paper_id = id WHERE abstract IS NOT NULL"""
+    , author_lists AS (
+        SELECT paper_id, string_agg(concat(author_id, '|', name, '|', affiliation), ';'
+            ORDER BY author_id, encode(name), encode(affiliation)) AS authors
+        FROM (
+            SELECT paper_id, author_id, coalesce(name, '') AS name, coalesce(affiliation, '') AS affiliation
+            FROM author_affiliation JOIN authors ON authors.id = author_id
+                LEFT JOIN affiliation ON affiliation.id = affiliation_id)
+        GROUP BY paper_id)
+    SELECT id, cast(year AS integer) AS year, date AS publication_date, original_title, abstract, citations, topics, authors
+    FROM papers JOIN topic_lists t ON t.paper_id = id LEFT JOIN author_lists a ON a.paper_id = id WHERE abstract IS NOT NULL"""
 )
 def search_documents(g: Graph) -> DataFrame:
-    documents = outputs.search_documents(g.papers, g.paper_fos, g.fields_of_study)
-    topics = F.transform("fields_of_study", lambda x: F.concat_ws("|", x["name"], x["id"].cast("string")))
-    return documents.withColumn("topics", F.array_join(topics, ";")).drop("fields_of_study")
+    authors = outputs.search_authors(g.author_affiliation, g.authors, g.affiliation)
+    documents = outputs.search_documents(g.papers, g.paper_fos, g.fields_of_study, authors)
+    joined = lambda column, *fields: F.array_join(
+        F.transform(column, lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields])), ";"
+    )
+    return documents.select(
+        *[c for c in documents.columns if c not in ("fields_of_study", "authors")],
+        joined("fields_of_study", "name", "id").alias("topics"),
+        F.when(F.size("authors") > 0, joined("authors", "author_id", "name", "affiliation")).alias("authors"),
+    )
 
 
 @query(

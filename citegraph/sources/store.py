@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,60 +55,77 @@ def read_jdbc_table(
 PARTITION_COLUMNS = {"papers": ["year"]}
 
 
+#: Marks a version of a table whose files are all there.
+COMPLETE = "_COMPLETE"
+
+
 @dataclass(frozen=True)
 class Store:
-    """Tables kept as files below one folder."""
+    """Tables kept as files below one folder.
+
+    A table lies in ``<name>`` until it is replaced for the first time.  A replacement is written to a folder
+    ``<name>.v<number>`` of its own, which counts from the moment its mark is there; readers take the highest one that
+    has it.  Nothing is renamed or overwritten, so wherever a run breaks off, the last complete version is what
+    everybody reads, and running readers keep their files: only versions before the last one are removed.
+    """
 
     spark: SparkSession
     root: str
     format: str = "parquet"
 
+    def _place(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root.rstrip("/"), *parts]))
+
+    def _files(self):
+        return self._place().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self, name: str) -> list[int]:
+        """The numbers of the complete versions, in order."""
+        found = self._files().globStatus(self._place(f"{name}.v*", COMPLETE)) or []
+        return sorted(int(status.getPath().getParent().getName().rpartition(".v")[2]) for status in found)
+
+    def _folder(self, name: str, version: int) -> str:
+        return f"{self.root.rstrip('/')}/{name}" + (f".v{version}" if version else "")
+
     def path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
+        """The folder of the live version."""
+        return self._folder(name, max(self._versions(name), default=0))
 
     def read(self, name: str) -> DataFrame:
         return read_table(self.spark, self.path(name), name, self.format)
 
     def append(self, df: DataFrame, name: str) -> None:
-        self._save(self._shaped(df, name), name, "append")
+        self._write(self._shaped(df, name), name, self.path(name), "append")
 
     def refresh(self, df: DataFrame, name: str) -> None:
-        """Replace the whole table."""
-        self._save(self._shaped(df, name), name, "overwrite")
-
-    def update(self, df: DataFrame, name: str) -> None:
-        """Replace a table by a result computed from that same table.
-
-        The result is written beside the table, which is then moved out of the way and replaced; until that moment
-        every reader sees the old rows, and a run that breaks off leaves a complete table behind.
-        """
-        path, mark = self.path(name), uuid.uuid4().hex
-        fresh, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
-        writer = self._shaped(df, name).write.format(self.format)
-        writer.partitionBy(*PARTITION_COLUMNS.get(name, [])).save(fresh)
-        jvm = self.spark._jvm
-        place = jvm.org.apache.hadoop.fs.Path
-        files = place(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if files.exists(place(path)) and not files.rename(place(path), place(old)):
-            raise OSError(f"{path} cannot be moved")
-        if not files.rename(place(fresh), place(path)):
-            files.rename(place(old), place(path))
-            raise OSError(f"{fresh} cannot be moved to {path}")
-        files.delete(place(old), True)
+        """Replace the whole table, also by a result computed from that same table."""
+        self._replace(name, lambda path: self._write(self._shaped(df, name), name, path, "overwrite"))
+
+    # The name for a result that is computed from the table itself.
+    update = refresh
 
     def create_empty(self, name: str) -> None:
-        self._save(self.spark.createDataFrame([], schemas.TABLES[name]), name, "ignore")
+        self._write(self.spark.createDataFrame([], schemas.TABLES[name]), name, self.path(name), "ignore")
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> None:
         """Save as a catalog table bucketed and sorted by ``key``: joins on it then need no shuffle."""
-        (
-            self._shaped(df, name).write.mode("overwrite").format(self.format)
-            .bucketBy(buckets, key).sortBy(key).option("path", self.path(name)).saveAsTable(name)
-        )
-
-    def _save(self, df: DataFrame, name: str, mode: str) -> None:
-        writer = df.write.mode(mode).format(self.format)
-        writer.partitionBy(*PARTITION_COLUMNS.get(name, [])).save(self.path(name))
+        self._replace(
+            name,
+            lambda path: self._shaped(df, name).write.mode("overwrite").format(self.format)
+            .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name),
+        )
+
+    def _replace(self, name: str, write: Callable[[str], None]) -> None:
+        last = max(self._versions(name), default=0)
+        # A folder of this number without a mark is what a broken run has left; it is written over.
+        write(self._folder(name, last + 1))
+        files = self._files()
+        files.create(self._place(f"{name}.v{last + 1}", COMPLETE)).close()
+        for old in [v for v in (0, *self._versions(name)) if v < last]:
+            files.delete(self._place(self._folder(name, old).rpartition("/")[2]), True)
+
+    def _write(self, df: DataFrame, name: str, path: str, mode: str) -> None:
+        df.write.mode(mode).format(self.format).partitionBy(*PARTITION_COLUMNS.get(name, [])).save(path)
 
     def _shaped(self, df: DataFrame, name: str) -> DataFrame:
         """Columns in declared order and type; an undeclared column is an error."""

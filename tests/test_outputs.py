@@ -69,15 +69,20 @@ def test_search_documents(make, tmp_path):
     g = graph(make)
     authors = make("id long, name string", (1, "Ann"), (2, "Bob"))
     affiliation = make("id long, affiliation string", (1, "aff one"), (2, "aff two"))
-    outputs.write_search_documents(outputs.search_documents(g["papers"], g["tags"], g["fos"]), str(tmp_path / "docs"))
+    people = outputs.search_authors(g["links"], authors, affiliation)
+    outputs.write_search_documents(outputs.search_documents(g["papers"], g["tags"], g["fos"], people), str(tmp_path / "docs"))
     landed = [json.loads(line) for part in (tmp_path / "docs").glob("part-*") for line in part.read_text().splitlines()]
     # Paper 3 has no abstract, paper 4 no topic.
     assert sorted(landed, key=lambda d: d["id"]) == [
         {"id": 1, "year": 2015, "publication_date": "2015-02-03", "original_title": "One", "abstract": "text",
-         "citations": 5, "fields_of_study": [{"name": "eleven", "id": 11}, {"name": "ten", "id": 10}]},
+         "citations": 5, "fields_of_study": [{"name": "eleven", "id": 11}, {"name": "ten", "id": 10}],
+         "authors": [{"author_id": 1, "name": "Ann", "affiliation": "aff two"}, {"author_id": 2, "name": "Bob", "affiliation": "aff one"}]},
         {"id": 2, "year": 2012, "publication_date": "2012-01-01", "original_title": "Two", "abstract": "text",
-         "citations": 7, "fields_of_study": [{"name": "ten", "id": 10}]},
+         "citations": 7, "fields_of_study": [{"name": "ten", "id": 10}],
+         "authors": [{"author_id": 1, "name": "Ann", "affiliation": ""}]},
     ]
+    nobody = outputs.search_documents(g["papers"], g["tags"], g["fos"], people.limit(0))
+    assert {(r["id"], len(r["authors"])) for r in nobody.collect()} == {(1, 0), (2, 0)}
     # Author 3 is unknown, affiliation 5 has no name.
-    assert as_set(outputs.search_authors(g["links"], authors, affiliation)) == {
+    assert as_set(people) == {
         (1, 1, "Ann", "aff two"), (1, 2, "Bob", "aff one"), (2, 1, "Ann", ""), (3, 1, "Ann", "")}
