@@ -18,7 +18,9 @@ SCALE = 1_000_000_000
 LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 #: Distinct terms that a counting task holds, and node-ancestor combinations that a tree task holds, before it passes
 #: their sums on.
-HELD, COMBINATIONS = 150_000, 1 << 17
+HELD, COMBINATIONS = 200_000, 1 << 17
+#: A counter's number holds the rows above this bit, and the occurrences in them below.
+ROWS = 40
 
 # ASCII letters and everything beyond ASCII; in UTF-8 the latter are the bytes from 128 on.
 _TERM, _BREAK = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
@@ -27,15 +29,15 @@ _TERM, _BREAK = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 # --- counting -----------------------------------------------------------------------------------------
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) to (lang, source, term, n, docs): what each task has counted, several rows for a term."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    distinct = 0
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
+    distinct, row = 0, 1 << ROWS
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = pa.array(list(n), pa.binary()).cast(pa.string())
+        for (lang, source), counts in held.items():
+            both = np.fromiter(counts.values(), np.int64, len(counts))
             columns = [
-                pa.repeat(lang, len(n)), pa.repeat(source, len(n)), terms, pa.array(list(n.values()), pa.int64()),
-                pa.array([docs[t] for t in n], pa.int64()),
+                pa.repeat(lang, len(counts)), pa.repeat(source, len(counts)),
+                pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(both & (row - 1)), pa.array(both >> ROWS),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
         held.clear()
@@ -43,14 +45,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang, source, text in zip(langs, sources, batch.column(2).cast(pa.binary())):
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            before, own = len(n), set()
+            counts = held.setdefault((lang, source), {})
+            own: Counter = Counter()
             for piece in text_pieces(text.as_py().lower(), _BREAK):  # bytes: only A-Z change
-                terms = _TERM.findall(piece)
-                n.update(terms)
-                own.update(terms)
-            docs.update(own)
-            distinct += len(n) - before
+                own.update(_TERM.findall(piece))
+            before, known = len(counts), counts.get
+            for term, n in own.items():
+                counts[term] = known(term, 0) + n + row
+            distinct += len(counts) - before
             if distinct >= HELD:
                 yield from flushed()
                 distinct = 0
@@ -58,13 +60,20 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_rows(named: DataFrame, least_documents: int) -> DataFrame:
-    """(lang, term, total, row) of the kept terms; ``row`` has the sources in which the term occurs, with counts."""
+    """(lang, term, source, n, total, first) of the kept terms; ``first`` marks one of a term's rows.
+
+    Tasks add up what they have read; then one exchange by language and term serves both the counts by source and
+    their totals.  A term has one row per source there.
+    """
     counted = named.mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long")
+    term = Window.partitionBy("lang", "term")
     return (
-        counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        .groupBy("lang", "term").agg(
-            F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("row")
-        )
+        counted.repartition("lang", "term")
+        .groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        .withColumns({
+            "docs": F.sum("docs").over(term), "total": F.sum("n").over(term),
+            "first": F.min("source").over(term) == F.col("source"),
+        })
         .filter(F.col("docs") >= least_documents)
         .drop("docs")
     )
@@ -110,16 +119,15 @@ class _Tree:
                 for held, path in zip(self.above, (self.places, self.shares, self.zeros)):
                     held.extend(path)
 
-    def insert(self, path: list[tuple[int, int, int]], terms: int) -> None:
-        shared, limit = 0, min(len(path), len(self.places))
-        while shared < limit and path[shared][:2] == (self.places[shared], self.shares[shared]):
+    def insert(self, places: list[int], shares: list[int], zeros: list[int], terms: int) -> None:
+        shared, limit = 0, min(len(places), len(self.places))
+        while shared < limit and places[shared] == self.places[shared] and shares[shared] == self.shares[shared]:
             shared += 1
         self.close(shared)
-        for place, share, zero in path[shared:]:
-            self.places.append(place)
-            self.shares.append(share)
-            self.zeros.append(zero)
-            self.terms.append(0)
+        self.places += places[shared:]
+        self.shares += shares[shared:]
+        self.zeros += zeros[shared:]
+        self.terms += [0] * (len(places) - shared)
         self.terms[-1] += terms
 
     def sums(self, lang: str) -> pa.RecordBatch:
@@ -150,12 +158,17 @@ def _pair_corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """Ordered (lang, path, terms) to sums of (lang, a, b, value)."""
     tree, lang = _Tree(), ""
     for batch in batches:
-        for own, path, terms in zip(*[c.to_pylist() for c in batch.columns]):
+        items = batch.column("path").flatten()
+        places, shares, zeros = (items.field(n).to_pylist() for n in ("place", "p", "zero"))
+        ends = np.cumsum(batch.column("path").value_lengths().to_numpy()).tolist()
+        start = 0
+        for own, stop, terms in zip(batch.column("lang").to_pylist(), ends, batch.column("terms").to_pylist()):
             if own != lang:
                 tree.close(0)
                 yield tree.sums(lang)
                 lang = own
-            tree.insert([(i["place"], i["p"], i["zero"]) for i in path], terms)
+            tree.insert(places[start:stop], shares[start:stop], zeros[start:stop], terms)
+            start = stop
             if len(tree.above[0]) >= COMBINATIONS:
                 yield tree.sums(lang)
     tree.close(0)
@@ -188,8 +201,8 @@ def audit(
     """
     named = docs.select(*[F.coalesce(quoted(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     rows = stage(term_rows(named, least_documents))
-    sizes = rows.select("lang", F.explode("row").alias("r")).groupBy("lang", F.col("r.source").alias("source")).agg(F.sum("r.n").alias("size"))
-    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("lang_size"))
+    sizes = rows.groupBy("lang", "source").agg(F.sum("n").alias("size"))
+    langs = rows.groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("terms"), F.sum("n").alias("lang_size"))
     by_size = Window.partitionBy("lang").orderBy(F.desc("size"), "source")
     groups = stage(
         named.select("lang", "source").distinct()
@@ -199,9 +212,7 @@ def audit(
         .withColumn("zero", F.when(F.col("terms") > 0, _share("0", "size", "terms")).otherwise(F.lit(1)))
     )
     entries = stage(
-        rows.select("lang", "term", "total", F.explode("row").alias("r"))
-        .select("lang", "term", "total", F.col("r.source").alias("source"), F.col("r.n").alias("n"))
-        .join(groups, ["lang", "source"])
+        rows.join(groups, ["lang", "source"])
         .select(
             "lang", "source", "term", "place", "zero",
             _share("n", "size", "terms").alias("p"), _share("total", "lang_size", "terms").alias("q"),
