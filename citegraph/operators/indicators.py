@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegralType
 
 from citegraph import config
 from citegraph.functions import maths
+from citegraph.session import materialise
 
 
 def paper_entities(places: DataFrame, author_affiliation: DataFrame, entity_col: str = "country") -> DataFrame:
@@ -99,8 +100,11 @@ def rca_by_sum(
     year_thresh: str = config.METRIC_YEAR,
     cap: float = config.RCA_CAP,
 ) -> DataFrame:
-    """Specialisation on summed values of the rows of ``fact``; see ``rca_of_cells``."""
-    cells = topic_cells(fact.filter(F.col("year") > year_thresh), entity_col, value)
+    """Specialisation on summed values of the rows of ``fact``; see ``rca_of_cells``.
+
+    The cells, one row per topic, entity and year, are stored once, so the fact is evaluated once.
+    """
+    cells = materialise(topic_cells(fact.filter(F.col("year") > year_thresh), entity_col, value))
     return rca_of_cells(cells, paper_thresh, year_thresh, cap)
 
 
@@ -113,8 +117,8 @@ def rca_of_cells(
     """entity, year, rca_sum, field_of_study_id for years after ``year_thresh``.
 
     An (entity, year) qualifies for a topic with at least ``paper_thresh`` papers on it, and only if the
-    entity's value over all topics exceeds that same threshold.  ``cells`` is read several times:
-    pass a stored table, or rely on the reuse of its exchange.
+    entity's value over all topics exceeds that same threshold.  ``cells`` is read for the cells and for each
+    of the three totals: pass a stored table.
     """
     cells = cells.filter(F.col("year") > year_thresh)
     rca = _advantage(
@@ -130,7 +134,7 @@ def rca_by_count(
     year_thresh: str = config.METRIC_YEAR,
 ) -> DataFrame:
     """entity, year, rca_count, field_of_study_id on paper counts: no topic minimum and no cap."""
-    cells = topic_cells(fact.filter(F.col("year") > year_thresh), entity_col)
+    cells = materialise(topic_cells(fact.filter(F.col("year") > year_thresh), entity_col))
     return _advantage(cells, "papers", F.col("_entity") > paper_thresh, F.lit(True), "rca_count")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph import config
+from citegraph.session import materialise
 
 
 def topic_frequency(paper_fos: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -53,9 +54,9 @@ def topic_closure(
 
     Every pass joins the pairs to the child links and keeps both ends, with duplicates removed, so a
     cycle or self-loop adds nothing and a topic without links stays as it is.  The pairs occur once per
-    pass, so the plan grows linearly and needs no checkpoint inside the loop.
+    pass, so the plan grows linearly; the links, which every pass reads, are stored once.
     """
-    links = hierarchy.select(F.col("id").alias("descendant"), F.explode("child_id").alias("_child")).distinct()
+    links = materialise(hierarchy.select(F.col("id").alias("descendant"), F.explode("child_id").alias("_child")).distinct())
     root = topics.select(F.col("field_of_study_id")).distinct()
     pairs = root.withColumn("descendant", F.col("field_of_study_id"))
     for _ in range(max_hops):

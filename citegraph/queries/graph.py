@@ -8,7 +8,7 @@ Every table is a plan over the given tables: nothing is written, and a query rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegraph.operators import indicators, topics
@@ -57,13 +57,11 @@ class Graph:
 
     @property
     def documents(self) -> DataFrame:
-        """The documents, dealt out anew only on request.
+        return self.table("documents")
 
-        Work on whole texts is costly per row, and a file with a single row group is a single task; the setting
-        ``spark.citegraph.textPartitions`` then says into how many parts to deal the texts.
-        """
-        parts = self.spark.conf.get("spark.citegraph.textPartitions", "")
-        return self.table("documents").repartition(int(parts)) if parts else self.table("documents")
+    def size(self, name: str) -> Column:
+        """The number of rows of a table, found when the query runs."""
+        return self.table(name).agg(F.count(F.lit(1))).scalar()
 
     # --- graph tables ---------------------------------------------------------------------------------
     @property
@@ -145,10 +143,9 @@ class Graph:
 
     @property
     def _authorship(self) -> DataFrame:
-        authors = self.table("customer").count()
         return self.table("lineitem").select(
             F.col("l_suppkey").alias("affiliation_id"),
-            (F.col("l_partkey") % F.lit(authors)).alias("author_id"),
+            (F.col("l_partkey") % self.size("customer")).alias("author_id"),
             F.col("l_orderkey").alias("paper_id"),
             "l_linenumber",
         )
@@ -197,9 +194,8 @@ class Graph:
     @property
     def vectors(self) -> DataFrame:
         embeddings = self.table("embeddings").select("vec_id", F.col("embedding").alias("vector"))
-        size = embeddings.count()
         orders = self.table("orders").select(
-            F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % F.lit(size)).alias("vec_id")
+            F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % self.size("embeddings")).alias("vec_id")
         )
         return orders.join(embeddings, "vec_id").select("id", "vector")
 

@@ -46,6 +46,7 @@ def topic_closure(g: Graph) -> DataFrame:
     FROM topic_papers t JOIN papers ON id = paper_id GROUP BY topic, year"""
 )
 def yearly_topic_totals(g: Graph) -> DataFrame:
+    g = g.hold("closure")
     totals = topics.yearly_topic_totals(g.paper_attributes, g.paper_fos, g.closure)
     return totals.withColumn("all_children", F.array_join(F.col("all_children").cast("array<string>"), ","))
 
@@ -121,21 +122,6 @@ def affiliation_rca(g: Graph) -> DataFrame:
     return rounded(rca, "rca_sum")
 
 
-@query(
-    AFFILIATION_FACT
-    + rca_sql("affiliation_fact", "affiliation_id")
-    + """SELECT entity, year, round(rca_sum + 1e-9, 6) AS rca_sum, field_of_study_id FROM rca
-    WHERE field_of_study_id IN (
-        SELECT DISTINCT field_of_study_id FROM cells ORDER BY field_of_study_id LIMIT 3)"""
-)
-def affiliation_rca_first_topics(g: Graph) -> DataFrame:
-    """A report on three topics, those with the smallest ids; computed over all topics."""
-    fact = affiliation_fact(g)
-    first = fact.filter(F.col("year") > YEAR).select("field_of_study_id").distinct().orderBy("field_of_study_id").limit(3)
-    rca = indicators.rca_by_sum(fact, "affiliation_id", paper_thresh=PAPERS, year_thresh=YEAR)
-    return rounded(rca.join(first, "field_of_study_id", "left_semi"), "rca_sum")
-
-
 @query(
     f""", cells AS (
         SELECT field_of_study_id, country AS entity, year, count(*) AS n FROM fact WHERE year > '{YEAR}' GROUP BY ALL)
@@ -198,7 +184,7 @@ RESEARCH_DIVERSITY = f"""
     FROM research"""
 )
 def research_diversity(g: Graph) -> DataFrame:
-    return rounded(research(g), "shannon_diversity", "simpson_diversity", "simpson_e_diversity")
+    return rounded(research(g.hold("closure")), "shannon_diversity", "simpson_diversity", "simpson_e_diversity")
 
 
 def research(g: Graph) -> DataFrame:

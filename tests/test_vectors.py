@@ -55,6 +55,44 @@ def test_cells_are_skipped_without_losing_a_neighbour(make, spread, shape):
         corpus, queries, 5, True)
 
 
+def routed_rows(monkeypatch, make, corpus, k=5, block_rows=32):
+    """How many (query, cell) visits a search of all rows makes, as part of queries times cells."""
+    seen, original = [], vectors._visit
+
+    def counting(placed, routed, crowds, *rest):
+        seen.append(sum(visitors for _, visitors in crowds.values()))
+        return original(placed, routed, crowds, *rest)
+
+    monkeypatch.setattr(vectors, "_visit", counting)
+    found = points(make, corpus)
+    got = vectors.nearest_neighbours(found, found, k, True, (), block_rows)
+    assert {(r["query_id"], r["id"], r["rank"], round(r["distance"], 9)) for r in got.collect()} == brute_force(
+        corpus, corpus, k, True)
+    return sum(seen) / (len(corpus) * -(-len(corpus) // block_rows))
+
+
+def test_visits_with_and_without_structure(make, monkeypatch):
+    rng = np.random.default_rng(12)
+    clustered = [(i, np.eye(16)[i % 8] * 9 + rng.normal(size=16) * 0.1) for i in range(256)]
+    assert routed_rows(monkeypatch, make, clustered) < 0.4
+    # No clusters, but most of the spread lies along few axes, as in embeddings.
+    flat = [(i, rng.normal(size=16) * 4.0 ** -np.arange(16)) for i in range(256)]
+    assert routed_rows(monkeypatch, make, flat) < 0.75
+    # Noise in all directions: nothing can be skipped, and nothing is visited twice.
+    noise = [(i, rng.normal(size=16)) for i in range(256)]
+    assert routed_rows(monkeypatch, make, noise) <= 1.0
+
+
+def test_features_never_exceed_the_distance():
+    rng = np.random.default_rng(2)
+    points_ = rng.normal(size=(300, 20)) * np.linspace(3, 0.1, 20)
+    cells = vectors._Cells.of(points_[:100], 8)
+    assert cells.size == 8 and set(cells.cell(cells.features(points_))) <= set(range(8))
+    features = cells.features(points_)
+    near = ((features[:, None] - features[None]) ** 2).sum(axis=2)
+    assert (near <= ((points_[:, None] - points_[None]) ** 2).sum(axis=2) + 1e-9).all()
+
+
 def test_fewer_rows_than_neighbours(make):
     corpus = [(i, [float(i)]) for i in range(5)]
     got = vectors.nearest_neighbours(points(make, corpus), points(make, corpus), 9, True, (), 2)
