@@ -8,6 +8,8 @@ Every table is a plan over the given tables: nothing is written, and a query rea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +42,18 @@ JOURNAL_NAME = """case o_custkey % 50 when 0 then 'biorxiv' when 1 then 'medrxiv
 GENDER = "case when c_custkey % 5 in (0, 1) then 'female' when c_custkey % 5 = 4 then 'unknown' else 'male' end"
 
 
+def holdable(build: Callable[[Graph], DataFrame]) -> property:
+    """A table that ``Graph.hold`` may store for the rest of a query."""
+    name = build.__name__
+    return property(lambda self: self._held[name] if name in self._held else build(self), doc=build.__doc__)
+
+
 class Graph:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
         self._held: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}
 
     def hold(self, *names: str) -> Graph:
         """Store tables that several parts of one query share; the others stay plans."""
@@ -53,11 +62,20 @@ class Graph:
         return self
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table; its files are looked up once for a query."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     @property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        """The documents; a file that is read by fewer tasks than there are cores is dealt out first.
+
+        Work on whole texts is costly per row, and the given file is one row group, which is one task.  A table with
+        files enough for all cores is not shuffled.
+        """
+        table, cores = self.table("documents"), self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
     def size(self, name: str) -> Column:
         """The number of rows of a table, found when the query runs."""
@@ -109,7 +127,7 @@ class Graph:
         top = self._type_ids.select(F.col("type").alias("id"), F.col("p_type").alias("name"), F.lit(0).alias("level"))
         return low.unionByName(mid).unionByName(top)
 
-    @property
+    @holdable
     def paper_fos(self) -> DataFrame:
         brand = self._tags.select(F.col("l_orderkey").alias("paper_id"), F.col("brand").alias("field_of_study_id"))
         part = self._tags.select(
@@ -137,10 +155,15 @@ class Graph:
     def metadata(self) -> DataFrame:
         return self._levels.select("id", "level", F.lit(None).cast("long").alias("frequency"))
 
-    @property
+    @holdable
     def author_affiliation(self) -> DataFrame:
         return self._authorship.select("affiliation_id", "author_id", "paper_id").distinct()
 
+    @property
+    def affiliation_links(self) -> DataFrame:
+        """(paper_id, affiliation_id) of the authorships, as often as they occur: for what only asks whether there is one."""
+        return self.table("lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("affiliation_id"))
+
     @property
     def _authorship(self) -> DataFrame:
         return self.table("lineitem").select(
@@ -220,18 +243,18 @@ class Graph:
     def frequencies(self) -> DataFrame:
         return topics.topic_frequency(self.paper_fos, self.metadata)
 
-    @property
+    @holdable
     def paper_countries(self) -> DataFrame:
         """Distinct (paper_id, country), the base of every country indicator."""
-        return self._held["paper_countries"] if "paper_countries" in self._held else indicators.paper_entities(self.places, self.author_affiliation)
+        return indicators.paper_entities(self.places, self.affiliation_links)
 
-    @property
+    @holdable
     def filtered(self) -> DataFrame:
-        return self._held["filtered"] if "filtered" in self._held else topics.filter_topics(self.frequencies)
+        return topics.filter_topics(self.frequencies)
 
-    @property
+    @holdable
     def closure(self) -> DataFrame:
-        return self._held["closure"] if "closure" in self._held else topics.topic_closure(self.hierarchy, self.filtered)
+        return topics.topic_closure(self.hierarchy, self.filtered)
 
     # --- landed records -------------------------------------------------------------------------------
     @property

@@ -61,7 +61,7 @@ def country_fact(g: Graph) -> DataFrame:
 
 
 def affiliation_fact(g: Graph) -> DataFrame:
-    pairs = indicators.paper_entities(g.places, g.author_affiliation, "affiliation_id")
+    pairs = indicators.paper_entities(g.places, g.affiliation_links, "affiliation_id")
     return indicators.base_fact(pairs, g.paper_attributes, g.paper_fos, g.filtered)
 
 

@@ -306,7 +306,7 @@ _METRICS = (
 
 def _all_metrics(g: Graph) -> DataFrame:
     """The three indicators share the located papers, the chosen topics and their descendants."""
-    g = g.hold("paper_countries", "filtered", "closure")
+    g = g.hold("paper_fos", "paper_countries", "filtered", "closure")
     rca = indicators.rca_by_sum(measuring.country_fact(g), "country", paper_thresh=PAPERS, year_thresh=YEAR)
     metrics = outputs.all_metrics(measuring.research(g), rca, measuring.gender(g), g.fields_of_study)
     return rounded(metrics, "shannon_diversity", "rca_sum", "female_share")
