@@ -21,8 +21,8 @@ VOCABULARY, BIGRAMS = 1 << 16, 1 << 20
 BIGRAM_WEIGHT, WORD_WEIGHT = 50.0, 1000.0
 #: Up to so many target keys are sent to every executor; beyond that the join is a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Distinct words or bigrams that a counting task holds before it passes their counts on.
-HELD = 500_000
+#: Distinct words or spelled bigrams that a counting task holds before it passes their counts on.
+HELD = 100_000
 
 RARE, BEGIN = 0, 1  # the first two word numbers
 BASE = VOCABULARY + 2
@@ -37,26 +37,40 @@ def lm_words(text: str | None) -> list[bytes]:
 
 # --- counting -----------------------------------------------------------------------------------------
 def _count_words(texts: DataFrame) -> DataFrame:
-    """(word, n): counts of each task's words, several rows for a word."""
+    """(word, n, t, e, et): how often each word occurs, and ends a text, in all and in target texts.
+
+    ``texts`` is (text, wanted).  These are counts of each task, several rows for a word; the empty word stands for the
+    texts that have words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: tuple[Counter, ...] = (Counter(), Counter(), Counter(), Counter())
 
         def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-            )
-            counts.clear()
-            return out
+            words = list(counts[0])
+            columns = [pa.array([c[w] for w in words], pa.int64()) for c in counts]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *columns], ["word", "n", "t", "e", "et"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(lm_words(text))
-                if len(counts) >= HELD:
+            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = lm_words(text.as_py())
+                if words:
+                    _add(counts[0], counts[2], words)
+                    if wanted:
+                        _add(counts[1], counts[3], words)
+                if len(counts[0]) >= HELD:
                     yield flushed()
         yield flushed()
 
-    return texts.mapInArrow(run, "word binary, n long")
+    return texts.mapInArrow(run, "word binary, n long, t long, e long, et long")
+
+
+def _add(counts: Counter, ends: Counter, words: list[bytes]) -> None:
+    counts.update(words)
+    counts[b""] += 1
+    ends[words[-1]] += 1
 
 
 def _numbers(words: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
@@ -89,45 +103,54 @@ def _spelled(before: np.ndarray, after: np.ndarray, rare: list[bytes]) -> list[b
 
 
 def _count_bigrams(texts: DataFrame, sent, key: str) -> DataFrame:
-    """(code, word, n): counts of each task's bigrams, several rows for a bigram; ``word`` spells its rare words."""
+    """(code, word, n, t): counts of each task's bigrams in all and in target texts, several rows for a bigram;
+    ``word`` spells its rare words.  ``texts`` is (text, wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = once_per_worker(("vocabulary", key), lambda: _as_dictionary(sent.value))
-        held: list[np.ndarray] = []
-        spelled: Counter = Counter()
+        held: tuple[list, list] = ([], [])
+        spelled: tuple[Counter, Counter] = (Counter(), Counter())
         size = 0
 
         def flushed() -> pa.RecordBatch:
-            codes, times = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
-            all_codes = np.concatenate([codes, np.fromiter((c for c, _ in spelled), np.int64, len(spelled))])
-            all_times = np.concatenate([times, np.fromiter(spelled.values(), np.int64, len(spelled))])
-            words = [b""] * len(codes) + [w for _, w in spelled]
-            held.clear()
-            spelled.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(all_codes), pa.array(words, pa.binary()), pa.array(all_times.astype(np.int64))],
-                ["code", "word", "n"],
-            )
+            codes, at = np.unique(np.concatenate([*held[0], np.empty(0, np.int64)]), return_inverse=True)
+            n = np.bincount(at, minlength=len(codes))
+            wanted = np.searchsorted(codes, np.concatenate([*held[1], np.empty(0, np.int64)]))
+            t = np.bincount(wanted, minlength=len(codes))
+            rare = list(spelled[0])
+            words = pa.array([b""] * len(codes) + [w for _, w in rare], pa.binary())
+            columns = [
+                pa.array(np.concatenate([a, np.array(b, np.int64)]).astype(np.int64))
+                for a, b in ((codes, [c for c, _ in rare]), (n, list(spelled[0].values())), (t, [spelled[1][k] for k in rare]))
+            ]
+            for x in (*held, *spelled):
+                x.clear()
+            return pa.RecordBatch.from_arrays([columns[0], words, columns[1], columns[2]], ["code", "word", "n", "t"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = lm_words(text)
+            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = lm_words(text.as_py())
                 if words:
                     numbers, rare = _numbers(words, vocabulary)
                     before, after = numbers[:-1], numbers[1:]
                     codes = _codes(before, after)
                     if rare:
                         some = (before >= BASE) | (after >= BASE)
-                        spelled.update(zip(codes[some].tolist(), _spelled(before[some], after[some], rare)))
+                        pairs = list(zip(codes[some].tolist(), _spelled(before[some], after[some], rare)))
+                        spelled[0].update(pairs)
+                        if wanted:
+                            spelled[1].update(pairs)
                         codes = codes[~some]
-                    held.append(codes)
+                    held[0].append(codes)
+                    if wanted:
+                        held[1].append(codes)
                     size += len(words)
-                if size >= 8 * HELD or len(spelled) >= HELD:
+                if size >= 8 * HELD or len(spelled[0]) >= HELD:
                     yield flushed()
                     size = 0
         yield flushed()
 
-    return texts.mapInArrow(run, "code long, word binary, n long")
+    return texts.mapInArrow(run, "code long, word binary, n long, t long")
 
 
 def _as_dictionary(words: list[bytes]) -> dict[bytes, int]:
@@ -152,12 +175,13 @@ def _most_frequent(counted: DataFrame, limit: int) -> DataFrame:
     return counted.filter(F.col("n") >= least) if least is not None else counted.limit(0)
 
 
-def target_texts(docs: DataFrame, targets: DataFrame, key: str, text: str) -> DataFrame:
-    """The texts of the rows whose key is in ``targets``."""
-    targets = targets.select(quoted(key).alias(key)).filter(F.col(key).isNotNull()).distinct()
+def _marked(docs: DataFrame, targets: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, wanted): every text, and whether its key is in ``targets``."""
+    targets = targets.select(quoted(key).alias("mark")).filter(F.col("mark").isNotNull()).distinct()
     if targets.count() <= BROADCAST_KEYS:
         targets = F.broadcast(targets)
-    return docs.select(quoted(key).alias(key), quoted(text).alias("text")).join(targets, key, "left_semi").select("text")
+    texts = docs.select(quoted(key).alias("key"), quoted(text).alias("text"))
+    return texts.join(targets, F.col("key") == F.col("mark"), "left").select("text", F.col("mark").isNotNull().alias("wanted"))
 
 
 # --- models -------------------------------------------------------------------------------------------
@@ -207,14 +231,12 @@ class Frequent:
         _, word_at = np.unique(after, return_inverse=True)
         own_words = np.bincount(word_at, times)[word_at].astype(np.int64)
         first = np.flatnonzero(np.diff(before, prepend=-1))
-        context_at = np.cumsum(np.diff(before, prepend=-1) != 0) - 1
         contexts = before[first]
         around = np.add.reduceat(times, first)
-        own_contexts = np.add.reduceat(times * held, first)
         # What is known here.
         k, c = after < BASE, contexts < BASE
         k_after, k_times, k_own, k_at, k_held = after[k], times[k], own_words[k], at[k], held[k]
-        c_before, c_times, c_own = contexts[c], around[c], own_contexts[c]
+        c_before, c_times = contexts[c], around[c]
         sums = []
         for _, side, without in VIEWS:
             scale = self.scales[side]
@@ -223,15 +245,14 @@ class Frequent:
             total = scale * max(self.totals[side] - without * n, 0.0)
             single = (words + WORD_WEIGHT / self.size) / (total + WORD_WEIGHT)
             pairs = scale * np.maximum(self.code_counts[k_at, side] - without * k_times * k_held, 0)
-            of_contexts = scale * np.maximum(self.context_counts[c_before, side] - without * c_own, 0)
+            of_contexts = scale * np.maximum(self.context_counts[c_before, side] - without * c_times, 0)
             sums.append(
                 float((k_times * np.log(pairs + BIGRAM_WEIGHT * single)).sum())
                 - float((c_times * np.log(of_contexts + BIGRAM_WEIGHT)).sum())
             )
         o = np.flatnonzero(is_open)
         spelled = _spelled(before[o], after[o], rare) if rare else [b""] * len(o)
-        where = context_at[o]
-        bigrams = (_codes(before[o], after[o]), spelled, times[o], own_words[o], around[where], own_contexts[where])
+        bigrams = (_codes(before[o], after[o]), spelled, times[o], own_words[o])
         counts = [np.bincount(w[w >= BASE] - BASE, times[w >= BASE], len(rare)) for w in (after, before)]
         return sums, bigrams, (np.empty(0, np.int64), rare, *counts)
 
@@ -250,27 +271,30 @@ class Model:
 def train(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Both models, counted over all of ``docs`` and over those whose key is in ``targets``.
 
-    Counts are summed inside each task before they are shuffled, so a frequent word is one row per task.  A bigram that
-    occurs once in the corpus is known to its own text only, which is asked without it, and so is left out.
+    Counts are summed inside each task before they are shuffled, so a frequent word is one row per task.  A context has
+    the count of its word without the texts that end in it.  A bigram that occurs once in the corpus is known to its own
+    text only, which is asked without it, so its count is never used and is left out.
     """
     spark = docs.sparkSession
-    every, wanted = docs.select(quoted(text)), target_texts(docs, targets, key, text)
-
-    def both(background: DataFrame, target: DataFrame, *names: str) -> DataFrame:
-        zero = F.lit(0).cast("long")
-        rows = background.select(*names, "n", zero.alias("t")).union(target.select(*names, zero, "n"))
-        return rows.groupBy(*names).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-    words = stage(both(_count_words(every), _count_words(wanted), "word"))
+    texts = _marked(docs, targets, key, text)
+    sums = [F.sum(c).alias(c) for c in ("n", "t", "e", "et")]
+    counted = stage(_count_words(texts).groupBy("word").agg(*sums))
+    begun = counted.filter(F.length("word") == 0).first()
+    words = counted.filter(F.length("word") > 0).select(
+        "word", "n", "t", (F.col("n") - F.col("e")).alias("cn"), (F.col("t") - F.col("et")).alias("ct")
+    )
     known = sorted(_most_frequent(words, VOCABULARY).collect(), key=lambda r: bytes(r["word"]))
     listed = [bytes(r["word"]) for r in known]
     least_word = min((r["n"] for r in known), default=None)
     all_words = words.agg(F.sum("n"), F.sum("t"), F.count(F.lit(1))).first()
-    word_counts = np.zeros((len(listed) + 2, 2))
+    word_counts, context_counts = np.zeros((len(listed) + 2, 2)), np.zeros((len(listed) + 2, 2))
     word_counts[2:] = np.array([[r["n"], r["t"]] for r in known]).reshape(-1, 2)
+    context_counts[2:] = np.array([[r["cn"], r["ct"]] for r in known]).reshape(-1, 2)
+    if begun:
+        context_counts[BEGIN] = begun["n"], begun["t"]
 
     vocabulary, name = spark.sparkContext.broadcast(listed), uuid.uuid4().hex
-    counted = both(_count_bigrams(every, vocabulary, name), _count_bigrams(wanted, vocabulary, name), "code", "word")
+    counted = _count_bigrams(texts, vocabulary, name).groupBy("code", "word").agg(*sums[:2])
     bigrams = stage(counted.filter("n > 1"))
     of_frequent = bigrams.filter(F.length("word") == 0)
     chosen = _most_frequent(of_frequent, BIGRAMS).select("code", "n", "t").toArrow()
@@ -280,20 +304,7 @@ def train(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     if not complete:
         # The chosen ones are all above a limit of n.
         rest = rest | (F.col("n") < int(code_n.min())) if len(codes) else F.lit(True)
-
-    # A bigram whose word before is rare has that word first among its rare words.
-    number = F.expr(f"code div {BASE}").alias("number")
-    spelled = F.when(number == RARE, F.substring_index(F.col("word").cast("string"), " ", 1)).otherwise("")
-    contexts = bigrams.groupBy(number, spelled.cast("binary").alias("word")).agg(
-        F.sum("n").alias("cn"), F.sum("t").alias("ct")
-    )
-    contexts = stage(contexts)
-    context_counts = np.zeros((len(listed) + 2, 2))
-    for r in contexts.filter(F.col("number") != RARE).collect():
-        context_counts[r["number"]] = r["cn"], r["ct"]
-    around = contexts.filter(F.col("number") == RARE).drop("number")
     rare = words.filter(F.col("n") < least_word) if known else words
-    rare = stage(rare.join(around, "word", "left").fillna(0, ["cn", "ct"]))
     totals = np.array([all_words[0] or 0, all_words[1] or 0], np.float64)
     frequent = Frequent(
         listed, word_counts, codes, np.stack([code_n, chosen["t"].to_numpy()], axis=1), context_counts, totals,
@@ -303,11 +314,11 @@ def train(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
 
 
 # --- scores -------------------------------------------------------------------------------------------
-_BIGRAM = ("code", "word", "times", "own", "around", "held")
+_BIGRAM = ("code", "word", "times", "own")
 _RARE = ("word", "own", "around")
 _PARTIAL = (
     "struct<words:long,background:double,outside:double,inside:double,"
-    "bigrams:array<struct<code:long,word:binary,times:int,own:int,around:int,held:int>>,"
+    "bigrams:array<struct<code:long,word:binary,times:int,own:int>>,"
     "rare:array<struct<word:binary,own:int,around:int>>>"
 )
 
@@ -330,7 +341,7 @@ def _partial(model: Model, texts: Column) -> Column:
     def partial(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         frequent = sent.value
         vocabulary = once_per_worker(("lm", name), lambda: _as_dictionary(frequent.words))
-        none = (np.empty(0, np.int64), [], *[np.empty(0, np.int64)] * 4)
+        none = (np.empty(0, np.int64), [], *[np.empty(0, np.int64)] * 2)
         for texts in batches:
             counts, sums, bigrams, rare = [], [], [], []
             for value in texts.to_pylist():
@@ -355,28 +366,23 @@ def _partial(model: Model, texts: Column) -> Column:
 def _rest(model: Model, partial: DataFrame) -> DataFrame:
     """(row, background, outside, inside): what open bigrams and rare words of (row, lost) add to the sums."""
     spark, frequent = partial.sparkSession, model.frequent
-    held = np.hstack([frequent.word_counts, frequent.context_counts]).astype(np.int64)
-    known = pa.Table.from_arrays(
-        [pa.array(np.arange(len(held))), *[pa.array(held[:, i]) for i in range(4)]], ["number", "n", "t", "cn", "ct"]
-    )
-    known = F.broadcast(spark.createDataFrame(known).filter(F.col("number") != RARE))
-
-    def with_counts(rows: DataFrame, number: str, word: str, *counts: str) -> DataFrame:
-        """``rows`` with the counts of a word: those of frequent ones are sent, rare ones meet in a join of their own."""
-        is_rare = F.col(number) == RARE
-        sent = known.select(F.col("number").alias(number), *counts)
-        rare = model.words.select(F.col("word").alias(word), *counts)
-        return rows.filter(~is_rare).join(sent, number).unionByName(rows.filter(is_rare).join(rare, word))
+    held = frequent.word_counts.astype(np.int64)
+    known = pa.Table.from_arrays([pa.array(np.arange(len(held))), *map(pa.array, held.T)], ["after", "n", "t"])
+    known = F.broadcast(spark.createDataFrame(known).filter(F.col("after") != RARE))
 
-    # The counts of its words are added once to each bigram, not to every text's.
-    both = F.col("word").cast("string")
+    # The counts of the next word are added once to each bigram, not to every text's.
+    after = F.expr(f"code % {BASE}")
+    last = F.substring_index(F.col("word").cast("string"), " ", -1).cast("binary")
     bigrams = model.bigrams.select(
-        "code", F.col("word").alias("spelled"), F.col("n").alias("p0"), F.col("t").alias("p1"),
-        F.expr(f"code div {BASE}").alias("number"), F.expr(f"code % {BASE}").alias("after"),
-        F.when(F.expr(f"code div {BASE}") == RARE, F.substring_index(both, " ", 1)).otherwise("").cast("binary").alias("word"),
-        F.when(F.expr(f"code % {BASE}") == RARE, F.substring_index(both, " ", -1)).otherwise("").cast("binary").alias("next"),
+        "code", F.col("word").alias("spelled"), F.col("n").alias("p0"), F.col("t").alias("p1"), after.alias("after"),
+        F.when(after == RARE, last).alias("next"),
     )
-    bigrams = with_counts(with_counts(bigrams, "after", "next", "n", "t"), "number", "word", "cn", "ct")
+    rare_next = model.words.select(F.col("word").alias("next"), "n", "t")
+    columns = ["code", "spelled", "p0", "p1", "n", "t"]
+    bigrams = (
+        bigrams.filter(F.col("after") != RARE).join(known, "after").select(columns)
+        .unionByName(bigrams.filter(F.col("after") == RARE).join(rare_next, "next").select(columns))
+    )
 
     def left(side: int, names: tuple[str, str], without: Column | int) -> Column:
         return F.lit(float(frequent.scales[side])) * F.greatest(F.col(names[side]) - without, F.lit(0)).cast("double")
@@ -387,41 +393,25 @@ def _rest(model: Model, partial: DataFrame) -> DataFrame:
         words = left(side, ("n", "t"), without * F.col("own")) + F.lit(WORD_WEIGHT / frequent.size)
         return F.lit(BIGRAM_WEIGHT) * words / total
 
-    def around(side: int, own: Column | int) -> Column:
-        return F.col("around") * F.log(left(side, ("cn", "ct"), own) + F.lit(BIGRAM_WEIGHT))
-
     def views(gain) -> list[Column]:
         return [gain(side, without).alias(name) for name, side, without in VIEWS]
 
     # What a count adds to a bigram without one; bigrams that occur once find none.
     mine = partial.select("row", F.col("lost.words").alias("words"), F.explode("lost.bigrams").alias("b"))
-    mine = mine.select("row", "words", "b.code", F.col("b.word").alias("spelled"), "b.times", "b.own", "b.around", "b.held")
-    found = mine.join(bigrams, ["code", "spelled"])
+    mine = mine.select("row", "words", "b.code", F.col("b.word").alias("spelled"), "b.times", "b.own")
     more = lambda side, without: F.col("times") * (
         F.log(left(side, ("p0", "p1"), without * F.col("times")) + single(side, without)) - F.log(single(side, without))
     )
-    columns = ["row", "number", "word", "times", "around", "held", "cn", "ct"]
-    found = found.select(*columns, *views(more))
-    # Rare words as next word and as context, as if their bigrams had no counts.
+    found = mine.join(bigrams, ["code", "spelled"]).select("row", *views(more))
+    # Rare words as next word, as if their bigrams had no counts, and as context.
     rare = partial.select("row", F.col("lost.words").alias("words"), F.explode("lost.rare").alias("r"))
     rare = rare.select("row", "words", "r.*").join(model.words, "word")
-    plain = lambda side, without: F.col("own") * F.log(single(side, without)) - around(side, 0)
-    zero = {c: F.lit(0).cast("int").alias(c) for c in ("times", "around", "held")}
-    rare = rare.select(
-        "row", F.lit(-1).cast("long").alias("number"), F.lit(b"").alias("word"), *zero.values(),
-        *[F.lit(0).cast("long").alias(c) for c in ("cn", "ct")], *views(plain),
-    )
-    # Rows of a text meet once; then its contexts and the text itself are summed where they are.
-    met = found.unionByName(rare).repartition("row").groupBy("row", "number", "word").agg(
-        F.sum("times").alias("times"), *[F.max(c).alias(c) for c in ("around", "held", "cn", "ct")],
-        *[F.sum(name).alias(name) for name, _, _ in VIEWS],
-    )
-
-    def total(name: str, side: int, without: int) -> Column:
-        grown = around(side, without * (F.col("held") + F.col("times"))) - around(side, without * F.col("held"))
-        return F.sum(F.col(name) - grown).alias(name)
-
-    return met.groupBy("row").agg(*[total(*view) for view in VIEWS])
+    plain = lambda side, without: (
+        F.col("own") * F.log(single(side, without))
+        - F.col("around") * F.log(left(side, ("cn", "ct"), without * F.col("around")) + F.lit(BIGRAM_WEIGHT))
+    )
+    both = found.unionByName(rare.select("row", *views(plain)))
+    return both.groupBy("row").agg(*[F.sum(name).alias(name) for name, _, _ in VIEWS])
 
 
 FIELDS = ("n_lm_words", "background_loss", "target_loss", "difference")
@@ -434,7 +424,7 @@ def score(
     """``docs`` with the mean loss per word under both models and their ``difference``: low is like the target.
 
     Both are bigram models with the same vocabulary, bigrams, smoothing, counting and, by weight, size; they know every
-    word, and every bigram that occurs more than once.  No text is judged by counts of its own: the background is asked
+    word and every bigram.  No text is judged by counts of its own: the background is asked
     without them, and so is the target for texts that belong to it.  Null and empty texts have 0 words and null losses;
     without targets all words have equal shares in the target.  Rows with a null key are no targets; rows that repeat a
     key are targets together.  Columns of these names are replaced; the rows are staged, without their text on request.

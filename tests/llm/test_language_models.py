@@ -10,30 +10,29 @@ from citegraph.llm.registry import QUERIES
 
 
 def losses(docs, targets):
-    """{id: (background, target)} of (id, words); every word and every bigram that occurs more than once counts."""
+    """{id: (background, target)} of (id, words); every word, bigram and context counts, a text's own ones do not."""
     words, pairs, contexts = ([Counter(), Counter()] for _ in range(3))
     pairs_of = lambda w: list(zip(["<begin>", *w], w))
     for i, w in docs:
         for side in (0, 1) if i in targets else (0,):
             words[side].update(w)
             pairs[side].update(pairs_of(w))
-    held = {p for p, n in pairs[0].items() if n > 1}
     for side in (0, 1):
         for p, n in pairs[side].items():
-            contexts[side][p[0]] += n * (p in held)
+            contexts[side][p[0]] += n
     size, totals = len(words[0]) + 1, [sum(c.values()) for c in words]
     found = {}
     for i, w in docs:
         own, own_pairs, own_contexts = Counter(w), Counter(pairs_of(w)), Counter()
         for p, n in own_pairs.items():
-            own_contexts[p[0]] += n * (p in held)
+            own_contexts[p[0]] += n
         both = []
         for side in (0, 1):
             out, scale, value = int(side == 0 or i in targets), min(totals) / totals[side], 0.0
             total = scale * (totals[side] - out * len(w))
             for p, n in own_pairs.items():
                 single = (scale * (words[side][p[1]] - out * own[p[1]]) + lm.WORD_WEIGHT / size) / (total + lm.WORD_WEIGHT)
-                count = pairs[side][p] - out * n if p in held else 0
+                count = pairs[side][p] - out * n
                 context = contexts[side][p[0]] - out * own_contexts[p[0]]
                 value -= n * math.log((scale * count + lm.BIGRAM_WEIGHT * single) / (scale * context + lm.BIGRAM_WEIGHT))
             both.append(value / len(w))
@@ -67,3 +66,12 @@ def test_losses_do_not_hang_on_what_a_task_holds(spark, monkeypatch, words, bigr
     assert len(found) == len(texts)
     for r in found:
         assert (r.background_loss, r.target_loss) == pytest.approx(expected[r.doc_id], abs=1e-9)
+
+
+def test_bigrams_that_occur_once_count_in_the_contexts_they_share(spark):
+    texts = [(i, f"the only{i} the again") for i in range(40)] + [(40, "the end"), (41, "the")]
+    docs, targets = [(i, t.split()) for i, t in texts], {1, 2, 41}
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: r for r in lm.score(frame, spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()}
+    for i, both in losses(docs, targets).items():
+        assert (found[i].background_loss, found[i].target_loss) == pytest.approx(both, abs=1e-9)

@@ -138,11 +138,10 @@ def test_losses_equal_brute_force(spark):
             if side == 0 or i in targets:
                 words[side].update(w)
                 pairs[side].update(pairs_of(w))
-    held = {p for p, n in pairs[0].items() if n > 1}
     assert len(words[0]) <= lm.VOCABULARY
     for side in (0, 1):
         for p, n in pairs[side].items():
-            contexts[side][p[0]] += n * (p in held)
+            contexts[side][p[0]] += n
     size = len(words[0]) + 1
     found = {r.doc_id: r for r in QUERIES["op10_cross_entropy_difference"](spark, FOLDER).collect()}
     for i, w in docs:
@@ -151,7 +150,7 @@ def test_losses_equal_brute_force(spark):
         own, own_pairs = Counter(w), Counter(pairs_of(w))
         own_contexts = Counter()
         for p, n in own_pairs.items():
-            own_contexts[p[0]] += n * (p in held)
+            own_contexts[p[0]] += n
         loss = []
         for side in (0, 1):
             out = 1 if side == 0 or i in targets else 0
@@ -160,7 +159,7 @@ def test_losses_equal_brute_force(spark):
             value = 0.0
             for p in pairs_of(w):
                 single = (scale * (words[side][p[1]] - out * own[p[1]]) + lm.WORD_WEIGHT / size) / (scale * total + lm.WORD_WEIGHT)
-                count = pairs[side][p] - out * own_pairs[p] if p in held else 0
+                count = pairs[side][p] - out * own_pairs[p]
                 context = contexts[side][p[0]] - out * own_contexts[p[0]]
                 value -= math.log((scale * count + lm.BIGRAM_WEIGHT * single) / (scale * context + lm.BIGRAM_WEIGHT))
             loss.append(value / len(w))
