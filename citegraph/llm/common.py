@@ -85,9 +85,13 @@ def text_pieces(data: bytes, separator: Pattern[bytes], size: int = 1 << 20) ->
     yield data[start:] if start else data
 
 
-def give_back() -> None:
-    """Return the memory of finished Arrow batches to the machine, where the next stage may need it."""
-    pa.default_memory_pool().release_unused()
+#: Rows of a table of keys that is sent to every executor (some 40 MB); beyond that it is shuffled.
+SENT_KEYS = 500_000
+
+
+def sent_if_small(keys: DataFrame) -> DataFrame:
+    """A stored table of keys (a few numbers a row), marked to be sent to all executors if its row count allows that."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
 
 
 _BUILT: dict = {}
@@ -103,3 +107,11 @@ def once_per_worker(key, build: Callable):
             del _BUILT[next(iter(_BUILT))]
         _BUILT[key] = build()
     return _BUILT[key]
+
+
+def give_back(*keys) -> None:
+    """Return memory to the machine, where the next stage may need it: that of finished Arrow batches, and what earlier
+    operators have built in this worker, except for ``keys``."""
+    for key in [k for k in _BUILT if k not in keys]:
+        del _BUILT[key]
+    pa.default_memory_pool().release_unused()

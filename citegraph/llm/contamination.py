@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import fresh, quoted, table, without
+from citegraph.llm.common import fresh, quoted, sent_if_small, stage, table, without
 
 # What separates words (fixed value): every ASCII character that is neither a digit nor a letter.
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -38,30 +38,39 @@ def benchmark_windows(benchmark: DataFrame, text: str, item: str, size: int) ->
 
 
 def _window_hits(docs: DataFrame, key: list[str], text: str, windows: DataFrame) -> DataFrame:
-    """(key, start, stop, items) of every place in the documents where a window occurs."""
+    """(key, start, stop, items) of every place in the documents where a window occurs.
+
+    ``key`` says which text it is: rows with equal keys have equal texts.
+    """
     size = windows.agg(F.sum(F.length("gram") + F.length(F.array_join("items", ",")) + 64)).first()[0] or 0
     # At most as many lengths as a window has words; without windows any length finds nothing.
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect()) or [1]
-    if size <= BROADCAST_BYTES:
-        windows = F.broadcast(windows)
-    placed = docs.select(*key, words(F.col(text)).alias("words")).select(
-        *key, "words", F.posexplode("words").alias("start", "word")
-    )
+    split = docs.select(*key, words(F.col(text)).alias("words"))
     whole = lambda n: F.col("start") + n <= F.size("words")
     hashed = lambda n: F.xxhash64(F.slice("words", F.col("start") + 1, n))
-    if len(lengths) == 1:
-        n = lengths[0]
-        placed = placed.filter(whole(n)).select(*key, "words", "start", F.lit(n).alias("n"), hashed(n).alias("h"))
-    else:
+
+    def places(*also: str) -> DataFrame:
+        """(key, also, start, n, h): the hash of every window of every document."""
+        placed = split.select(*key, "words", F.posexplode("words").alias("start", "word"))
+        if len(lengths) == 1:
+            n = lengths[0]
+            return placed.filter(whole(n)).select(*key, *also, "start", F.lit(n).alias("n"), hashed(n).alias("h"))
         probes = F.array(*[F.when(whole(n), F.struct(F.lit(n).alias("n"), hashed(n).alias("h"))) for n in lengths])
         placed = placed.select(*key, "words", "start", F.explode(probes).alias("probe")).filter("probe is not null")
-        placed = placed.select(*key, "words", "start", "probe.n", "probe.h")
+        return placed.select(*key, *also, "start", "probe.n", "probe.h")
+
     # The hash finds, the words themselves decide.
-    same = (
-        (F.col("h") == F.col("hash")) & (F.col("n") == F.col("length"))
-        & (F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ") == F.col("gram"))
-    )
-    return placed.join(windows, same).select(*key, "start", (F.col("start") + F.col("n")).alias("stop"), "items")
+    found = (F.col("h") == F.col("hash")) & (F.col("n") == F.col("length"))
+    same = F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ") == F.col("gram")
+    if size <= BROADCAST_BYTES:
+        hits = places("words").join(F.broadcast(windows), found & same)
+    else:
+        # Only hashes and places are shuffled; the words are fetched for what the hashes have found.
+        hits = places().join(windows, found).select(*key, "start", "n", "gram", "items").alias("h")
+        equal = [f"h.`{k}` <=> s.`{k}`" for k in key]
+        joined = hits.join(split.alias("s"), F.expr(" and ".join(equal))).filter(same)
+        hits = joined.select(*[F.col(f"h.`{k}`") for k in key], "start", "n", "items")
+    return hits.select(*key, "start", (F.col("start") + F.col("n")).alias("stop"), "items")
 
 
 def _covered(spans: Column) -> Column:
@@ -94,8 +103,8 @@ def find_contamination(
     words in at least one of them; ``hit_items``, the sorted names of the items found; ``contaminated``, if at least
     one word and one in twenty is hit.
 
-    The table of windows goes to every executor if it has at most ``BROADCAST_BYTES``; beyond that the same join
-    runs as a shuffle.  Texts stay where they are: only hits are shuffled, grouped by key and a hash of the text, so rows
+    The table of windows goes to every executor if it has at most ``BROADCAST_BYTES``; beyond that the hashes of the
+    documents' windows are shuffled, and words only for those found.  Only hits are shuffled otherwise, grouped by key and a hash of the text, so rows
     that share a key, or lack one, are judged each by its own text, and repeated rows alike.  Null and empty texts and
     items have no words; without items nothing is hit.  A null item name counts as "".  Columns called like the
     added ones are replaced, all others stay.
@@ -127,9 +136,18 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, as they are."""
-    found = find_contamination(docs, benchmark, **options)
-    return found.filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are not contaminated, as they are.
+
+    Only the keys of contaminated texts meet the documents; unless these are too many to be sent, no text is shuffled.
+    """
+    key, text = options.get("key", "doc_id"), options.get("text", "text")
+    source = docs.select(quoted(key).alias(key), quoted(text).alias(text))
+    found = find_contamination(source, benchmark, **options).filter("contaminated")
+    dirty = stage(found.select(quoted(key).alias("dirty_key"), F.xxhash64(quoted(text)).alias("dirty_hash")).distinct())
+    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
+    same = (F.col("row")[key].eqNullSafe(F.col("dirty_key"))) & (F.xxhash64(F.col("row")[text]) == F.col("dirty_hash"))
+    kept = packed.join(sent_if_small(dirty), same, "left_anti")
+    return kept.select([F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def cut_spans(found: DataFrame, text: str = "text") -> DataFrame:

@@ -376,7 +376,7 @@ def identify(docs: DataFrame, field: Field, text: str = "text", segments: str |
                     words_held = 0
             if held:
                 settle()
-            give_back()
+            give_back(("languages", key))
             yield pa.StructArray.from_arrays(
                 [pa.array(predicted, pa.string()), pa.array(scores, pa.float64()), pa.array(found, pa.list_(run))],
                 ["lang_pred", "score", "segments"],

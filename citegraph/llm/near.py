@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import fresh, give_back, once_per_worker, quoted, stage, table
+from citegraph.llm.common import give_back, once_per_worker, quoted, sent_if_small, stage, table
 
 SHINGLE = 5
 #: Coordinates of a signature, and how many of them two documents must share to be compared further.
@@ -19,8 +19,6 @@ COORDINATES, MATCHES = 64, 40
 POSTED, COLLISIONS = 16, 6
 #: Documents of one posting list, or of one cluster, that are compared at a time; shingles likewise.
 POSTING_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 1024, 512, 250_000
-#: Bits of the filter for documents whose shingles are needed (16 MB); it only saves work, whatever it lets through.
-FILTER_BITS = 1 << 27
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xBF58476D1CE4E5B9)
@@ -65,40 +63,34 @@ def signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return least
 
 
-def _mark(key: bytes, doc_id: int | None) -> int:
-    """63 bits for one row; rows that share them are only looked at once too often."""
-    return xxhash.xxh3_64_intdigest(key + str(doc_id).encode()) >> 1
-
-
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, n_shingles, node, mark, posts, sketch): ``node`` stands for the word sequence, null without words."""
+    """(doc, text_hash, n_shingles, node, posts, sketch): ``node`` stands for the word sequence, null without words."""
 
-    @F.arrow_udf("n_shingles long, node binary, mark long, posts array<long>, sketch binary")
-    def sign(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        give_back()
+    @F.arrow_udf("n_shingles long, node binary, posts array<long>, sketch binary")
+    def sign(texts: pa.Array) -> pa.Array:
+        give_back("factors")
         factors = once_per_worker("factors", _factors)
         salts = np.arange(POSTED, dtype=np.uint64) * _MIX
-        sizes, nodes, marks, posts, sketches = [], [], [], [], []
-        for doc_id, value in zip(ids.to_pylist(), texts.to_pylist()):
-            words = lowered_words(value or "")
+        sizes, nodes, posts, sketches = [], [], [], []
+        for value in texts:
+            words = lowered_words(value.as_py() or "")
             if not words:
-                sizes.append(0), nodes.append(None), marks.append(None), posts.append(None), sketches.append(None)
+                sizes.append(0), nodes.append(None), posts.append(None), sketches.append(None)
                 continue
             shingles = shingle_set(words)
             least = signature(shingles, factors)
-            node = words_key(words)
-            sizes.append(len(shingles)), nodes.append(node), marks.append(_mark(node, doc_id))
+            sizes.append(len(shingles)), nodes.append(words_key(words))
             posts.append((least[:POSTED] * _FINAL + salts).view(np.int64))
             sketches.append((least >> np.uint64(32)).astype(np.uint32).tobytes())
         return pa.StructArray.from_arrays(
             [
-                pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.int64()),
-                pa.array(posts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+                pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(posts, pa.list_(pa.int64())),
+                pa.array(sketches, pa.binary()),
             ],
-            ["n_shingles", "node", "mark", "posts", "sketch"],
+            ["n_shingles", "node", "posts", "sketch"],
         )
 
-    done = docs.select(quoted(key).cast("long").alias("doc"), F.xxhash64(quoted(text)).alias("text_hash"), sign(quoted(key).cast("long"), quoted(text)).alias("s"))
+    done = docs.select(quoted(key).cast("long").alias("doc"), F.xxhash64(quoted(text)).alias("text_hash"), sign(quoted(text)).alias("s"))
     return done.select("doc", "text_hash", "s.*")
 
 
@@ -276,47 +268,30 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     return _compare(_blocked(lists, F.ceil(F.col("n") / POSTING_BLOCK), "node"), "post", "sketch", _alike_signatures)
 
 
-def _filter(marks: DataFrame) -> bytes:
-    """A bit for each mark modulo ``FILTER_BITS``: at most 4,096 pieces of 4 kB."""
-    bit = F.col("mark") % FILTER_BITS + 1
-    pieces = marks.groupBy(F.bitmap_bucket_number(bit).alias("piece")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")
-    )
-    bits = bytearray(FILTER_BITS // 8)
-    for row in pieces.collect():
-        start = (row.piece - 1) * 4096
-        bits[start : start + 4096] = row.bits
-    return bytes(bits)
-
-
 def shingle_sets(docs: DataFrame, key: str, text: str, needed: DataFrame) -> DataFrame:
-    """(node, shingles) for the rows whose mark is in ``needed``; no text is shuffled, only their sets."""
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(needed))
+    """(node, shingles) for the rows whose key and text are in the stored ``needed`` (doc, text_hash).
 
-    @F.arrow_udf("node binary, mark long, shingles binary")
-    def sets(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        give_back()
-        bits = sent.value
-        nodes, marks, found = [], [], []
-        for doc_id, value in zip(ids.to_pylist(), texts.to_pylist()):
-            words = lowered_words(value or "")
-            node = words_key(words)
-            mark = _mark(node, doc_id)
-            bit = mark % FILTER_BITS
-            wanted = words and bits[bit >> 3] >> (bit & 7) & 1
-            nodes.append(node if wanted else None)
-            marks.append(mark)
-            found.append(shingle_set(words).tobytes() if wanted else None)
-        return pa.StructArray.from_arrays(
-            [pa.array(nodes, pa.binary()), pa.array(marks, pa.int64()), pa.array(found, pa.binary())],
-            ["node", "mark", "shingles"],
-        )
+    Only the texts of these rows are looked at.  Where there are too many to be sent as keys, texts are shuffled once.
+    """
 
-    # Not to be run once for the filter and once more for the rows.
+    @F.arrow_udf("node binary, shingles binary")
+    def sets(texts: pa.Array) -> pa.Array:
+        give_back()
+        nodes, found = [], []
+        for value in texts:
+            words = lowered_words(value.as_py())
+            nodes.append(words_key(words))
+            found.append(shingle_set(words).tobytes())
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    rows = docs.select(quoted(key).cast("long").alias("doc"), F.xxhash64(quoted(text)).alias("text_hash"), quoted(text).alias("text"))
+    wanted = sent_if_small(needed).alias("w")
+    picked = rows.alias("r").join(wanted, F.expr("r.doc <=> w.doc and r.text_hash = w.text_hash"), "left_semi")
+    # Else a later filter on the node would be asked of all texts, before the join.
     sets = sets.asNondeterministic()
-    made = docs.select(sets(quoted(key).cast("long"), quoted(text)).alias("s")).select("s.*").filter("node is not null")
+    made = picked.select(sets(F.col("text")).alias("s")).select("s.*")
     # Repeated rows give the same set again.
-    return made.groupBy("node", "mark").agg(F.first("shingles").alias("shingles")).select("node", "shingles")
+    return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _linked(docs: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
@@ -327,18 +302,18 @@ def _linked(docs: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
     classes = stage(
         rows.filter("node is not null").groupBy("node").agg(
             F.min("doc").alias("smallest"),
-            F.min(F.struct("doc", "mark"))["mark"].alias("mark"),
+            F.min(F.struct("doc", "text_hash")).alias("row"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("posts").alias("posts"),
             F.first("sketch").alias("sketch"),
         )
     )
     clusters = components(candidate_edges(classes))
-    inside = clusters.join(classes.select("node", "n_shingles", "mark"), "node")
+    inside = clusters.join(classes.select("node", "n_shingles", "row.doc", "row.text_hash"), "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES))
     sizes = inside.groupBy("label").agg(blocks.alias("blocks"))
-    inside = stage(inside.select("node", "label", "mark").join(sizes, "label"))
-    sets = shingle_sets(docs, key, text, inside.select("mark"))
+    inside = stage(inside.select("node", "label", "doc", "text_hash").join(sizes, "label"))
+    sets = shingle_sets(docs, key, text, inside.select("doc", "text_hash"))
     dealt = _blocked(inside.select("node", "label", "blocks").join(sets, "node"), F.col("blocks"), "node")
     linked = components(_compare(dealt, "label", "shingles", _alike_sets(threshold)))
     known = classes.select("node", "smallest").join(linked, "node", "left")
@@ -376,14 +351,27 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Of rows that repeat key and text one stays.  A key that stands for several texts is no link between them.
     """
     rows = _linked(docs, key, text, threshold).filter("node is not null")
+    rows = stage(rows.groupBy("doc", "text_hash", "label").agg(F.count(F.lit(1)).alias("copies")))
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "text_hash")).alias("first"))
-    doc, text_hash = fresh(docs, "kept_doc"), fresh(docs, "kept_hash")
-    chosen = first.select(F.col("first.doc").alias(doc), F.col("first.text_hash").alias(text_hash)).distinct()
-    has_words = F.coalesce(quoted(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    hashed = docs.filter(has_words).withColumn(text_hash, F.xxhash64(quoted(text))).alias("d")
-    same = F.expr(f"d.`{key}` <=> c.{doc} and d.{text_hash} = c.{text_hash}")
-    one = hashed.join(chosen.alias("c"), same, "left_semi").dropDuplicates([key, text_hash]).drop(text_hash)
-    return one.unionByName(docs.filter(~has_words))
+    first = first.select("label", F.col("first.doc").alias("doc"), F.col("first.text_hash").alias("text_hash"))
+    chosen = F.expr("r.label = f.label and r.doc <=> f.doc and r.text_hash = f.text_hash")
+    judged = rows.alias("r").join(first.alias("f"), chosen, "left").select(
+        F.col("r.doc").alias("kept_doc"), F.col("r.text_hash").alias("kept_hash"),
+        F.col("f.label").isNotNull().alias("kept_one"), "r.copies",
+    )
+    # Most rows stay as they are and are not listed; a text goes nowhere unless too many are.
+    listed = stage(judged.filter("not kept_one or copies > 1").select("kept_doc", "kept_hash", "kept_one"))
+    sent = sent_if_small(listed).alias("l")
+    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
+    hashed = packed.withColumn("hash", F.xxhash64(F.col("row")[text])).withColumn("doc", F.col("row")[key].cast("long"))
+    met = hashed.alias("d").join(sent, F.expr("d.doc <=> l.kept_doc and d.hash = l.kept_hash"), "left")
+    columns = [F.col("row")[c].alias(c) for c in docs.columns]
+    stay = met.filter("kept_one is null").select(columns)
+    if listed.filter("kept_one").isEmpty():
+        return stay
+    # Of repeated rows one each; the others are gone before they meet.
+    copies = met.filter("kept_one").groupBy("doc", "hash").agg(F.first("row").alias("row"))
+    return stay.unionByName(copies.select(columns))
 
 
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,7 +22,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql_where_there_is_one(spark, con, name):
     count, problem = compare(spark, con, name, QUERIES[name], ORACLES.get(name), FOLDER)
-    assert problem == "" and count == 200
+    # One row per document, or one per word and one per group, item and part.
+    assert problem == "" and (count > 200 if name in ("op12_spelling_variants", "op13_source_divergence") else count == 200)
 
 
 @pytest.mark.parametrize("name", ["op3_sharding", "op8_decontamination"])
