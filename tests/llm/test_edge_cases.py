@@ -162,6 +162,9 @@ def test_queries_and_pipeline_over_messy_tables(spark, tmp_path, rows):
     labels = [(5, 1, 0), (None, 1, 0), (3, None, 0)] if rows else []
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, query in QUERIES.items():
-        assert query(spark, str(tmp_path)).count() == len(rows), name
+        found = query(spark, str(tmp_path)).count()
+        # One row per document, or one per word and one per group, item and part.
+        assert found == len(rows) or name in ("op12_spelling_variants", "op13_source_divergence"), name
+        assert rows or not found, name
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() <= len(rows)
