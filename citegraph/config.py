@@ -33,7 +33,6 @@ NAME_BATCH_SIZE = 10_000
 ENCODER_BATCH_SIZE = 1_000
 CLOSURE_HOPS = 5
 
-# Indicator table -> indicator code (fixed values).
 # Place-service country name -> development-indicator country name (fixed values).  Three names have no
 # counterpart and map to null.
 PLACE_TO_INDICATOR_COUNTRY = {
@@ -343,3 +342,7 @@ OPEN_ACCESS_JOURNALS = (
     "arxiv nuclear experiment",
     "arxiv number theory",
 )
+
+# Names of authors (fixed values): symbols that are no part of a name, and initials inside a word.
+NAME_SYMBOLS = r'[)(#"!:]|-{2,}'
+NAME_INITIALS = (r"(?d).?\.", r"(?U)[A-Z]*-[A-Z]\b")

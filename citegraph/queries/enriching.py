@@ -90,18 +90,18 @@ def flat_places(responses: DataFrame) -> DataFrame:
 
 
 # --- names and gender ---------------------------------------------------------------------------------
-# The name rules once more for DuckDB's regular expressions.
+# The rule word by word for DuckDB, whose patterns have other flags.
 _CLEANED = r"""
-, tidy AS (SELECT id, regexp_replace(name, '[)(#"!:]|-{2,}', '', 'g') AS name FROM authors)
-, words AS (SELECT id, string_split(name, ' ') AS w FROM tidy)
-, forenames AS (
-    SELECT id, w[-1] AS surname, regexp_replace(
-        trim(regexp_replace(array_to_string(w[1:len(w) - 1], ' '), '(.?)\.', '', 'g')),
-        '[A-Z]*-[A-Z]\b', '', 'g') AS f FROM words)
-, kept AS (
-    SELECT id, surname, array_to_string(list_filter(string_split(f, ' '), lambda x: length(x) > 1), ' ') AS f
-    FROM forenames)
-, cleaned AS (SELECT id, trim(concat(f, ' ', surname)) AS proc_name FROM kept WHERE length(f) > 1)
+, words AS (
+    SELECT id, string_split(regexp_replace(name, '[)(#"!:]|-{2,}', '', 'g'), ' ') AS w FROM authors)
+, cleaned AS (
+    SELECT id, trim(array_to_string(list_append(forenames, w[-1]), ' ')) AS proc_name
+    FROM (
+        SELECT id, w, list_filter(list_transform(w[:-2],
+            lambda t: regexp_replace(regexp_replace(t, '.?\.', '', 'g'), '[A-Z]*-[A-Z]\b', '', 'g')),
+            lambda t: length(t) > 1) AS forenames
+        FROM words)
+    WHERE len(forenames) > 0)
 """
 
 

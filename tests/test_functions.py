@@ -51,6 +51,10 @@ def test_abstract_round_trip(make):
         ("Mary--Ann Lee", "MaryAnn Lee"),
         ("É-Z Foo Bar", "Foo Bar"),  # what is left of "É-Z" is a single letter
         ("Foo  X Bar", "Foo Bar"),
+        ("Ann .B Lee", "AnnB Lee"),
+        ("Ann .Lee", "Ann .Lee"),
+        ("Ann J.-P. Lee", "Ann Lee"),
+        ("Ann Lee ", "Ann Lee"),
     ],
 )
 def test_clean_name(make, name, expected):

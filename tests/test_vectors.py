@@ -14,6 +14,7 @@ def points(make, rows):
 
 
 def test_neighbours_golden(make):
+    # Points and expected distances (fixed values).
     corpus = points(make, [(11, [.1243, 1.124, .21456, .123]), (22, [1.24, .765, .987, .433]),
                            (33, [.123, .6543, .734, .235])])
     rows = vectors.nearest_neighbours(corpus, corpus.filter("id = 11"), 3).orderBy("rank").collect()
