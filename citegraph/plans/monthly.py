@@ -1,12 +1,13 @@
 """The monthly run, step by step: landed files -> graph -> topics -> indicators -> front-end tables.
 
 Each step reads stored tables and writes stored tables, so steps can be repeated or scheduled on their
-own.  A repeated step appends nothing that is stored already.
+own.  A repeated step appends nothing that is stored already.  What a step stages is removed when it ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame
@@ -14,11 +15,22 @@ from pyspark.sql import functions as F
 
 from citegraph import config, schemas
 from citegraph.operators import enrich, indicators, normalise, outputs, topics, vectors
-from citegraph.session import materialise
+from citegraph.session import materialise, staging
 from citegraph.sources import country_indicators, records
 from citegraph.sources.store import Store
 
 
+def step(run: Callable) -> Callable:
+    """A step: by its end its results are stored tables or files, and nothing staged is left."""
+
+    @wraps(run)
+    def staged(store: Store, *args, **options):
+        with staging(store.spark):
+            return run(store, *args, **options)
+
+    return staged
+
+
 def create_tables(store: Store) -> None:
     """Empty tables for everything that is not there yet."""
     for name in schemas.TABLES:
@@ -26,6 +38,7 @@ def create_tables(store: Store) -> None:
 
 
 # --- graph --------------------------------------------------------------------------------------------
+@step
 def add_records(store: Store, path: str, with_doi: bool = False, multi_line: bool = False) -> None:
     """Parse landed records that are not stored yet and append them to the graph tables.
 
@@ -51,6 +64,7 @@ def add_records(store: Store, path: str, with_doi: bool = False, multi_line: boo
         store.append(normalise.not_yet_stored(parse(fresh), store.read(name), "id"), name)
 
 
+@step
 def add_topics(store: Store, path: str) -> None:
     """Level and links of the topics that are not described yet."""
     landed = records.read_topics(store.spark, path)
@@ -64,6 +78,7 @@ def add_topics(store: Store, path: str) -> None:
 
 
 # --- enrichment ---------------------------------------------------------------------------------------
+@step
 def add_places(store: Store, path: str) -> None:
     places = enrich.geocoded_places(records.read_place_details(store.spark, path))
     store.append(
@@ -71,17 +86,20 @@ def add_places(store: Store, path: str) -> None:
     )
 
 
+@step
 def names_to_infer(store: Store, batch_size: int = config.NAME_BATCH_SIZE) -> DataFrame:
-    """Batches of author names without a gender, to be sent to the name service."""
+    """Batches of author names without a gender, to be sent to the name service; they stay staged for ``add_genders``."""
     authors = normalise.not_yet_stored(store.read("authors"), store.read("author_gender"), "id")
-    return enrich.name_batches(authors, batch_size)
+    return materialise(enrich.name_batches(authors, batch_size), outlive=True)
 
 
+@step
 def add_genders(store: Store, path: str, names: DataFrame) -> None:
     responses = records.read_gender_responses(store.spark, path)
     store.append(enrich.author_gender(responses, names, store.read("author_gender")), "author_gender")
 
 
+@step
 def flag_institutions_and_journals(store: Store) -> None:
     store.append(
         enrich.affiliation_type(store.read("affiliation"), store.read("affiliation_type")), "affiliation_type"
@@ -89,6 +107,7 @@ def flag_institutions_and_journals(store: Store) -> None:
     store.refresh(enrich.open_access_journals(store.read("paper_journal")), "open_access_journals")
 
 
+@step
 def load_country_indicators(store: Store, paths: dict[str, str], **options: str) -> None:
     """``paths`` maps a table name (wb_gdp, ...) to its landed files."""
     for name, path in paths.items():
@@ -96,6 +115,7 @@ def load_country_indicators(store: Store, paths: dict[str, str], **options: str)
         store.refresh(country_indicators.load_indicator(raw), name)
 
 
+@step
 def describe_countries(store: Store, path: str) -> None:
     """Match country names and add the country details landed at ``path``."""
     store.refresh(enrich.country_association(store.read("geocoded_places")), "country_association")
@@ -104,6 +124,7 @@ def describe_countries(store: Store, path: str) -> None:
 
 
 # --- topics -------------------------------------------------------------------------------------------
+@step
 def select_topics(
     store: Store,
     levels: Sequence[int] = config.TOPIC_LEVELS,
@@ -143,6 +164,7 @@ def paper_countries(store: Store) -> DataFrame:
 
 
 # --- indicators ---------------------------------------------------------------------------------------
+@step
 def measure(
     store: Store,
     year_thresh: str = config.METRIC_YEAR,
@@ -183,6 +205,7 @@ def measure(
 
 
 # --- vectors ------------------------------------------------------------------------------------------
+@step
 def add_document_vectors(
     store: Store, encode_fn: Callable[[list[str]], Sequence], batch_size: int = config.ENCODER_BATCH_SIZE
 ) -> None:
@@ -192,6 +215,7 @@ def add_document_vectors(
     store.append(fresh, "high_dim_doc_vectors")
 
 
+@step
 def replace_document_vectors(
     store: Store,
     max_features: int | None = None,
@@ -204,9 +228,11 @@ def replace_document_vectors(
     store.refresh(embedded, "high_dim_doc_vectors")
     if model_path is not None:
         model.save(model_path)
-    return model
+        return vectors.TextVectorModel.load(store.spark, model_path)
+    return vectors.TextVectorModel(materialise(model.terms, outlive=True), model.k)
 
 
+@step
 def project_documents(
     store: Store, model_path: str, refit: bool = False, exclude: Sequence[int] = ()
 ) -> None:
@@ -222,6 +248,7 @@ def project_documents(
         store.append(vectors.project(documents, PCAModel.load(model_path)), "doc_vectors")
 
 
+@step
 def compare_countries(
     store: Store,
     year: str = config.COLLABORATION_YEAR,
@@ -241,6 +268,7 @@ def compare_countries(
 
 
 # --- output -------------------------------------------------------------------------------------------
+@step
 def present(store: Store, year_thresh: str = config.PAPER_YEAR) -> None:
     """The front-end tables."""
     papers, paper_fos = store.read("papers"), store.read("paper_fields_of_study")
@@ -270,6 +298,7 @@ def present(store: Store, year_thresh: str = config.PAPER_YEAR) -> None:
     store.refresh(outputs.topics_by_paper(paper_fos, chosen, fos), "viz_topics_agg")
 
 
+@step
 def export(store: Store, flat_path: str, search_path: str, authors_path: str) -> None:
     """The flat file of the particle view, the documents of the search index and their authors."""
     flat = outputs.flat_export(

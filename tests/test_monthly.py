@@ -9,6 +9,7 @@ from citegraph.queries.graph import Graph
 from citegraph.sources import records
 from citegraph.sources.store import Store
 from conftest import as_set
+from test_staging import staged
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -33,6 +34,7 @@ def run(spark, tmp_path_factory):
         F.concat(F.lit("p"), "affiliation_id").alias("place_id"),
     ).alias("result")).write.json(str(root / "places"))
     store = Store(spark, str(root / "store"))
+    before = staged(spark)
     monthly.create_tables(store)
     monthly.add_records(store, str(root / "raw"))
     monthly.add_topics(store, str(root / "topics"))
@@ -56,6 +58,8 @@ def run(spark, tmp_path_factory):
     monthly.compare_countries(store, "1996", k=3)
     monthly.present(store, "1996")
     monthly.export(store, str(root / "flat"), str(root / "search"), str(root / "people"))
+    # Of all that the steps have staged only the names for the service are left.
+    assert len(staged(spark) - before) == 1
     return spark, root, store, graph, model
 
 
@@ -142,5 +146,5 @@ def test_front_end_tables(run):
 def test_replacing_the_vectors(run):
     spark, root, store, _, _ = run
     model = monthly.replace_document_vectors(store, 200, 5, model_path=str(root / "text model"))
-    assert model.k == 5
+    assert model.k == 5 and model.transform(store.read("papers").limit(3)).count() <= 3
     assert store.read("high_dim_doc_vectors").count() == store.read("papers").filter("abstract is not null").count()
