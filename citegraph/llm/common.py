@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -115,3 +117,7 @@ def give_back(*keys) -> None:
     for key in [k for k in _BUILT if k not in keys]:
         del _BUILT[key]
     pa.default_memory_pool().release_unused()
+    # The C library keeps what was freed unless it is asked for it; where there is no such call, nothing is lost.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)

@@ -365,7 +365,8 @@ def identify(docs: DataFrame, field: Field, text: str = "text", segments: str |
                 held.clear()
 
             words_held = 0
-            for value in texts.to_pylist():
+            for scalar in texts:
+                value = scalar.as_py()
                 words = _WORDS(value) if value and k else []
                 if words and not any(c.isalpha() for w in words for c in w):
                     words = []

@@ -166,6 +166,7 @@ def _compare(rows: DataFrame, group: str, payload: str, pairs: Callable[[pa.Tabl
             if len(a) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
                 a, b = [], []
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     dealt = rows.select(*by, "node", "own", payload).repartition(*by).sortWithinPartitions(*by, "node")
