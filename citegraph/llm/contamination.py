@@ -141,9 +141,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     Only the keys of contaminated texts meet the documents; unless these are too many to be sent, no text is shuffled.
     """
     key, text = options.get("key", "doc_id"), options.get("text", "text")
-    source = docs.select(quoted(key).alias(key), quoted(text).alias(text))
+    # The hash is made first, so that the text itself need not pass the join that counts the hits.
+    named = fresh(docs, "dirty_hash")
+    source = docs.select(quoted(key).alias(key), quoted(text).alias(text), F.xxhash64(quoted(text)).alias(named))
     found = find_contamination(source, benchmark, **options).filter("contaminated")
-    dirty = stage(found.select(quoted(key).alias("dirty_key"), F.xxhash64(quoted(text)).alias("dirty_hash")).distinct())
+    dirty = stage(found.select(quoted(key).alias("dirty_key"), F.col(named).alias("dirty_hash")).distinct())
     packed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
     same = (F.col("row")[key].eqNullSafe(F.col("dirty_key"))) & (F.xxhash64(F.col("row")[text]) == F.col("dirty_hash"))
     kept = packed.join(sent_if_small(dirty), same, "left_anti")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import Remembered, add_fields, once_per_worker, table
+from citegraph.llm.common import Remembered, add_fields, give_back, once_per_worker, table
 
 # The character that marks white space inside pieces (fixed value).
 MARKER = "▁"
@@ -110,7 +110,7 @@ class Segmenter:
         self.spelled[model["byte_ids"]] = True
         self.scores = np.where(self.spelled, self.byte_log, np.array(self.logs))
         self.chunks = re.compile(" *[^ ]+| +" if model["breaks"] else "(?s).+").findall
-        self.remembered = Remembered(self.segment, 400_000)
+        self.remembered = Remembered(self.segment, 300_000)
 
     def segment(self, text: str) -> bytes:
         """The piece ids as 32-bit numbers.
@@ -192,7 +192,9 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "pie
         segmenter = once_per_worker(("segmenter", key), lambda: Segmenter(sent.value))
         for texts in batches:
             values, counts, scores, in_bytes = [], [], [], []
-            for text in texts.to_pylist():
+            give_back(("segmenter", key))
+            for scalar in texts:
+                text = scalar.as_py()
                 part, score, spelled = segmenter.encode(text or "")
                 values.append(part)
                 counts.append(None if text is None else len(part))
@@ -226,6 +228,7 @@ def decode(docs: DataFrame, model_path: str, ids: str = "piece_ids", into: str =
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = once_per_worker(("words", key), lambda: dict(enumerate(sent.value["words"])))
         for lists in batches:
+            give_back(("words", key))
             # Numbers become objects one text at a time.
             offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
             valid = lists.is_valid().to_pylist()
