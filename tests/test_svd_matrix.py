@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from citegraph.operators import svd, vectors
+from citegraph.session import materialise
 
 
 @pytest.fixture
@@ -84,3 +85,31 @@ def test_a_vector_is_sent_once_for_each_block(make, small_blocks):
     matrix = svd.RowBlocks.of(entries)
     sent, blocks = matrix.needs.count(), matrix.blocks.count()
     assert sent <= blocks * a.shape[1] < np.count_nonzero(a)
+
+
+def test_rows_stay_with_their_blocks(make, small_blocks, monkeypatch):
+    monkeypatch.setattr(svd, "WIDTH", 64)
+    a, entries = sparse(make)
+    matrix = svd.RowBlocks.of(entries)
+    start = materialise(matrix.placed_start(6))
+    names = {r["block"]: r["names"] for r in matrix.blocks.collect()}
+    both = matrix.row_gram_product(start, "x", np.eye(6))
+    x, z = np.zeros((len(a), 6)), np.zeros((len(a), 6))
+    for r in both.collect():
+        x[names[r["block"]]], z[names[r["block"]]] = (np.frombuffer(r[n]).reshape(-1, 6) for n in "xz")
+    assert np.allclose(z, a @ (a.T @ x)) and (np.abs(x).max(axis=1) > 0).tolist() == a.any(axis=1).tolist()
+    # The matrix is read from its buckets: only what the rows give the columns is shuffled.
+    plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Bucketed: true") == 2
+    # A column that one block has alone is not sent.
+    sent, needed = sum(len(r["shared"]) // 4 for r in start.collect()), matrix.needs.groupBy("key").count().filter("count > 1")
+    assert sent == needed.selectExpr("sum(count) AS n").first()["n"]
+    # Few products and the wide form: the same vectors, up to sign.
+    near = svd.truncated_svd(entries, k=4, passes=1, oversample=2, on="rows")
+    monkeypatch.setattr(svd, "WIDTH", 4)
+    wide = svd.truncated_svd(entries, k=4, passes=1, oversample=2, on="rows")
+    assert np.allclose(near.values, wide.values) and np.allclose(near.residuals, wide.residuals, atol=1e-9)
+    found = [{r["name"]: np.abs(r["vector"]) for r in f.row_vectors().collect()} for f in (near, wide)]
+    assert all(np.allclose(v, found[1][n]) for n, v in found[0].items()) and len(found[0]) == len(found[1])
+    found = [{r["key"]: np.abs(r["vector"]) for r in f.column_vectors().collect()} for f in (near, wide)]
+    assert all(np.allclose(v, found[1][n]) for n, v in found[0].items()) and len(found[0]) == len(found[1])
