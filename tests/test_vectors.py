@@ -84,6 +84,26 @@ def test_visits_with_and_without_structure(make, monkeypatch):
     assert routed_rows(monkeypatch, make, noise) <= 1.0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e4, 1e18])
+def test_a_query_is_sent_once_for_all_cells_of_a_task(make, monkeypatch, scale):
+    rng = np.random.default_rng(5)
+    corpus = [(i, v) for i, v in enumerate((rng.normal(size=(400, 8)) * scale).astype("float32"))]
+    sent, original = [], vectors._visit
+
+    def counting(placed, routed, *rest):
+        sent.append((routed.count(), routed.selectExpr("sum(size(_cells)) AS n").first()["n"]))
+        return original(placed, routed, *rest)
+
+    monkeypatch.setattr(vectors, "_visit", counting)
+    monkeypatch.setattr(vectors, "TASK_ROWS", 150)
+    found = points(make, corpus)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.nearest_neighbours(found, found, 3, True, (), 10, 16).collect()}
+    expected = {(q, rank): i for q, i, rank, _ in brute_force(corpus, corpus, 3, True)}
+    assert got == expected
+    # The second round visits nearly all 16 cells; they lie in three tasks, or four if a cell lies across.
+    assert sent[1][0] <= 4 * len(corpus) and sent[1][1] > 2 * sent[1][0]
+
+
 def test_features_never_exceed_the_distance():
     rng = np.random.default_rng(2)
     points_ = rng.normal(size=(300, 20)) * np.linspace(3, 0.1, 20)
