@@ -31,3 +31,8 @@ def test_keys_in_use_are_those_of_the_links(spark):
         found = [row[0] for row in keys.select(name).collect()]
         assert len(found) == len(set(found))
         assert set(found) == {row[0] for row in links.select(name).distinct().collect()}
+
+
+def test_merged_tables_put_the_records_together_once(spark):
+    plan = executed(QUERIES["merged_tables"](spark, FOLDER))
+    assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
