@@ -154,7 +154,8 @@ def country_rca_by_count(g: Graph) -> DataFrame:
 )
 def diversity_indices(g: Graph) -> DataFrame:
     """Topic diversity of every author."""
-    tagged = g.paper_authors.join(g.paper_fos, "paper_id")
+    tagged = g.paper_authors.join(g.dealt(g.paper_fos, "paper_id"), "paper_id").select("author_id", "field_of_study_id")
+    tagged = g.dealt(tagged, "author_id")
     indices = indicators.diversity(tagged, ["author_id"], "field_of_study_id")
     return rounded(indices, "dominance", "shannon", "simpson", "enspie", "simpson_e")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from citegraph.queries import graph
 from citegraph.queries.graph import Graph
 from citegraph.queries.registry import QUERIES
 
@@ -36,3 +37,10 @@ def test_keys_in_use_are_those_of_the_links(spark):
 def test_merged_tables_put_the_records_together_once(spark):
     plan = executed(QUERIES["merged_tables"](spark, FOLDER))
     assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
+
+
+def test_more_links_are_dealt_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS_PER_TASK", 100)
+    links = Graph(spark, FOLDER).table("lineitem").count()
+    plan = executed(QUERIES["diversity_indices"](spark, FOLDER))
+    assert "hashpartitioning(author_id" in plan and f", {-(-links // 100)})" in plan
