@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
+from citegraph.operators import vectors
 from citegraph.queries import graph
 from citegraph.queries.graph import Graph
 from citegraph.queries.registry import QUERIES
@@ -44,3 +47,11 @@ def test_more_links_are_dealt_over_more_tasks(spark, monkeypatch):
     links = Graph(spark, FOLDER).table("lineitem").count()
     plan = executed(QUERIES["diversity_indices"](spark, FOLDER))
     assert "hashpartitioning(author_id" in plan and f", {-(-links // 100)})" in plan
+
+
+def test_words_are_sorted_without_a_comparison_lambda(spark):
+    assert "array_sort(" not in optimized(Graph(spark, FOLDER).inverted_index)
+    tokens = spark.range(1).select(vectors.term_counts(F.split(F.lit("b a b"), " ")).alias("terms"))
+    assert tokens.first().terms == [("a", 1), ("b", 2)]
+    texts = Graph(spark, FOLDER).table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
+    assert "array_sort(" not in optimized(vectors._counted(texts, "id", "abstract"))
