@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import re
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from citegraph.operators import vectors
 from citegraph.queries import graph
 from citegraph.queries.graph import Graph
 from citegraph.queries.registry import QUERIES
+from citegraph.sources import records
 
 import __spark_entry__  # noqa: F401 - registers the queries
 
@@ -49,6 +51,13 @@ def test_more_links_are_dealt_over_more_tasks(spark, monkeypatch):
     assert "hashpartitioning(author_id" in plan and f", {-(-links // 100)})" in plan
 
 
+def test_landed_records_are_compressed_and_whole(spark, make, tmp_path):
+    folder = str(tmp_path / "landed")
+    records.write_records(make("Id long, DOI string, ordinal long", (1, "a", 1), (2, None, 2)), folder)
+    assert glob.glob(f"{folder}/*.json.gz") and not glob.glob(f"{folder}/*.json")
+    assert {(row.Id, row.DOI) for row in records.read_records(spark, folder).collect()} == {(1, "a"), (2, None)}
+
+
 def test_words_are_sorted_without_a_comparison_lambda(spark):
     assert "array_sort(" not in optimized(Graph(spark, FOLDER).inverted_index)
     tokens = spark.range(1).select(vectors.term_counts(F.split(F.lit("b a b"), " ")).alias("terms"))
