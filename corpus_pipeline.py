@@ -60,9 +60,12 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text, and whether decoding them gives the text back."""
+    """Piece ids of each text, and whether decoding them gives the text back.
+
+    What is encoded is stored before it is decoded: in one plan each core would have two Python workers at once.
+    """
     model = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(docs, model), model)
+    both = pieces.decode(stage(pieces.encode(docs, model)), model)
     return both.select(
         "doc_id", "lang", "source", "n_chars", "piece_ids",
         F.size("piece_ids").cast("long").alias("n_pieces"),

@@ -54,3 +54,10 @@ def test_no_text_is_shuffled_to_drop_near_duplicates(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     plan = executed(near.drop_near_duplicates(docs))
     assert not re.search(r"(?<!Broadcast)Exchange hash", plan)
+
+
+def test_a_core_has_one_python_worker_in_the_piece_stage(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = corpus_pipeline.piece_stage(spark, docs, FOLDER)
+    assert len(re.findall("ArrowEvalPython", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+    assert [(r.doc_id, r.round_trip) for r in out.orderBy("doc_id").collect()] == [(r.doc_id, True) for r in docs.orderBy("doc_id").collect()]
