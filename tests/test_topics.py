@@ -25,6 +25,15 @@ def test_closure_stops_after_five_hops(make):
     assert {d for _, d in as_set(topics.topic_closure(hierarchy, roots, max_hops=2))} == {0, 1, 2}
 
 
+def test_more_links_are_closed_by_more_tasks(make, monkeypatch):
+    monkeypatch.setattr(topics, "LINKS_PER_TASK", 3)
+    hierarchy = make("id long, child_id array<long>", (0, [*range(1, 100), None, 1]), (0, [1, 100]), (1, [0]), (2, None))
+    closure = topics.topic_closure(hierarchy, make("field_of_study_id long", (0,), (1,)))
+    assert as_set(closure) == {(root, i) for root in (0, 1) for i in range(101)} and closure.count() == 202
+    plan = closure._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(field_of_study_id" in plan and "REPARTITION_BY_NUM" in plan and ", 35)" in plan
+
+
 def test_frequency_keeps_unlinked_values(make):
     links = make("paper_id long, field_of_study_id long", (1, 5), (2, 5), (3, 99))
     metadata = make("id long, level int, frequency long", (5, 1, None), (6, 1, 4), (7, 1, None))
