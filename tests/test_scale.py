@@ -64,3 +64,8 @@ def test_words_are_sorted_without_a_comparison_lambda(spark):
     assert tokens.first().terms == [("a", 1), ("b", 2)]
     texts = Graph(spark, FOLDER).table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
     assert "array_sort(" not in optimized(vectors._counted(texts, "id", "abstract"))
+
+
+def test_names_are_cleaned_once_for_each_author(spark):
+    plan = executed(QUERIES["infer_gender"](spark, FOLDER))
+    assert "customer.parquet" not in plan and "regexp_replace" not in plan
