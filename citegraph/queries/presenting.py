@@ -330,7 +330,9 @@ SELECT country, field_of_study_id, year, paper_count, total_citations, name, sha
 FROM produced JOIN metrics USING (field_of_study_id, country, year)"""
 )
 def country_topic_outputs(g: Graph) -> DataFrame:
-    return outputs.country_topic_outputs(g.paper_attributes, g.paper_fos, g.author_affiliation, g.places, materialise(_all_metrics(g)))
+    # First the metrics, which store the topics of the papers.
+    metrics = materialise(_all_metrics(g))
+    return outputs.country_topic_outputs(g.paper_attributes, g.paper_fos, g.affiliation_links, g.places, metrics)
 
 
 @query(

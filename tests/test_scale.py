@@ -94,3 +94,9 @@ def test_violating_links_count_once(spark, tmp_path):
     assert found["paper_fields_of_study.paper_id"] == no_paper(g.paper_fos) > 0
     none = g.author_affiliation.join(g.affiliation, F.col("affiliation_id") == F.col("id"), "left_anti").count()
     assert found["author_affiliation.affiliation_id"] == none > 0
+
+
+def test_outputs_read_the_stored_topics_and_no_distinct_authorships(spark):
+    plan = executed(QUERIES["country_topic_outputs"](spark, FOLDER))
+    assert "part.parquet" not in plan
+    assert not any("l_partkey" in columns for columns in re.findall(r"ReadSchema: \S+", plan))
