@@ -75,3 +75,37 @@ def test_bigrams_that_occur_once_count_in_the_contexts_they_share(spark):
     found = {r.doc_id: r for r in lm.score(frame, spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()}
     for i, both in losses(docs, targets).items():
         assert (found[i].background_loss, found[i].target_loss) == pytest.approx(both, abs=1e-9)
+
+
+@pytest.mark.parametrize("words, bigrams", [(5, 4), (1 << 16, 1 << 16)])
+def test_losses_do_not_hang_on_blocks_and_buckets(spark, monkeypatch, words, bigrams):
+    for name, value in (("VOCABULARY", words), ("BIGRAMS", bigrams), ("BLOCK", 40), ("BLOCK_TEXTS", 3), ("BUCKET", 50), ("GROUP", 2)):
+        monkeypatch.setattr(lm, name, value)
+    texts = [(i, " ".join(f"é{(i * j * j + j) % (3 + i % 11)} the w{j % 4} x{i}" for j in range(i % 23))) for i in range(60)]
+    docs, targets = [(i, t.split()) for i, t in texts if t], {i for i, _ in texts if i % 3 == 0}
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(2, "doc_id")
+    found = lm.score(frame, spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()
+    assert {(r.doc_id, r.text) for r in found} == set(texts)
+    expected = losses(docs, targets)
+    for r in found:
+        assert (r.background_loss, r.target_loss) == pytest.approx(expected.get(r.doc_id, (None, None)), abs=1e-9)
+
+
+def test_bigrams_are_not_rows(spark):
+    """Neither what is staged nor what is shuffled has a row for each bigram of a text."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = lm.train(docs, docs.filter("doc_id % 3 = 0").select("doc_id"))
+    others = model.spread.filter("at is null").count()
+    assert model.spread.count() - others == docs.count()
+    assert others < 2_000 < 100_000 < model.frequent.totals[0]
+
+
+def test_other_texts_are_judged_by_a_model(spark):
+    """A text that the model has not counted, with words and bigrams that it has."""
+    texts = [(i, f"the cat number n{i % 5} sat") for i in range(40)] + [(40 + i, f"a dog number n{i % 5} ran") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = lm.train(docs, docs.filter("doc_id < 40").select("doc_id"))
+    new = spark.createDataFrame([(100, "the cat sat"), (101, "a dog ran"), (102, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in lm.score(new, new.filter("false").select("doc_id"), model=model).collect()}
+    assert found[100].difference < 0 < found[101].difference and found[102].difference is None
