@@ -113,3 +113,23 @@ def test_rows_stay_with_their_blocks(make, small_blocks, monkeypatch):
     assert all(np.allclose(v, found[1][n]) for n, v in found[0].items()) and len(found[0]) == len(found[1])
     found = [{r["key"]: np.abs(r["vector"]) for r in f.column_vectors().collect()} for f in (near, wide)]
     assert all(np.allclose(v, found[1][n]) for n, v in found[0].items()) and len(found[0]) == len(found[1])
+
+
+def test_weights_in_blocks_equal_those_in_rows(make, small_blocks, monkeypatch):
+    """The matrix of the text vectors without a row for each entry; with stop words, unknown terms, repeated and empty texts."""
+    rows = [(i, " ".join(f"w{(i * j) % (5 + i % 7)} the x{j % 3}" for j in range(i % 6))) for i in range(40)]
+    docs = make("id int, abstract string", *rows, (40, None), (41, "the"), (42, "w1 w1 w2"))
+    monkeypatch.setattr(vectors, "_CHARACTERS", 1)
+    monkeypatch.setattr(svd, "LEAST_ENTRIES", 20)
+    for limit in (None, 6):
+        fitted = vectors.fit_tfidf(docs, limit, ("the",))
+        expected = {(r.id, r.term): r.weight for r in fitted.transform(docs).collect()}
+        model, matrix, n = vectors._tfidf_blocks(docs, limit, ("the",))
+        assert {tuple(r) for r in model.terms.collect()} == {tuple(r) for r in fitted.terms.collect()}
+        blocks = matrix.blocks.toArrow()
+        assert 1 < len(blocks) <= 16 and n == len({i for i, _ in expected})
+        found = {}
+        for i in range(len(blocks)):
+            r, c, w, names, keys = svd._entries(blocks.slice(i, 1).combine_chunks())
+            found |= {(names[a].as_py(), keys[b].as_py()): x for a, b, x in zip(r.tolist(), c.tolist(), w.tolist())}
+        assert found == pytest.approx(expected, abs=1e-12)
