@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_svd_matrix import small_blocks, sparse  # noqa: F401 - a fixture
 
-from citegraph.operators import svd
+from citegraph.operators import svd, vectors
 from citegraph.session import discard, materialise, shared_folder, staging
 
 
@@ -82,3 +82,18 @@ def test_a_block_may_have_several_pieces(spark, make, small_blocks, monkeypatch,
     for r in matrix.row_gram_product(materialise(matrix.placed_start(6)), "x", np.eye(6)).collect():
         x[names[r["block"]]], z[names[r["block"]]] = (np.frombuffer(r[n]).reshape(-1, 6) for n in "xz")
     assert np.allclose(z, a @ (a.T @ x)) and np.abs(x).max() > 0
+
+
+def test_weights_do_not_travel_entry_by_entry(spark, make, monkeypatch):
+    """Repeated, empty and missing texts, other column names; the weights are those of the model's own transform."""
+    monkeypatch.setattr(vectors, "_CHARACTERS", 1)
+    monkeypatch.setattr(svd, "LEAST_ENTRIES", 20)
+    rows = [(f"d{i}", " ".join(f"w{(i * j) % (5 + i % 7)}" for j in range(i % 6)) or None) for i in range(40)]
+    docs = make("name string, words string", *rows, ("x", "the"), ("y", "w1 w1 w2"))
+    for limit in (None, 4):
+        expected = vectors.fit_tfidf(docs, limit, ("the",), "words").transform(docs, "name", "words")
+        found = vectors.tfidf_weights(docs, limit, ("the",), "name", "words")
+        assert found.columns == expected.columns == ["name", "term", "weight"]
+        both = [{(r["name"], r["term"]): r["weight"] for r in f.collect()} for f in (found, expected)]
+        assert both[0] == pytest.approx(both[1], abs=1e-12) and len(both[0]) == found.count()
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
