@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import re
 import time
 
 import numpy as np
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from test_svd_matrix import small_blocks, sparse  # noqa: F401 - a fixture
 
 from citegraph.operators import svd, vectors
+from citegraph.queries.graph import Graph
 from citegraph.session import discard, materialise, shared_folder, staging
+from citegraph.sources import records
 
 
 def shuffles(spark) -> set[str]:
@@ -97,3 +100,40 @@ def test_weights_do_not_travel_entry_by_entry(spark, make, monkeypatch):
         both = [{(r["name"], r["term"]): r["weight"] for r in f.collect()} for f in (found, expected)]
         assert both[0] == pytest.approx(both[1], abs=1e-12) and len(both[0]) == found.count()
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_a_text_travels_to_its_record_without_its_index(spark):
+    plan = Graph(spark, FOLDER).raw._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    built = min(i for i, line in enumerate(plan) if "map_from_entries" in line)
+    dealt = [i for i, line in enumerate(plan) if "Repartition" in line and "doc_id" in line]
+    assert dealt and built < min(dealt) and not any("map_from_entries" in line for line in plan[min(dealt) :])
+
+
+def test_topics_are_named_before_links_meet_them(spark, tmp_path):
+    for name in ("part", "lineitem"):
+        table = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        # Links occur twice, some lead to no part.
+        table = table.unionByName(table) if name == "lineitem" else table.filter("p_partkey % 7 > 0")
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    g = Graph(spark, str(tmp_path))
+    names = g.fields_of_study.withColumnRenamed("id", "field_of_study_id")
+    expected = {tuple(r) for r in g.paper_fos.join(names, "field_of_study_id").select("paper_id", "name", "field_of_study_id").collect()}
+    found = [(r["o_orderkey"], t["DFN"], t["FId"]) for r in g._topics.collect() for t in r["F"]]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert all(r["F"] == sorted(r["F"]) for r in g._topics.collect())
+    reads = re.findall(r"ReadSchema: \S+", g._topics._jdf.queryExecution().executedPlan().toString())
+    assert sum("l_partkey" in columns for columns in reads) == 1
+
+
+def test_landing_leaves_no_shuffle_files(spark, tmp_path):
+    before = shuffles(spark)
+    records.write_records(Graph(spark, FOLDER).landed(people=True, topics=True), str(tmp_path / "landed"))
+    for _ in range(50):
+        left = shuffles(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
