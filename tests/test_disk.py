@@ -137,3 +137,39 @@ def test_landing_leaves_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.1)
     assert not left
+
+
+def test_documents_with_similar_words_lie_together(spark, make, monkeypatch):
+    monkeypatch.setattr(vectors, "_CHARACTERS", 1)
+    monkeypatch.setattr(svd, "LEAST_ENTRIES", 200)
+    rng = np.random.default_rng(2)
+    kinds = [("the", "a"), ("der", "b"), ("de", "c"), ("och", "d")]
+    rows = [(i, " ".join([kinds[i % 4][0]] * 5 + [f"{kinds[i % 4][1]}{w}" for w in rng.integers(0, 60, 20)])) for i in range(400)]
+    docs = make("id long, abstract string", *rows, (400, ""), (401, None))
+
+    def shared(docs):
+        _, matrix, n = vectors._tfidf_blocks(docs, None, ())
+        blocks = [r["block"] for r in matrix.blocks.select("block").distinct().collect()]
+        assert len(blocks) > 4 and 0 <= min(blocks) and max(blocks) < matrix.count
+        return matrix.needs.count(), n
+
+    placed, n = shared(docs)
+    monkeypatch.setattr(vectors, "_placed_items", lambda texts, *rest: vectors._items(texts))
+    anywhere, m = shared(docs)
+    assert n == m == 400 and placed < 0.6 * anywhere
+
+
+def test_a_document_has_one_block(spark, make, monkeypatch):
+    """Texts with one id stay together, and the matrix of placed weights has the blocks that they name."""
+    monkeypatch.setattr(vectors, "_CHARACTERS", 1)
+    monkeypatch.setattr(svd, "LEAST_ENTRIES", 20)
+    rows = [(i, f"w{i % 3} " * 4 + f"x{i % 11} y{i % 5}") for i in range(60)]
+    for more in ((), ((7, "w2 w2 z1"), (7, "q1 q1 q1"))):
+        docs = make("id long, abstract string", *rows, *more)
+        weights = materialise(vectors.tfidf_weights(docs, stop_words=(), placed=True))
+        blocks = {(r["id"], r["block"]) for r in weights.select("id", "block").distinct().collect()}
+        assert weights.columns == ["id", "term", "weight", "block"] and len(blocks) == 60 and len({b for _, b in blocks}) > 1
+        matrix = svd.RowBlocks.of(weights.selectExpr("id AS row", "term AS col", "weight", "block"))
+        assert {(i, r["block"]) for r in matrix.blocks.collect() for i in r["names"]} == blocks
+        found = [vectors.svd_vectors(w, 3, 3, 5, 0.0, "documents")[2] for w in (weights, weights.drop("block"))]
+        assert np.allclose(found[0].values, found[1].values) and np.allclose(found[0].residuals, found[1].residuals, atol=1e-9)
